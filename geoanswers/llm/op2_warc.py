@@ -70,7 +70,7 @@ def _written(folder: str):
         for pdf in batches:
             for page_id, url, html, refers in zip(pdf.page_id, pdf.url, pdf.html, pdf.refers_to):
                 member = record(None if pd.isna(page_id) else int(page_id), None if pd.isna(url) else url, b"" if html is None else html.encode(), None if pd.isna(refers) else int(refers))
-                out = out or fs.open_output_stream(path)
+                out = out or fs.open_output_stream(path, compression=None)
                 out.write(member)
                 size, count = size + len(member), count + 1
         if out:
