@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +132,40 @@ def utf8(column) -> Iterable[np.ndarray | None]:
         yield data[at[i] : at[i + 1]] if valid[i] else None
 
 
+def contiguous(batches: Iterable, keys: list[str]) -> Iterable:
+    """The pandas frames of equal keys, from batches in which equal keys stand together."""
+    held: list = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        columns = [pdf[k].to_numpy() for k in keys]
+        cut = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1).tolist(), len(pdf)]
+        if held and any(held[-1][k].iloc[-1] != c[0] for k, c in zip(keys, columns)):
+            yield pd.concat(held) if len(held) > 1 else held[0]
+            held = []
+        for lo, hi in zip(cut[:-2], cut[1:-1]):
+            held.append(pdf.iloc[lo:hi])
+            yield pd.concat(held) if len(held) > 1 else held[0]
+            held = []
+        held.append(pdf.iloc[cut[-2] : cut[-1]])
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
+
+
+def forest(linked: np.ndarray) -> np.ndarray:
+    """The smallest index that each row of a symmetric boolean matrix reaches."""
+    label = np.arange(len(linked))
+    at, to = np.nonzero(linked)
+    while len(at):
+        new = label.copy()
+        np.minimum.at(new, at, label[to])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

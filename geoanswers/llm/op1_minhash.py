@@ -5,9 +5,11 @@ t rounds throw every element into a random bin, the last t give bin i one round
 and a later round never beats an earlier one. Bands of 4 of the 128 coordinates make candidates (a pair at 0.8 is
 missed with a chance of 5e-8), and full sets confirm them.
 
-Equal sets are one node. In a band's bucket every node is compared with the smallest one only, which joins ordinary
-groups of copies at linear cost. Buckets that still hold several components are then compared block by block on the
-sketches, pairs of one component left out, so that no link is lost and no group is expanded into its pairs.
+Equal sets are one node. Within a band's bucket the pairs whose sketches agree are candidates (a pair at 0.8 falls short
+with a chance of 1e-6); only a forest over them is kept, and its connected clusters hold every link. A cluster's texts
+are then compared on full sets, all pairs of a block at once by one matrix product, and again only a forest over the
+links leaves the task. Large buckets and clusters are dealt out in pairs of hash blocks, so no group grows in a task and
+no pairs are ever written out.
 
 Defined results: null or wordless texts have an empty set and link with nothing; rows that repeat a doc_id count as one
 document with their texts; a null doc_id is a document of its own that links with nothing (component_id null, kept);
@@ -30,10 +32,10 @@ BINS, ROWS = 128, 4
 _SEEDS = common.mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = common.mix(np.arange(7, 7 + BINS, dtype=np.uint64)) | np.uint64(1)
 _LOW = np.uint64((1 << 56) - 1)
-#: Members of a hub compared in one group; nodes of a block in the second comparison.
-MEMBERS, BLOCK = 64, 256
-#: Equal coordinates of 128 below which a pair is not looked at again: 8 standard deviations under 0.8.
-LEAST_EQUAL = 64
+#: Nodes of a bucket's block; documents and shingles of a cluster's block; columns of an incidence matrix at once.
+BLOCK, DOCUMENTS, SHINGLES, COLUMNS = 512, 1024, 1_000_000, 4096
+#: Equal coordinates of 128 that a candidate pair has at least: 5 standard deviations under 0.8.
+LEAST_EQUAL = 80
 
 
 def sketch(keys: np.ndarray) -> np.ndarray:
@@ -79,45 +81,72 @@ def _sketched(k: int):
     return run
 
 
-def _confirm(k: int, percent: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        hub = group[group.is_hub]
-        found: list[tuple[int, int]] = []
-        sets = [common.shingle_set(np.frombuffer(t.encode(), np.uint8), k) for t in hub.text]
-        for one, text in zip(group.id[~group.is_hub], group.text[~group.is_hub]):
-            mine = common.shingle_set(np.frombuffer(text.encode(), np.uint8), k)
-            for other in sets:
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                if both and 100 * both >= percent * (len(mine) + len(other) - both):
-                    found.append((int(hub.id.iloc[0]), int(one)))
-                    break
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def _edges(found: list[np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), np.int64), columns=["a", "b"])
+
+
+def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each bucket (or pair of its blocks): a forest over the pairs whose sketches agree often enough."""
+    found: list[np.ndarray] = []
+    for group in common.contiguous(batches, ["band", "i", "j"]):
+        ids = group.id.to_numpy()
+        s = np.frombuffer(b"".join(group.short), np.uint8).reshape(-1, BINS)
+        near = np.zeros((len(s), len(s)), bool)
+        for i in range(len(s)):
+            near[i] = (s == s[i]).sum(axis=1) >= LEAST_EQUAL
+        root = common.forest(near)
+        found.append(np.stack([ids[root], ids], axis=1)[root != np.arange(len(ids))])
+        if len(found) >= 2000:
+            yield _edges(found)
+            found = []
+    yield _edges(found)
+
+
+def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets have 100 * intersection >= percent * union, from one incidence matrix in column chunks."""
+    size = np.array([len(x) for x in sets])
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    if len(sets) == 2:
+        both[0, 1] = both[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
+    else:
+        keys, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        place = np.cumsum(times > 1) - 1
+        used = times[column] > 1
+        row, column = np.repeat(np.arange(len(sets)), size)[used], place[column[used]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            at = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+            part = np.zeros((len(sets), COLUMNS), np.float32)
+            part[row[at], column[at] - lo] = 1
+            both += part @ part.T
+    union = size[:, None] + size[None, :] - both
+    out = (100 * both.astype(np.int64) >= percent * union.astype(np.int64)) & (both > 0)
+    np.fill_diagonal(out, False)
+    return out
 
-    return run
 
+def _confirmed(k: int, percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[np.ndarray] = []
+        for group in common.contiguous(batches, ["cluster", "i", "j"]):
+            ids = group.id.to_numpy()
+            root = common.forest(similar([common.shingle_set(np.frombuffer(t.encode(), np.uint8), k) for t in group.text], percent))
+            found.append(np.stack([ids[root], ids], axis=1)[root != np.arange(len(ids))])
+            if len(found) >= 2000:
+                yield _edges(found)
+                found = []
+        yield _edges(found)
 
-def confirmed(documents: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar enough. A hub's partners are dealt out in chunks, so its text
-    travels once for a chunk and no group grows with the hub."""
-    chunks = pairs.groupBy(F.col("a").alias("hub")).agg(F.ceil(F.count("*") / MEMBERS).alias("n"))
-    dealt = pairs.join(chunks, pairs.a == chunks.hub).select("hub", F.pmod(F.xxhash64("b", F.lit(3)), F.col("n")).alias("chunk"), F.col("b").alias("id"), F.lit(False).alias("is_hub"))
-    dealt = dealt.union(dealt.select("hub", "chunk", F.col("hub").alias("id"), F.lit(True)).distinct())
-    texts = documents.select(F.col("doc_id").alias("_doc"), "text").filter("_doc is not null and text is not null")
-    return dealt.join(texts, dealt.id == texts["_doc"]).select("hub", "chunk", "id", "is_hub", "text").groupBy("hub", "chunk").applyInPandas(_confirm(k, percent), "a long, b long")
+    return run
 
 
-def _across(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components whose sketches agree often enough, between two blocks of a bucket."""
-    left, right = group[group.side == 0], group[group.side == 1]
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    x, y = (np.frombuffer(b"".join(p.short), np.uint8).reshape(-1, BINS) for p in (left, right))
-    ids, others, mine, theirs = left.id.to_numpy(), right.id.to_numpy(), left.comp.to_numpy(), right.comp.to_numpy()
-    found = []
-    for i in range(len(x)):
-        j = np.flatnonzero((theirs != mine[i]) & ((y == x[i]).sum(axis=1) >= LEAST_EQUAL))
-        found.append(np.stack([np.minimum(ids[i], others[j]), np.maximum(ids[i], others[j])], axis=1))
-    return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+def _dealt(rows: DataFrame, key: str, blocks: F.Column, columns: list[str]) -> DataFrame:
+    """Rows of a key in every pair of its hash blocks (i <= j), rows of a pair together in a partition."""
+    pairs = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(block, x) as i, greatest(block, x) as j))")
+    at = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    at = at.select(key, *columns, F.explode(pairs).alias("at")).select(key, F.col("at.i").alias("i"), F.col("at.j").alias("j"), *columns)
+    return at.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -126,27 +155,24 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     sets = common.stored(base.mapInArrow(_sketched(k), "doc_id long, n_shingles long, high long, low long, bands array<long>, short binary"), "sets")
     usable = sets.filter("n_shingles > 0 and doc_id is not null")
     # equal sets are one node, named by the smallest doc_id
-    nodes = usable.groupBy("high", "low").agg(F.min(F.struct("doc_id", "bands", "short")).alias("first"), F.count("*").alias("copies"))
-    nodes = common.stored(nodes.select("high", "low", F.col("first.doc_id").alias("id"), "first.bands", "first.short", "copies"), "nodes")
+    nodes = usable.groupBy("high", "low").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "short")).alias("first"), F.count("*").alias("copies"))
+    nodes = common.stored(nodes.select("high", "low", F.col("first.doc_id").alias("id"), "first.n_shingles", "first.bands", "first.short", "copies"), "nodes")
 
+    # candidates: pairs of a bucket whose sketches agree; their clusters hold every link
     members = nodes.select("id", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    placed = common.stored(members.join(buckets, "band"), "placed")
-    stars = common.stored(placed.filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = common.stored(confirmed(base, stars, k, percent), "links")
+    buckets = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    placed = members.join(buckets, "band").join(nodes.select("id", "short"), "id")
+    alike = _dealt(placed, "band", F.ceil(F.col("n") / BLOCK), ["id", "short"]).mapInPandas(_alike, "a long, b long")
+    clusters = common.stored(common.components(alike).withColumnRenamed("component", "cluster"), "clusters")
+
+    # full sets, block by block of a cluster
+    sized = clusters.join(nodes.select("id", "n_shingles"), "id")
+    shape = sized.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / DOCUMENTS, F.sum("n_shingles") / SHINGLES)).alias("n"))
+    texts = base.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text")
+    whole = clusters.join(shape, "cluster").join(texts, "id")
+    links = _dealt(whole, "cluster", F.col("n"), ["id", "text"]).mapInPandas(_confirmed(k, percent), "a long, b long")
     joined = common.components(links)
 
-    # what several components of one bucket leave open
-    named = placed.select("band", "id").join(joined.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_ = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("lo < hi").select("band", "blocks")
-    rest = named.join(open_, "band").join(nodes.select("id", "short"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    sides = rest.select("band", "id", "comp", "short", F.explode(F.expr("transform(sequence(0, cast(blocks as int) - 1), j -> struct(least(block, j) as i, greatest(block, j) as j, if(block <= j, 0, 1) as side))")).alias("at"), "block")
-    # a block against itself stands on both sides
-    twice = sides.withColumn("side", F.explode(F.expr("if(at.i = at.j, array(0, 1), array(at.side))")))
-    more = twice.select("band", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "side", "id", "comp", "short").groupBy("band", "i", "j").applyInPandas(_across, "a long, b long")
-    more = common.stored(more.distinct().join(stars, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        joined = common.components(joined.filter("id > component").select(F.col("component").alias("a"), F.col("id").alias("b")).union(confirmed(base, more, k, percent)))
     groups = nodes.filter("copies > 1").select("high", "low", F.col("id").alias("first_id"))
     out = sets.select("doc_id", "n_shingles", "high", "low").join(groups, ["high", "low"], "left").withColumn("node", F.coalesce("first_id", "doc_id"))
     out = out.join(joined.withColumnRenamed("id", "node"), "node", "left")
