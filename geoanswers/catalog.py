@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of geoanswers.plans; each has QUERIES and ORACLES.
-MODULES: list[str] = []
+MODULES: list[str] = ["attributes"]
 
 
 def _gather(what: str) -> dict:
