@@ -27,21 +27,22 @@ from pyspark.sql import functions as F
 
 from geoanswers.llm import common
 
-#: Words and plain letter runs that a worker remembers; both are forgotten when full.
-WORDS, RUNS = 600_000, 400_000
-#: Longer words are not remembered.
-LONGEST = 48
+#: Words that a worker remembers; they are forgotten when so many are known. Longer words are not remembered.
+WORDS, LONGEST = 1_500_000, 48
 #: str.split() cuts here, the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-_PLAIN = re.compile("[^\\W\\d_]+|[^\\w\\s]+")
 _ASCII_SPACE = re.compile("[ \t\r\n]+")
+#: A mark that closes a word: a token of its own whether a space stands before it or not.
+_CLOSING = re.compile(r"(?<=[^\W_])([.,;:!?])(?=\s)")
+_RUNS = re.compile(r"[^\W\d_]+|[^\w\s]+")
 
 
 class WordTokenizer:
     """ids of a text, word by word: the tokenizer never joins across white space, so a word's ids are remembered.
 
-    Words of Latin letters and ASCII marks are put together from runs of each; the runs not yet known are encoded many
-    at a time (each closes with an end-of-word id). Any other word is encoded alone."""
+    Texts of Latin-1 letters are lower-cased first (as the tokenizer does) and closing marks set apart, which leaves few
+    words to know. Unknown words of letters are encoded many at a time (each closes with an end-of-word id); others are
+    put together from runs of letters and marks where that is how the tokenizer sees them, or encoded alone."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -50,63 +51,68 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _alone(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_runs(self, runs: list[str]) -> None:
-        for at in range(0, len(runs), 512):
-            some = runs[at : at + 512]
+    def _learn_letters(self, words: list[str]) -> None:
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(some) or ends[-1] != len(ids):
-                self.runs.update((x, self._alone(x)) for x in some)
+                self.known.update((x, self._alone(x)) for x in some)
                 continue
             data, start = ids.tobytes(), 0
             for x, end in zip(some, (ends * 4).tolist()):
-                self.runs[x] = data[start:end]
+                self.known[x] = data[start:end]
                 start = end
 
-    @staticmethod
-    def _parts(word: str) -> list[str] | None:
-        """Lower-case runs of letters and of marks, if that is how the tokenizer sees the word."""
-        low = word.lower()
-        if max(low) > "ɏ" or "'" in low or "<|" in low:
+    def _runs(self, word: str) -> list[str] | None:
+        """Runs of letters and of marks, if that is how the tokenizer sees the word."""
+        if "'" in word or "<|" in word or len(word) > LONGEST:
             return None
-        parts = _PLAIN.findall(low)
-        ok = sum(map(len, parts)) == len(low) and all(p.isalpha() or p.isascii() for p in parts)
-        return parts if ok else None
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > WORDS:
-            self.words.clear()
-        if len(self.runs) > RUNS:
-            self.runs.clear()
-        split = {w: self._parts(w) for w in words}
-        self._learn_runs(list({p for parts in split.values() if parts for p in parts if p not in self.runs}))
-        for w, parts in split.items():
-            self.words[w] = b"".join([self.runs[p] for p in parts]) if parts else self._alone(w)
+        runs = _RUNS.findall(word)
+        return runs if sum(map(len, runs)) == len(word) and all(r.isalpha() or r.isascii() for r in runs) else None
+
+    def _word(self, word: str, plain: bool) -> bytes:
+        runs = self._runs(word) if plain else None
+        if runs is None:
+            return self._alone(word)
+        out = []
+        for r in runs:
+            if r not in self.known:
+                self.known[r] = self._alone(r)
+            out.append(self.known[r])
+        return b"".join(out)
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        words = text.split() if not _ODD_SPACE.search(text) else [w for w in _ASCII_SPACE.split(text) if w]
-        known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        new = {w for w in words if w not in known}
-        long = {w: self._alone(w) for w in new if len(w) > LONGEST}
-        self.learn(new - long.keys())
-        known = self.words
-        extra = {w for w in words if w not in known} - long.keys()  # forgotten just now
-        if extra:
-            self.learn(extra)
-            if any(w not in known and w not in long for w in words):
-                return b"".join(long.get(w) or known.get(w) or self._alone(w) for w in words)
-        return b"".join([known[w] if w in known else long[w] for w in words])
+        plain = not _ODD_SPACE.search(text)
+        if plain and not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                plain = False
+        if plain:
+            words = _CLOSING.sub(r" \1", text.lower()).split()
+        else:
+            words = [w for w in _ASCII_SPACE.split(text) if w]
+        found = list(map(self.known.get, words))
+        if None in found:
+            if len(self.known) > WORDS:
+                self.known.clear()
+            lost = [i for i, x in enumerate(found) if x is None]
+            new = {words[i] for i in lost}
+            letters = {w for w in new if plain and len(w) <= LONGEST and w.isalpha()}
+            self._learn_letters([w for w in letters if w not in self.known])
+            others = {w: self._word(w, plain) for w in new - letters}
+            self.known.update((w, x) for w, x in others.items() if len(w) <= LONGEST)
+            for i in lost:
+                w = words[i]
+                found[i] = others[w] if w in others else self.known[w]
+        return b"".join(found)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
