@@ -163,23 +163,41 @@ def within(a: Column, b: Column) -> Column:
     return b["kind"].isin("polygon", "multipolygon") & inside & ~_any_pair(a, b, segments_cross)
 
 
+def _separated(a: Column, b: Column) -> Column:
+    """A side of a has all of a and all of b on different closed sides of its line's direction (separating axis)."""
+
+    def axis(s: Column) -> Column:
+        nx, ny = s["q"]["y"] - s["p"]["y"], s["p"]["x"] - s["q"]["x"]
+        along = lambda g: F.transform(vertices(g), lambda v: v["x"] * nx + v["y"] * ny)
+        return ((nx != 0) | (ny != 0)) & ((F.array_max(along(a)) <= F.array_min(along(b))) | (F.array_max(along(b)) <= F.array_min(along(a))))
+
+    return F.exists(segments(a), axis)
+
+
+def interiors_meet(a: Column, b: Column) -> Column:
+    """An inner point is shared (exact for points, segments and convex polygons)."""
+
+    def inside(g: Column, p: Column) -> Column:
+        return contains_point(g, p["x"], p["y"]) & ~F.exists(segments(g), lambda s: (_side(s["p"], s["q"], p) == 0) & _on(s["p"], s["q"], p))
+
+    by_point = F.when((dimension(a) == 0) & (dimension(b) == 0), _first(a) == _first(b)).when(dimension(a) == 0, inside(b, _first(a))).otherwise(inside(a, _first(b)))
+    return F.when((dimension(a) == 0) | (dimension(b) == 0), by_point).otherwise(~_separated(a, b) & ~_separated(b, a))
+
+
 def touches(a: Column, b: Column) -> Column:
-    """They meet and no inner point is shared (exact for convex polygons)."""
-    c, d = centroid(a), centroid(b)
-    inner = lambda g, p: F.when(g["kind"].isin("polygon", "multipolygon"), contains_point(g, p["x"], p["y"])).otherwise(False)
-    strict = lambda g, h: F.when(g["kind"].isin("polygon", "multipolygon"), F.exists(vertices(h), lambda p: contains_point(g, p["x"], p["y"]) & ~F.exists(segments(g), lambda s: (_side(s["p"], s["q"], p) == 0) & _on(s["p"], s["q"], p)))).otherwise(False)
-    return intersects(a, b) & ~_any_pair(a, b, segments_cross) & ~strict(a, b) & ~strict(b, a) & ~within(a, b) & ~within(b, a) & ~inner(a, d) & ~inner(b, c)
+    """They meet and no inner point is shared."""
+    return intersects(a, b) & ~interiors_meet(a, b)
 
 
 def overlaps(a: Column, b: Column) -> Column:
     """Same dimension, inner points shared, neither inside the other."""
-    return (dimension(a) == dimension(b)) & intersects(a, b) & ~touches(a, b) & ~within(a, b) & ~within(b, a)
+    return (dimension(a) == dimension(b)) & interiors_meet(a, b) & ~within(a, b) & ~within(b, a)
 
 
 def crosses(a: Column, b: Column) -> Column:
     """Different dimensions (or two lines): inner points shared, not inside."""
     lines = (dimension(a) == 1) & (dimension(b) == 1)
-    return F.when(lines, _any_pair(a, b, segments_cross)).otherwise((dimension(a) != dimension(b)) & intersects(a, b) & ~touches(a, b) & ~within(a, b) & ~within(b, a))
+    return F.when(lines, _any_pair(a, b, segments_cross)).otherwise((dimension(a) != dimension(b)) & interiors_meet(a, b) & ~within(a, b) & ~within(b, a))
 
 
 def equals(a: Column, b: Column) -> Column:
