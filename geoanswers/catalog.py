@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of geoanswers.plans; each has QUERIES and ORACLES.
-MODULES: list[str] = ["attributes", "spatial", "shapes", "fields"]
+MODULES: list[str] = ["attributes", "spatial", "shapes", "fields", "logs"]
 
 
 def _gather(what: str) -> dict:

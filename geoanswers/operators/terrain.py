@@ -85,7 +85,8 @@ def contours(cells: DataFrame, interval: float) -> DataFrame:
     spread = cells.select("raster_id", "row", "col", "z", to.alias("s")).select("raster_id", (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), (F.col("s.dr") * -2 - F.col("s.dc")).alias("k"), "z")
     quad = spread.groupBy("raster_id", "row", "col").agg(F.count("*").alias("n"), *[F.max(F.when(F.col("k") == k, F.col("z"))).alias(f"z{k}") for k in range(4)]).filter("n = 4")
     low, high = F.ceil(F.least("z0", "z1", "z2", "z3") / interval), F.floor(F.greatest("z0", "z1", "z2", "z3") / interval)
-    levels = quad.withColumn("level", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))) * interval)
+    steps = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    levels = quad.withColumn("level", F.explode(F.transform(steps, lambda k: k * F.lit(float(interval)))))
     corner = {0: (0, 0), 1: (0, 1), 3: (1, 1), 2: (1, 0)}
     ring = [0, 1, 3, 2]
 

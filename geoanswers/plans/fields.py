@@ -139,7 +139,7 @@ def _flow(s, d):
     return terrain.flow_accumulation(cells(s, d))
 
 
-@query("raster_band_range", """SELECT (o_orderkey % 3)::INTEGER AS band, min(o_totalprice) AS min, max(o_totalprice) AS max, array_to_string(list_transform([0, 1, 2, 3, 4], i -> format('{:.2f}', round(min(o_totalprice) + i * (max(o_totalprice) - min(o_totalprice)) / 4, 4))), ',') AS stops FROM orders GROUP BY 1""")
+@query("raster_band_range", """SELECT o_orderkey::INTEGER AS band, lo AS min, hi AS max, array_to_string(list_transform([0, 1, 2, 3, 4], lambda i: format('{:.2f}', round(lo + i * (hi - lo) / 4, 4))), ',') AS stops FROM (SELECT o_orderkey % 3 AS o_orderkey, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY 1)""")
 def _band(s, d):
     o = table(s, d, "orders").select((F.col("o_orderkey") % 3).cast("int").alias("band"), F.col("o_totalprice").alias("z"))
     return terrain.raster_band_range(o)
