@@ -81,9 +81,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: each document as often as the mix takes it (wordless ones are taken by no mix and go)."""
     m = mixed(docs, [3, 1, 2]).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
     m = m.groupBy("_id", "_hash").agg(F.max("_copies").alias("_copies"))
-    hashed = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    rows = hashed.join(m, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
+    rows = rows.join(m, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 ORACLE = r"""

@@ -186,7 +186,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one document of each group stays (five-word shingles)."""
-    keep = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    keep = near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(keep, docs.doc_id.eqNullSafe(keep["_id"]), "left_semi")
 
 

@@ -79,9 +79,9 @@ def _joined(spans: Column) -> Column:
 
 
 def scanned(documents: DataFrame) -> DataFrame:
-    """documents with _base and _all added: spans (start, rank of the kind, end), ordered by start and kind."""
+    """_row (the document), _text, _base and _all: spans (start, rank of the kind, end), ordered by start and kind."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hits = documents.withColumn("_text", text)
+    hits = documents.select(F.struct("*").alias("_row"), text.alias("_text"))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("entropy", CANDIDATE)):
         hits = hits.withColumn(f"_h_{name}", F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)))
 
@@ -99,7 +99,7 @@ def scanned(documents: DataFrame) -> DataFrame:
     more = F.when(F.size("_h_entropy") > 0, found).otherwise(F.array().cast(_SPAN))
     both = base.withColumn("_more", more)
     fresh = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return both.withColumn("_all", F.array_sort(F.concat("_base", fresh))).drop("_more", "_text", *[f"_h_{k}" for k in _KINDS])
+    return both.withColumn("_all", F.array_sort(F.concat("_base", fresh))).select("_row", "_text", "_base", "_all")
 
 
 def _allowed(word: Column) -> Column:
@@ -114,25 +114,24 @@ def secrets(documents: DataFrame) -> DataFrame:
     base = scanned(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     ranks = F.transform("_base", lambda s: s["rank"])
     counts = [(F.size("_base") - F.size(F.array_remove(ranks, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(_KINDS[:3])]
-    return base.select("doc_id", *counts, F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.col("_all")).alias("spans"))
+    return base.select("_row.doc_id", *counts, F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.col("_all")).alias("spans"))
 
 
 def redacted(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with each span (overlapping ones together) replaced by a mark; n_chars follows where it exists."""
-    found = scanned(documents)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        gap = F.substring("_text", acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         inside = s["start"] < acc["at"]
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
 
-    clean = F.aggregate("_all", state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = found.withColumn("text", F.when(F.size("_all") > 0, clean).otherwise(F.col("text")))
+    clean = F.aggregate("_all", state, step, lambda acc: F.concat(acc["out"], F.substring("_text", acc["at"] + 1, F.length("_text"))))
+    found = scanned(documents).withColumn("_clean", F.when(F.size("_all") > 0, clean))
+    new = {"text": F.coalesce("_clean", F.col("_row.text"))}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+        new["n_chars"] = F.coalesce(F.length("_clean").cast(documents.schema["n_chars"].dataType), F.col("_row.n_chars"))
+    return found.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in documents.columns])
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
