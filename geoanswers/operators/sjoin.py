@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from geoanswers.functions import geom
 from geoanswers.meta import LayerMeta, Refused, need_columns, need_metric, to_metres
+from geoanswers.sources.tables import stored
 
 LEVELS, FACTOR, MOST_CELLS = 6, 8, 64
 
@@ -169,10 +170,11 @@ def nearest_neighbor(left: DataFrame, right: DataFrame, radius: float | None = N
     while True:
         met = pairs(rest, target, grow=radius).select(F.col("l.id").alias("id"), F.col("r.id").alias("neighbor_id"), geom.distance(F.col("l.geom"), F.col("r.geom")).alias("distance"))
         done = met.filter(F.col("distance") <= radius).groupBy("id").agg(F.min(F.struct("distance", "neighbor_id")).alias("m")).select("id", "m.neighbor_id", "m.distance")
+        done = stored(done, "neighbours")  # each round's plan starts from written rows
         out = done if out is None else out.union(done)
         if radius >= reach:
             return out
-        rest = rest.join(done.select("id"), "id", "left_anti")
+        rest = stored(rest.join(done.select("id"), "id", "left_anti"), "rest")
         if rest.isEmpty():
             return out
         radius *= 4
