@@ -26,6 +26,8 @@ from geoanswers.llm import common
 PER_LANGUAGE, LANDMARKS, VOCABULARY, RIDGE = 128, 32, 16384, 1e-3
 LONGEST, TABLE_BITS, TEXTS = 4, 22, 64
 UNKNOWN = "und"
+#: Rows of the sample's key list (PER_LANGUAGE a language) up to which it is broadcast; beyond, an ordinary join.
+BROADCAST_ROWS = 50_000
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
@@ -115,6 +117,9 @@ def train(documents: DataFrame) -> Model | None:
     hashed = labelled.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(11)).alias("h"))
     picked = hashed.groupBy("lang", F.pmod("h", F.lit(PER_LANGUAGE)).alias("bucket")).agg(F.min(F.struct(F.xxhash64("h").alias("g"), "doc_id", "h")).alias("m"))
     picked = picked.select(F.col("lang").alias("_lang"), F.col("m.doc_id").alias("_id"), F.col("m.h").alias("h"))
+    picked = common.stored(picked, "picked")
+    if picked.count() <= BROADCAST_ROWS:
+        picked = F.broadcast(picked)
     rows = labelled.join(picked, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "h", "text")
     sample = rows.mapInArrow(_distinct, "lang string, h long, keys binary").collect()
     sample.sort(key=lambda r: (r.h, r.lang, r.keys))
@@ -178,7 +183,7 @@ def _kept(model):
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents in no learned language go."""
-    model = spark.sparkContext.broadcast(train(docs))
+    model = spark.sparkContext.broadcast(train(docs.select("doc_id", "text", "lang")))
     return docs.mapInArrow(_kept(model), docs.schema)
 
 
