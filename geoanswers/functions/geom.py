@@ -144,7 +144,8 @@ def segments_cross(s: Column, t: Column) -> Column:
 
 
 def _any_pair(a: Column, b: Column, test) -> Column:
-    return F.exists(segments(a), lambda s: F.exists(segments(b), lambda t: test(s, t)))
+    sides = F.array(F.struct(segments(a).alias("a"), segments(b).alias("b")))  # each list is made once, not once a side
+    return F.exists(sides, lambda z: F.exists(z["a"], lambda s: F.exists(z["b"], lambda t: test(s, t))))
 
 
 def _first(g: Column) -> Column:
@@ -154,7 +155,7 @@ def _first(g: Column) -> Column:
 def intersects(a: Column, b: Column) -> Column:
     """Sides meet, or one holds the other."""
     holds = lambda g, h: F.when(g["kind"].isin("polygon", "multipolygon"), contains_point(g, _first(h)["x"], _first(h)["y"])).otherwise(False)
-    return _any_pair(a, b, segments_meet) | holds(a, b) | holds(b, a)
+    return holds(a, b) | holds(b, a) | _any_pair(a, b, segments_meet)
 
 
 def within(a: Column, b: Column) -> Column:
@@ -234,10 +235,6 @@ def _krueger() -> tuple[float, float, list[float], list[float]]:
     return math.sqrt(f * (2 - f)), radius, forward, inverse
 
 
-def _atanh(x: Column) -> Column:
-    return F.log((1 + x) / (1 - x)) / 2
-
-
 def utm(lon: Column, lat: Column, zone: int | Column, south: bool | Column) -> tuple[Column, Column]:
     """Easting and northing by the Krueger series."""
     e, radius, forward, _ = _krueger()
@@ -245,8 +242,8 @@ def utm(lon: Column, lat: Column, zone: int | Column, south: bool | Column) -> t
     south = F.lit(south) if isinstance(south, bool) else south
     phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
     s = F.sin(phi)
-    t = F.sinh(_atanh(s) - e * _atanh(e * s))
-    xi, eta = F.atan2(t, F.cos(lam)), _atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
     east, north = eta, xi
     for j, a in enumerate(forward, 1):
         east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
@@ -263,9 +260,9 @@ def from_utm(x: Column, y: Column, zone: int, south: bool) -> tuple[Column, Colu
         b = b - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
     chi = F.asin(F.sin(a) / F.cosh(b))
     # conformal to geodetic latitude by three fixed-point steps
-    psi, phi = _atanh(F.sin(chi)), chi
+    psi, phi = F.atanh(F.sin(chi)), chi
     for _ in range(4):
-        phi = F.asin(F.tanh(psi + e * _atanh(e * F.sin(phi))))
+        phi = F.asin(F.tanh(psi + e * F.atanh(e * F.sin(phi))))
     return F.degrees(F.atan2(F.sinh(b), F.cos(a))) + (zone * 6 - 183), F.degrees(phi)
 
 

@@ -1,13 +1,17 @@
 """Spatial joins on a grid of cells.
 
-A feature stands in the cells that its bounding box covers, on the finest of a few grid levels where these are at most
-64, and on all coarser ones; a pair meets on the coarser of its two levels, in an equi-join on the cell. A pair that meets
-in several cells is kept in the one that holds the lower left corner of the boxes' intersection, so nothing is made
-distinct by a shuffle. Exact predicates run on what is left. No Cartesian product, no cap.
+A feature's own level is the finest of a few grid levels on which its bounding box covers at most 64 cells. A pair meets on
+the coarser of its two own levels, in an equi-join on the cell: there one of both is on its own level and the other one on
+that level or a finer one, and the key says which of both it is, so that features of finer levels never meet each other on
+a coarse one. Levels above those that any feature of either side can own are not written. A pair that meets in several cells is kept
+in the one that holds the lower left corner of the boxes' intersection, so nothing is made distinct by a shuffle. Exact
+predicates run on what is left. No Cartesian product, no cap.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,60 +19,95 @@ from geoanswers.functions import geom
 from geoanswers.meta import LayerMeta, Refused, need_columns, need_metric, to_metres
 from geoanswers.sources.tables import stored
 
-LEVELS, FACTOR, MOST_CELLS = 6, 8, 64
-
-
-def cell_size(df: DataFrame, geom_col: str = "geom") -> float:
-    """Twice the median side of the bounding boxes (one aggregate); 1.0 where all are points."""
-    b = geom.bbox(F.col(geom_col))
-    side = df.select(F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]).alias("s")).agg(F.percentile_approx("s", 0.5, 1000)).first()[0]
-    return 2 * side if side else 1.0
+LEVELS, FACTOR, MOST_CELLS = 9, 8, 64
+Test = Callable[[Column, Column], Column]
 
 
-def _celled(df: DataFrame, size: float, grow: float, name: str) -> DataFrame:
-    """Columns name (the row), b (its box), own (its level), level, ix, iy."""
-    box = geom.bbox(F.col("geom"))
-    rows = df.select(F.struct(*df.columns).alias(name), F.struct((box["xmin"] - grow).alias("x0"), (box["ymin"] - grow).alias("y0"), (box["xmax"] + grow).alias("x1"), (box["ymax"] + grow).alias("y1")).alias(f"{name}_b"))
-    b = F.col(f"{name}_b")
+def _sides(df: DataFrame) -> tuple[float, float, float]:
+    """Of the bounding boxes: the median longer side, the greatest width and height (one aggregate)."""
+    v = df.select(geom.vertices(F.col("geom")).alias("v")).select(F.transform("v", lambda p: p["x"]).alias("x"), F.transform("v", lambda p: p["y"]).alias("y"))
+    v = v.select((F.array_max("x") - F.array_min("x")).alias("w"), (F.array_max("y") - F.array_min("y")).alias("h"))
+    return tuple(m or 0.0 for m in v.agg(F.percentile_approx(F.greatest("w", "h"), 0.5, 1000), F.max("w"), F.max("h")).first())
 
-    def at(v: Column, level: int) -> Column:
-        return F.floor(v / (size * FACTOR**level)).cast("long")
 
-    def count(level: int) -> Column:
-        return (at(b["x1"], level) - at(b["x0"], level) + 1) * (at(b["y1"], level) - at(b["y0"], level) + 1)
+def _highest(width: float, height: float, size: float) -> int:
+    """A level that no box of these sides or smaller ones is above, wherever it lies."""
+    fits = (level for level in range(LEVELS) if (width / (size * FACTOR**level) + 2) * (height / (size * FACTOR**level) + 2) <= MOST_CELLS)
+    return next(fits, LEVELS)
 
-    own = F.coalesce(*[F.when(count(level) <= MOST_CELLS, level) for level in range(LEVELS)], F.lit(LEVELS))
-    rows = rows.withColumn(f"{name}_own", own)
-    every = [F.when(F.col(f"{name}_own") <= level, _cells(b, level, at)) for level in range(LEVELS)]
-    top = F.array(F.struct(F.lit(LEVELS).alias("level"), F.lit(0).cast("long").alias("ix"), F.lit(0).cast("long").alias("iy")))
-    empty = F.array().cast("array<struct<level:int,ix:bigint,iy:bigint>>")
-    return rows.withColumn("c", F.explode(F.concat(*[F.coalesce(e, empty) for e in every], top)))
 
+def _at(v: Column, size: float, level: int) -> Column:
+    return F.floor(v / (size * FACTOR**level)).cast("long")
 
-def _cells(b: Column, level: int, at) -> Column:
-    ys = F.sequence(at(b["y0"], level), at(b["y1"], level))
-    return F.flatten(F.transform(F.sequence(at(b["x0"], level), at(b["x1"], level)), lambda x: F.transform(ys, lambda y: F.struct(F.lit(level).alias("level"), x.alias("ix"), y.alias("iy")))))
 
+def _levelled(df: DataFrame, size: float, grow: float, name: str, highest: int) -> DataFrame:
+    """Columns name (the row), the sides name_x0 ... name_y1 of its grown box (plain columns: a struct's fields would be
+    worked out again at every use), name_own (its level)."""
+    rows = df.select(F.struct(*df.columns).alias(name), geom.vertices(F.col("geom")).alias("v"))
+    ends = {"x0": F.array_min(F.transform("v", lambda p: p["x"])) - grow, "y0": F.array_min(F.transform("v", lambda p: p["y"])) - grow}
+    ends |= {"x1": F.array_max(F.transform("v", lambda p: p["x"])) + grow, "y1": F.array_max(F.transform("v", lambda p: p["y"])) + grow}
+    rows = rows.select(name, *[c.alias(f"{name}_{k}") for k, c in ends.items()])
+    x0, y0, x1, y1 = (F.col(f"{name}_{k}") for k in ("x0", "y0", "x1", "y1"))
 
-def pairs(left: DataFrame, right: DataFrame, size: float | None = None, grow: float = 0.0) -> DataFrame:
-    """Columns l and r (rows of both sides) of the pairs whose boxes, the left one grown, meet; each once."""
+    def count(level: int) -> Column:
+        return (_at(x1, size, level) - _at(x0, size, level) + 1.0) * (_at(y1, size, level) - _at(y0, size, level) + 1.0)
+
+    return rows.withColumn(f"{name}_own", F.coalesce(*[F.when(count(level) <= MOST_CELLS, level) for level in range(min(highest + 1, LEVELS))], F.lit(LEVELS)))
+
+
+def _celled(rows: DataFrame, size: float, name: str, highest: int, others: int) -> DataFrame:
+    """A row for each cell of the feature's own level and the coarser ones up to the other side's highest, with the key columns
+    ``left_owns`` (the left one of the pair is on its own level), level, ix, iy."""
+    x0, y0, x1, y1, own = (F.col(f"{name}_{k}") for k in ("x0", "y0", "x1", "y1", "own"))
+
+    def cells(level: int, left_owns: bool) -> Column:
+        def cell(x: Column, y: Column) -> Column:
+            return F.struct(F.lit(left_owns).alias("left_owns"), F.lit(level).alias("level"), x.alias("ix"), y.alias("iy"))
+
+        if level == LEVELS:
+            return F.array(cell(F.lit(0).cast("long"), F.lit(0).cast("long")))
+        ys = F.sequence(_at(y0, size, level), _at(y1, size, level))
+        return F.flatten(F.transform(F.sequence(_at(x0, size, level), _at(x1, size, level)), lambda x: F.transform(ys, lambda y: cell(x, y))))
+
+    none = F.array().cast("array<struct<left_owns:boolean,level:int,ix:bigint,iy:bigint>>")
+    made = []
+    for level in range(max(highest, others) + 1):
+        # the left side's own level takes right ones of that level and finer ones; the right side's own level finer left ones
+        if name == "l":
+            if level <= highest:
+                made.append(F.when(own == level, cells(level, True)))
+            if level <= others:
+                made.append(F.when(own < level, cells(level, False)))
+        else:
+            if level <= highest:
+                made.append(F.when(own == level, cells(level, False)))
+            if level <= others:
+                made.append(F.when(own <= level, cells(level, True)))
+    return rows.withColumn("c", F.explode(F.concat(*[F.coalesce(m, none) for m in made])))
+
+
+def pairs(left: DataFrame, right: DataFrame, size: float | None = None, grow: float = 0.0, test: Test | None = None) -> DataFrame:
+    """Columns l and r (rows of both sides) of the pairs whose boxes, the left one grown, meet, and whose geometries pass
+    the test; each once. A test given here runs last; as a filter of its own it could be put before the box test."""
     need_columns(left, "geom")
     need_columns(right, "geom")
-    size = max(size or cell_size(right), grow or 0.0)
-    a, b = _celled(left, size, grow, "l"), _celled(right, size, 0.0, "r").withColumnRenamed("c", "rc")
-    same = (F.col("c.level") == F.col("rc.level")) & (F.col("c.ix") == F.col("rc.ix")) & (F.col("c.iy") == F.col("rc.iy"))
-    met = a.join(b, same).filter(F.col("c.level") == F.greatest("l_own", "r_own"))
-    met = met.filter("l_b.x0 <= r_b.x1 and r_b.x0 <= l_b.x1 and l_b.y0 <= r_b.y1 and r_b.y0 <= l_b.y1")
+    (ml, wl, hl), (mr, wr, hr) = _sides(left), _sides(right)
+    size = max(size or 2 * max(ml, mr) or 1.0, grow)
+    tl, tr = _highest(wl + 2 * grow, hl + 2 * grow, size), _highest(wr, hr, size)
+    a = _celled(_levelled(left, size, grow, "l", tl), size, "l", tl, tr)
+    b = _celled(_levelled(right, size, 0.0, "r", tr), size, "r", tr, tl).withColumnRenamed("c", "rc")
+    met = a.join(b, [F.col(f"c.{k}") == F.col(f"rc.{k}") for k in ("left_owns", "level", "ix", "iy")])
+    meet = F.expr("l_x0 <= r_x1 and r_x0 <= l_x1 and l_y0 <= r_y1 and r_y0 <= l_y1")
     width = F.lit(size) * F.pow(F.lit(float(FACTOR)), F.col("c.level"))
-    corner = (F.floor(F.greatest("l_b.x0", "r_b.x0") / width).cast("long") == F.col("c.ix")) & (F.floor(F.greatest("l_b.y0", "r_b.y0") / width).cast("long") == F.col("c.iy"))
-    return met.filter((F.col("c.level") == LEVELS) | corner).select("l", "r")
+    corner = (F.floor(F.greatest("l_x0", "r_x0") / width).cast("long") == F.col("c.ix")) & (F.floor(F.greatest("l_y0", "r_y0") / width).cast("long") == F.col("c.iy"))
+    keep = meet & ((F.col("c.level") == LEVELS) | corner)
+    return met.filter(keep & test(F.col("l.geom"), F.col("r.geom")) if test else keep).select("l", "r")
 
 
 def matched_ids(left: DataFrame, right: DataFrame, predicate: str, size: float | None = None) -> DataFrame:
     if predicate not in geom.PREDICATES:
         raise Refused(f"unknown predicate: {predicate}")
-    test = geom.PREDICATES[predicate]
-    return pairs(left.select("id", "geom"), right.select("geom"), size).filter(test(F.col("l.geom"), F.col("r.geom"))).select(F.col("l.id").alias("_id")).distinct()
+    return pairs(left.select("id", "geom"), right.select("geom"), size, test=geom.PREDICATES[predicate]).select(F.col("l.id").alias("_id")).distinct()
 
 
 def relate(left: DataFrame, right: DataFrame, predicate: str, size: float | None = None) -> DataFrame:
@@ -87,7 +126,7 @@ def near(left: DataFrame, right: DataFrame, distance: float, unit: str, meta: La
     """Left features within a real distance of any right one."""
     need_metric(meta, "a distance")
     reach = to_metres(distance, unit) / to_metres(1, meta.unit)
-    hit = pairs(left.select("id", "geom"), right.select("geom"), grow=reach).filter(geom.distance(F.col("l.geom"), F.col("r.geom")) <= reach).select(F.col("l.id").alias("_id")).distinct()
+    hit = pairs(left.select("id", "geom"), right.select("geom"), grow=reach, test=lambda a, b: geom.distance(a, b) <= reach).select(F.col("l.id").alias("_id")).distinct()
     return left.join(hit, left.id == hit["_id"], "left_semi")
 
 
@@ -110,21 +149,21 @@ def representative_points(df: DataFrame) -> DataFrame:
     return df.withColumn("geom", F.when(F.col("geom.kind") == "point", F.col("geom")).otherwise(geom.point(c["x"], c["y"])))
 
 
-def _point_in(l: str = "l", r: str = "r") -> Column:
-    v = F.get(geom.vertices(F.col(f"{l}.geom")), F.lit(0))
-    return geom.contains_point(F.col(f"{r}.geom"), v["x"], v["y"])
+def _point_in(point: Column, polygon: Column) -> Column:
+    v = F.get(geom.vertices(point), F.lit(0))
+    return geom.contains_point(polygon, v["x"], v["y"])
 
 
 def count_in_polygons(polygons: DataFrame, points: DataFrame, group: str = "label", size: float | None = None) -> DataFrame:
     """label, count: points in the polygons of each label (0 where none)."""
-    inside = pairs(representative_points(points.select("id", "geom")), parts(polygons.select(group, "geom")), size).filter(_point_in())
+    inside = pairs(representative_points(points.select("id", "geom")), parts(polygons.select(group, "geom")), size, test=_point_in)
     counted = inside.groupBy(F.col(f"r.{group}").alias("_label")).agg(F.count("*").alias("n"))
     labels = polygons.select(F.col(group).alias("label")).distinct()
     return labels.join(counted, F.col("label").eqNullSafe(F.col("_label")), "left").select("label", F.coalesce("n", F.lit(0)).cast("long").alias("count"))
 
 
 def unmatched_points(polygons: DataFrame, points: DataFrame, size: float | None = None) -> DataFrame:
-    hit = pairs(representative_points(points.select("id", "geom")), parts(polygons.select("geom")), size).filter(_point_in()).select(F.col("l.id").alias("_id")).distinct()
+    hit = pairs(representative_points(points.select("id", "geom")), parts(polygons.select("geom")), size, test=_point_in).select(F.col("l.id").alias("_id")).distinct()
     return points.join(hit, points.id == hit["_id"], "left_anti")
 
 
@@ -141,7 +180,7 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str = "intersects
     """Left columns and the right ones with a suffix, for every pair in the predicate; how=left keeps the others."""
     if predicate not in geom.PREDICATES:
         raise Refused(f"unknown predicate: {predicate}")
-    met = pairs(left.select("id", "geom"), right).filter(geom.PREDICATES[predicate](F.col("l.geom"), F.col("r.geom")))
+    met = pairs(left.select("id", "geom"), right, test=geom.PREDICATES[predicate])
     found = met.select(F.col("l.id").alias("_id"), *[F.col(f"r.{c}").alias(f"{c}{suffix}") for c in right.columns if c != "geom"])
     return left.join(found, left.id == found["_id"], how).drop("_id")
 
@@ -182,14 +221,14 @@ def nearest_neighbor(left: DataFrame, right: DataFrame, radius: float | None = N
 
 def zonal_statistics(zones: DataFrame, cells: DataFrame, value: str = "z", size: float | None = None) -> DataFrame:
     """label, count, sum, mean, min, max, std of the cells (rows with geom at the cell's centre) in each zone."""
-    inside = pairs(cells.select(value, "geom"), parts(zones.select("label", "geom")), size).filter(_point_in())
+    inside = pairs(cells.select(value, "geom"), parts(zones.select("label", "geom")), size, test=_point_in)
     v = F.col(f"l.{value}")
     return inside.groupBy(F.col("r.label").alias("label")).agg(F.count(v).alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"))
 
 
 def relationship_count(left: DataFrame, right: DataFrame, predicate: str) -> DataFrame:
     """One row: pairs in the predicate, and features of the left side in any."""
-    met = pairs(left.select("id", "geom"), right.select("geom")).filter(geom.PREDICATES[predicate](F.col("l.geom"), F.col("r.geom")))
+    met = pairs(left.select("id", "geom"), right.select("geom"), test=geom.PREDICATES[predicate])
     return met.agg(F.count("*").alias("pairs"), F.countDistinct("l.id").alias("features"))
 
 

@@ -139,7 +139,7 @@ def _clipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def intersection(left: DataFrame, right: DataFrame) -> DataFrame:
     """id, id_2, geom, status: what each pair shares."""
-    met = pairs(left.select("id", "geom"), right.select("id", "geom")).filter(geom.intersects(F.col("l.geom"), F.col("r.geom")))
+    met = pairs(left.select("id", "geom"), right.select("id", "geom"), test=geom.intersects)
     flat = met.select(F.col("l.id").alias("id"), F.col("r.id").alias("id_2"), outer(F.col("l.geom")).alias("a"), outer(F.col("r.geom")).alias("b"))
     return _with_status(flat.mapInPandas(_clipped, f"id long, id_2 long, ring {_RING}"), ["id", "id_2"])
 
@@ -181,7 +181,7 @@ def _cut(base: planar.Ring, lines: list) -> list:
 
 def _against(left: DataFrame, right: DataFrame, ring: Column, work) -> DataFrame:
     """Pieces of each left shape after the right ones that meet it (few: those that overlap it) have been applied."""
-    met = pairs(left.select("id", "geom"), right.select("id", "geom")).filter(geom.intersects(F.col("l.geom"), F.col("r.geom")))
+    met = pairs(left.select("id", "geom"), right.select("id", "geom"), test=geom.intersects)
     lists = met.groupBy(F.col("l.id").alias("_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("r.id").alias("k"), ring.alias("v")))), lambda s: s["v"]).alias("others"))
     flat = left.join(lists, left.id == lists["_id"], "left").select("id", outer(F.col("geom")).alias("a"), F.coalesce("others", F.array().cast(f"array<{_RING}>")).alias("others"))
     return _with_status(flat.mapInPandas(_pieces(work), f"id long, piece int, ring {_RING}"), ["id", "piece"])

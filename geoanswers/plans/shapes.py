@@ -8,7 +8,7 @@ from geoanswers.functions import geom
 from geoanswers.operators import vector
 from geoanswers.plans.attributes import rounded
 from geoanswers.plans.spatial import BOXES, LOTS, METRES, POINTS
-from geoanswers.plans.tables import boxes, cells, lots, points
+from geoanswers.plans.tables import boxes, cells, lots, points, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -107,9 +107,10 @@ def _union(s, d):
     return rounded(out.groupBy(F.when(F.col("id_2").isNull(), "left").otherwise("both").alias("side")).agg(F.sum(geom.area(F.col("geom"))).alias("area")), 2)
 
 
-@query("split", f"SELECT id, CAST(CASE WHEN n = 0 THEN 1 ELSE n + 1 END AS BIGINT) AS pieces, round(w * h, 3) AS area FROM (SELECT *, (SELECT count(*) FROM range(0, 1100, 100) g(v) WHERE l.y0 < v AND v < l.y1) AS n FROM {LOTS} l)")
+@query("split", f"SELECT id, CAST(CASE WHEN n = 0 THEN 1 ELSE n + 1 END AS BIGINT) AS pieces, round(w * h, 3) AS area FROM (SELECT *, (SELECT count(*) FROM nation WHERE l.y0 < n_nationkey * 40 AND n_nationkey * 40 < l.y1) AS n FROM {LOTS} l)")
 def _split(s, d):
-    lines = points(s, d).filter("id % 100 = 0 and id <= 1000").select("id", geom.line(F.array(geom.vertex(F.lit(-100.0), F.col("id").cast("double")), geom.vertex(F.lit(2000.0), F.col("id").cast("double")))).alias("geom"))
+    y = F.col("n_nationkey") * 40.0
+    lines = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), geom.line(F.array(geom.vertex(F.lit(-100.0), y), geom.vertex(F.lit(2000.0), y))).alias("geom"))
     out = vector.split(lots(s, d), lines)
     return rounded(out.groupBy("id").agg(F.count("*").alias("pieces"), F.sum(geom.area(F.col("geom"))).alias("area")), 3)
 

@@ -1,5 +1,6 @@
 """Known answers of the geometry, join, survey and terrain operators."""
 
+import random
 import math
 
 import pytest
@@ -155,3 +156,29 @@ def test_planar():
     assert planar.simplify([(0, 0), (1, 0.1), (2, 0), (3, 5), (4, 0)], 0.5) == [(0, 0), (2, 0), (3, 5), (4, 0)]
     assert planar.area(planar.hull([(0, 0), (2, 0), (1, 1), (2, 2), (0, 2)])) == 4
     assert sum(map(planar.area, planar.cut([(0, 0), (2, 0), (2, 2), (0, 2)], (-1, 1), (3, 1)))) == 4
+
+
+def test_pairs_of_features_on_many_levels(spark):
+    """Boxes from points to ten thousand times as large: the grid finds what comparing all with all finds, each pair once."""
+    rng = random.Random(11)
+
+    def made(n):
+        rows = []
+        for i in range(n):
+            w, h = (rng.choice([0.0, 0.5, 1, 2, 30, 900, 20000]) * rng.random() for _ in "wh")
+            x, y = rng.uniform(-2000, 2000), rng.uniform(-2000, 2000)
+            rows.append((i, x, y, x + w, y + h))
+        return rows
+
+    a, b = made(150), made(120)
+    layer = lambda rows: spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double").select("id", geom.box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("geom"))
+    for grow in (0.0, 25.0):
+        got = [(r[0], r[1]) for r in sjoin.pairs(layer(a), layer(b), grow=grow).select("l.id", "r.id").collect()]
+        want = {(p[0], q[0]) for p in a for q in b if p[1] - grow <= q[3] and q[1] <= p[3] + grow and p[2] - grow <= q[4] and q[2] <= p[4] + grow}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_features_without_geometry_pair_with_nothing(spark):
+    some = spark.range(3).select("id", F.when(F.col("id") > 0, geom.point(F.lit(1.0), F.lit(1.0))).alias("geom"))
+    assert {(r[0], r[1]) for r in sjoin.pairs(some, some).select("l.id", "r.id").collect()} == {(1, 1), (1, 2), (2, 1), (2, 2)}
+    assert sjoin.pairs(some.limit(0), some).count() == 0
