@@ -110,14 +110,17 @@ def convex_hull(df: DataFrame, group: str) -> DataFrame:
 def dissolve_boundary(df: DataFrame, group: str | None = None) -> DataFrame:
     """group, x1, y1, x2, y2: the outline of each group of a clean coverage, as directed sides. Sides that two members
     share cancel in a combinable count; nothing gathers by group."""
-    side = F.explode(geom.segments(F.col("geom"))).alias("s")
     g = F.col(group) if group else F.lit("all")
-    turned = F.when(geom.ring_area(outer(F.col("geom"))) < 0, True).otherwise(False)
-    flat = df.select(g.alias("group"), turned.alias("turned"), side).select("group", F.when(F.col("turned"), F.col("s.q")).otherwise(F.col("s.p")).alias("p"), F.when(F.col("turned"), F.col("s.p")).otherwise(F.col("s.q")).alias("q"))
-    keyed = flat.withColumn("key", F.when(F.col("p") < F.col("q"), F.struct("p", "q")).otherwise(F.struct(F.col("q").alias("p"), F.col("p").alias("q"))))
-    odd = keyed.groupBy("group", "key").agg(F.count("*").alias("n"), F.max(F.col("p") == F.col("key.p")).alias("forward")).filter("n % 2 = 1")
-    p, q = F.when(F.col("forward"), F.col("key.p")).otherwise(F.col("key.q")), F.when(F.col("forward"), F.col("key.q")).otherwise(F.col("key.p"))
-    return odd.select("group", p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
+    turned = F.coalesce(geom.ring_area(outer(F.col("geom"))) < 0, F.lit(False))
+    sides = df.select(g.alias("group"), turned.alias("turned"), geom.segments(F.col("geom")).alias("s")).select("group", "turned", F.explode("s").alias("s"))
+    p, q = (F.when(F.col("turned"), F.col(f"s.{a}")).otherwise(F.col(f"s.{b}")) for a, b in ("qp", "pq"))
+    flat = sides.select("group", p["x"].alias("px"), p["y"].alias("py"), q["x"].alias("qx"), q["y"].alias("qy"))
+    ahead = flat.withColumn("forward", F.expr("px < qx or (px = qx and py < qy)"))
+    ends = {"x1": ("px", "qx"), "y1": ("py", "qy"), "x2": ("qx", "px"), "y2": ("qy", "py")}
+    turn = {k: F.when(F.col("forward"), F.col(a)).otherwise(F.col(b)) for k, (a, b) in ends.items()}
+    odd = ahead.select("group", "forward", *[c.alias(k) for k, c in turn.items()]).groupBy("group", *turn).agg(F.count("*").alias("n"), F.max("forward").alias("forward")).filter("n % 2 = 1")
+    back = {"x1": "x2", "y1": "y2", "x2": "x1", "y2": "y1"}
+    return odd.select("group", *[F.when(F.col("forward"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in back.items()])
 
 
 def dissolve(df: DataFrame, group: str | None = None) -> DataFrame:

@@ -136,9 +136,9 @@ def _price(s, d):
     return runs.price_lookup(_items(s, d), _prices(s, d)).select("batch_id", "index", "cents")
 
 
-@query("batch_cost", f"SELECT batch_id, count(*) AS items, count_if(cents IS NULL)::BIGINT AS unknown, CASE WHEN count_if(cents IS NULL) = 0 THEN CAST(sum(cents * sheets) AS BIGINT) END AS cents FROM {_PRICED} WHERE index % 10 = 0 GROUP BY 1")
+@query("batch_cost", f"SELECT batch_id, count(*) AS items, count_if(cents IS NULL)::BIGINT AS unknown, CASE WHEN count_if(cents IS NULL) = 0 THEN CAST(sum(cents * sheets) AS BIGINT) END AS cents FROM {_PRICED} GROUP BY 1")
 def _cost(s, d):
-    return runs.batch_cost(_items(s, d).filter("index % 10 = 0"), _prices(s, d))
+    return runs.batch_cost(_items(s, d), _prices(s, d))
 
 
 _QUOTES = "(SELECT o_custkey AS batch_id, o_orderkey % 7 AS file_id, CASE WHEN o_orderkey % 31 <> 0 THEN CAST(round(o_totalprice) AS BIGINT) END AS cents FROM orders)"
