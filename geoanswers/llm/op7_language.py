@@ -6,6 +6,9 @@ and each of ``per_language`` hash buckets the row with the smallest hash, a comb
 each language span the Nystroem subspace; ridge regression to +1/-1 gives weights on the landmarks. Scoring is two
 matrix products a batch of texts: presence x landmarks, kernels x weights. Whole texts are read, one pass, no shuffle.
 
+The pipeline drops texts outside what was learned: too small a part of their n-grams of letters is known. The limit is
+fitted on the training texts, each against the others.
+
 Bounds (parameters): 128 training texts and 32 landmarks a language, 16384 n-grams.
 
 Defined results: null or letterless texts are ``und`` with score 0; so is everything where nothing is labelled; rows
@@ -30,6 +33,13 @@ UNKNOWN = "und"
 BROADCAST_ROWS = 50_000
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
+#: Bytes of letters as far as bytes can tell: beyond ASCII all.
+_WORDLY = _LETTER.copy()
+_WORDLY[128:] = True
+#: Pipeline: n-grams of so many bytes or more, of letters only, tell whether a text is in a learned language. The least
+#: known share of them is this part of what all but LOW_PART of the training texts reach; a text whose number of
+#: distinct n-grams is too small to tell within so many standard deviations stays.
+TELLING, LOW_PART, PART, DEVIATIONS = 3, 0.05, 0.75, 3.0
 
 
 def grams(data: np.ndarray) -> list[np.ndarray]:
@@ -48,11 +58,20 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
+def telling(keys: np.ndarray) -> np.ndarray:
+    """Which keys are n-grams of TELLING or more bytes, of letters only."""
+    n = keys >> 32
+    out = n >= TELLING
+    for k in range(LONGEST):
+        out &= (n <= k) | _WORDLY[(keys >> (8 * k)) & 255]
+    return out
+
+
 class Model:
-    """Vocabulary, landmark incidence (n-grams x landmarks) and weights (landmarks x languages)."""
+    """Vocabulary, landmark incidence (n-grams x landmarks), weights (landmarks x languages) and the least known share."""
 
-    def __init__(self, languages: list[str], keys: np.ndarray, landmarks: np.ndarray, weights: np.ndarray):
-        self.languages, self.keys, self.landmarks, self.weights = languages, keys, landmarks, weights
+    def __init__(self, languages: list[str], keys: np.ndarray, landmarks: np.ndarray, weights: np.ndarray, least_known: float):
+        self.languages, self.keys, self.landmarks, self.weights, self.least_known = languages, keys, landmarks, weights, least_known
         self.table: np.ndarray | None = None
 
     def __getstate__(self):
@@ -66,6 +85,19 @@ class Model:
             at = self.table[_slot(keys)]
             row[at[self.keys[at] == keys]] = 1
 
+    def foreign(self, data: np.ndarray, row: np.ndarray) -> bool:
+        """Whether the text, of which ``row`` is the presence, lies outside what was learned."""
+        if not row.any():
+            return True
+        every = grams(data)[TELLING - 1 :]
+        keys = np.concatenate(every) if every else np.zeros(0, np.int64)
+        keys = keys[telling(keys)]
+        known = self.keys[self.table[_slot(keys)]] == keys
+        if not len(keys) or known.mean() >= self.least_known:
+            return False
+        slack = DEVIATIONS * (self.least_known * (1 - self.least_known) / len(np.unique(keys))) ** 0.5
+        return bool(known.mean() < self.least_known - slack)
+
     def score(self, present: np.ndarray) -> np.ndarray:
         size = present.sum(axis=1, keepdims=True)
         kernels = present @ self.landmarks / np.sqrt(np.maximum(size, 1))
@@ -98,7 +130,12 @@ def fit(texts: list[tuple[str, np.ndarray]]) -> Model | None:
     target = np.array([[1.0 if x == language else -1.0 for language in languages] for x, _ in texts])
     ridge = RIDGE * len(texts)
     weights = np.linalg.lstsq(k_nm.T @ k_nm + ridge * k_mm + 1e-8 * np.eye(len(k_mm)), k_nm.T @ target, rcond=None)[0]
-    return Model(languages, keys, landmarks.astype(np.float32), weights.astype(np.float32))
+    # what a training text would find known if it were not in the sample itself
+    others = keys[count[np.searchsorted(every, keys)] > 1]
+    told = [mine[telling(mine)] for _, mine in texts]
+    shares = [np.isin(mine, others).mean() for mine in told if len(mine)]
+    least_known = PART * float(np.quantile(shares, LOW_PART)) if shares else 0.0
+    return Model(languages, keys, landmarks.astype(np.float32), weights.astype(np.float32), least_known)
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,24 +167,29 @@ def _has_letter(data: np.ndarray) -> bool:
     return bool(_LETTER[data].any()) or any(map(str.isalpha, data.tobytes().decode("utf-8", "replace")))
 
 
+def _judged(m: Model | None, texts: list, foreign: bool = False) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text; where ``foreign`` is set, texts outside what was learned are unknown."""
+    names: list[str] = [UNKNOWN] * len(texts)
+    scores = np.zeros(len(texts))
+    good = [i for i, x in enumerate(texts) if m is not None and x is not None and _has_letter(x)]
+    for lo in range(0, len(good), TEXTS):
+        some = good[lo : lo + TEXTS]
+        present = np.zeros((len(some), len(m.keys)), np.float32)
+        for row, i in zip(present, some):
+            m.present(texts[i], row)
+        s = m.score(present)
+        best = s.argmax(axis=1)
+        scores[some] = np.clip((s[np.arange(len(some)), best] + 1) / 2, 0, 1)
+        for row, i, b in zip(present, some, best):
+            if not (foreign and m.foreign(texts[i], row)):
+                names[i] = m.languages[b]
+    return names, scores
+
+
 def _predicted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
         for batch in batches:
-            texts = list(common.utf8(batch.column("text")))
-            names: list[str] = [UNKNOWN] * len(texts)
-            scores = np.zeros(len(texts))
-            good = [i for i, x in enumerate(texts) if m is not None and x is not None and _has_letter(x)]
-            for lo in range(0, len(good), TEXTS):
-                some = good[lo : lo + TEXTS]
-                present = np.zeros((len(some), len(m.keys)), np.float32)
-                for row, i in zip(present, some):
-                    m.present(texts[i], row)
-                s = m.score(present)
-                best = s.argmax(axis=1)
-                scores[some] = np.clip((s[np.arange(len(some)), best] + 1) / 2, 0, 1)
-                for i, b in zip(some, best):
-                    names[i] = m.languages[b]
+            names, scores = _judged(model.value, list(common.utf8(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     return run
@@ -165,18 +207,15 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
 
 
-#: Pipeline: texts scored lower are in no learned language.
+#: Pipeline: texts scored lower are in no learned language; so are those that ``Model.foreign`` tells.
 LEAST_SCORE = 0.3
 
 
 def _kept(model):
-    predict = _predicted(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for out in predict(iter([batch])):
-                good = [n != UNKNOWN and s >= LEAST_SCORE for n, s in zip(out.column(1).to_pylist(), out.column(2).to_pylist())]
-                yield batch.filter(pa.array(good, pa.bool_()))
+            names, scores = _judged(model.value, list(common.utf8(batch.column("text"))), foreign=True)
+            yield batch.filter(pa.array([n != UNKNOWN and s >= LEAST_SCORE for n, s in zip(names, scores)], pa.bool_()))
 
     return run
 

@@ -300,6 +300,27 @@ def test_language_never_reads_labels_in_prediction(spark, sf_dir):
     assert {r.doc_id: r.lang_pred for r in op7_language.identified(wrong).collect()} == a
 
 
+UNLEARNED = [
+    "すべての人間は、生れながらにして自由であり、かつ、尊厳と権利とについて平等である。", "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "يولد جميع الناس أحراراً متساوين في الكرامة والحقوق", "日本",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+]
+
+
+def test_language_stage_drops_unlearned_languages(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    foreign = spark.createDataFrame([(10**9 + k, t, None) for k, t in enumerate(UNLEARNED)], df.schema)
+    kept = {r.doc_id for r in op7_language.stage(spark, df.union(foreign), sf_dir).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in df.filter("text rlike '[a-zA-Z]'").select("doc_id").collect()}
+    # a language that is in the table but unlabelled is not learned
+    part = df.withColumn("lang", F.when(F.col("lang") != "fr", F.col("lang")))
+    kept = {r.doc_id for r in op7_language.stage(spark, part, sf_dir).select("doc_id").collect()}
+    french = {r.doc_id for r in df.filter("lang = 'fr'").select("doc_id").collect()}
+    rest = {r.doc_id for r in df.filter("lang <> 'fr' and text rlike '[a-zA-Z]'").select("doc_id").collect()}
+    assert french and len(kept & french) <= 0.05 * len(french) and rest <= kept
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 SECRETS = [
     (1, "é key Zx9Qw3Lk8Rt5Yp2Mn7Vb4 and https://host.org/a/b/cdefghijklmnopqrstu"), (2, None), (3, ""),
