@@ -4,7 +4,8 @@ A pattern's spans come from the text itself: the parts between matches (split) a
 so starts are running sums of their lengths in code points. The entropy scan takes candidate strings (20 or more token
 characters), walks a window of 20 over each and keeps per-character counts and sum(c log2 c) up to date with the one
 character that comes in and the one that leaves; a candidate is a secret where the window's entropy reaches the limit of
-its character class. Allow-list entries are suppressed. Entropy spans that touch a pattern's span are not reported
+its character class. Candidates that the allow-list matches as a whole are suppressed; of paths, what stands between the
+words at both ends is scored. Entropy spans that touch a pattern's span are not reported
 again. Cost is linear in the text; only texts with matches build spans (quadratic in the matches of one text).
 
 Defined results: a null or empty text has no spans; rows that repeat and null doc_ids are rows like others; an empty
@@ -25,15 +26,25 @@ CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
 WINDOW = 20
 #: Least bits of a window, by class of the candidate's characters.
 LIMITS = {"hex": 2.9, "mixed": 3.6, "letters": 4.0}
-#: Candidates that are no secrets: UUIDs, one-case words, digits, paths, placeholders, runs of the alphabet.
+#: Whole candidates that are no secrets: UUIDs, one-case words, digits.
 ALLOWED = [
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^[A-Z]?[a-z=_-]+$",
     r"^[A-Z=_-]+$",
     r"^[0-9=+/_-]+$",
-    r"/.*/",
-    r"(?i)example|placeholder|xxxx|abcdefgh|12345678|0000000",
 ]
+#: With two slashes or more, a candidate may be a path; its words at both ends are no part of a secret.
+PATH = r"/.*/"
+SEGMENT = r"^(?:(?:(?:[A-Z]?[a-z]++(?:[A-Z][a-z]++)*+|[A-Z]++)[0-9]{0,4}+|[0-9]{1,8}+)(?:[=+_-]++|$))*+$"
+
+
+def _run(text: str, least: int) -> str:
+    """A pattern of the first characters of text, at least so many and as far as they go on."""
+    return text[:least] + "".join(f"(?:{c}" for c in text[least:]) + ")?" * (len(text) - least)
+
+
+#: Placeholders and runs of the alphabet; a candidate is none of a secret where too little stands beside them.
+PLACEHOLDER = "(?i)example|placeholder|x{4,}|0?" + _run("1234567890", 8) + "|" + _run("abcdefghijklmnopqrstuvwxyz", 8) + "|0{7,}"
 _KINDS = ["assign", "access", "hex", "entropy"]
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
 
@@ -93,8 +104,10 @@ def scanned(documents: DataFrame) -> DataFrame:
         return F.when(F.size(f"_h_{name}") > 0, F.transform(at, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end")))).otherwise(F.array().cast(_SPAN))
 
     base = hits.withColumn("_base", F.array_sort(F.concat(*[spans(n, p, k) for k, (n, p) in enumerate((("assign", ASSIGN), ("access", ACCESS), ("hex", HEX)))])))
-    words = F.filter(F.arrays_zip(F.col("_h_entropy").alias("word"), _starts(F.col("_text"), CANDIDATE, F.col("_h_entropy")).alias("at")), lambda x: ~_allowed(x["word"]))
-    found = F.transform(words, lambda x: F.struct(x["at"]["start"].alias("from"), _entropy_span(x["word"]).alias("s")))
+    words = F.arrays_zip(F.col("_h_entropy").alias("word"), _starts(F.col("_text"), CANDIDATE, F.col("_h_entropy")).alias("at"))
+    words = F.transform(words, lambda x: F.struct(x["at"]["start"].alias("at"), _scored(x["word"]).alias("part")))
+    words = F.filter(words, lambda x: (F.length(x["part"]["word"]) >= WINDOW) & ~_allowed(x["part"]["word"]))
+    found = F.transform(words, lambda x: F.struct((x["at"] + x["part"]["skip"]).alias("from"), _entropy_span(x["part"]["word"]).alias("s")))
     found = F.transform(F.filter(found, lambda x: x["s"].isNotNull()), lambda x: F.struct((x["from"] + x["s"]["start"]).alias("start"), F.lit(3).alias("rank"), (x["from"] + x["s"]["end"]).alias("end")))
     more = F.when(F.size("_h_entropy") > 0, found).otherwise(F.array().cast(_SPAN))
     both = base.withColumn("_more", more)
@@ -102,11 +115,31 @@ def scanned(documents: DataFrame) -> DataFrame:
     return both.withColumn("_all", F.array_sort(F.concat("_base", fresh))).select("_row", "_text", "_base", "_all")
 
 
+def _scored(word: Column) -> Column:
+    """skip and word: what stands between the words at both ends of a path, from where; other candidates as they are."""
+    segments = F.split(word, "/", -1)
+    odd = F.filter(F.transform(segments, lambda s, i: F.when(~s.rlike(SEGMENT), i)), lambda i: i.isNotNull())
+    state = F.struct(segments.alias("segments"), F.array_min(odd).alias("first"), F.array_max(odd).alias("last"))
+
+    def between(x: Column) -> Column:
+        before = F.slice(x["segments"], 1, x["first"])
+        skip = F.length(F.array_join(before, "/")) + F.when(x["first"] > 0, 1).otherwise(0)
+        return F.struct(skip.alias("skip"), F.array_join(F.slice(x["segments"], x["first"] + 1, x["last"] - x["first"] + 1), "/").alias("word"))
+
+    nothing = F.struct(F.lit(0).alias("skip"), F.lit("").alias("word"))
+    path = F.get(F.transform(F.array(state), lambda x: F.when(x["first"].isNull(), nothing).otherwise(between(x))), 0)
+    return F.when(word.rlike(PATH), path).otherwise(F.struct(F.lit(0).alias("skip"), word.alias("word")))
+
+
 def _allowed(word: Column) -> Column:
-    out = F.lit(False)
-    for pattern in ALLOWED:
-        out = out | word.rlike(pattern)
-    return out
+    def listed(x: Column) -> Column:
+        out = F.lit(False)
+        for pattern in ALLOWED:
+            out = out | x.rlike(pattern)
+        return out
+
+    rest = F.regexp_replace(word, PLACEHOLDER, "")
+    return listed(word) | (word.rlike(PLACEHOLDER) & ((F.length(rest) < WINDOW) | listed(rest)))
 
 
 def secrets(documents: DataFrame) -> DataFrame:

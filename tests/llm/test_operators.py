@@ -358,6 +358,23 @@ def test_entropy_adds_and_allows(spark):
     assert op8_secrets.secrets(df.limit(0)).count() == 0
 
 
+def test_allow_list_spares_no_random_strings(spark):
+    r = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(r.choices(letters, k=n)) for n in (40, 64, 88) for _ in range(150)]
+    keys = [k for k in keys if k.count("/") > 1]
+    keys += ["Zx9Qw3Lk8Rt5Yp2Mn7Vb4" + x + "Hq6Wd1Jc0Gs" for x in ("example", "xxxx", "12345678", "0000000", "EXAMPLE", "abcdefgh")]
+    hooks = ["https://hooks.host.org/services/T0Q4ZK9/B8XW2/" + k for k in ("Zx9Qw3Lk8Rt5Yp2Mn7Vb4Hq6", "q8Rt5Yp2Mn7Vb4Hq6Zx9Qw3")]
+    clean = ["/usr/local/share/some-package/modelDefinitions", "org/apache/Spark/sqlFunctions/version2/2024", "example-key-for-documentation", "xxxxxxxxxxxxxxxxxxxxxxxxxxxx", "aaa/" * 20_000, letters, "Ab" * 20_000 + "/a/b"]
+    texts = ["aws_secret_access_key = " + k for k in keys] + hooks + clean
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {q.doc_id: q.spans for q in op8_secrets.secrets(df).collect()}
+    assert len(keys) > 50 and [texts[i] for i in range(len(keys) + len(hooks)) if "entropy" not in spans[i]] == []
+    assert [texts[i][:50] for i in range(len(keys) + len(hooks), len(texts)) if spans[i]] == []
+    text = {q.doc_id: q.text for q in op8_secrets.redacted(df).collect()}
+    assert text[len(keys)].startswith("https://hooks.host.org/services/") and "Lk8Rt5Yp2Mn7V" not in text[len(keys)]
+
+
 def test_window_entropy_matches_a_plain_one(spark):
     r = random.Random(8)
     words = ["".join(r.choices("abcdefgh01234567XYZ", k=r.randint(20, 60))) for _ in range(60)]
