@@ -5,8 +5,8 @@ so starts are running sums of their lengths in code points. The entropy scan tak
 characters), walks a window of 20 over each and keeps per-character counts and sum(c log2 c) up to date with the one
 character that comes in and the one that leaves; a candidate is a secret where the window's entropy reaches the limit of
 its character class. Candidates that the allow-list matches as a whole are suppressed; of paths, what stands between the
-words at both ends is scored. Entropy spans that touch a pattern's span are not reported
-again. Cost is linear in the text; only texts with matches build spans (quadratic in the matches of one text).
+words at both ends is scored. Entropy spans that patterns' spans cover completely are not reported again. Cost is linear
+in the text; only texts with matches build spans (quadratic in the matches of one text).
 
 Defined results: a null or empty text has no spans; rows that repeat and null doc_ids are rows like others; an empty
 table gives no rows; other columns are ignored.
@@ -111,7 +111,8 @@ def scanned(documents: DataFrame) -> DataFrame:
     found = F.transform(F.filter(found, lambda x: x["s"].isNotNull()), lambda x: F.struct((x["from"] + x["s"]["start"]).alias("start"), F.lit(3).alias("rank"), (x["from"] + x["s"]["end"]).alias("end")))
     more = F.when(F.size("_h_entropy") > 0, found).otherwise(F.array().cast(_SPAN))
     both = base.withColumn("_more", more)
-    fresh = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    # _base is in the order of starts: how far its spans cover m without a gap
+    fresh = F.filter("_more", lambda m: F.aggregate("_base", m["start"], lambda to, b: F.when((b["start"] <= to) & (b["end"] > to), b["end"]).otherwise(to)) < m["end"])
     return both.withColumn("_all", F.array_sort(F.concat("_base", fresh))).select("_row", "_text", "_base", "_all")
 
 

@@ -375,6 +375,16 @@ def test_allow_list_spares_no_random_strings(spark):
     assert text[len(keys)].startswith("https://hooks.host.org/services/") and "Lk8Rt5Yp2Mn7V" not in text[len(keys)]
 
 
+def test_entropy_beside_a_pattern_is_reported(spark):
+    secret = "wJq7Xk2Zr9Lm4Tb8Vc3Ny6Hd1Gs5PfQe0RaUiKoW"
+    texts = ["AKIA" + "Z" * 8 + "Q7K2M9X4/" + secret, "AKIAQ7K2M9X4B8T3_" + secret, "0123456789abcdef" * 2 + "-" + secret, "token=" + secret, "token=" + secret + " " + secret]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    text = {q.doc_id: q.text for q in op8_secrets.redacted(df).collect()}
+    assert all(secret[:20] not in t and secret[20:] not in t for t in text.values())
+    spans = {q.doc_id: q.spans for q in op8_secrets.secrets(df).collect()}
+    assert [spans[i].count("entropy") for i in range(5)] == [1, 1, 1, 0, 1]
+
+
 def test_window_entropy_matches_a_plain_one(spark):
     r = random.Random(8)
     words = ["".join(r.choices("abcdefgh01234567XYZ", k=r.randint(20, 60))) for _ in range(60)]
