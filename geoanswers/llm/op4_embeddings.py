@@ -4,7 +4,8 @@ Pivots are spread-out vectors of a bounded sample (``SAMPLE`` rows with the smal
 is passed over). Each vector is described by its nearest ``DEPTH`` pivots and stands in their inverted lists, kept by
 label. Vectors that meet in a list and share at least ``SHARED`` pivots are candidates; the dot product of the unit
 vectors in double precision decides. The number of pivots follows the root of the number of vectors, so lists grow with
-the root too; long lists are dealt out in pairs of hash blocks. Equal vectors are one node with a weight. A pair that
+the root too; vectors of a length with at most ``DEPTH`` pivots (all near one another) are all compared, without
+pivots. Long lists are dealt out in pairs of hash blocks. Equal vectors are one node with a weight. A pair that
 meets in several lists counts where its smallest shared pivot is. Lists send out counts and a forest, never pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, rows with a null label and
@@ -73,8 +74,8 @@ def _described(pivots, dtype: str, depth: int):
             for data in batch.column("v").to_pylist():
                 v = unit(data, dtype)
                 p = known.get(len(v))
-                # a length that the sample lacks has one list
-                lists.append([-1] if p is None else np.argsort(-(p @ v), kind="stable")[:depth].tolist())
+                # a length that the sample lacks has one list; so has one all of whose pivots' lists hold every vector
+                lists.append([-1] if p is None or len(p) <= depth else np.argsort(-(p @ v), kind="stable")[:depth].tolist())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "label", "copies", "v")] + [pa.array(lists, pa.list_(pa.int32()))], names=["id", "label", "copies", "v", "pivots"])
 
     return run

@@ -203,6 +203,26 @@ def test_embedding_blocks_count_once(spark, monkeypatch):
     assert sorted(map(tuple, op4_embeddings.near_duplicates(df).collect())) == want
 
 
+@pytest.mark.parametrize("kind", ["tight", "narrow", "two", "lone length"])
+def test_embeddings_with_few_pivots(spark, monkeypatch, kind):
+    r = np.random.default_rng(6)
+    vectors = {
+        "tight": np.ones((1, 16)) + r.normal(size=(80, 16)) * 0.14,
+        "narrow": np.concatenate([x := np.ones((60, 16)) + r.normal(size=(60, 16)) * 0.5, x[:20] + r.normal(size=(20, 16)) * 0.02]),
+        "two": np.array([[1.0, 2.0, 3.0], [1.0, 2.0, 3.01]]),
+        "lone length": np.concatenate([r.normal(size=(1, 16)) + r.normal(size=(40, 16)) * 0.02]),
+    }[kind]
+    rows = [(i, [float(x) for x in row], 0) for i, row in enumerate(vectors)]
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    if kind == "lone length":  # the sample holds one vector of 16 numbers
+        rows += [(100 + i, [float(x) for x in row], 0) for i, row in enumerate(r.normal(size=(200, 5)))]
+        monkeypatch.setattr(op4_embeddings, "SAMPLE", 6)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {q.vec_id: q.n_links for q in op4_embeddings.near_duplicates(df).collect() if q.vec_id < 100}
+    assert want.sum() and [got[i] for i in range(len(want))] == want.tolist()
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
