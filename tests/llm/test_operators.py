@@ -301,6 +301,26 @@ def test_quality_equals_brute_force(docs, empty):
     assert op6_quality.quality(empty).count() == 0
 
 
+def test_quality_repeats_decide_where_base_rules_pass(spark):
+    words = [f"w{i}" for i in range(3000)]
+    once = lambda n: " ".join(words[:n])
+    short = f"{once(350)} {once(35)}"  # 70 of 385 words
+    long = f"{once(1360)} {once(140)}"  # 280 of 1,500
+    many = " ".join([once(600)] + [" ".join(words[k : k + 12]) + f" x{k}" for k in range(100, 160, 13)])  # 120 of 665, 12 at once
+    line = f"{once(100)} {once(10)}"  # 20 of 110: as in texts labelled good
+    df = spark.createDataFrame(list(enumerate([short, long, many, line, once(900)])), "doc_id long, text string")
+    got = {r.doc_id: r for r in op6_quality.quality(df).collect()}
+    assert not any(r.base_failed for r in got.values()) and [got[i].kept for i in range(5)] == [False, False, False, True, True]
+    assert got[2].longest_repeat <= op6_quality.MOST_LONG
+
+
+def test_quality_keeps_good_texts(spark):
+    at = "/root/testdata/sf0.01"
+    good = spark.read.parquet(f"{at}/labels.parquet").filter("quality = 1").select("doc_id").distinct()
+    got = op6_quality.quality(spark.read.parquet(f"{at}/documents.parquet")).join(good, "doc_id").filter("not base_failed")
+    assert got.count() > 0 and got.filter("not kept").count() == 0
+
+
 def test_language_accuracy_and_edges(spark, sf_dir, empty):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = op7_language.identified(df).filter("held_out").join(df.select("doc_id", "lang"), "doc_id").collect()
