@@ -7,18 +7,41 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where the session names none."""
+    """spark.checkpoint.dir; where the session names none, a temporary folder on a single machine and an error on a
+    cluster, whose executors would not see it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         path = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Written and read back: the lineage ends here."""
+    """Written and read back: the lineage ends here, and lost executors take nothing along."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark() -> str:
+    """A place in the list of stored tables, for ``discard``."""
+    return _WRITTEN[-1] if _WRITTEN else ""
+
+
+def discard(spark: SparkSession, since: str, till: str | None = None) -> None:
+    """Delete the tables stored after ``since`` and up to ``till`` (null: all); nothing that is still to be read may
+    depend on them."""
+    first = _WRITTEN.index(since) + 1 if since in _WRITTEN else 0
+    last = len(_WRITTEN) if till is None else _WRITTEN.index(till) + 1 if till in _WRITTEN else 0
+    for path in _WRITTEN[first:last]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del _WRITTEN[first:last]
