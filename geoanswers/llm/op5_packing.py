@@ -13,7 +13,6 @@ often as they stand; null doc_ids are rows like others; an empty table gives no
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -22,27 +21,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoanswers.llm import common
 
-#: Words that a worker remembers; they are forgotten when so many are known. Longer words are not remembered.
-WORDS, LONGEST = 1_500_000, 48
-#: str.split() cuts here, the tokenizer does not.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-_ASCII_SPACE = re.compile("[ \t\r\n]+")
-#: A mark that closes a word: a token of its own whether a space stands before it or not.
-_CLOSING = re.compile(r"(?<=[^\W_])([.,;:!?])(?=\s)")
-_RUNS = re.compile(r"[^\W\d_]+|[^\w\s]+")
+#: Words (and their characters) that a worker remembers; they are forgotten when so many are known.
+WORDS, CHARACTERS = 1_500_000, 64 << 20
+#: Bytes of text encoded at once.
+CHUNK = 16 << 20
+#: Marks behind a word of ASCII letters: tokens of their own whether a space stands before them or not.
+_CLOSING = r"([a-z])([.,;:!?#$%&*]+)(\s)"
 
 
 class WordTokenizer:
-    """ids of a text, word by word: the tokenizer never joins across white space, so a word's ids are remembered.
+    """ids of texts, word by word: the tokenizer never joins across white space, so a word's ids are remembered.
 
-    Texts of Latin-1 letters are lower-cased first (as the tokenizer does) and closing marks set apart, which leaves few
-    words to know. Unknown words of letters are encoded many at a time (each closes with an end-of-word id); others are
-    put together from runs of letters and marks where that is how the tokenizer sees them, or encoded alone."""
+    Texts are cut into words and the distinct words found by Arrow; only distinct words meet Python. They are lower-cased
+    first (as the tokenizer does) and closing marks set apart, which leaves few words to know; not where a special
+    token, which is told apart by case, may stand. Words of letters are encoded many at a time (each closes with one
+    end-of-word id), others as a list of words. The ids of all known words lie in one array."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,89 +50,98 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-
-    def _alone(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn_letters(self, words: list[str]) -> None:
-        for at in range(0, len(words), 512):
-            some = words[at : at + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(some) or ends[-1] != len(ids):
-                self.known.update((x, self._alone(x)) for x in some)
-                continue
-            data, start = ids.tobytes(), 0
-            for x, end in zip(some, (ends * 4).tolist()):
-                self.known[x] = data[start:end]
-                start = end
-
-    def _runs(self, word: str) -> list[str] | None:
-        """Runs of letters and of marks, if that is how the tokenizer sees the word."""
-        if "'" in word or "<|" in word or len(word) > LONGEST:
-            return None
-        runs = _RUNS.findall(word)
-        return runs if sum(map(len, runs)) == len(word) and all(r.isalpha() or r.isascii() for r in runs) else None
-
-    def _word(self, word: str, plain: bool) -> bytes:
-        runs = self._runs(word) if plain else None
-        if runs is None:
-            return self._alone(word)
-        out = []
-        for r in runs:
-            if r not in self.known:
-                self.known[r] = self._alone(r)
-            out.append(self.known[r])
-        return b"".join(out)
-
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        plain = not _ODD_SPACE.search(text)
-        if plain and not text.isascii():
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                plain = False
-        if plain:
-            words = _CLOSING.sub(r" \1", text.lower()).split()
-        else:
-            words = [w for w in _ASCII_SPACE.split(text) if w]
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > WORDS:
-                self.known.clear()
-            lost = [i for i, x in enumerate(found) if x is None]
-            new = {words[i] for i in lost}
-            letters = {w for w in new if plain and len(w) <= LONGEST and w.isalpha()}
-            self._learn_letters([w for w in letters if w not in self.known])
-            others = {w: self._word(w, plain) for w in new - letters}
-            self.known.update((w, x) for w, x in others.items() if len(w) <= LONGEST)
-            for i in lost:
-                w = words[i]
-                found[i] = others[w] if w in others else self.known[w]
-        return b"".join(found)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.characters = 0
+        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _of_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) and ends[-1] == len(ids) else None
+
+    def _of_any(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        return np.array(found.ids, np.uint32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
+
+    def _learn(self, words: list[str]) -> None:
+        letters = [w for w in words if w.isalpha()]
+        others = [w for w in words if not w.isalpha()]
+        flat, lengths = [self.flat], []
+        for some, kind in ((letters, self._of_letters), (others, self._of_any)):
+            for at in range(0, len(some), 512):
+                part = some[at : at + 512]
+                ids, n = kind(part) or self._of_any(part)
+                flat.append(ids), lengths.append(n)
+        self.known.update(zip(letters + others, range(len(self.known), len(self.known) + len(words))))
+        self.characters += sum(map(len, words))
+        self.flat = np.concatenate(flat)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(lengths))])
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one behind the other, and how many each has."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), _CLOSING, r"\1 \2\3")
+        words = pc.ascii_split_whitespace(texts)
+        edges = words.offsets.to_numpy().astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.known) > WORDS or self.characters > CHARACTERS:
+            self._forget()
+        new = [w for w in distinct if w not in self.known]
+        if new:
+            self._learn(new)
+        which = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        lengths, starts = np.diff(self.starts)[which], self.starts[which]
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n = lengths[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        place = np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], n)
+        return self.flat[place], ends[edges[1:]] - ends[edges[:-1]]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
+def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about CHUNK bytes of text; a longer text stands alone."""
+    size = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    block = (np.cumsum(size) - size) // CHUNK
+    edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
+def _cut(doc_ids: pa.Array, ids: np.ndarray, lengths: np.ndarray, capacity: int, close: int) -> pa.RecordBatch:
+    """The pieces of texts with these ids, each text closed by ``close``."""
+    whole = lengths + 1
+    ends = np.cumsum(whole)
+    full = np.empty(len(ids) + len(lengths), "<u4")
+    closing = np.zeros(len(full), bool)
+    closing[ends - 1] = True
+    full[closing], full[~closing] = close, ids
+    pieces = -(-whole // capacity)
+    text = np.repeat(np.arange(len(whole)), pieces)
+    piece = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = piece * capacity
+    length = np.minimum(capacity, whole[text] - start)
+    data, at = memoryview(full).cast("B"), (ends - whole)[text] + start
+    crc = [zlib.crc32(data[lo:hi]) for lo, hi in zip((4 * at).tolist(), (4 * (at + length)).tolist())]
+    columns = [doc_ids.take(pa.array(text)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+
 def _pieces(path: str, capacity: int, close: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _TOKENIZERS:
             _TOKENIZERS[path] = WordTokenizer(path)
-        encode = _TOKENIZERS[path].ids
-        tail = np.array([close], "<u4").tobytes()
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                data = encode(text.as_py() or "") + tail
-                for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            if rows:
-                a, b, c, d, e = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(e, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for part in _chunks(batch):
+                ids, lengths = _TOKENIZERS[path].ids(part.column("text").fill_null(""))
+                yield _cut(part.column("doc_id"), ids, lengths, capacity, close)
 
     return run
 
@@ -227,17 +235,20 @@ def plan(counts: dict[int, int], capacity: int) -> pd.DataFrame:
 def _placed(table: pd.DataFrame):
     intervals = {int(s): g.to_numpy() for s, g in table.groupby("length")}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            where, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-            rank, length = pdf["rank"].to_numpy(), pdf.length.to_numpy()
-            for s, at in pdf.groupby("length").indices.items():
-                g = intervals[int(s)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rank", "length"))
+            where, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+            order = np.argsort(length, kind="stable")
+            sizes, first = np.unique(length[order], return_index=True)
+            for s, at in zip(sizes.tolist(), np.split(order, first[1:])):
+                g = intervals[s]
                 row = g[np.searchsorted(g[:, 1], rank[at], side="right") - 1]
                 k = rank[at] - row[:, 1]
                 where[at] = row[:, 3] + k // row[:, 4]
-                offset[at] = row[:, 5] + (k % row[:, 4]) * length[at]
-            yield pdf.drop(columns="rank").assign(sequence_id=where, offset=offset)
+                offset[at] = row[:, 5] + (k % row[:, 4]) * s
+            columns = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(where), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     return run
 
@@ -253,7 +264,7 @@ def packed(documents: DataFrame, tokenizer: str, capacity: int = 2048, close: in
     most = max(counts.values(), default=0)
     ranked = common.running(spread, ["length"], [F.col("_spread"), F.col("_h"), *[F.col(c) for c in identity]], F.col("_spread"), common.ranges_for(most), F.lit(1), "rank").drop("_h", "_spread")
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank"))
-    return ranked.mapInPandas(_placed(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(_placed(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
