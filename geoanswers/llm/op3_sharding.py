@@ -14,9 +14,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoanswers.llm import common
 
@@ -69,29 +70,44 @@ def numbered(df: DataFrame, rows: int, identity: list[str], name: str = "row_num
     return out.drop("_h", "_spread")
 
 
-def sharded(documents: DataFrame, shards: int, key: int = 0) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard and row_number of every document."""
+IDENTITY = ["doc_id", "text_hash", "text_crc32", "size"]
+
+
+def _described() -> list[Column]:
+    """doc_id, size, text_crc32 and text_hash of a row of documents."""
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
-    slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
-    slim = common.stored(slim, "rows")
-    n = slim.count()
+    return [F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.xxhash64(text).alias("text_hash")]
+
 
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            shard, slot = place(pdf.row_number.to_numpy(), n, shards, key)
-            yield pdf[["doc_id", "size", "text_crc32", "row_number"]].assign(shard=shard.astype("int32"), slot=slot)
+def _placed(ranked: DataFrame, n: int, shards: int, key: int) -> DataFrame:
+    """ranked (with row_number) and shard, slot."""
 
-    ranked = numbered(slim, n, ["doc_id", "text_hash", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", F.col("row_number").cast("long").alias("row_number"))
-    out = ranked.mapInPandas(placed, "doc_id long, size long, text_crc32 long, row_number long, shard int, slot long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard, slot = place(batch.column("row_number").to_numpy(zero_copy_only=False), n, shards, key)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard.astype(np.int32)), pa.array(slot)], names=[*batch.schema.names, "shard", "slot"])
+
+    return ranked.mapInArrow(run, T.StructType([*ranked.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
+
+
+def sharded(documents: DataFrame, shards: int, key: int = 0) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard and row_number of every document."""
+    slim = common.stored(documents.select(*_described()), "rows")
+    n = slim.count()
+    ranked = numbered(slim, n, IDENTITY).select("doc_id", "size", "text_crc32", F.col("row_number").cast("long").alias("row_number"))
+    out = _placed(ranked, n, shards, key)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
-def write_shards(documents: DataFrame, path: str, shards: int, key: int = 0) -> None:
-    """Write whole documents, a folder for each shard, in slot order within its files."""
-    placed = sharded(documents, shards, key).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot")
-    text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    rows = documents.withColumn("_c", F.crc32(text)).join(placed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_c") == F.col("_crc"))).drop("_id", "_crc", "_c")
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(documents: DataFrame, path: str, shards: int, key: int = 0, slots_a_file: int = 1_000_000) -> None:
+    """Write whole documents, every row once, with their slot: a folder for each shard, dealt to tasks by ranges of
+    slots and in slot order within a file. The placing is that of ``sharded``; columns named shard or slot give way."""
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns if c not in ("shard", "slot")]).alias("_row"), *_described())
+    n = documents.count()
+    ranked = numbered(rows, n, IDENTITY).select("_row", F.col("row_number").cast("long").alias("row_number"))
+    whole = _placed(ranked, n, shards, key).select("_row.*", "shard", "slot")
+    dealt = whole.repartition("shard", F.floor(F.col("slot") / slots_a_file))
+    dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
