@@ -2,31 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and lost executors take nothing along."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from geoanswers.sources.tables import discard, mark, shared_dir, stored  # noqa: F401
 
 # ---- words and hashes (numpy, inside tasks) -------------------------------------------------------------------
 
@@ -199,7 +182,7 @@ def running(df: DataFrame, keys: list[str], order: list[Column], spread: Column,
     return summed.withColumn(name, F.col("_start") + F.col("_within")).drop("_range", "_within", "_start", "_s_range", *[f"_s_{k}" for k in keys])
 
 
-def ranges_for(rows: int, per_range: int = 2000) -> int:
+def ranges_for(rows: int, per_range: int = 500) -> int:
     """How many ranges ``running`` takes for so many rows: it follows the input."""
     return max(1, min(2**30, rows // per_range))
 
@@ -211,18 +194,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of every id in edges (a, b): the smallest id that links reach.
 
     Alternates large-star and small-star (Kiveris et al. 2014) over written tables until nothing moves. A hub's
-    neighbours are never gathered: the smallest neighbour is a combinable minimum that is joined back."""
+    neighbours are never gathered: the smallest neighbour is a combinable minimum that is joined back, and as it is
+    written first, the join's sides are plain shuffles, of which a hub's side is split. A round's tables go when the
+    next one is written."""
+    spark, began = edges.sparkSession, mark()
     pairs = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
     seen = None
     for _ in range(most_rounds):
         both = pairs.union(pairs.select("b", "a"))  # each id with each neighbour
-        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = stored(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = both.join(least, both.a == least.u).filter("b > a").select(F.col("m").alias("a"), "b")
-        large = large.filter("a < b").distinct()
-        least = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
+        large = stored(large.filter("a < b").distinct(), "large")
+        least = stored(large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")), "least")
         small = large.join(least, large.b == least.u).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
+        round_ends = mark()
         pairs = stored(small.filter("a < b").distinct(), "edges")
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        discard(spark, began, round_ends)
         if state == seen:
             break
         seen = state

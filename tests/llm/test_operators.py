@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,26 +100,59 @@ def test_sketch_fills_and_estimates():
 
 
 def test_warc_round_trip(spark, tmp_path):
-    html = ["<p>a</p>", None, "", "<p>é</p>", "<p>a</p>", "<p>a</p>", "x" * 300_000, "\r\n\r\nWARC/1.1\r\n"]
-    rows = [(i, f"http://e.org/{i} ü\r\n" if i else None, h, "c", i) for i, h in enumerate(html)] + [(None, "http://n", "<p>a</p>", "c", 9), (None, "u", "only", "c", 9)]
+    html = {0: "<p>a</p>", 1: None, 2: "", 3: "<p>é</p>", 4: "<p>a</p>", 2**53 + 1: "<p>b</p>", 2**53 + 3: "<p>b</p>", 6: "x" * 300_000, 7: "\r\n\r\nWARC/1.1\r\n", -5: "<p>a</p>"}
+    rows = [(i, f"http://e.org/{i} ü\r\n" if i else None, h, "c", 1) for i, h in html.items()]
+    rows += [(None, "http://n", "<p>a</p>", "c", 9), (None, "u", "only", "c", 9), (6, "again", html[6], "c", 9)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, first string, sha1 int").repartition(3)
     folder = f"file://{tmp_path}/w"
     manifest = op2_warc.write_warc(pages, folder)
+    want = collections.Counter()
+    for i, _, h, *_ in rows:
+        payload = (h or "").encode()
+        same = min((j for j, t in html.items() if (t or "") == (h or "")), default=None)
+        sha = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        first = None if same is None or same == i else same
+        want[(i, len(payload), sha, "response" if first is None else "revisit", first, payload if first is None else None)] += 1
     for size in (64, 1 << 20):  # ranges far smaller than a record, and larger than a file
-        got = op2_warc.read_warc(manifest, folder, size).collect()
-        assert len(got) == len(rows)
-        for r in got:
-            if r.page_id is None:
-                continue
-            payload = (html[r.page_id] or "").encode()
-            assert r.payload_bytes == len(payload) and r.payload_digest == base64.b32encode(hashlib.sha1(payload).digest()).decode()
-            first = next(i for i, h in enumerate(html) if (h or "") == (html[r.page_id] or ""))
-            assert (r.record_type, r.refers_to) == (("response", None) if first == r.page_id else ("revisit", first))
-            assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == payload
+        got = op2_warc.read_warc(manifest, folder, size).withColumn("page_id", op2_warc.page_of("record_id")).withColumn("first", op2_warc.page_of("refers_to")).collect()
+        rows_got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.first, None if r.payload is None else bytes(r.payload)) for r in got]
+        assert collections.Counter(rows_got) == want
     none = op2_warc.write_warc(pages.limit(0), folder)
     assert op2_warc.read_warc(none, folder).count() == 0
 
 
+def test_warc_short_payloads_are_all_responses(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "a" * 20), (4, "u", "a" * 20)], "page_id long, url string, html string")
+    manifest = op2_warc.write_warc(pages, f"file://{tmp_path}/w", least_bytes=10)
+    got = op2_warc.read_warc(manifest, f"file://{tmp_path}/w").collect()
+    assert sorted((r.record_id, r.record_type) for r in got) == [("<urn:page:1>", "response"), ("<urn:page:2>", "response"), ("<urn:page:3>", "response"), ("<urn:page:4>", "revisit")]
+
+
+def test_warc_reads_archives_of_others(spark, tmp_path):
+    def member(kind, extra, block, length=None):
+        head = f"WARC/1.0\r\nWARC-Record-ID: <urn:uuid:6f1b9c3e-{kind}>\r\n{extra}WARC-Type: {kind}\r\nContent-Length: {len(block) if length is None else length}\r\n\r\n"
+        squeeze = zlib.compressobj(9, zlib.DEFLATED, 31)
+        return squeeze.compress(head.encode() + block + b"\r\n\r\n") + squeeze.flush()
+
+    r = random.Random(3)
+    noise = "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=9000))  # hardly compressible: the type stands beyond 4 KB
+    binary = bytes(r.choices(range(256), k=700_000)) + op2_warc.MAGIC + b"WARC/1.0\r\n"
+    http = "Content-Type: application/http; msgtype=response\r\n"
+    records = [
+        ("warcinfo", "Content-Type: application/warc-fields\r\n", b"software: x\r\n"), ("response", http + f"WARC-Target-URI: http://e/{noise}\r\n", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody"),
+        ("revisit", http, b"HTTP/1.1 200 OK\r\n\r\n"), ("resource", "Content-Type: image/png\r\n", binary), ("request", http, b"GET / HTTP/1.1\r\n\r\n"), ("metadata", "", b""),
+    ]
+    data = b"".join(member(*x) for x in records) + member("response", http, b"", "lots")
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    manifest = spark.createDataFrame([(f"{tmp_path}/a.warc.gz", len(data), 6)], "path string, bytes long, records long")
+    for size in (1000, 1 << 20):
+        got = {q.record_type: q for q in op2_warc.read_warc(manifest, f"file://{tmp_path}", size).collect()}
+        assert sorted(got) == sorted(x[0] for x in records)
+        assert bytes(got["response"].payload) == b"body" and got["response"].target_uri == f"http://e/{noise}" and got["response"].record_id == "<urn:uuid:6f1b9c3e-response>"
+        assert bytes(got["resource"].payload) == binary and bytes(got["metadata"].payload) == b"" and bytes(got["warcinfo"].payload) == b"software: x\r\n"
+        assert (got["revisit"].payload, got["revisit"].payload_bytes, got["revisit"].payload_digest) == (None, None, None)
+
+
 def test_warc_reader_skips_false_magic(tmp_path):
     good = [op2_warc.record(i, f"http://e/{i}", b"payload %d" % i, None) for i in range(5)]
     noise = op2_warc.MAGIC + b"\x00 not a member " + zlib.compress(b"x")
@@ -128,8 +162,8 @@ def test_warc_reader_skips_false_magic(tmp_path):
         found = []
         for lo, hi in ((0, cut), (cut, len(data))):
             with open(tmp_path / "a.gz", "rb") as f:
-                found += [op2_warc.parsed(m)["page_id"] for _, m in op2_warc.members(f, lo, hi)]
-        assert found == list(range(5))
+                found += [op2_warc.parsed(m)["record_id"] for _, m in op2_warc.members(f, lo, hi)]
+        assert found == [f"<urn:page:{i}>" for i in range(5)]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 40, 1000, 4097])
@@ -152,8 +186,11 @@ def test_sharding_law(docs, empty, spark, tmp_path):
     sizes = collections.Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in corpus())
     assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == sizes
     assert op3_sharding.sharded(empty, 7).count() == 0
-    op3_sharding.write_shards(docs.select("doc_id", "text").filter("doc_id <> 5"), f"{tmp_path}/s", 3)
-    assert spark.read.parquet(f"{tmp_path}/s").count() == len([r for r in corpus() if r[0] not in (None, 5)])
+    op3_sharding.write_shards(docs.withColumn("slot", F.lit("x")), f"{tmp_path}/s", 3, slots_a_file=20)
+    back = spark.read.parquet(f"{tmp_path}/s").collect()
+    assert collections.Counter((r.doc_id, r.text, r.band) for r in back) == collections.Counter((r[0], r[1], r[-1]) for r in corpus())
+    want = collections.Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in op3_sharding.sharded(docs, 3).collect())
+    assert collections.Counter((r.doc_id, zlib.crc32((r.text or "").encode()), r.shard, r.slot) for r in back) == want
 
 
 def test_running_sums_of_a_hot_key(spark):
@@ -232,8 +269,37 @@ def test_word_tokenizer_equals_the_tokenizer(tokenizer, monkeypatch):
     t = op5_packing.WordTokenizer(str(tokenizer))
     odd = ["", "a\x1cb \x85 c", "İstanbul's  éa <|endoftext|>x l'été 12½² ǅ ΣΑΣ Σ. 'Ll don't 日本語 ́x", "a_b __ x1y2 .,; hello, World. what?! ok", "x" * 300 + " y", "ª º ²x µ, ß.", "foo., bar ,baz .\n", "a\xa0b, \xadc"]
     monkeypatch.setattr(op5_packing, "WORDS", 50)
-    for text in odd + [r[1] for r in corpus() if r[1]]:
-        assert np.frombuffer(t.ids(text), "<u4").tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(op5_packing, "CHUNK", 3000)
+    odd += ["a" * 20_000, "ab. " * 3, "a<|endoftext|> b", "<|EndOfText|> x,", "it's. don't, we'll!? x's", " lead", "trail \n", "\x0b", "$$$ a$$$ é,,, a.b. 3. x3."]
+    texts = odd + [r[1] or "" for r in corpus()]
+    want = [t.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    for some in (texts, texts[::-1], odd[:1], odd[4:5], [x for x in texts if "<|" not in x]):
+        ids, lengths = t.ids(pa.array(some))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [want[texts.index(x)] for x in some]
+
+
+def test_words_of_many_alphabets_equal_the_tokenizer(tokenizer):
+    r = random.Random(17)
+    t = op5_packing.WordTokenizer(str(tokenizer))
+    letters = "abcABC éßİΣσçñ'.,;:!?#$%&*()<|>_-0123 \t\n\r\x0b\x0c\x1c\x85\xa0\u0301日本ªªǅ😀"
+    texts = ["".join(r.choices(letters, k=r.randint(0, 60))) for _ in range(3000)]
+    ids, lengths = t.ids(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [e.ids for e in t.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_ids_beyond_2_53_survive(spark, tokenizer):
+    rows = [(None, "null id"), (2**53 + 1, "a b"), (2**53 + 3, "a b"), (-(2**53) - 5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = collections.Counter(i for i, _ in rows)
+    assert collections.Counter(r.doc_id for r in op5_packing.packed(df, str(tokenizer)).collect()) == want
+    assert collections.Counter(r.doc_id for r in op3_sharding.sharded(df, 3).collect()) == want
+
+
+def test_packing_reaches_the_bound(spark, tokenizer):
+    r = random.Random(23)
+    df = spark.createDataFrame([(i, " ".join(["a"] * r.choice([r.randint(0, 60), r.randint(80, 255)]))) for i in range(2000)], "doc_id long, text string")
+    got = op5_packing.packed(df, str(tokenizer), 256).agg(F.sum("length"), F.count_distinct("sequence_id"), F.count_if(F.col("length") > 128)).first()
+    assert got[1] <= 1.02 * max(-(-got[0] // 256), got[2])
 
 
 def test_packing_is_exact(docs, empty, tokenizer):
@@ -439,22 +505,64 @@ def test_window_entropy_matches_a_plain_one(spark):
         assert (None if q.s is None else (q.s.start, q.s.end)) == ((hot[0], hot[-1] + 20) if hot else None)
 
 
-def test_suffix_passages_equal_brute_force(docs, empty):
-    rows = {}
-    for i, t, *_ in corpus():
-        if i is not None:
-            rows[i] = WORD.findall((t or "").translate(LOWER))
+def passages(rows, least):
+    """Words of each document that stand in a run that another one holds, and those that hold each run."""
+    words = {i: WORD.findall((t or "").translate(LOWER)) for i, t in rows if i is not None}
     where = collections.defaultdict(set)
-    for i, w in rows.items():
-        for j in range(len(w) - 49):
-            where[tuple(w[j : j + 50])].add(i)
-    want = {i: {p for j in range(len(w) - 49) if len(where[tuple(w[j : j + 50])]) > 1 for p in range(j, j + 50)} for i, w in rows.items()}
-    got = collections.defaultdict(set)
-    for r in op9_suffix.repeated_passages(docs).collect():
-        got[r.doc_id] |= set(range(r.start_word, r.start_word + r.n_words))
-        assert r.first_doc_id <= r.doc_id and r.places >= 2
-    assert dict(got) == {i: s for i, s in want.items() if s}
-    assert op9_suffix.repeated_passages(empty).count() == 0
+    for i, w in words.items():
+        for j in range(len(w) - least + 1):
+            where[tuple(w[j : j + least])].add(i)
+    hold = {i: [where[tuple(w[j : j + least])] for j in range(len(w) - least + 1)] for i, w in words.items()}
+    covered = {i: {p for j, x in enumerate(runs) if len(x) > 1 for p in range(j, j + least)} for i, runs in hold.items()}
+    return {i: s for i, s in covered.items() if s}, hold
+
+
+def assert_passages(got, rows, least):
+    want, hold = passages(rows, least)
+    found = collections.defaultdict(set)
+    for r in got:
+        mine = set(range(r.start_word, r.start_word + r.n_words))
+        assert not mine & found[r.doc_id] and r.start_word - 1 not in found[r.doc_id] and r.start_word + r.n_words not in found[r.doc_id]
+        found[r.doc_id] |= mine
+        runs = hold[r.doc_id][r.start_word : r.start_word + r.n_words - least + 1]
+        assert r.other_doc_id != r.doc_id and any(r.other_doc_id in x for x in runs)
+    assert dict(found) == want
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 60])
+def test_suffix_passages_equal_brute_force(docs, empty, spark, ranges):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        got = op9_suffix.repeated_passages(docs).collect()
+        assert_passages(got, [(r[0], r[1]) for r in corpus()], 50)
+        if ranges == 1:
+            assert sorted(got) == sorted(op9_suffix.repeated_passages(docs.repartition(3)).collect())
+            assert op9_suffix.repeated_passages(empty).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_suffix_passages_of_texts_that_share_parts(spark, seed):
+    """Texts put together from few passages: the longest match to one side is often with another text than the one to
+    the other side, and texts repeat themselves."""
+    r = random.Random(seed)
+    parts = [[f"w{r.randrange(60)}" for _ in range(r.randint(3, 25))] for _ in range(12)]
+    rows = [(i, " ".join(sum((r.choice(parts) if r.random() < 0.85 else [f"u{r.randrange(10**6)}"] for _ in range(r.randint(1, 14))), []))) for i in range(150)]
+    rows += [(1000 + i, "x y z w " * r.randint(3, 60)) for i in range(4)]
+    got = op9_suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), 20, 4).collect()
+    assert_passages(got, rows, 20)
+
+
+def test_suffix_doubts_are_settled(spark):
+    """The longest match to the right belongs to a text with nothing to the left, and the other way round."""
+    r = random.Random(1)
+    new = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
+    left, middle, right = new(60), new(30), new(60)
+    texts = [left + middle + right] + [new(5) + left[-a:] + middle + right[:b] + new(5) for a in range(0, 42, 3) for b in range(0, 42, 3)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert_passages(op9_suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows, 50)
 
 
 def test_mixing_targets_and_reruns(docs, empty, spark):
