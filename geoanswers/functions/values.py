@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 from geoanswers.meta import Refused
 
 #: Extensions that are read as vectors and as rasters.
-VECTOR = ["geojson", "json", "gpkg", "shp", "kml", "gml", "csv"]
-RASTER = ["tif", "tiff", "png", "jpg", "jpeg", "pdf"]
+VECTOR = ["gpkg", "geojson", "json", "shp"]
+RASTER = ["tif", "tiff", "jpg", "jpeg", "png", "pdf"]
 
 
 def is_blank(c: Column) -> Column:

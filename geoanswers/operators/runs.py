@@ -5,41 +5,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: States by bucket, states that end a batch, order of attention, verdicts by urgency.
-FAILED, DONE, REVIEW = ["failed", "error"], ["succeeded", "completed"], ["needs_review"]
-CANCELLED = ["cancelled"]
-TERMINAL = ["succeeded", "completed", "failed", "cancelled", "partial"]
-WAITING = ["queued", "pending", "created"]
-ATTENTION = ["failed", "needs_review", "running", "pending", "succeeded", "cancelled"]
+# They must be those of the service whose logs are read.
+#: Run states by bucket; whatever else is active.
+FAILED = ["failed", "cancelled"]
+DONE = ["completed", "succeeded"]
+REVIEW = ["needs_review", "review_required"]
+#: States that end a batch, and those that end a plan's run.
+TERMINAL = ["completed", "failed", "cancelled", "partial", "completed_with_failures"]
+PLAN_ENDS = ["completed", "succeeded", "failed", "cancelled", "needs_review"]
+#: The code of an item refused because it stands nowhere on the earth: a retry cannot help.
+PLACEMENT = "GEOREFERENCE_REQUIRED"
+#: Item states in order of attention, with mark, label and next action.
+ITEMS = {
+    "failed": ("!", "Failed", "open"),
+    "needs_review": ("?", "Needs review", "review"),
+    "running": ("*", "Running", ""),
+    "pending": ("-", "Queued", ""),
+    "succeeded": ("+", "Done", "import"),
+    "cancelled": ("x", "Cancelled", ""),
+}
+#: Labels of step states.
+STEPS = {
+    "planned": "queued",
+    "running": "running",
+    "succeeded": "done",
+    "failed": "failed",
+    "skipped": "skipped",
+    "refused": "declined",
+    "awaiting_input": "waiting for you",
+    "awaiting_confirmation": "waiting for your approval",
+}
+#: Verdicts by urgency; statuses of sound geometry; statuses of features that wait for a review.
 BUCKETS = ["invalid", "needs_review", "clean"]
-TITLE = 120
+SOUND = ["valid", "ok", "passed"]
+PENDING = ["needs_review", "review_required", "pending"]
+TITLE, LISTED = 120, 10
 
 
-def run_state(job_state: Column, status: Column, review_required: Column) -> Column:
-    """The job's state before the task's status, lower case; a required review shows as needs_review."""
-    state = F.coalesce(F.nullif(F.trim(F.lower(job_state)), F.lit("")), F.nullif(F.trim(F.lower(status)), F.lit("")))
-    return F.when(review_required.eqNullSafe(True) & state.isin(DONE), "needs_review").otherwise(state)
+def said(c: Column) -> Column:
+    """Trimmed text; NULL where nothing is said."""
+    return F.nullif(F.trim(c.cast("string")), F.lit(""))
+
+
+def run_state(job_state: Column, status: Column) -> Column:
+    """The job's state where there is one (a required review shows as needs_review), else the task's status; lower case,
+    NULL where neither says anything."""
+    job = F.lower(said(job_state))
+    return F.coalesce(F.when(job == "review_required", "needs_review").otherwise(job), F.lower(said(status)))
 
 
 def run_bucket(state: Column) -> Column:
-    """failed, review_required, completed; whatever else, unknown states too, is active."""
-    return F.when(state.isin(FAILED), "failed").when(state.isin(REVIEW), "review_required").when(state.isin(DONE + CANCELLED), "completed").otherwise("active")
+    """review_required, failed (cancelled too) or completed; whatever else, unknown states too, is active."""
+    known = F.when(state.isin(REVIEW), "review_required").when(state.isin(FAILED), "failed")
+    return known.when(state.isin(DONE), "completed").otherwise("active")
 
 
 def run_failure(message: Column, reference: Column) -> Column:
-    """Message and reference; NULL where none was given."""
-    m = F.nullif(F.trim(message), F.lit(""))
-    return F.when(m.isNotNull(), F.concat_ws(" ", m, F.when(reference.isNotNull(), F.concat(F.lit("(ref "), reference, F.lit(")")))))
+    """The message and its support reference; NULL where no message was given."""
+    suffix = F.concat(F.lit(" (reference "), said(reference), F.lit(")"))
+    return F.concat(said(message), F.coalesce(suffix, F.lit("")))
+
+
+def failure_code(code: Column) -> Column:
+    return F.upper(said(code))
 
 
 def failure_guidance(failures: DataFrame, steps: DataFrame) -> DataFrame:
     """failures (run_id, code, message) with the next step of its code, where there is one, in the message's place."""
-    return failures.join(F.broadcast(steps.select("code", "next_step")), "code", "left").select("run_id", "code", F.coalesce("next_step", "message").alias("message"))
+    named = failures.join(F.broadcast(steps.select("code", "next_step")), "code", "left")
+    return named.select("run_id", "code", F.coalesce("next_step", "message").alias("message"))
 
 
 def run_started(state: Column, moved: Column) -> Column:
     """False while it waits unless a step has moved; NULL where the state is unknown."""
-    return F.when(state.isNull(), F.lit(None).cast("boolean")).when(state.isin(WAITING), F.coalesce(moved, F.lit(False))).otherwise(True)
+    waits = state.isin("queued", "pending", "created")
+    return F.when(state.isNull(), F.lit(None).cast("boolean")).when(waits, F.coalesce(moved, F.lit(False))).otherwise(True)
 
 
 def batch_terminal(state: Column) -> Column:
@@ -47,39 +87,75 @@ def batch_terminal(state: Column) -> Column:
 
 
 def run_counts(runs: DataFrame) -> DataFrame:
-    """state, runs: over all rows."""
-    return runs.groupBy("state").agg(F.count("*").alias("runs"))
+    """state, runs: over all rows; no state is "unknown"."""
+    return runs.groupBy(F.coalesce("state", F.lit("unknown")).alias("state")).agg(F.count("*").alias("runs"))
+
+
+def in_bucket(runs: DataFrame, wanted: str) -> DataFrame:
+    """The runs of a bucket (all, review_required, failed, completed, active); another word matches none."""
+    if wanted in ("", "all"):
+        return runs
+    return runs.filter(run_bucket(F.col("state")) == wanted)
+
 
+def run_listing(runs: DataFrame, wanted: str = "all", limit: int = LISTED) -> DataFrame:
+    """The newest runs of a bucket: run_id, state, title of at most 120 characters, error, code, and how many there are
+    in the bucket (matched) and in all (total). runs: run_id, state, seq, title, message, reference, code."""
+    whole = runs.agg(F.count("*").alias("total"))
+    hits = in_bucket(runs, wanted)
+    matched = hits.agg(F.count("*").alias("matched"))
+    newest = hits.orderBy(F.desc("seq"), "run_id").limit(max(1, limit))
+    error = run_failure(F.col("message"), F.col("reference"))
+    listed = newest.select(
+        "run_id", F.coalesce("state", F.lit("unknown")).alias("state"), F.substring(F.trim("title"), 1, TITLE).alias("title"),
+        error.alias("error"), failure_code(F.col("code")).alias("code"),
+    )
+    return listed.crossJoin(F.broadcast(matched)).crossJoin(F.broadcast(whole))
 
-def run_listing(runs: DataFrame, state: str | None = None, limit: int = 10) -> DataFrame:
-    """The newest runs (of a state): run_id, state, title of at most 120 characters, matched."""
-    hits = runs.filter(F.col("state") == state) if state else runs
-    whole = hits.agg(F.count("*").alias("matched"))
-    return hits.orderBy(F.desc("seq"), "run_id").limit(limit).join(F.broadcast(whole)).select("run_id", "state", F.substring("title", 1, TITLE).alias("title"), "matched")
+
+def succeeded_runs(items: DataFrame) -> DataFrame:
+    """run_id of the items that succeeded and have a run."""
+    return items.filter(said(F.col("run_id")).isNotNull() & F.lower("state").isin(DONE)).select("run_id")
+
+
+def review_runs(items: DataFrame) -> DataFrame:
+    """run_id of the items that need a review and have a run."""
+    return items.filter(said(F.col("run_id")).isNotNull() & F.lower("state").isin(REVIEW)).select("run_id")
 
 
 def review_pick(runs: DataFrame, run_id: int | None = None) -> DataFrame:
     """The named run, else the newest that needs a review, else nothing."""
     if run_id is not None:
         return runs.filter(F.col("run_id") == run_id)
-    return runs.filter("state = 'needs_review'").orderBy(F.desc("seq"), "run_id").limit(1)
+    return runs.filter(F.col("state").isin(REVIEW)).orderBy(F.desc("seq"), "run_id").limit(1)
 
 
 def latest_review(runs: DataFrame, project: str) -> DataFrame:
     """The newest run of each project that needs a review: a combinable maximum."""
-    return runs.filter("state = 'needs_review'").groupBy(project).agg(F.max(F.struct("seq", "run_id")).alias("m")).select(project, F.col("m.run_id").alias("run_id"), F.col("m.seq").alias("seq"))
+    newest = runs.filter(F.col("state").isin(REVIEW)).groupBy(project).agg(F.max(F.struct("seq", "run_id")).alias("m"))
+    return newest.select(project, F.col("m.run_id").alias("run_id"), F.col("m.seq").alias("seq"))
+
+
+def item_state(state: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(state)), F.lit(""))
 
 
 def batch_summary(items: DataFrame, batch: str = "batch_id") -> DataFrame:
     """batch, items, failed, needs_review, done."""
-    s = F.col("state")
-    return items.groupBy(batch).agg(F.count("*").alias("items"), F.count_if(s.isin(FAILED)).alias("failed"), F.count_if(s.isin(REVIEW)).alias("needs_review"), F.count_if(s.isin(DONE)).alias("done"))
+    s = item_state(F.col("state"))
+    counted = {"failed": "failed", "needs_review": "needs_review", "done": "succeeded"}
+    return items.groupBy(batch).agg(F.count("*").alias("items"), *[F.count_if(s == state).alias(name) for name, state in counted.items()])
 
 
-def batch_failures(items: DataFrame, code: str, batch: str = "batch_id") -> DataFrame:
-    """batch, failed, first_code and first_index by index, and whether every failure carries one code (none differs)."""
-    bad = items.filter(F.col("state").isin(FAILED))
-    return bad.groupBy(batch).agg(F.count("*").alias("failed"), F.min(F.struct("index", "code")).alias("m"), F.bool_and(F.coalesce("code", F.lit("")) == code).alias("every")).select(batch, "failed", F.col("m.index").alias("first_index"), F.col("m.code").alias("first_code"), "every")
+def batch_failures(items: DataFrame, code: str = PLACEMENT, batch: str = "batch_id") -> DataFrame:
+    """batch, failed, the first typed error by index (first_index, first_code, first_message), and whether every failure
+    carries the code: one without a code differs. An error without code and message is no typed error."""
+    bad = items.filter(F.lower("state") == "failed").withColumn("_code", failure_code(F.col("code"))).withColumn("_message", said(F.col("message")))
+    typed = F.col("_code").isNotNull() | F.col("_message").isNotNull()
+    first = F.min(F.when(typed, F.struct("index", "_code", "_message"))).alias("m")
+    every = F.bool_and(F.coalesce(F.col("_code") == code, F.lit(False))).alias("every")
+    found = bad.groupBy(batch).agg(F.count("*").alias("failed"), first, every)
+    return found.select(batch, "failed", F.col("m.index").alias("first_index"), F.col("m._code").alias("first_code"), F.col("m._message").alias("first_message"), "every")
 
 
 def price_lookup(items: DataFrame, prices: DataFrame) -> DataFrame:
@@ -95,7 +171,8 @@ def whole_sum(c: Column) -> Column:
 def batch_cost(items: DataFrame, prices: DataFrame, batch: str = "batch_id") -> DataFrame:
     """batch, items, unknown, cents (price times sheets; NULL where a price is missing)."""
     cents = F.col("cents") * F.col("sheets")
-    return price_lookup(items, prices).groupBy(batch).agg(F.count("*").alias("items"), F.count_if(cents.isNull()).alias("unknown"), whole_sum(cents).alias("cents"))
+    priced = price_lookup(items, prices).groupBy(batch)
+    return priced.agg(F.count("*").alias("items"), F.count_if(cents.isNull()).alias("unknown"), whole_sum(cents).alias("cents"))
 
 
 def quote_sum(quotes: DataFrame, batch: str = "batch_id") -> DataFrame:
@@ -108,28 +185,33 @@ def affordability(costs: DataFrame, balances: DataFrame, key: str) -> DataFrame:
     """key, known, enough, short: the balance against the cost."""
     both = costs.join(balances, key, "left")
     known = F.col("cents").isNotNull() & F.col("balance").isNotNull()
-    return both.select(key, known.alias("known"), F.when(known, F.col("balance") >= F.col("cents")).alias("enough"), F.when(known, F.greatest(F.col("cents") - F.col("balance"), F.lit(0))).alias("short"))
+    short = F.greatest(F.col("cents") - F.col("balance"), F.lit(0))
+    return both.select(key, known.alias("known"), F.when(known, F.col("balance") >= F.col("cents")).alias("enough"), F.when(known, short).alias("short"))
 
 
 def name_lookup(items: DataFrame, files: DataFrame) -> DataFrame:
-    """batch_id, index, title: the file's name, its page behind it if it has one, else the position from 1."""
+    """batch_id, index, title: the file's name without its folder, else "Item" and the position from 1; behind it the
+    page of a paged file (page 0 is none)."""
     named = items.join(files.select("file_id", "name"), "file_id", "left")
-    page = F.when(F.col("page").isNotNull(), F.concat(F.lit(" p. "), F.col("page").cast("string"))).otherwise("")
-    return named.select("batch_id", "index", F.coalesce(F.concat("name", page), (F.col("index") + 1).cast("string")).alias("title"))
+    name = F.coalesce(F.nullif(F.substring_index("name", "/", -1), F.lit("")), F.concat(F.lit("Item "), (F.col("index") + 1).cast("string")))
+    page = F.when(F.col("page") > 0, F.concat(F.lit(" · page "), F.col("page").cast("string"))).otherwise("")
+    return named.select("batch_id", "index", F.concat(name, page).alias("title"))
 
 
 def attention_order(items: DataFrame, batch: str = "batch_id") -> DataFrame:
     """Items with their place in a batch: failures first, unknown states last, else as submitted."""
-    rank = F.coalesce(*[F.when(F.col("state") == s, k) for k, s in enumerate(ATTENTION)], F.lit(len(ATTENTION)))
+    s = item_state(F.col("state"))
+    rank = F.coalesce(*[F.when(s == state, k) for k, state in enumerate(ITEMS)], F.lit(len(ITEMS)))
     return items.withColumn("place", F.row_number().over(Window.partitionBy(batch).orderBy(rank, "index")))
 
 
 def review_bucket(properties: Column) -> Column:
-    """invalid before needs_review before clean; only a true flag or a named status counts."""
-    text = lambda n: F.lower(F.coalesce(properties[n].cast("string"), F.lit("")))
-    invalid = (text("validation_status") == "invalid") | (text("quality_status") == "invalid")
-    review = properties["review_required"].eqNullSafe(F.lit(True)) | (text("review_status") == "needs_review")
-    return F.when(invalid, "invalid").when(review, "needs_review").otherwise("clean")
+    """invalid (a validation status that isn't sound) before needs_review (a true flag, or a status that waits) before
+    clean."""
+    text = lambda name: F.lower(said(properties[name]))
+    invalid = ~text("validation_status").isin(SOUND)
+    review = properties["review_required"].eqNullSafe(F.lit(True)) | text("review_status").isin(PENDING)
+    return F.when(invalid, "invalid").when(F.coalesce(review, F.lit(False)), "needs_review").otherwise("clean")
 
 
 def review_buckets(features: DataFrame) -> DataFrame:
@@ -139,22 +221,45 @@ def review_buckets(features: DataFrame) -> DataFrame:
 
 
 def plan_report(plans: DataFrame) -> DataFrame:
-    """run_id, state, finished, layers: an unknown state is not finished."""
-    return plans.select("run_id", F.lower("state").alias("state"), batch_terminal(F.col("state")).alias("finished"), F.coalesce("layers", F.lit(0)).alias("layers"))
+    """run_id, state, finished, layers from plans (run_id, job_state, status, layers): an unknown state is not finished,
+    and a run shows its layers when it has finished without failing."""
+    state = run_state(F.col("job_state"), F.col("status"))
+    shown = state.isin([s for s in PLAN_ENDS if s not in FAILED])
+    finished = F.coalesce(state.isin(PLAN_ENDS), F.lit(False))
+    return plans.select("run_id", state.alias("state"), finished.alias("finished"), F.when(shown, F.coalesce("layers", F.lit(0))).otherwise(0).alias("layers"))
+
+
+def item_status(items: DataFrame) -> DataFrame:
+    """items (index, state, message) as index, state, mark, label, detail, action; an unheard-of state is shown as
+    itself."""
+    s = item_state(F.col("state"))
+    words = F.regexp_replace(s, "_", " ")
+    itself = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, F.lit(2), F.length(words)))
+    rest = ("?", F.coalesce(F.nullif(itself, F.lit("")), F.lit("Unknown")), "")
+    pick = lambda i: F.coalesce(*[F.when(s == k, v[i]) for k, v in ITEMS.items()], rest[i] if isinstance(rest[i], Column) else F.lit(rest[i]))
+    return items.select("index", s.alias("state"), pick(0).alias("mark"), pick(1).alias("label"), said(F.col("message")).alias("detail"), pick(2).alias("action"))
 
 
-def item_status(state: Column) -> tuple[Column, Column]:
-    """Label and next action of an item's state."""
-    labels = {"failed": ("Failed", "retry"), "needs_review": ("Needs review", "review"), "running": ("Running", "wait"), "pending": ("Waiting", "wait"), "succeeded": ("Done", "open"), "cancelled": ("Cancelled", "none")}
-    pick = lambda i, rest: F.coalesce(*[F.when(state == k, v[i]) for k, v in labels.items()], F.lit(rest))
-    return pick(0, "Unknown"), pick(1, "wait")
+def duration_text(ms: Column) -> Column:
+    """Milliseconds below a second, seconds above it; NULL where nothing was measured."""
+    s = ms / 1000.0
+    long = F.when(s < 10, F.format_string("%.1f s", s)).otherwise(F.format_string("%.0f s", s))
+    return F.when(ms <= 0, F.lit(None)).when(ms < 1000, F.concat(ms.cast("string"), F.lit(" ms"))).otherwise(long)
 
 
 def trace_steps(turns: DataFrame) -> DataFrame:
-    """turn_id, position, name, status, duration_ms, detail from steps (struct(position, name, status, duration_ms,
-    code, message)): a missing position is the place, a missing message the code."""
+    """turn_id, position, title, status, label, duration, detail, code from steps (struct(index, title, capability,
+    status, duration_ms, message, error_code, error_message)): no index or 0 is the place, no status is succeeded, no
+    title the capability, no message the error's."""
     rows = turns.select("turn_id", F.posexplode("steps").alias("i", "s"))
-    return rows.select("turn_id", F.coalesce("s.position", F.col("i") + 1).alias("position"), "s.name", F.coalesce("s.status", F.lit("unknown")).alias("status"), "s.duration_ms", F.coalesce("s.message", "s.code").alias("detail"))
+    status = F.coalesce(F.nullif(F.col("s.status"), F.lit("")), F.lit("succeeded"))
+    label = F.coalesce(*[F.when(status == k, v) for k, v in STEPS.items()], status)
+    return rows.select(
+        "turn_id", F.coalesce(F.nullif("s.index", F.lit(0)), F.col("i") + 1).alias("position"),
+        F.coalesce(said(F.col("s.title")), said(F.col("s.capability")), F.lit("Step")).alias("title"), status.alias("status"), label.alias("label"),
+        duration_text(F.col("s.duration_ms")).alias("duration"), F.coalesce(said(F.col("s.message")), said(F.col("s.error_message"))).alias("detail"),
+        said(F.col("s.error_code")).alias("code"),
+    )
 
 
 def budget_stops(turns: DataFrame) -> DataFrame:
@@ -162,6 +267,12 @@ def budget_stops(turns: DataFrame) -> DataFrame:
     return turns.filter(F.col("budget.exhausted").eqNullSafe(True)).select("turn_id", F.col("budget.used").alias("used"), F.col("budget.allowed").alias("allowed"))
 
 
-def source_summary(sources: DataFrame, kind: Column) -> DataFrame:
-    """kind, sources, bytes (unknown where one is)."""
-    return sources.groupBy(kind.alias("kind")).agg(F.count("*").alias("sources"), whole_sum(F.col("bytes")).alias("bytes"))
+def source_summary(sources: DataFrame, kind: Column, task: str = "task_id") -> DataFrame:
+    """task, files, layers, bytes, wrong, first_wrong: files and layers counted apart, and the sources that the task's
+    workflow (wanted: vector or raster) cannot read, the first named. sources: task, origin (file or layer), label,
+    bytes, wanted; kind: what a source holds."""
+    wrong = F.coalesce(kind != F.col("wanted"), F.lit(True))
+    return sources.groupBy(task).agg(
+        F.count_if(F.col("origin") == "file").alias("files"), F.count_if(F.col("origin") == "layer").alias("layers"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+        F.count_if(wrong).alias("wrong"), F.min(F.when(wrong, F.col("label"))).alias("first_wrong"),
+    )

@@ -1,5 +1,5 @@
 """Queries over run logs, reviews, sources and audits, and their SQL. ``events`` stands for a run log: user_id is the
-batch, event_id the item or run, event_type its state."""
+batch or project, event_id the item or run, and event_type, with the id, what happened to it."""
 
 from __future__ import annotations
 
@@ -7,20 +7,37 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from geoanswers.functions import geom
+from geoanswers.functions import geom, values
 from geoanswers.operators import audits, runs, scope
 from geoanswers.plans.attributes import rounded
-from geoanswers.plans.spatial import BOXES, POINTS
-from geoanswers.plans.tables import boxes, points, table
+from geoanswers.plans.spatial import POINTS
+from geoanswers.plans.tables import points, table
 from geoanswers.sources import features as src
 from geoanswers.sources.tables import shared_dir
 from geoanswers.streaming import run_states
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: Item states by event type, and what some ids make of them.
 _STATES = {"view": "running", "signup": "pending", "click": "succeeded", "error": "failed", "purchase": "needs_review"}
-_STATE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATES.items()) + " END"
-ITEMS = f"(SELECT user_id AS batch_id, event_id AS index, {_STATE} AS state, event_type AS kind, CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'E' || (user_id % 2) END END AS code, CAST(event_id % 5 AS INTEGER) AS sheets, ts FROM events)"
+_ODD = {"view": "rehydrating", "signup": "cancelled", "click": "completed", "error": "error", "purchase": "review_required"}
+_CASE = lambda names: "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
+_CODE = """CASE WHEN event_type = 'error' AND event_id % 3 <> 0 THEN CASE WHEN user_id % 4 = 0 THEN 'georeference_required '
+  ELSE 'E' || (user_id % 2) END END"""
+_MESSAGE = "CASE WHEN event_type = 'error' AND event_id % 5 < 3 THEN ' stopped at ' || event_id % 5 END"
+ITEMS = f"""(SELECT user_id AS batch_id, event_id AS index, CASE WHEN event_id % 11 = 0 THEN {_CASE(_ODD)} ELSE {_CASE(_STATES)} END AS state,
+  event_type AS kind, {_CODE} AS code, {_MESSAGE} AS message, CASE WHEN event_id % 13 = 0 THEN '' ELSE 'r' || event_id END AS run_id,
+  CAST(event_id % 5 AS INTEGER) AS sheets, ts FROM events)"""
+#: A run an item: the job's state where there is a job, else the task's status.
+_RUNS = f"""(SELECT index AS run_id, batch_id AS project, CASE index % 4 WHEN 0 THEN ' ' || upper(state) WHEN 1 THEN '' WHEN 2 THEN state END AS job_state,
+  CASE WHEN index % 4 = 0 THEN 'dispatched' WHEN index % 8 = 1 THEN 'Completed' WHEN index % 8 = 5 THEN state WHEN index % 12 = 3 THEN NULL ELSE 'queued' END AS status,
+  code, message, CASE WHEN index % 2 = 0 THEN 'c' || index END AS reference, e.event_type || ' ' || e.props AS title
+  FROM {ITEMS} i JOIN events e ON e.event_id = i.index)"""
+_STATED = f"""(SELECT *, CASE WHEN job_state IS NOT NULL AND trim(job_state) <> '' THEN CASE WHEN lower(trim(job_state)) = 'review_required' THEN 'needs_review'
+  ELSE lower(trim(job_state)) END WHEN trim(status) <> '' THEN lower(trim(status)) END AS state FROM {_RUNS})"""
+_BUCKET = """CASE WHEN state IN ('needs_review', 'review_required') THEN 'review_required' WHEN state IN ('failed', 'cancelled') THEN 'failed'
+  WHEN state IN ('completed', 'succeeded') THEN 'completed' ELSE 'active' END"""
+_FAILURE = "CASE WHEN trim(message) <> '' THEN trim(message) || CASE WHEN reference IS NOT NULL THEN ' (reference ' || reference || ')' ELSE '' END END"
 
 
 def query(name: str, sql: str | None = None):
@@ -34,92 +51,113 @@ def query(name: str, sql: str | None = None):
 
 
 def _items(s, d):
-    e = table(s, d, "events")
-    state = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in _STATES.items()])
-    code = F.when((F.col("event_type") == "error") & (F.col("event_id") % 3 != 0), F.concat(F.lit("E"), (F.col("user_id") % 2).cast("string")))
-    return e.select(F.col("user_id").alias("batch_id"), F.col("event_id").alias("index"), state.alias("state"), F.col("event_type").alias("kind"), code.alias("code"), (F.col("event_id") % 5).cast("int").alias("sheets"), "ts")
+    e, i, u = table(s, d, "events"), F.col("event_id"), F.col("user_id")
+    pick = lambda names: F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in names.items()])
+    bad = F.col("event_type") == "error"
+    code = F.when(u % 4 == 0, "georeference_required ").otherwise(F.concat(F.lit("E"), (u % 2).cast("string")))
+    return e.select(
+        u.alias("batch_id"), i.alias("index"), F.when(i % 11 == 0, pick(_ODD)).otherwise(pick(_STATES)).alias("state"), F.col("event_type").alias("kind"),
+        F.when(bad & (i % 3 != 0), code).alias("code"), F.when(bad & (i % 5 < 3), F.concat(F.lit(" stopped at "), (i % 5).cast("string"))).alias("message"),
+        F.when(i % 13 == 0, "").otherwise(F.concat(F.lit("r"), i.cast("string"))).alias("run_id"), (i % 5).cast("int").alias("sheets"), "ts",
+        F.concat("event_type", F.lit(" "), "props").alias("title"),
+    )
 
 
 def _runs(s, d):
-    """A run an event: seq is its id, title its props."""
-    return table(s, d, "events").select(F.col("event_id").alias("run_id"), F.col("user_id").alias("project"), F.col("event_id").alias("seq"), F.concat("event_type", F.lit(" "), "props").alias("title")).join(_items(s, d).select(F.col("index").alias("run_id"), "state"), "run_id")
-
-
-@query("run_state", f"SELECT index AS run_id, CASE WHEN index % 4 = 0 THEN CASE WHEN index % 8 = 0 AND state = 'succeeded' THEN 'needs_review' ELSE state END WHEN index % 8 = 1 THEN 'completed' ELSE 'queued' END AS state FROM {ITEMS}")
+    """seq is the id: the newest run has the largest."""
+    i = F.col("index")
+    job = F.when(i % 4 == 0, F.concat(F.lit(" "), F.upper("state"))).when(i % 4 == 1, "").when(i % 4 == 2, F.col("state"))
+    status = F.when(i % 4 == 0, "dispatched").when(i % 8 == 1, "Completed").when(i % 8 == 5, F.col("state")).when(i % 12 != 3, "queued")
+    log = _items(s, d).select(
+        i.alias("run_id"), F.col("batch_id").alias("project"), i.alias("seq"), job.alias("job_state"), status.alias("status"), "title", "message", "code", "sheets",
+        F.when(i % 2 == 0, F.concat(F.lit("c"), i.cast("string"))).alias("reference"),
+    )
+    return log.withColumn("state", runs.run_state(F.col("job_state"), F.col("status")))
+
+
+@query("run_state", f"SELECT run_id, state FROM {_STATED}")
 def _run_state(s, d):
-    i = _items(s, d)
-    job = F.when(F.col("index") % 4 == 0, F.concat(F.lit(" "), F.upper("state"))).when(F.col("index") % 4 == 1, "")
-    status = F.when(F.col("index") % 8 == 1, "Completed").otherwise("queued")
-    return i.select(F.col("index").alias("run_id"), runs.run_state(job, status, F.col("index") % 8 == 0).alias("state"))
+    return _runs(s, d).select("run_id", "state")
 
 
-@query("run_bucket", f"SELECT index AS run_id, CASE state WHEN 'failed' THEN 'failed' WHEN 'needs_review' THEN 'review_required' WHEN 'succeeded' THEN 'completed' ELSE 'active' END AS bucket FROM {ITEMS}")
+@query("run_bucket", f"SELECT run_id, {_BUCKET} AS bucket FROM {_STATED}")
 def _run_bucket(s, d):
-    return _items(s, d).select(F.col("index").alias("run_id"), runs.run_bucket(F.col("state")).alias("bucket"))
+    return _runs(s, d).select("run_id", runs.run_bucket(F.col("state")).alias("bucket"))
 
 
-@query("run_failure", f"SELECT index AS run_id, CASE WHEN code IS NOT NULL THEN 'stopped at ' || sheets || CASE WHEN index % 2 = 0 THEN ' (ref c' || index || ')' ELSE '' END END AS failure FROM {ITEMS} WHERE state = 'failed'")
+@query("run_failure", f"SELECT run_id, {_FAILURE} AS failure, upper(trim(code)) AS code FROM {_STATED} WHERE state = 'failed'")
 def _run_failure(s, d):
-    i = _items(s, d).filter("state = 'failed'")
-    message = F.when(F.col("code").isNotNull(), F.concat(F.lit("stopped at "), F.col("sheets").cast("string"))).otherwise("  ")
-    return i.select(F.col("index").alias("run_id"), runs.run_failure(message, F.when(F.col("index") % 2 == 0, F.concat(F.lit("c"), F.col("index").cast("string")))).alias("failure"))
+    failed = _runs(s, d).filter("state = 'failed'")
+    return failed.select("run_id", runs.run_failure(F.col("message"), F.col("reference")).alias("failure"), runs.failure_code(F.col("code")).alias("code"))
 
 
-@query("failure_guidance", f"SELECT index AS run_id, code, CASE WHEN code = 'E1' THEN 'place the sheets' ELSE 'sheet ' || sheets END AS message FROM {ITEMS} WHERE state = 'failed'")
+@query("failure_guidance", f"""SELECT run_id, upper(trim(code)) AS code, CASE WHEN upper(trim(code)) = 'GEOREFERENCE_REQUIRED' THEN 'place the sheets' ELSE trim(message) END AS message
+FROM {_STATED} WHERE state = 'failed'""")
 def _guidance(s, d):
-    i = _items(s, d).filter("state = 'failed'").select(F.col("index").alias("run_id"), "code", F.concat(F.lit("sheet "), F.col("sheets").cast("string")).alias("message"))
-    steps = i.filter("code = 'E1'").select("code", F.lit("place the sheets").alias("next_step")).distinct()
-    return runs.failure_guidance(i, steps)
+    failed = _runs(s, d).filter("state = 'failed'").select("run_id", runs.failure_code(F.col("code")).alias("code"), runs.said(F.col("message")).alias("message"))
+    steps = failed.filter(F.col("code") == runs.PLACEMENT).select("code", F.lit("place the sheets").alias("next_step")).distinct()
+    return runs.failure_guidance(failed, steps)
 
 
 @query("run_started", f"SELECT index AS run_id, CASE WHEN index % 7 = 0 THEN NULL WHEN state = 'pending' THEN sheets > 2 ELSE true END AS started FROM {ITEMS}")
 def _started(s, d):
-    return _items(s, d).select(F.col("index").alias("run_id"), runs.run_started(F.when(F.col("index") % 7 != 0, F.col("state")), F.col("sheets") > 2).alias("started"))
+    started = runs.run_started(F.when(F.col("index") % 7 != 0, F.col("state")), F.col("sheets") > 2)
+    return _items(s, d).select(F.col("index").alias("run_id"), started.alias("started"))
 
 
-@query("batch_terminal", f"SELECT state, state IN ('succeeded', 'failed') AS terminal, count(*) AS runs FROM {ITEMS} GROUP BY 1, 2")
+@query("batch_terminal", f"""SELECT state, state IN ('completed', 'failed', 'cancelled', 'partial', 'completed_with_failures') AS terminal, count(*) AS runs
+FROM (SELECT CASE WHEN index % 17 = 0 THEN 'completed_with_failures' ELSE state END AS state FROM {ITEMS}) GROUP BY 1, 2""")
 def _terminal(s, d):
-    return _items(s, d).groupBy("state", runs.batch_terminal(F.col("state")).alias("terminal")).agg(F.count("*").alias("runs"))
+    state = F.when(F.col("index") % 17 == 0, "completed_with_failures").otherwise(F.col("state"))
+    return _items(s, d).select(state.alias("state")).groupBy("state", runs.batch_terminal(F.col("state")).alias("terminal")).agg(F.count("*").alias("runs"))
 
 
-@query("run_counts", f"SELECT state, count(*) AS runs FROM {ITEMS} GROUP BY 1")
+@query("run_counts", f"SELECT coalesce(state, 'unknown') AS state, count(*) AS runs FROM {_STATED} GROUP BY 1")
 def _counts(s, d):
-    return runs.run_counts(_items(s, d))
+    return runs.run_counts(_runs(s, d))
 
 
-@query("run_listing", f"SELECT e.event_id AS run_id, i.state, left(e.event_type || ' ' || e.props, 120) AS title, (SELECT count(*) FROM {ITEMS} WHERE state = 'failed') AS matched FROM events e JOIN {ITEMS} i ON i.index = e.event_id WHERE i.state = 'failed' ORDER BY e.event_id DESC LIMIT 10")
+@query("run_listing", f"""WITH r AS (SELECT *, {_BUCKET} AS bucket FROM {_STATED})
+SELECT run_id, state, left(trim(title), 120) AS title, {_FAILURE} AS error, upper(trim(code)) AS code,
+  (SELECT count(*) FROM r WHERE bucket = 'failed') AS matched, (SELECT count(*) FROM r) AS total
+FROM r WHERE bucket = 'failed' ORDER BY run_id DESC LIMIT 10""")
 def _listing(s, d):
     return runs.run_listing(_runs(s, d), "failed")
 
 
-@query("review_pick", f"SELECT index AS run_id, state FROM {ITEMS} WHERE state = 'needs_review' ORDER BY index DESC LIMIT 1")
+@query("review_pick", f"SELECT run_id, state FROM {_STATED} WHERE state IN ('needs_review', 'review_required') ORDER BY run_id DESC LIMIT 1")
 def _pick(s, d):
     return runs.review_pick(_runs(s, d)).select("run_id", "state")
 
 
-@query("latest_review", f"SELECT batch_id AS project, max(index) AS run_id, max(index) AS seq FROM {ITEMS} WHERE state = 'needs_review' GROUP BY 1")
+@query("latest_review", f"SELECT project, max(run_id) AS run_id, max(run_id) AS seq FROM {_STATED} WHERE state IN ('needs_review', 'review_required') GROUP BY 1")
 def _latest(s, d):
     return runs.latest_review(_runs(s, d), "project")
 
 
-@query("succeeded_runs", f"SELECT index AS run_id FROM {ITEMS} WHERE state = 'succeeded'")
+@query("succeeded_runs", f"SELECT run_id FROM {ITEMS} WHERE state IN ('succeeded', 'completed') AND run_id <> ''")
 def _succeeded(s, d):
-    return _items(s, d).filter(F.col("state").isin(runs.DONE)).select(F.col("index").alias("run_id"))
+    return runs.succeeded_runs(_items(s, d))
 
 
-@query("review_runs", f"SELECT index AS run_id FROM {ITEMS} WHERE state = 'needs_review'")
+@query("review_runs", f"SELECT run_id FROM {ITEMS} WHERE state IN ('needs_review', 'review_required') AND run_id <> ''")
 def _review_runs(s, d):
-    return _items(s, d).filter(F.col("state").isin(runs.REVIEW)).select(F.col("index").alias("run_id"))
+    return runs.review_runs(_items(s, d))
 
 
-@query("batch_summary", f"SELECT batch_id, count(*) AS items, count_if(state = 'failed')::BIGINT AS failed, count_if(state = 'needs_review')::BIGINT AS needs_review, count_if(state = 'succeeded')::BIGINT AS done FROM {ITEMS} GROUP BY 1")
+@query("batch_summary", f"""SELECT batch_id, count(*) AS items, count_if(state = 'failed')::BIGINT AS failed, count_if(state = 'needs_review')::BIGINT AS needs_review,
+  count_if(state = 'succeeded')::BIGINT AS done FROM {ITEMS} GROUP BY 1""")
 def _summary(s, d):
     return runs.batch_summary(_items(s, d))
 
 
-@query("batch_failures", f"SELECT batch_id, count(*) AS failed, min(index) AS first_index, arg_min_null(code, index) AS first_code, bool_and(coalesce(code, '') = 'E1') AS every FROM {ITEMS} WHERE state = 'failed' GROUP BY 1")
+@query("batch_failures", f"""WITH f AS (SELECT * FROM {ITEMS} WHERE state = 'failed'),
+t AS (SELECT batch_id, min(index) AS first_index FROM f WHERE trim(code) <> '' OR trim(message) <> '' GROUP BY 1),
+g AS (SELECT batch_id, count(*) AS failed, count_if(upper(trim(code)) = 'GEOREFERENCE_REQUIRED') = count(*) AS every FROM f GROUP BY 1)
+SELECT g.batch_id, g.failed, t.first_index, upper(trim(f.code)) AS first_code, trim(f.message) AS first_message, g.every
+FROM g LEFT JOIN t ON g.batch_id = t.batch_id LEFT JOIN f ON f.batch_id = t.batch_id AND f.index = t.first_index""")
 def _failures(s, d):
-    return runs.batch_failures(_items(s, d), "E1")
+    return runs.batch_failures(_items(s, d))
 
 
 def _prices(s, d):
@@ -136,17 +174,20 @@ def _price(s, d):
     return runs.price_lookup(_items(s, d), _prices(s, d)).select("batch_id", "index", "cents")
 
 
-@query("batch_cost", f"SELECT batch_id, count(*) AS items, count_if(cents IS NULL)::BIGINT AS unknown, CASE WHEN count_if(cents IS NULL) = 0 THEN CAST(sum(cents * sheets) AS BIGINT) END AS cents FROM {_PRICED} GROUP BY 1")
+@query("batch_cost", f"""SELECT batch_id, count(*) AS items, count_if(cents IS NULL)::BIGINT AS unknown,
+  CASE WHEN count_if(cents IS NULL) = 0 THEN CAST(sum(cents * sheets) AS BIGINT) END AS cents FROM {_PRICED} GROUP BY 1""")
 def _cost(s, d):
     return runs.batch_cost(_items(s, d), _prices(s, d))
 
 
 _QUOTES = "(SELECT o_custkey AS batch_id, o_orderkey % 7 AS file_id, CASE WHEN o_orderkey % 31 <> 0 THEN CAST(round(o_totalprice) AS BIGINT) END AS cents FROM orders)"
-_QUOTED = f"(SELECT batch_id, count(*) AS files, CASE WHEN count_if(cents IS NULL) = 0 THEN CAST(sum(cents) AS BIGINT) END AS cents FROM (SELECT batch_id, file_id, min(cents) AS cents FROM {_QUOTES} GROUP BY 1, 2) GROUP BY 1)"
+_QUOTED = f"""(SELECT batch_id, count(*) AS files, CASE WHEN count_if(cents IS NULL) = 0 THEN CAST(sum(cents) AS BIGINT) END AS cents
+  FROM (SELECT batch_id, file_id, min(cents) AS cents FROM {_QUOTES} GROUP BY 1, 2) GROUP BY 1)"""
 
 
 def _quotes(s, d):
-    return table(s, d, "orders").select(F.col("o_custkey").alias("batch_id"), (F.col("o_orderkey") % 7).alias("file_id"), F.when(F.col("o_orderkey") % 31 != 0, F.round("o_totalprice").cast("long")).alias("cents"))
+    cents = F.when(F.col("o_orderkey") % 31 != 0, F.round("o_totalprice").cast("long"))
+    return table(s, d, "orders").select(F.col("o_custkey").alias("batch_id"), (F.col("o_orderkey") % 7).alias("file_id"), cents.alias("cents"))
 
 
 @query("quote_sum", f"SELECT * FROM {_QUOTED}")
@@ -154,57 +195,98 @@ def _quote_sum(s, d):
     return runs.quote_sum(_quotes(s, d))
 
 
-@query("affordability", f"SELECT q.batch_id, q.cents IS NOT NULL AND c.c_custkey IS NOT NULL AS known, CASE WHEN c.c_custkey IS NOT NULL THEN CAST(round(c_acctbal * 100) AS BIGINT) >= q.cents END AS enough, CASE WHEN q.cents IS NOT NULL AND c.c_custkey IS NOT NULL THEN greatest(q.cents - CAST(round(c_acctbal * 100) AS BIGINT), 0) END AS short FROM {_QUOTED} q LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) c ON c.c_custkey = q.batch_id")
+@query("affordability", f"""SELECT q.batch_id, q.cents IS NOT NULL AND c.c_custkey IS NOT NULL AS known,
+  CASE WHEN c.c_custkey IS NOT NULL THEN CAST(round(c_acctbal * 100) AS BIGINT) >= q.cents END AS enough,
+  CASE WHEN q.cents IS NOT NULL AND c.c_custkey IS NOT NULL THEN greatest(q.cents - CAST(round(c_acctbal * 100) AS BIGINT), 0) END AS short
+FROM {_QUOTED} q LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) c ON c.c_custkey = q.batch_id""")
 def _afford(s, d):
-    balances = table(s, d, "customer").filter("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("batch_id"), F.round(F.col("c_acctbal") * 100).cast("long").alias("balance"))
+    known = table(s, d, "customer").filter("c_custkey % 4 <> 0")
+    balances = known.select(F.col("c_custkey").alias("batch_id"), F.round(F.col("c_acctbal") * 100).cast("long").alias("balance"))
     return runs.affordability(runs.quote_sum(_quotes(s, d)), balances, "batch_id")
 
 
-@query("name_lookup", f"SELECT i.batch_id, i.index, coalesce(p.p_name || CASE WHEN i.sheets > 0 THEN ' p. ' || i.sheets ELSE '' END, (i.index + 1)::VARCHAR) AS title FROM {ITEMS} i LEFT JOIN part p ON p.p_partkey = i.index")
+@query("name_lookup", f"""SELECT i.batch_id, i.index, coalesce(p.p_name, 'Item ' || (i.index + 1)) || CASE WHEN i.sheets > 0 THEN ' · page ' || i.sheets ELSE '' END AS title
+FROM {ITEMS} i LEFT JOIN part p ON p.p_partkey = i.index""")
 def _names(s, d):
-    files = table(s, d, "part").select(F.col("p_partkey").alias("file_id"), F.col("p_name").alias("name"))
-    items = _items(s, d).withColumn("file_id", F.col("index")).withColumn("page", F.when(F.col("sheets") > 0, F.col("sheets")))
-    return runs.name_lookup(items, files)
+    files = table(s, d, "part").select(F.col("p_partkey").alias("file_id"), F.concat(F.lit("/uploads/x/"), F.col("p_name")).alias("name"))
+    return runs.name_lookup(_items(s, d).withColumn("file_id", F.col("index")).withColumn("page", F.col("sheets")), files)
 
 
-@query("attention_order", f"SELECT batch_id, index, state, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY CASE state WHEN 'failed' THEN 0 WHEN 'needs_review' THEN 1 WHEN 'running' THEN 2 WHEN 'pending' THEN 3 WHEN 'succeeded' THEN 4 ELSE 6 END, index) AS INTEGER) AS place FROM {ITEMS}")
+@query("attention_order", f"""SELECT batch_id, index, state, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY CASE state WHEN 'failed' THEN 0
+  WHEN 'needs_review' THEN 1 WHEN 'running' THEN 2 WHEN 'pending' THEN 3 WHEN 'succeeded' THEN 4 WHEN 'cancelled' THEN 5 ELSE 6 END, index) AS INTEGER) AS place FROM {ITEMS}""")
 def _attention(s, d):
     return runs.attention_order(_items(s, d)).select("batch_id", "index", "state", "place")
 
 
-@query("review_buckets", "SELECT CASE WHEN toxic = 1 THEN 'invalid' WHEN quality = 0 THEN 'needs_review' ELSE 'clean' END AS bucket, count(*) AS features, CASE WHEN toxic = 1 THEN 1 WHEN quality = 0 THEN 2 ELSE 3 END::BIGINT AS urgency FROM labels GROUP BY 1, 3")
+#: A feature a labelled document: statuses from its labels and id.
+_FEATURES = """(SELECT CASE WHEN toxic = 1 AND doc_id % 3 = 0 THEN ' Invalid' WHEN toxic = 1 THEN 'self_intersection' WHEN doc_id % 4 = 0 THEN ' OK'
+  WHEN doc_id % 4 = 1 THEN '' WHEN doc_id % 4 = 2 THEN 'passed' END AS validation, quality = 0 AS required,
+  CASE doc_id % 5 WHEN 0 THEN 'Pending' WHEN 1 THEN 'review_required' WHEN 2 THEN 'approved' END AS review FROM labels)"""
+_VERDICT = f"""(SELECT CASE WHEN trim(validation) <> '' AND lower(trim(validation)) NOT IN ('valid', 'ok', 'passed') THEN 'invalid'
+  WHEN required OR lower(review) IN ('needs_review', 'review_required', 'pending') THEN 'needs_review' ELSE 'clean' END AS bucket FROM {_FEATURES})"""
+
+
+def _features_reviewed(s, d):
+    k = F.col("doc_id")
+    toxic = F.col("toxic") == 1
+    validation = (
+        F.when(toxic & (k % 3 == 0), " Invalid").when(toxic, "self_intersection").when(k % 4 == 0, " OK").when(k % 4 == 1, "").when(k % 4 == 2, "passed")
+    )
+    review = F.when(k % 5 == 0, "Pending").when(k % 5 == 1, "review_required").when(k % 5 == 2, "approved")
+    p = F.struct((F.col("quality") == 0).alias("review_required"), review.alias("review_status"), validation.alias("validation_status"), F.lit("uncalibrated").alias("quality_status"))
+    return table(s, d, "labels").select(k, p.alias("properties"))
+
+
+@query("review_buckets", f"""SELECT bucket, count(*) AS features, CAST(CASE bucket WHEN 'invalid' THEN 1 WHEN 'needs_review' THEN 2 ELSE 3 END AS BIGINT) AS urgency
+FROM {_VERDICT} GROUP BY 1""")
 def _buckets(s, d):
-    p = F.struct((F.col("quality") == 0).alias("review_required"), F.lit(None).cast("string").alias("review_status"), F.when(F.col("toxic") == 1, "Invalid").alias("validation_status"), F.lit("ok").alias("quality_status"))
-    return runs.review_buckets(table(s, d, "labels").select(p.alias("properties")))
+    return runs.review_buckets(_features_reviewed(s, d))
 
 
-@query("review_sink", "SELECT CASE WHEN toxic = 1 THEN 'invalid' WHEN quality = 0 THEN 'needs_review' ELSE 'clean' END AS bucket, count(*) AS rows FROM labels GROUP BY 1")
+@query("review_sink", f"SELECT bucket, count(*) AS rows FROM {_VERDICT} GROUP BY 1")
 def _sink(s, d):
-    l = table(s, d, "labels")
-    b = F.when(F.col("toxic") == 1, "invalid").when(F.col("quality") == 0, "needs_review").otherwise("clean")
-    return src.review_sink(l.withColumn("bucket", b), f"{shared_dir(s)}/review-{uuid.uuid4().hex}")
+    return src.review_sink(_features_reviewed(s, d), f"{shared_dir(s)}/review-{uuid.uuid4().hex}", runs.review_bucket(F.col("properties")))
 
 
-@query("plan_report", f"SELECT index AS run_id, state, state IN ('succeeded', 'failed') AS finished, CASE WHEN sheets = 0 THEN 0 ELSE sheets END AS layers FROM {ITEMS}")
+@query("plan_report", f"""SELECT run_id, state, coalesce(state IN ('completed', 'succeeded', 'failed', 'cancelled', 'needs_review'), false) AS finished,
+  CASE WHEN state IN ('completed', 'succeeded', 'needs_review') THEN CAST(run_id % 5 AS INTEGER) ELSE 0 END AS layers FROM {_STATED}""")
 def _plans(s, d):
-    return runs.plan_report(_items(s, d).select(F.col("index").alias("run_id"), F.initcap("state").alias("state"), F.when(F.col("sheets") > 0, F.col("sheets")).alias("layers")))
+    return runs.plan_report(_runs(s, d).withColumn("layers", F.when(F.col("sheets") > 0, F.col("sheets"))))
 
 
-@query("item_status", f"SELECT index, CASE state WHEN 'failed' THEN 'Failed' WHEN 'needs_review' THEN 'Needs review' WHEN 'running' THEN 'Running' WHEN 'pending' THEN 'Waiting' ELSE 'Done' END AS label, CASE state WHEN 'failed' THEN 'retry' WHEN 'needs_review' THEN 'review' WHEN 'succeeded' THEN 'open' ELSE 'wait' END AS action FROM {ITEMS}")
+@query("item_status", f"""SELECT index, state, CASE state WHEN 'failed' THEN '!' WHEN 'running' THEN '*' WHEN 'pending' THEN '-' WHEN 'succeeded' THEN '+' WHEN 'cancelled' THEN 'x' ELSE '?' END AS mark,
+  CASE state WHEN 'failed' THEN 'Failed' WHEN 'needs_review' THEN 'Needs review' WHEN 'running' THEN 'Running' WHEN 'pending' THEN 'Queued' WHEN 'succeeded' THEN 'Done'
+  WHEN 'cancelled' THEN 'Cancelled' WHEN 'rehydrating' THEN 'Rehydrating' WHEN 'error' THEN 'Error' WHEN 'review_required' THEN 'Review required' WHEN '' THEN 'Unknown' ELSE 'Completed' END AS label,
+  trim(message) AS detail, CASE state WHEN 'failed' THEN 'open' WHEN 'needs_review' THEN 'review' WHEN 'succeeded' THEN 'import' ELSE '' END AS action
+FROM (SELECT index, CASE WHEN index % 19 = 0 THEN '' ELSE state END AS state, message FROM {ITEMS})""")
 def _status(s, d):
-    label, action = runs.item_status(F.col("state"))
-    return _items(s, d).select("index", label.alias("label"), action.alias("action"))
+    state = F.when(F.col("index") % 19 == 0, " ").otherwise(F.upper("state"))
+    return runs.item_status(_items(s, d).withColumn("state", state))
 
 
 def _turns(s, d):
-    """A turn a conversation message: a step for each of up to three things known of it."""
-    c = table(s, d, "conversations")
-    step = lambda pos, name, status, code, message: F.struct(pos.cast("int").alias("position"), F.lit(name).alias("name"), status.cast("string").alias("status"), F.length("text").cast("long").alias("duration_ms"), code.cast("string").alias("code"), message.cast("string").alias("message"))
-    steps = F.array(step(F.lit(None), "read", F.lit("ok"), F.lit(None), F.col("role")), step(F.lit(7), "answer", F.when(F.col("turn") % 2 == 0, "failed"), F.when(F.col("turn") % 2 == 0, "E7"), F.lit(None)))
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), steps.alias("steps"), F.struct((F.col("turn") >= 3).alias("exhausted"), F.col("turn").alias("used"), F.lit(3).alias("allowed")).alias("budget"))
+    """A turn a conversation message, with two steps."""
+    c, n = table(s, d, "conversations"), F.length("text").cast("long")
+    none = F.lit(None).cast("string")
 
+    def step(index, title, capability, status, message, code, error):
+        given = {"index": index.cast("int"), "title": title, "capability": capability, "status": status, "message": message, "error_code": code, "error_message": error}
+        return F.struct(*[v.cast("int" if k == "index" else "string").alias(k) for k, v in given.items()], (n * 7).alias("duration_ms"))
 
-@query("trace_steps", "SELECT conv_id * 1000 + turn AS turn_id, 1 AS position, 'read' AS name, 'ok' AS status, length(text)::BIGINT AS duration_ms, role AS detail FROM conversations UNION ALL SELECT conv_id * 1000 + turn, 7, 'answer', CASE WHEN turn % 2 = 0 THEN 'failed' ELSE 'unknown' END, length(text), CASE WHEN turn % 2 = 0 THEN 'E7' END FROM conversations")
+    odd = F.col("turn") % 2 == 0
+    one = step(F.lit(None), F.lit(" Read "), F.lit("read"), none, F.col("role"), none, none)
+    two = step(F.when(odd, 7).otherwise(0), F.lit(""), F.when(odd, "answer"), F.when(odd, "failed").otherwise("cut"), F.lit(" "), F.when(odd, "E7"), F.when(odd, F.lit("no answer")))
+    budget = F.struct((F.col("turn") >= 3).alias("exhausted"), F.col("turn").alias("used"), F.lit(3).alias("allowed"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.array(one, two).alias("steps"), budget.alias("budget"))
+
+
+_TOOK = "CASE WHEN ms <= 0 THEN NULL WHEN ms < 1000 THEN ms || ' ms' WHEN ms < 10000 THEN printf('%.1f s', ms / 1000.0) ELSE printf('%.0f s', ms / 1000.0) END"
+
+
+@query("trace_steps", f"""WITH c AS (SELECT conv_id * 1000 + turn AS turn_id, turn % 2 = 0 AS odd, role, CAST(length(text) * 7 AS BIGINT) AS ms FROM conversations)
+SELECT turn_id, 1 AS position, 'Read' AS title, 'succeeded' AS status, 'done' AS label, {_TOOK} AS duration, role AS detail, CAST(NULL AS VARCHAR) AS code FROM c
+UNION ALL SELECT turn_id, CASE WHEN odd THEN 7 ELSE 2 END, CASE WHEN odd THEN 'answer' ELSE 'Step' END, CASE WHEN odd THEN 'failed' ELSE 'cut' END,
+  CASE WHEN odd THEN 'failed' ELSE 'cut' END, {_TOOK}, CASE WHEN odd THEN 'no answer' END, CASE WHEN odd THEN 'E7' END FROM c""")
 def _trace(s, d):
     return runs.trace_steps(_turns(s, d))
 
@@ -214,14 +296,19 @@ def _budget(s, d):
     return runs.budget_stops(_turns(s, d))
 
 
-@query("source_summary", "SELECT CASE page_id % 3 WHEN 0 THEN 'vector' WHEN 1 THEN 'raster' ELSE 'unknown' END AS kind, count(*) AS sources, CASE WHEN count_if(page_id % 50 = 1) = 0 OR page_id % 3 <> 1 THEN CAST(sum(length(html)) AS BIGINT) END AS bytes FROM pages GROUP BY page_id % 3")
+@query("source_summary", """WITH p AS (SELECT page_id // 10 AS task_id, page_id % 4 <> 0 AS file, 'sheet ' || page_id AS label, length(html) AS bytes,
+  CASE page_id % 5 WHEN 0 THEN 'vector' WHEN 1 THEN 'raster' WHEN 2 THEN 'vector' ELSE 'unknown' END AS kind, CASE WHEN page_id // 10 % 2 = 0 THEN 'vector' ELSE 'raster' END AS wanted FROM pages)
+SELECT task_id, count_if(file)::BIGINT AS files, count_if(NOT file)::BIGINT AS layers, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes, count_if(kind <> wanted)::BIGINT AS wrong,
+  min(CASE WHEN kind <> wanted THEN label END) AS first_wrong FROM p GROUP BY 1""")
 def _sources(s, d):
-    from geoanswers.functions.values import data_kind
-
-    k = F.col("page_id") % 3
-    path = F.concat(F.lit("f"), F.when(k == 0, ".geojson").when(k == 1, ".tif").otherwise(".html"))
-    p = table(s, d, "pages").select(path.alias("path"), F.when((k != 1) | (F.col("page_id") % 50 != 1), F.length("html").cast("long")).alias("bytes"))
-    return runs.source_summary(p, data_kind(F.col("path")))
+    k, i = F.col("page_id") % 5, F.col("page_id")
+    path = F.concat(F.lit("f.d/x"), F.when(k == 0, ".geojson").when(k == 1, ".TIF").when(k == 2, ".shp").when(k == 3, ".html").otherwise(".csv"))
+    task = F.floor(i / 10)
+    p = table(s, d, "pages").select(
+        task.alias("task_id"), F.when(i % 4 != 0, "file").otherwise("layer").alias("origin"), F.concat(F.lit("sheet "), i.cast("string")).alias("label"),
+        F.length("html").cast("long").alias("bytes"), path.alias("path"), F.when(task % 2 == 0, "vector").otherwise("raster").alias("wanted"),
+    )
+    return runs.source_summary(p, values.data_kind(F.col("path")))
 
 
 @query("sheets_missing", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -231,20 +318,32 @@ def _missing(s, d):
 
 # ---- sources -----------------------------------------------------------------------------------------------------
 
+#: Customers of a collection: collections grow in number with the table, not in size.
+_BLOCK = 500
+
 
 def _collections(s, d):
-    """A GeoJSON collection a nation: its box and its customers as points, some off the earth, some of unknown type."""
-    ring = lambda g: src.as_geojson(g)
-    feature = lambda props, g: F.concat(F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":'), g, F.lit("}"))
-    b = boxes(s, d).select("id", F.lit(0).cast("long").alias("k"), feature(F.to_json(F.struct("label", "region")), ring(geom.box(F.col("x0") / 10, F.col("y0") / 20, F.col("x0") / 10 + 1, F.col("y0") / 20 + 1))).alias("f"))
+    """GeoJSON collections of a nation's customers, a block of them each: a box around the nation's plot in each nation's
+    first block, customers as points, some off the earth, some of unknown type."""
+
+    def feature(props, g):
+        return F.concat(F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":'), g, F.lit("}"))
+
+    p = points(s, d).withColumn("block", F.floor(F.col("id") / _BLOCK))
     place = F.when(F.col("id") % 10 == 0, geom.point(F.col("x") + 1000, F.col("y"))).otherwise(geom.point(F.col("x") / 10, F.col("y") / 20))
-    g = F.when(F.col("id") % 11 == 0, '{"type":"GeometryCollection","geometries":[]}').otherwise(ring(place))
-    p = points(s, d).select(F.col("c_nationkey").cast("long").alias("id"), (F.col("id") + 1).alias("k"), feature(F.to_json(F.struct(F.col("label").alias("segment"))), g).alias("f"))
-    lists = b.union(p).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "f"))), lambda x: x["f"]).alias("fs"))
-    return lists.select(F.col("id").alias("run_id"), F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("fs", ","), F.lit("]}")).alias("text"))
+    g = F.when(F.col("id") % 11 == 0, '{"type":"GeometryCollection","geometries":[]}').otherwise(src.as_geojson(place))
+    one = F.struct(F.col("id").alias("k"), feature(F.to_json(F.struct(F.col("label").alias("segment"))), g).alias("f"))
+    x, y = F.col("c_nationkey") % 5 * 20, F.floor(F.col("c_nationkey") / 5) * 10
+    box = feature(F.to_json(F.struct(F.col("c_nationkey").alias("nation"))), src.as_geojson(geom.box(x, y, x + 1, y + 1)))
+    lists = p.groupBy("c_nationkey", "block").agg(F.transform(F.sort_array(F.collect_list(one)), lambda v: v["f"]).alias("fs"))
+    whole = F.array_join(F.concat(F.array(box), F.col("fs")), ",")
+    run = (F.col("block") * 100 + F.col("c_nationkey")).cast("long")
+    return lists.select(run.alias("run_id"), F.concat(F.lit('{"type":"FeatureCollection","features":['), whole, F.lit("]}")).alias("text"))
 
 
-_KINDS = "SELECT 'polygon' AS kind, count(*) AS features, 'label,region' AS names FROM nation UNION ALL SELECT 'point', count(*), 'segment' FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 11 <> 0"
+_BLOCKS = f"(SELECT c_nationkey, c_custkey // {_BLOCK} AS block, count(*) AS n FROM customer GROUP BY 1, 2)"
+_KINDS = f"""SELECT 'polygon' AS kind, count(*) AS features, 'nation' AS names FROM {_BLOCKS}
+UNION ALL SELECT 'point', count(*), 'segment' FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 11 <> 0"""
 
 
 def _by_kind(f):
@@ -258,22 +357,26 @@ def _features(s, d):
 
 @query("read_features", _KINDS)
 def _read_features(s, d):
+    """Writes a file for each collection, and reads the files."""
     path = f"{shared_dir(s)}/features-{uuid.uuid4().hex}"
-    _collections(s, d).select("text").repartition(5).write.option("lineSep", "\n").text(path)
-    # a collection a line here, so each line is read as a file of its own would be
-    return _by_kind(src.exploded(s.read.text(path).select(F.col("value").alias("text"))))
+    _collections(s, d).write.partitionBy("run_id").text(path)
+    return _by_kind(src.read_features(s, path))
 
 
-@query("drawings_from_runs", "SELECT c_nationkey::BIGINT AS run_id, count(*) + 1 AS features FROM customer WHERE c_nationkey % 2 = 0 GROUP BY 1")
+@query("drawings_from_runs", f"SELECT CAST(block * 100 + c_nationkey AS BIGINT) AS run_id, n + 1 AS features FROM {_BLOCKS} WHERE (block * 100 + c_nationkey) % 2 = 0")
 def _drawings(s, d):
     r = _collections(s, d).select("run_id", F.array(F.lit(None).cast("string"), F.when(F.col("run_id") % 2 == 0, F.col("text"))).alias("steps"))
     return src.drawings_from_runs(r).groupBy("run_id").agg(F.count("*").alias("features"))
 
 
-@query("truncation_audit", "SELECT n_name AS name, count(*) AS returned_count, count(*) + 3 AS total_count, 3::BIGINT AS missing FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 3 = 0 GROUP BY 1")
+@query("truncation_audit", """SELECT name, returned_count, total_count, CASE WHEN total_count > 0 THEN total_count - returned_count END AS missing
+FROM (SELECT o_custkey AS name, count(*) AS returned_count, CASE o_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE count(*) + o_custkey % 5 END AS total_count FROM orders GROUP BY 1)
+WHERE name % 3 = 0""")
 def _truncated(s, d):
-    c = points(s, d).groupBy("c_nationkey").agg(F.count("*").alias("returned_count")).join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return src.truncation_audit(c.select(F.col("n_name").alias("name"), "returned_count", (F.col("returned_count") + F.when(F.col("n_nationkey") % 3 == 0, 3).otherwise(0)).alias("total_count")))
+    c = table(s, d, "orders").groupBy(F.col("o_custkey").alias("name")).agg(F.count("*").alias("returned_count"))
+    k = F.col("name") % 5
+    total = F.when(k == 0, F.lit(None)).when(k == 1, 0).otherwise(F.col("returned_count") + k)
+    return src.truncation_audit(c.select("name", "returned_count", total.cast("long").alias("total_count"), F.when(F.col("name") % 3 == 0, True).alias("truncated")))
 
 
 @query("import_points", f"SELECT id, x, y FROM {POINTS} WHERE id % 20 <> 0")
@@ -300,28 +403,47 @@ def _export(s, d):
     return src.export(o, f"{base}/csv", "csv").union(src.export(o, f"{base}/json", "json"))
 
 
-@query("scatter_points")
+_UNIT = "CAST(('0x' || left(md5('7:{a}:' || id || ':' || n), 8)) AS BIGINT) / 4294967296.0"
+
+
+@query("scatter_points", f"""SELECT id, CAST(n AS INTEGER) AS n, round(x + (2 * {_UNIT.format(a="x")} - 1) * 25, 6) AS x, round(y + (2 * {_UNIT.format(a="y")} - 1) * 25, 6) AS y
+FROM {POINTS}, (VALUES (0), (1), (2)) t(n)""")
 def _scatter(s, d):
-    n = table(s, d, "customer").count()
-    return rounded(src.scatter_points(s, n, (500000, 4540000, 501000, 4541000), 7), 6)
+    return rounded(src.scatter_points(points(s, d), "id", 3, 25.0, 7), 6)
 
 
-@query("build_shapes", """SELECT l_orderkey AS shape_id, CAST(count(DISTINCT (l_quantity, l_discount)) AS INTEGER) AS vertices, CASE WHEN count(DISTINCT (l_quantity, l_discount)) >= 3 THEN 'ok' ELSE 'a polygon needs 3 distinct vertices' END AS status FROM lineitem GROUP BY 1""")
+@query("build_shapes", """SELECT l_orderkey AS shape_id, CAST(count(DISTINCT (l_quantity, l_discount)) AS INTEGER) AS vertices,
+  CASE WHEN count(DISTINCT (l_quantity, l_discount)) >= 3 THEN 'ok' ELSE 'a polygon needs 3 distinct vertices' END AS status FROM lineitem GROUP BY 1""")
 def _shapes(s, d):
-    v = table(s, d, "lineitem").select(F.col("l_orderkey").alias("shape_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("seq"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
+    seq = F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("seq")
+    v = table(s, d, "lineitem").select(F.col("l_orderkey").alias("shape_id"), seq, F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
     return src.build_shapes(v, "polygon").select("shape_id", "vertices", "status")
 
 
 def _refs(s, d):
-    """A run an order: its lines are references, older ones for every third order, both for every sixth."""
-    l = table(s, d, "lineitem")
-    one = F.struct(F.col("l_partkey").alias("id"), F.when(F.col("l_partkey") % 2 == 0, "vector").otherwise("raster").alias("kind"), F.concat(F.lit("layer "), F.col("l_suppkey").cast("string")).alias("name"))
-    g = l.groupBy(F.col("l_orderkey").alias("run_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", one.alias("r")))), lambda x: x["r"]).alias("all"))
-    empty = F.slice("all", 1, 0)
-    return g.select("run_id", F.when(F.col("run_id") % 3 == 0, empty).otherwise(F.col("all")).alias("references"), F.when(F.col("run_id") % 3 == 0, F.col("all")).otherwise(F.slice("all", 1, 1)).alias("legacy"))
-
-
-_REFS = """(SELECT run_id, layer_id, kind, name, CAST(position AS INTEGER) AS position FROM (SELECT *, row_number() OVER (PARTITION BY run_id, layer_id ORDER BY position) AS rn FROM (SELECT l_orderkey AS run_id, l_partkey AS layer_id, CASE WHEN l_partkey % 2 = 0 THEN 'vector' ELSE 'raster' END AS kind, 'layer ' || l_suppkey AS name, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS position FROM lineitem)) WHERE rn = 1)"""
+    """A run an order: its lines are references (layers, artifacts, some without an id), older ones for every third
+    order, both for the others."""
+    l, part, line = table(s, d, "lineitem"), F.col("l_partkey"), F.col("l_suppkey")
+    artifact = part % 7 == 0
+    name = F.when(line % 4 != 0, F.concat(F.lit("layer "), line.cast("string"))).otherwise("")
+    url = F.concat(F.lit("u/"), (part % 50).cast("string"), F.when(part % 2 == 0, ".GeoJSON").otherwise(".tif"))
+    form = F.when(line % 3 == 0, "GeoJSON").when(line % 3 == 1, "pdf")
+    one = F.struct(
+        F.when(artifact, "artifact").when(part % 11 == 0, "report").otherwise("Layer").alias("kind"), F.when(part % 13 != 0, (part % 100).cast("string")).otherwise("").alias("id"),
+        F.when(artifact, url).alias("url"), F.when(part % 2 == 0, "polygon").otherwise("Raster").alias("geometry_type"), F.when(artifact, form).alias("format"), name.alias("name"),
+    )
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", one.alias("r"))
+    g = l.groupBy(F.col("l_orderkey").alias("run_id")).agg(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["r"]).alias("all"))
+    empty, third = F.slice("all", 1, 0), F.col("run_id") % 3 == 0
+    return g.select("run_id", F.when(third, empty).otherwise(F.col("all")).alias("references"), F.when(third, F.col("all")).otherwise(F.slice("all", 1, 1)).alias("legacy"))
+
+
+_LINES = """(SELECT l_orderkey AS run_id, CASE WHEN l_partkey % 7 = 0 THEN 'artifact' WHEN l_partkey % 11 = 0 THEN 'report' ELSE 'layer' END AS kind,
+  CASE WHEN l_partkey % 13 <> 0 THEN CAST(l_partkey % 100 AS VARCHAR) ELSE '' END AS id, 'u/' || l_partkey % 50 || CASE WHEN l_partkey % 2 = 0 THEN '.GeoJSON' ELSE '.tif' END AS url,
+  CASE WHEN l_partkey % 2 = 0 THEN 'vector' ELSE 'raster' END AS shape, CASE l_suppkey % 3 WHEN 0 THEN 'geojson' WHEN 1 THEN 'pdf' ELSE '' END AS format,
+  CASE WHEN l_suppkey % 4 <> 0 THEN 'layer ' || l_suppkey END AS name, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS position FROM lineitem)"""
+_REFS = f"""(SELECT run_id, id AS layer_id, arg_min(shape, position) AS kind, arg_min(coalesce(name, id), position) AS name, CAST(min(position) AS INTEGER) AS position
+  FROM {_LINES} WHERE kind = 'layer' AND id <> '' GROUP BY 1, 2)"""
 
 
 @query("result_refs", f"SELECT * FROM {_REFS}")
@@ -329,10 +451,10 @@ def _result_refs(s, d):
     return src.result_refs(_refs(s, d))
 
 
-@query("artifact_fallback", "SELECT o_orderkey AS run_id, 'run' || o_orderkey || '.GeoJSON' AS url FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@query("artifact_fallback", f"""SELECT run_id, url, arg_min(coalesce(name, nullif(id, ''), 'result'), position) AS name FROM {_LINES}
+WHERE kind = 'artifact' AND (format = 'geojson' OR format = '' AND lower(url) LIKE '%geojson%') AND run_id NOT IN (SELECT run_id FROM {_REFS}) GROUP BY 1, 2""")
 def _artifacts(s, d):
-    o = table(s, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.concat(F.lit("run"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, ".GeoJSON").otherwise(".tif")).alias("url"))
-    return src.artifact_fallback(o, src.result_refs(_refs(s, d)))
+    return src.artifact_fallback(_refs(s, d))
 
 
 # ---- audits ------------------------------------------------------------------------------------------------------
@@ -348,10 +470,22 @@ def _diagnose(s, d):
     return audits.crs_diagnose(v, layers)
 
 
-@query("crs_mismatch", "SELECT n_regionkey AS project, count(*) AS count, string_agg(n_name, ',' ORDER BY n_name) FILTER (rn <= 3) AS names FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS rn FROM nation WHERE n_nationkey % 7 <> 0) GROUP BY 1")
+def _layers(s, d):
+    """A layer an order, its customer's region of 20 customers the project."""
+    k = F.col("o_orderkey")
+    crs = F.when(k % 7 == 0, "EPSG:4326").when(k % 5 != 0, "EPSG:3857")
+    project = F.floor(F.col("o_custkey") / 20)
+    return table(s, d, "orders").select(project.alias("project"), F.concat(F.lit("layer "), (k % 1000).cast("string")).alias("name"), crs.alias("crs"), F.lit("EPSG:4326").alias("project_crs"))
+
+
+_LAYERS = """(SELECT o_custkey // 20 AS project, 'layer ' || o_orderkey % 1000 AS name, CASE WHEN o_orderkey % 7 = 0 THEN 'EPSG:4326' WHEN o_orderkey % 5 <> 0 THEN 'EPSG:3857' END AS crs FROM orders)"""
+
+
+@query("crs_mismatch", f"""WITH o AS (SELECT project, name, count(*) AS n FROM {_LAYERS} WHERE crs <> 'EPSG:4326' GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY name) AS rn FROM o)
+SELECT project, CAST(sum(n) AS BIGINT) AS count, string_agg(name, ',' ORDER BY name) FILTER (rn <= 3) AS names FROM r GROUP BY 1""")
 def _mismatch(s, d):
-    n = table(s, d, "nation").select(F.col("n_regionkey").alias("project"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 7 == 0, "EPSG:4326").otherwise("EPSG:3857").alias("crs"), F.lit("EPSG:4326").alias("project_crs"))
-    return audits.crs_mismatch(n)
+    return audits.crs_mismatch(_layers(s, d))
 
 
 @query("layer_readiness", """SELECT layer_id, finding, CASE finding WHEN 'no_crs' THEN 1 WHEN 'unplaced_raster' THEN 2 WHEN 'service_backdrop' THEN 3 WHEN 'empty_layer' THEN 4 ELSE 5 END AS severity FROM (SELECT s_suppkey AS layer_id, CASE WHEN s_suppkey % 10 = 0 THEN 'service_backdrop' WHEN s_suppkey % 2 = 0 AND (s_suppkey % 6 = 0 OR s_acctbal <= 0) THEN 'unplaced_raster' WHEN s_suppkey % 6 IN (0, 3) THEN 'no_crs' WHEN s_suppkey % 2 = 1 AND s_nationkey = 0 THEN 'empty_layer' ELSE 'ready' END AS finding FROM supplier)""")
@@ -374,21 +508,33 @@ def _catalog(s, d):
     return audits.catalog_diagnostics(c)
 
 
-@query("project_profile", "SELECT n_regionkey AS project, n_name AS layer, CASE WHEN n_nationkey % 7 = 0 THEN 'EPSG:4326' ELSE 'EPSG:3857' END AS crs FROM nation")
+@query("project_profile", f"SELECT project, name AS layer, coalesce(crs, '') AS crs FROM {_LAYERS}")
 def _project(s, d):
-    return table(s, d, "nation").select(F.col("n_regionkey").alias("project"), F.col("n_name").alias("layer"), F.when(F.col("n_nationkey") % 7 == 0, "EPSG:4326").otherwise("EPSG:3857").alias("crs"))
+    return audits.project_profile(_layers(s, d))
+
+
+#: A layer a customer: the points of its orders, in degrees for two customers in three.
+_EXTENTS = """(SELECT o_custkey AS layer_id, o_custkey % 3 <> 0 AS geographic, CASE WHEN o_custkey % 6 = 0 THEN 'unknown' WHEN o_custkey % 3 = 0 THEN 'ft' ELSE 'degrees' END AS unit,
+  min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM (SELECT *, (o_orderkey * 7919 % 1000) / 125.0 + o_custkey % 59 * 6 - 179 AS x,
+  (o_orderkey * 104729 % 1000) / 250.0 + o_custkey % 37 * 5 - 92 AS y FROM orders) GROUP BY 1, 2, 3)"""
 
 
-@query("metric_plan", f"SELECT label, CASE WHEN x0 >= 600 THEN 'map_units' ELSE 'project' END AS frame FROM {BOXES}")
+@query("metric_plan", f"""WITH z AS (SELECT *, xmin <= xmax AND ymin <= ymax AND xmax - xmin <= 6 AND ymin >= -80 AND ymax <= 84 AND xmin >= -180 AND xmax <= 180 AS zoned FROM {_EXTENTS})
+SELECT layer_id, CASE WHEN NOT geographic AND unit = 'ft' THEN 'map_units' WHEN geographic AND zoned THEN 'reproject' ELSE 'refused' END AS plan,
+  CASE WHEN NOT geographic THEN CASE WHEN unit = 'ft' THEN 'map_units' ELSE 'unsupported' END WHEN zoned THEN 'project' ELSE 'ellipsoidal' END AS area_frame,
+  CASE WHEN geographic AND zoned THEN 'EPSG:32' || CASE WHEN ymin + ymax >= 0 THEN '6' ELSE '7' END
+    || lpad(CAST(CAST(least(60, floor(((xmin + xmax) / 2 + 180) / 6) + 1) AS INTEGER) AS VARCHAR), 2, '0') END AS crs FROM z""")
 def _metric(s, d):
-    """The area frame of each layer from its extent: narrow layers in degrees go to UTM, projected ones stay."""
-    b = boxes(s, d)
-    e = geom.bbox(F.col("geom"))
-    wide = (e["xmax"] - e["xmin"]) / 1000
-    return b.select("label", F.when(F.col("x0") >= 600, "map_units").when(wide > 6, "ellipsoidal").otherwise("project").alias("frame"))
+    """How a length and an area in metres apply to each layer, from its extent."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    x, y = (k * 7919 % 1000) / 125.0 + c % 59 * 6 - 179, (k * 104729 % 1000) / 250.0 + c % 37 * 5 - 92
+    extents = audits.extents(table(s, d, "orders").select(c.alias("layer_id"), x.alias("x"), y.alias("y")))
+    c = F.col("layer_id")
+    unit = F.when(c % 6 == 0, "unknown").when(c % 3 == 0, "ft").otherwise("degrees")
+    return audits.metric_plan(extents.withColumn("geographic", c % 3 != 0).withColumn("unit", unit))
 
 
-@query("run_state_stream", f"SELECT CASE state WHEN 'failed' THEN 'failed' WHEN 'needs_review' THEN 'review_required' WHEN 'succeeded' THEN 'completed' ELSE 'active' END AS bucket, count(*) AS runs FROM (SELECT batch_id, arg_max(state, (ts, index)) AS state FROM {ITEMS} GROUP BY 1) GROUP BY 1")
+@query("run_state_stream", f"""SELECT {_BUCKET} AS bucket, count(*) AS runs FROM (SELECT batch_id, arg_max(state, (ts, index)) AS state FROM {ITEMS} GROUP BY 1) GROUP BY 1""")
 def _stream(s, d):
     """The events as a stream of files; must equal the batch answer."""
     base = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"

@@ -74,11 +74,17 @@ def features_by_type(features: DataFrame, most: int | None = None) -> DataFrame:
     return out.limit(most) if most else out
 
 
-def scatter_points(spark: SparkSession, n: int, box: tuple[float, float, float, float], seed: int = 0) -> DataFrame:
-    """n points in a rectangle, the same for the same seed however they are partitioned."""
-    unit = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(1 << 52)) / float(1 << 52)
-    x, y = box[0] + unit(1) * (box[2] - box[0]), box[1] + unit(2) * (box[3] - box[1])
-    return spark.range(n).select("id", x.alias("x"), y.alias("y"))
+def scatter_points(anchors: DataFrame, key: str, each: int, radius: float, seed: int = 0) -> DataFrame:
+    """``each`` points around every anchor (key, x, y), in the square of that radius: key, n, x, y. The same for the same
+    seed however they are partitioned."""
+    rows = anchors.select(key, "x", "y", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("n"))
+
+    def unit(salt: str) -> Column:
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), F.col(key).cast("string"), F.col("n").cast("string")))
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32
+
+    at = lambda axis: (F.col(axis) + (2 * unit(axis) - 1) * radius).alias(axis)
+    return rows.select(key, "n", at("x"), at("y"))
 
 
 def build_shapes(vertices: DataFrame, kind: str) -> DataFrame:
@@ -115,26 +121,47 @@ def export(df: DataFrame, path: str, form: str) -> DataFrame:
     return back.agg(F.count("*").alias("rows")).select(F.lit(form).alias("format"), "rows")
 
 
-def review_sink(df: DataFrame, path: str, bucket: str = "bucket") -> DataFrame:
-    """A folder for each verdict that has rows; returns bucket, rows as read back."""
-    df.repartition(bucket).write.partitionBy(bucket).parquet(path)
-    return df.sparkSession.read.parquet(path).groupBy(bucket).agg(F.count("*").alias("rows"))
+def review_sink(features: DataFrame, path: str, bucket: Column) -> DataFrame:
+    """A folder for each verdict (``bucket``) that has rows; returns bucket, rows as read back."""
+    features.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(path)
+    return features.sparkSession.read.parquet(path).groupBy("bucket").agg(F.count("*").alias("rows"))
+
+
+def references(runs: DataFrame) -> DataFrame:
+    """run_id, position, r of every reference of runs (run_id, references, legacy: arrays of struct(kind, id, url,
+    geometry_type, format, name)): the newer list where it has entries, else the older."""
+    empty = F.array().cast(runs.schema["references"].dataType)
+    refs = F.when(F.size(F.coalesce("references", empty)) > 0, F.col("references")).otherwise(F.col("legacy"))
+    return runs.select("run_id", F.posexplode(refs).alias("position", "r"))
+
+
+def _first_of(rows: DataFrame, key: str) -> DataFrame:
+    """The first reference of each run and key: a combinable minimum."""
+    first = rows.groupBy("run_id", key).agg(F.min_by("r", "position").alias("r"), F.min("position").alias("position"))
+    return first
 
 
 def result_refs(runs: DataFrame) -> DataFrame:
-    """run_id, layer_id, kind, name, position from runs (run_id, references, legacy: arrays of struct(id, kind, name)):
-    the newer list where it has entries, else the older; the first of each id."""
-    from pyspark.sql import Window
+    """run_id, layer_id, kind, name, position of the result layers, the first of each id: kind is raster where the
+    geometry type says so, else vector; a layer without a name has its id."""
+    rows = references(runs).filter((F.lower("r.kind") == "layer") & (F.coalesce("r.id", F.lit("")) != ""))
+    first = _first_of(rows.withColumn("layer_id", F.col("r.id")), "layer_id")
+    kind = F.when(F.lower("r.geometry_type") == "raster", "raster").otherwise("vector")
+    return first.select("run_id", "layer_id", kind.alias("kind"), F.coalesce(F.nullif("r.name", F.lit("")), "layer_id").alias("name"), "position")
+
 
-    refs = F.when(F.size(F.coalesce("references", F.array().cast(runs.schema["references"].dataType))) > 0, F.col("references")).otherwise(F.col("legacy"))
-    rows = runs.select("run_id", F.posexplode(refs).alias("position", "r")).filter("r.id is not null")
-    w = Window.partitionBy("run_id", "r.id").orderBy("position")
-    return rows.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("run_id", F.col("r.id").alias("layer_id"), F.col("r.kind").alias("kind"), F.col("r.name").alias("name"), "position")
+#: Formats of artifacts that hold GeoJSON.
+_GEOJSON = ["geojson", "json", "geo+json"]
 
 
-def artifact_fallback(artifacts: DataFrame, refs: DataFrame) -> DataFrame:
-    """GeoJSON artifacts of runs that made no layer."""
-    return artifacts.filter(F.lower("url").endswith(".geojson")).join(refs.select("run_id").distinct(), "run_id", "left_anti")
+def artifact_fallback(runs: DataFrame) -> DataFrame:
+    """run_id, url, name of the GeoJSON artifacts, each url once, of runs that made no layer: by format, and by url where
+    no format is given."""
+    form = F.lower(F.coalesce("r.format", F.lit("")))
+    geojson = form.isin(_GEOJSON) | ((form == "") & F.lower("r.url").contains("geojson"))
+    rows = references(runs).filter((F.lower("r.kind") == "artifact") & (F.coalesce("r.url", F.lit("")) != "") & geojson)
+    found = _first_of(rows.withColumn("url", F.col("r.url")), "url").join(result_refs(runs).select("run_id").distinct(), "run_id", "left_anti")
+    return found.select("run_id", "url", F.coalesce(F.nullif("r.name", F.lit("")), F.nullif("r.id", F.lit("")), F.lit("result")).alias("name"))
 
 
 def drawings_from_runs(runs: DataFrame) -> DataFrame:
@@ -144,5 +171,8 @@ def drawings_from_runs(runs: DataFrame) -> DataFrame:
 
 
 def truncation_audit(collections: DataFrame) -> DataFrame:
-    """name, returned_count, total_count of the collections that say they hold less than there is."""
-    return collections.filter("returned_count < total_count").select("name", "returned_count", "total_count", (F.col("total_count") - F.col("returned_count")).alias("missing"))
+    """name, returned_count, total_count, missing of the collections that say they were truncated (truncated, and the
+    counts where they are known: missing is NULL where one isn't)."""
+    told = (F.col("total_count") > 0) & F.col("returned_count").isNotNull()
+    missing = F.when(told, F.col("total_count") - F.col("returned_count"))
+    return collections.filter(F.coalesce("truncated", F.lit(False))).select("name", "returned_count", "total_count", missing.alias("missing"))
