@@ -6,7 +6,8 @@ import math
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Metres in a unit.
 UNITS = {"m": 1.0, "km": 1000.0, "ft": 0.3048}
@@ -61,6 +62,14 @@ def utm_zone(west: float, south: float, east: float, north: float) -> str | None
     return f"EPSG:32{6 if south + north >= 0 else 7}{zone:02d}"
 
 
+def utm_zone_column(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """``utm_zone`` of boxes given as columns; NULL where there is none."""
+    sound = (west <= east) & (south <= north) & (east - west <= WIDEST) & (south >= -80) & (north <= 84) & (west >= -180) & (east <= 180)
+    zone = F.least(F.lit(60), (F.floor(((west + east) / 2 + 180) / 6) + 1).cast("int"))
+    code = F.concat(F.lit("EPSG:32"), F.when(south + north >= 0, "6").otherwise("7"), F.lpad(zone.cast("string"), 2, "0"))
+    return F.when(sound, code)
+
+
 def metric_plan(meta: LayerMeta, box: tuple[float, float, float, float] | None, length: float | None) -> tuple[str, str | None]:
     """How a length in metres applies to a layer: none, map_units, reproject (with the UTM CRS) or a refusal."""
     if length is None:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoanswers import meta
+
 #: Severity by finding, worst first.
 SEVERITY = {"no_crs": 1, "unplaced_raster": 2, "service_backdrop": 3, "empty_layer": 4, "ready": 5}
 
@@ -25,13 +27,31 @@ def crs_diagnose(vertices: DataFrame, layers: DataFrame) -> DataFrame:
 
 
 def crs_mismatch(layers: DataFrame, project: str = "project", project_crs: str = "project_crs") -> DataFrame:
-    """project, count and the first three names of its layers in another CRS: a bounded, combinable list."""
+    """project, count and the first three names of its layers in another CRS. Names are counted first, ranked within 64
+    hash parts of a project and then among the three of each part: no project is one large group."""
     odd = layers.filter(F.col("crs").isNotNull() & (F.col("crs") != F.col(project_crs)))
-    ranked = odd.groupBy(project).agg(F.count("*").alias("count"), F.min("name").alias("a"))
-    second = odd.join(ranked.select(project, "a"), project).filter("name > a").groupBy(project).agg(F.min("name").alias("b"))
-    third = odd.join(second, project).filter("name > b").groupBy(project).agg(F.min("name").alias("c"))
-    out = ranked.join(second, project, "left").join(third, project, "left")
-    return out.select(project, "count", F.concat_ws(",", "a", "b", "c").alias("names"))
+    names = odd.groupBy(project, "name").agg(F.count("*").alias("n")).withColumn("_part", F.pmod(F.xxhash64("name"), F.lit(64)))
+    by_part = Window.partitionBy(project, "_part").orderBy("name")
+    first = names.withColumn("_rank", F.row_number().over(by_part)).filter("_rank <= 3")
+    gathered = first.groupBy(project).agg(F.slice(F.sort_array(F.collect_list("name")), 1, 3).alias("names"))
+    counts = names.groupBy(project).agg(F.sum("n").alias("count"))
+    return counts.join(gathered, project).select(project, "count", F.array_join("names", ",").alias("names"))
+
+
+def project_profile(layers: DataFrame, project: str = "project") -> DataFrame:
+    """project, layer, crs: every layer with its CRS, "" where it has none."""
+    return layers.select(project, F.col("name").alias("layer"), F.coalesce("crs", F.lit("")).alias("crs"))
+
+
+def metric_plan(layers: DataFrame) -> DataFrame:
+    """layer_id, plan, area_frame, crs of layers (layer_id, geographic, unit, xmin, ymin, xmax, ymax): how a length in metres
+    and an area apply to each, as ``meta.metric_plan`` and ``meta.area_frame`` say for one; refused where neither does."""
+    zone = meta.utm_zone_column(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"))
+    known = F.col("unit").isin(list(meta.UNITS))
+    zone = F.when(F.col("geographic"), zone)
+    plan = F.when(~F.col("geographic") & known, "map_units").when(zone.isNotNull(), "reproject").otherwise("refused")
+    area = F.when(~F.col("geographic"), F.when(known, "map_units").otherwise("unsupported")).when(zone.isNotNull(), "project").otherwise("ellipsoidal")
+    return layers.select("layer_id", plan.alias("plan"), area.alias("area_frame"), zone.alias("crs"))
 
 
 def georeferenced(crs: Column, width: Column, height: Column) -> Column:

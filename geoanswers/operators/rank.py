@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geoanswers.functions.values import number
 from geoanswers.meta import Refused, need_columns
+from geoanswers.operators.ordering import quantiles
 
 LEAST_VALUES = 4
 
@@ -23,9 +24,9 @@ def fences(df: DataFrame, field: str, method: str) -> DataFrame:
     """One row: low, high, considered; bounds are NULL where fewer than four values are usable or none spreads."""
     v = number(F.col(field))
     if method == "iqr":
-        q = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(v).alias("considered"))
-        iqr = F.get("q", F.lit(1)) - F.get("q", F.lit(0))
-        low, high = F.get("q", F.lit(0)) - 1.5 * iqr, F.get("q", F.lit(1)) + 1.5 * iqr
+        first, third = (F.lit(x).cast("double") for x in quantiles(df, v, [0.25, 0.75]))
+        q = df.agg(F.count(v).alias("considered"))
+        low, high = first - 1.5 * (third - first), third + 1.5 * (third - first)
     elif method == "zscore":
         q = df.agg(F.avg(v).alias("m"), F.nullif(F.stddev_pop(v), F.lit(0.0)).alias("s"), F.count(v).alias("considered"))
         low, high = F.col("m") - 3 * F.col("s"), F.col("m") + 3 * F.col("s")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoanswers.functions.values import coerced
 from geoanswers.meta import Refused, need_columns
@@ -21,6 +24,22 @@ def read_columns(df: DataFrame, columns: list[str], id_col: str = "id", cap: int
     return out.orderBy("id").limit(cap).withColumn("truncated", F.lit(more))
 
 
+def _literal(value: str, kind: T.DataType) -> Column:
+    """The value in the field's type; one that is none of that type is refused before a job starts."""
+    try:
+        if isinstance(kind, T.IntegralType):
+            int(value)
+        elif isinstance(kind, T.NumericType):
+            float(value)
+        elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            datetime.datetime.fromisoformat(value.strip())
+        elif isinstance(kind, T.BooleanType) and value.strip().lower() not in ("true", "false"):
+            raise ValueError
+    except ValueError:
+        raise Refused(f"{value!r} is no {kind.simpleString()}") from None
+    return F.lit(value).try_cast(kind)
+
+
 def typed_filter(df: DataFrame, field: str, operator: str, value: str | None = None) -> DataFrame:
     """Rows for which the field stands in the operator to the value, which is cast to the field's type."""
     need_columns(df, field)
@@ -33,10 +52,10 @@ def typed_filter(df: DataFrame, field: str, operator: str, value: str | None = N
         values = [v.strip() for v in (value or "").split(",") if v.strip()]
         if not values:
             raise Refused("an empty list")
-        return df.filter(c.isin(*[F.lit(v).cast(kind) for v in values]))
+        return df.filter(c.isin(*[_literal(v, kind) for v in values]))
     if operator not in _BINARY or value is None:
         raise Refused(f"unknown operator: {operator}")
-    return df.filter(getattr(c, _BINARY[operator])(value if operator == "like" else F.lit(value).try_cast(kind)))
+    return df.filter(getattr(c, _BINARY[operator])(value if operator == "like" else _literal(value, kind)))
 
 
 def select_ids(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
@@ -82,11 +101,32 @@ def calc_field(df: DataFrame, name: str, expression: Column, kind: str = "number
     return df.withColumn(name, coerced(expression, kind))
 
 
+def calc_problem(expression: Column, kind: str) -> Column:
+    """Why a row's value can't be stored, NULL where it can: not a number, or not a finite one. NULL is no problem."""
+    if kind == "text":
+        return F.lit(None).cast("string")
+    v = expression.try_cast("double")
+    endless = F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
+    odd = F.concat(F.lit("'"), F.substring(expression.cast("string"), 1, 40), F.lit("' is not a number"))
+    return F.when(expression.isNull(), F.lit(None)).when(v.isNull(), odd).when(endless, "a value was not a finite number")
+
+
+def _first_five(rows: DataFrame, order: str, value: str, n: int) -> DataFrame:
+    """The first n values by ``order`` in one line: at most n rows are gathered."""
+    first = rows.orderBy(order).limit(n)
+    return first.agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("string").alias("v")))), lambda s: s["v"]).alias(value))
+
+
 def calc_preview(df: DataFrame, expression: Column, kind: str = "number", order: str = "id") -> DataFrame:
-    """One row: rows, nulls, and the first five values by ``order``."""
-    out = calc_field(df, "_value", expression, kind)
-    return out.agg(F.count("*").alias("rows"), F.count_if(F.col("_value").isNull()).alias("nulls")).join(
-        out.orderBy(order).limit(5).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_value").alias("v")))), lambda s: F.coalesce(s["v"].cast("string"), F.lit("null"))), ",").alias("sample")))
+    """One row, of the same values as the new column would have: rows, nulls, the first five values by ``order`` (sample),
+    rows that could not be stored (bad) and the first three reasons (problems)."""
+    out = calc_field(df, "_value", expression, kind).withColumn("_problem", calc_problem(expression, kind))
+    bad = F.col("_problem").isNotNull()
+    whole = out.agg(F.count("*").alias("rows"), F.count_if(F.col("_value").isNull()).alias("nulls"), F.count_if(bad).alias("bad"))
+    sample = _first_five(out.filter("_value is not null"), order, "_value", 5)
+    problems = _first_five(out.filter(bad), order, "_problem", 3)
+    both = whole.crossJoin(F.broadcast(sample)).crossJoin(F.broadcast(problems))
+    return both.select("rows", "nulls", F.array_join("_value", ",").alias("sample"), "bad", F.array_join("_problem", "; ").alias("problems"))
 
 
 def merge_layers(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoanswers.functions.values import is_blank, number
 from geoanswers.meta import LayerMeta, Refused, need_columns
+from geoanswers.operators.ordering import group_medians, placed, quantiles
 
-_STATISTICS = {"count": F.count, "sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "median": F.median}
+_STATISTICS = {"count": F.count, "sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "median": None}
 
 
 def numeric_summary(df: DataFrame, field: str) -> DataFrame:
     """One row: count, usable, nulls, sum, mean, median, quartiles, min, max, stddev of the values that parse."""
     need_columns(df, field)
     v = number(F.col(field))
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.agg(F.count("*").alias("count"), F.count(v).alias("usable"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_samp(v).alias("stddev"), q.alias("_q"))
-    return out.select("count", "usable", (F.col("count") - F.col("usable")).alias("nulls"), "sum", "mean", "min", "max", "stddev", *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    q = quantiles(df, v, [0.25, 0.5, 0.75])
+    out = df.agg(
+        F.count("*").alias("count"), F.count(v).alias("usable"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.min(v).alias("min"),
+        F.max(v).alias("max"), F.stddev_samp(v).alias("stddev"),
+    )
+    quarters = [F.lit(x).cast("double").alias(n) for x, n in zip(q, ("q1", "median", "q3"))]
+    return out.select("count", "usable", (F.col("count") - F.col("usable")).alias("nulls"), "sum", "mean", "min", "max", "stddev", *quarters)
 
 
 def categories(df: DataFrame, field: str, limit: int = 25) -> DataFrame:
@@ -57,7 +62,13 @@ def group_aggregate(df: DataFrame, group: str, value: str | None = None, statist
         raise Refused(f"unknown statistic: {statistic}")
     g = F.when(~is_blank(F.col(group)), F.col(group))
     v = number(F.col(value)) if value else F.lit(1.0)
-    out = df.groupBy(g.alias("group")).agg(F.count("*").alias("features"), F.count(v).alias("usable"), _STATISTICS[statistic](v).alias("value"))
+    counts = [F.count("*").alias("features"), F.count(v).alias("usable")]
+    if statistic == "median":
+        medians = group_medians(df, g, v).withColumnRenamed("group", "_g")
+        out = df.groupBy(g.alias("group")).agg(*counts)
+        out = out.join(medians, F.col("group").eqNullSafe(F.col("_g")), "left").drop("_g")
+    else:
+        out = df.groupBy(g.alias("group")).agg(*counts, _STATISTICS[statistic](v).alias("value"))
     return out.select("group", "features", "usable", (F.col("features") - F.col("usable")).alias("skipped"), "value")
 
 
@@ -72,22 +83,42 @@ def compare(df: DataFrame, field: str, subset: Column) -> DataFrame:
 
 
 def field_profile(df: DataFrame) -> DataFrame:
-    """field, type, nulls, blanks, distinct (as text, without blanks), numeric (half of the filled values parse)."""
-    parts = []
-    for i, (name, kind) in enumerate(df.dtypes):
-        c = F.col(f"`{name}`")
-        text = c.cast("string")
-        filled = F.when(~is_blank(c), text)
-        parts += [F.count_if(c.isNull()).alias(f"n{i}"), F.count_if(c.isNotNull() & is_blank(c)).alias(f"b{i}"), F.countDistinct(filled).alias(f"d{i}"), F.count(filled).alias(f"f{i}"), F.count(filled.try_cast("double")).alias(f"p{i}")]
-    one = df.agg(*parts)
-    rows = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(k).alias("type"), F.col(f"n{i}").alias("nulls"), F.col(f"b{i}").alias("blanks"), F.col(f"d{i}").alias("distinct"), ((F.col(f"f{i}") > 0) & (2 * F.col(f"p{i}") >= F.col(f"f{i}"))).alias("numeric")) for i, (n, k) in enumerate(df.dtypes)])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    """field, type, nulls, blanks, distinct (as text, without blanks), numeric (half of the filled values parse).
+
+    Fields become rows (field, text), equal ones are counted before the one shuffle, and counts are summed by field."""
+    texts = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{name}`").cast("string").alias("text")) for i, name in enumerate(df.columns)])
+    counted = df.select(F.explode(texts).alias("x")).groupBy("x.i", "x.text").agg(F.count("*").alias("n"))
+    text, n = F.col("text"), F.col("n")
+    filled = ~is_blank(text)
+    some = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0)).alias
+    out = counted.groupBy("i").agg(
+        some(text.isNull())("nulls"), some(text.isNotNull() & ~filled)("blanks"), F.count_if(filled).alias("distinct"), some(filled)("filled"),
+        some(filled & text.try_cast("double").isNotNull())("parsed"),
+    )
+    # a field of an empty table has no rows
+    names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(name).alias("field"), F.lit(kind).alias("type")) for i, (name, kind) in enumerate(df.dtypes)])
+    fields = df.sparkSession.range(1).select(F.inline(names))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    numeric = F.coalesce((F.col("filled") > 0) & (2 * F.col("parsed") >= F.col("filled")), F.lit(False))
+    return fields.join(out, "i", "left").select("field", "type", zero("nulls"), zero("blanks"), zero("distinct"), numeric.alias("numeric"))
 
 
 def layer_profile(df: DataFrame, name: str, meta: LayerMeta, box: tuple[str, str, str, str] | None = None) -> DataFrame:
     """One row: name, crs, geographic, features, fields, extent."""
     extent = [F.lit(None).cast("double")] * 4 if box is None else [F.min(box[0]), F.min(box[1]), F.max(box[2]), F.max(box[3])]
-    return df.agg(F.count("*").alias("features"), *[e.alias(n) for e, n in zip(extent, ("xmin", "ymin", "xmax", "ymax"))]).select(F.lit(name).alias("name"), F.lit(meta.crs).cast("string").alias("crs"), F.lit(meta.geographic).alias("geographic"), "features", F.lit(len(df.columns)).alias("fields"), "xmin", "ymin", "xmax", "ymax")
+    corners = [e.alias(n) for e, n in zip(extent, ("xmin", "ymin", "xmax", "ymax"))]
+    said = [F.lit(name).alias("name"), F.lit(meta.crs).cast("string").alias("crs"), F.lit(meta.geographic).alias("geographic")]
+    one = df.agg(F.count("*").alias("features"), *corners)
+    return one.select(*said, "features", F.lit(len(df.columns)).alias("fields"), "xmin", "ymin", "xmax", "ymax")
+
+
+def raster_profile(cells: DataFrame, placed: Column, raster: str = "raster_id") -> DataFrame:
+    """raster, width, height, bands, georeferenced of rasters given as cells (raster, band, row, col); ``placed``: whether a
+    cell's raster has a CRS and an extent."""
+    return cells.groupBy(raster).agg(
+        (F.max("col") + 1).alias("width"), (F.max("row") + 1).alias("height"), F.max("band").alias("bands"),
+        F.coalesce(F.bool_or(placed), F.lit(False)).alias("georeferenced"),
+    )
 
 
 def profile(df: DataFrame, name: str, meta: LayerMeta) -> DataFrame:
@@ -101,7 +132,8 @@ def class_breaks(df: DataFrame, field: str, classes: int = 5, method: str = "qua
     need_columns(df, field)
     v = number(F.col(field))
     if method == "quantile":
-        edges = F.percentile(v, F.array(*[F.lit(i / classes) for i in range(classes + 1)]))
+        edges = F.array(*[F.lit(x).cast("double") for x in quantiles(df, v, [i / classes for i in range(classes + 1)])])
+        edges = F.when(F.count(v) > 0, edges)
     elif method == "equal_interval":
         edges = F.transform(F.sequence(F.lit(0), F.lit(classes)), lambda i: F.min(v) + i * (F.max(v) - F.min(v)) / classes)
     elif method == "std_dev":
@@ -123,5 +155,5 @@ def class_assign(df: DataFrame, field: str, classes: int = 5, method: str = "qua
 
 def choropleth(df: DataFrame, group: str, value: str, statistic: str = "sum") -> DataFrame:
     """rank, group, value: measured groups, largest first."""
-    g = group_aggregate(df, group, value, statistic)
-    return g.select(F.row_number().over(Window.orderBy(F.desc("value"), F.col("group").asc_nulls_last())).alias("rank"), "group", "features", "value")
+    ranked = placed(group_aggregate(df, group, value, statistic), [F.desc("value"), F.col("group").asc_nulls_last()], {}, "ranks")
+    return ranked.select(F.col("place").cast("int").alias("rank"), "group", "features", "value")

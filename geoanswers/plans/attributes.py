@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geoanswers.functions import values
 from geoanswers.meta import LayerMeta
-from geoanswers.operators import rank, scope, summary
+from geoanswers.operators import audits, rank, scope, summary
 from geoanswers.plans.tables import table
 
 QUERIES: dict = {}
@@ -52,9 +52,9 @@ def _numeric(spark, d):
     return rounded(summary.numeric_summary(_items(spark, d), "qty"))
 
 
-@query("table_numeric", _NUMERIC.format("SELECT o_totalprice AS v FROM orders WHERE o_custkey BETWEEN 10 AND 900"))
+@query("table_numeric", _NUMERIC.format("SELECT o_totalprice AS v FROM orders WHERE o_custkey % 3 <> 0"))
 def _table_numeric(spark, d):
-    return rounded(summary.numeric_summary(table(spark, d, "orders").filter("o_custkey between 10 and 900"), "o_totalprice"))
+    return rounded(summary.numeric_summary(table(spark, d, "orders").filter("o_custkey % 3 <> 0"), "o_totalprice"))
 
 
 _CATEGORIES = """WITH t AS (SELECT {c} AS value, count(*) AS count FROM {t} GROUP BY 1),
@@ -93,6 +93,11 @@ def _table_group(spark, d):
     return rounded(summary.group_aggregate(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", "sum"))
 
 
+@query("group_median", _GROUP.format(g="flag", v="l_extendedprice", s="median(l_extendedprice)", t=_HOLES))
+def _group_median(spark, d):
+    return rounded(summary.group_aggregate(_items(spark, d), "flag", "l_extendedprice", "median"))
+
+
 @query("compare", """SELECT *, round(subset_mean_ - whole_mean_, 4) AS mean_delta, round(100 * (subset_mean_ - whole_mean_) / whole_mean_, 4) AS mean_delta_percent FROM (
 SELECT count(qty) FILTER (l_shipdate >= '2000-01-01') AS subset_usable, avg(qty) FILTER (l_shipdate >= '2000-01-01') AS subset_mean_, min(qty) FILTER (l_shipdate >= '2000-01-01') AS subset_min, max(qty) FILTER (l_shipdate >= '2000-01-01') AS subset_max,
 count(qty) AS whole_usable, avg(qty) AS whole_mean_, min(qty) AS whole_min, max(qty) AS whole_max FROM """ + _HOLES + ")")
@@ -108,12 +113,16 @@ def _profile_sql(columns: list[tuple[str, str]], source: str) -> str:
     return " UNION ALL ".join("SELECT field, type, CAST(nulls AS BIGINT) AS nulls, CAST(blanks AS BIGINT) AS blanks, \"distinct\", numeric FROM (" + one.format(c=c, t=t, s=source) + ")" for c, t in columns)
 
 
-_FIELDS = [("l_partkey", "bigint"), ("flag", "string"), ("qty", "double"), ("l_linestatus", "string")]
+#: All of lineitem, and the two columns with holes.
+_FIELDS = [
+    *[(f"l_{c}", "bigint") for c in ("orderkey", "partkey", "suppkey")], ("l_linenumber", "int"), *[(f"l_{c}", "double") for c in ("quantity", "extendedprice", "discount", "tax")],
+    ("l_returnflag", "string"), ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz"), ("flag", "string"), ("qty", "double"),
+]
 
 
 @query("field_profile", _profile_sql(_FIELDS, _HOLES))
 def _field_profile(spark, d):
-    return summary.field_profile(_items(spark, d).select(*[c for c, _ in _FIELDS]))
+    return summary.field_profile(_items(spark, d))
 
 
 _META = LayerMeta("EPSG:32635", "m")
@@ -127,7 +136,16 @@ def _layer_profile(spark, d):
 
 @query("profile", "SELECT *, 'items' AS name, 'EPSG:32635' AS crs, (SELECT count(*) FROM lineitem) AS features FROM (" + _profile_sql(_FIELDS, _HOLES) + ")")
 def _profile(spark, d):
-    return summary.profile(_items(spark, d).select(*[c for c, _ in _FIELDS]), "items", _META)
+    return summary.profile(_items(spark, d), "items", _META)
+
+
+@query("raster_profile", """SELECT o_custkey % 50 AS raster_id, CAST(max(o_orderkey % 100) + 1 AS INTEGER) AS width, CAST(max(o_orderkey // 100) + 1 AS INTEGER) AS height,
+  CAST(max(1 + o_orderkey % 3) AS INTEGER) AS bands, o_custkey % 50 % 3 <> 0 AS georeferenced FROM orders GROUP BY 1""")
+def _raster_profile(spark, d):
+    k, raster = F.col("o_orderkey"), F.col("o_custkey") % 50
+    cells = table(spark, d, "orders").select(raster.alias("raster_id"), (1 + k % 3).cast("int").alias("band"), F.floor(k / 100).cast("int").alias("row"), (k % 100).cast("int").alias("col"))
+    crs = F.when(F.col("raster_id") % 3 != 0, "EPSG:32635")
+    return summary.raster_profile(cells, audits.georeferenced(crs, F.lit(1), F.lit(1)))
 
 
 @query("table_profile", "SELECT 'customer' AS name, NULL::VARCHAR AS crs, false AS geographic, count(*) AS features, 5 AS fields, NULL::DOUBLE AS xmin, NULL::DOUBLE AS ymin, NULL::DOUBLE AS xmax, NULL::DOUBLE AS ymax FROM customer")
@@ -228,9 +246,14 @@ def _calc_field(spark, d):
     return c.select("c_custkey", "share", "whole", "tag")
 
 
-@query("calc_preview", "WITH v AS (SELECT o_orderkey AS id, CAST(trunc(o_totalprice / nullif(o_custkey % 7, 0)) AS BIGINT) AS v FROM orders) SELECT count(*) AS rows, count_if(v IS NULL)::BIGINT AS nulls, (SELECT string_agg(coalesce(v::VARCHAR, 'null'), ',' ORDER BY id) FROM (SELECT * FROM v ORDER BY id LIMIT 5)) AS sample FROM v")
+@query("calc_preview", """WITH v AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 7 <> 0 THEN CAST(trunc(o_totalprice / (o_custkey % 7)) AS BIGINT) END AS v,
+  CASE WHEN o_custkey % 14 = 0 THEN '''n/a ' || o_orderkey || ''' is not a number' END AS problem FROM orders)
+SELECT count(*) AS rows, count_if(v IS NULL)::BIGINT AS nulls, (SELECT string_agg(v::VARCHAR, ',' ORDER BY id) FROM (SELECT * FROM v WHERE v IS NOT NULL ORDER BY id LIMIT 5)) AS sample,
+  count_if(problem IS NOT NULL)::BIGINT AS bad, (SELECT string_agg(problem, '; ' ORDER BY id) FROM (SELECT * FROM v WHERE problem IS NOT NULL ORDER BY id LIMIT 3)) AS problems FROM v""")
 def _calc_preview(spark, d):
-    return scope.calc_preview(table(spark, d, "orders"), F.try_divide("o_totalprice", F.col("o_custkey") % 7), "integer", "o_orderkey")
+    k = F.col("o_custkey")
+    value = F.when(k % 14 == 0, F.concat(F.lit("n/a "), F.col("o_orderkey").cast("string"))).otherwise(F.try_divide("o_totalprice", k % 7).cast("string"))
+    return scope.calc_preview(table(spark, d, "orders"), value, "integer", "o_orderkey")
 
 
 @query("blank_flags", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, flag IS NULL OR trim(flag) = '' AS blank FROM {_HOLES}")
@@ -238,10 +261,12 @@ def _blank_flags(spark, d):
     return _items(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", values.is_blank(F.col("flag")).alias("blank"))
 
 
-@query("nested_as_text", """SELECT n_nationkey, '{"name":"' || n_name || '","region":' || n_regionkey || '}' AS info, '[' || n_nationkey || ',' || n_regionkey || ']' AS keys FROM nation""")
+@query("nested_as_text", """SELECT o_orderkey, '{"status":"' || o_orderstatus || '","customer":' || o_custkey || '}' AS info,
+  CASE WHEN o_orderkey % 4 <> 0 THEN '[' || o_orderkey || ',' || o_custkey || ']' END AS keys FROM orders""")
 def _nested(spark, d):
-    n = table(spark, d, "nation").select("n_nationkey", F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).alias("info"), F.array("n_nationkey", "n_regionkey").alias("keys"))
-    return values.nested_as_text(n)
+    info = F.struct(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer")).alias("info")
+    keys = F.when(F.col("o_orderkey") % 4 != 0, F.array("o_orderkey", "o_custkey")).alias("keys")
+    return values.nested_as_text(table(spark, d, "orders").select("o_orderkey", info, keys))
 
 
 @query("table_source", "SELECT s_suppkey AS id, s_acctbal FROM supplier")
@@ -282,9 +307,11 @@ def _remove_source(spark, d):
     return scope.without(table(spark, d, "part").select("p_partkey", "p_name"), gone, "p_partkey")
 
 
-@query("scalar_functions", """SELECT page_id, CASE WHEN ext IN ('html', 'htm') THEN 'unknown' WHEN ext IN ('csv', 'json') THEN 'vector' WHEN ext IN ('png', 'pdf') THEN 'raster' ELSE 'unknown' END AS kind, CASE WHEN page_id % 3 = 0 THEN '-' ELSE '' END || '$' || (page_id * 37 // 100)::VARCHAR || '.' || lpad((page_id * 37 % 100)::VARCHAR, 2, '0') AS price
-FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'csv' WHEN 1 THEN 'png' WHEN 2 THEN 'html' ELSE 'json' END AS ext FROM pages WHERE page_id > 0)""")
+@query("scalar_functions", """SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'raster' WHEN 3 THEN 'vector' WHEN 4 THEN 'vector' ELSE 'unknown' END AS kind,
+  CASE WHEN page_id % 3 = 0 AND page_id > 0 THEN '-' ELSE '' END || '$' || (page_id * 37 // 100)::VARCHAR || '.' || lpad((page_id * 37 % 100)::VARCHAR, 2, '0') AS price FROM pages""")
 def _scalars(spark, d):
-    p = table(spark, d, "pages").filter("page_id > 0")
-    path = F.concat(F.lit("a.b/"), F.col("page_id").cast("string"), F.element_at(F.array(F.lit(".CSV"), F.lit(".png"), F.lit(".html"), F.lit(".json")), (F.col("page_id") % 4 + 1).cast("int")))
-    return p.select("page_id", values.data_kind(path).alias("kind"), values.cents_text(F.when(F.col("page_id") % 3 == 0, -F.col("page_id") * 37).otherwise(F.col("page_id") * 37)).alias("price"))
+    i = F.col("page_id")
+    ending = F.element_at(F.array(*[F.lit(x) for x in (".CSV", ".png", ".html", ".json", ".GPKG")]), (i % 5 + 1).cast("int"))
+    cents = F.when(i % 3 == 0, -i * 37).otherwise(i * 37)
+    path = F.concat(F.lit("a.b/"), i.cast("string"), ending)
+    return table(spark, d, "pages").select("page_id", values.data_kind(path).alias("kind"), values.cents_text(cents).alias("price"))

@@ -1,5 +1,6 @@
 """Known answers of the attribute operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,32 @@ def test_sets(spark):
     got = {r.k: (r.o, r.repeats) for r in scope.dedupe_sources(a, b, "k", "o").collect()}
     assert got == {"x": (1, 1), "y": (2, 0), "z": (3, 1)}
     assert scope.merge_layers(a, b.withColumnRenamed("o", "p")).columns == ["k", "o", "p"]
+
+
+@pytest.mark.parametrize("few", [10, 200, 10**6])
+@pytest.mark.parametrize("kind", ["even", "tail", "ties", "one"])
+def test_quantiles_are_exact_however_few_values_a_task_may_sort(spark, monkeypatch, few, kind):
+    from geoanswers.operators import ordering
+
+    monkeypatch.setattr(ordering, "FEW", few)
+    monkeypatch.setattr(ordering, "ACCURACY", 100)
+    r = np.random.default_rng(3)
+    v = {"even": r.uniform(-5, 5, 3000), "tail": np.exp(r.normal(0, 20, 3000)), "ties": r.integers(0, 4, 3000).astype(float), "one": np.array([7.5])}[kind]
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+    parts = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    assert np.allclose(ordering.quantiles(df, F.col("v"), parts), np.quantile(v, parts), rtol=1e-12, atol=0)
+    assert ordering.quantiles(df.limit(0), F.col("v"), parts) == [None] * 6
+
+
+def test_medians_of_groups(spark):
+    r = np.random.default_rng(4)
+    rows = [("hot" if i % 3 else None if i % 2 else f"g{i % 5}", float(r.integers(0, 30)) if i % 7 else None) for i in range(900)]
+    got = {q.group: q.value for q in summary.group_aggregate(spark.createDataFrame(rows, "g string, v double"), "g", "v", "median").collect()}
+    assert got == {g: float(np.median([v for k, v in rows if k == g and v is not None])) for g in {k for k, _ in rows}}
+
+
+def test_literals_are_refused_before_a_job(parcels):
+    for field, operator, value in (("area", ">", "many"), ("id", "=", "1.5"), ("id", "in", "1, x")):
+        with pytest.raises(Refused):
+            scope.typed_filter(parcels, field, operator, value)
+    assert scope.typed_filter(parcels, "id", "in", "1, 2").count() == 2
