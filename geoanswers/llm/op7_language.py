@@ -1,15 +1,16 @@
 """Language ID by a string kernel with Nystroem landmarks and one-versus-rest kernel ridge regression.
 
-A text is the set of the 1- to 4-byte n-grams of its lower-cased UTF-8 that the vocabulary knows (a blended spectrum, by
-presence); k(x, y) = |x and y| / sqrt(|x| |y|). Training texts are a bounded sample of labelled rows: for each language
-and each of ``per_language`` hash buckets the row with the smallest hash, a combinable minimum. The first landmarks of
-each language span the Nystroem subspace; ridge regression to +1/-1 gives weights on the landmarks. Scoring is two
-matrix products a batch of texts: presence x landmarks, kernels x weights. Whole texts are read, one pass, no shuffle.
+A text is the set of the 1- to 4-byte n-grams of its lower-cased UTF-8 that some training text holds (a blended spectrum,
+by presence); k(x, y) = |x and y| / sqrt(|x| |y|). Training texts are a bounded sample of labelled rows: for each language
+and each of ``PER_LANGUAGE`` hash buckets one row, that with the smallest hash among those of at most ``SAMPLE_BYTES``
+(among the longer ones where there are no others), a combinable minimum. The first landmarks of each language span the
+Nystroem subspace; ridge regression to +1/-1 gives weights on the landmarks. Scoring is two matrix products a batch of
+texts: presence x landmarks, kernels x weights. Whole texts are read, one pass, no shuffle.
 
 The pipeline drops texts outside what was learned: too small a part of their n-grams of letters is known. The limit is
 fitted on the training texts, each against the others.
 
-Bounds (parameters): 128 training texts and 32 landmarks a language, 16384 n-grams.
+Bounds (parameters): 128 training texts of 20,000 bytes and 32 landmarks a language; all n-grams of them count.
 
 Defined results: null or letterless texts are ``und`` with score 0; so is everything where nothing is labelled; rows
 that repeat are rows like others; a null doc_id is never learned from and not held out; an empty table gives no rows.
@@ -26,11 +27,9 @@ from pyspark.sql import functions as F
 
 from geoanswers.llm import common
 
-PER_LANGUAGE, LANDMARKS, VOCABULARY, RIDGE = 128, 32, 16384, 1e-3
-LONGEST, TABLE_BITS, TEXTS = 4, 22, 64
+PER_LANGUAGE, SAMPLE_BYTES, LANDMARKS, RIDGE = 128, 20_000, 32, 1e-3
+LONGEST, TEXTS = 4, 64
 UNKNOWN = "und"
-#: Rows of the sample's key list (PER_LANGUAGE a language) up to which it is broadcast; beyond, an ordinary join.
-BROADCAST_ROWS = 50_000
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 #: Bytes of letters as far as bytes can tell: beyond ASCII all.
@@ -54,10 +53,6 @@ def grams(data: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-
-
 def telling(keys: np.ndarray) -> np.ndarray:
     """Which keys are n-grams of TELLING or more bytes, of letters only."""
     n = keys >> 32
@@ -67,23 +62,55 @@ def telling(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+class Keys:
+    """Places of n-grams in a list, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = 64 - max(8, (4 * len(keys)).bit_length())
+        self.table = np.full(1 << (64 - self.shift), -1, np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            free = self.table[slot[left]] < 0
+            self.table[slot[left[free]]] = left[free]
+            left = left[self.table[slot[left]] != left]
+            slot[left] = (slot[left] + 1) % len(self.table)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key; -1 where it is not listed."""
+        slot = self._slot(keys)
+        out = self.table[slot]
+        left = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        while len(left):
+            slot[left] = (slot[left] + 1) % len(self.table)
+            out[left] = self.table[slot[left]]
+            left = left[(out[left] >= 0) & (self.keys[out[left]] != keys[left])]
+        return out
+
+
 class Model:
-    """Vocabulary, landmark incidence (n-grams x landmarks), weights (landmarks x languages) and the least known share."""
+    """n-grams (those of landmarks first), which of them several texts hold, landmark incidence (n-grams x landmarks),
+    weights (landmarks x languages) and the least known share."""
 
-    def __init__(self, languages: list[str], keys: np.ndarray, landmarks: np.ndarray, weights: np.ndarray, least_known: float):
-        self.languages, self.keys, self.landmarks, self.weights, self.least_known = languages, keys, landmarks, weights, least_known
-        self.table: np.ndarray | None = None
+    def __init__(self, languages: list[str], keys: np.ndarray, several: np.ndarray, landmarks: np.ndarray, weights: np.ndarray, least_known: float):
+        self.languages, self.keys, self.several, self.landmarks, self.weights, self.least_known = languages, keys, several, landmarks, weights, least_known
+        self.places: Keys | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"table": None}
+        return self.__dict__ | {"places": None}
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        if self.places is None:
+            self.places = Keys(self.keys)
+        return self.places.find(keys)
 
     def present(self, data: np.ndarray, row: np.ndarray) -> None:
-        if self.table is None:
-            self.table = np.zeros(1 << TABLE_BITS, np.int32)
-            self.table[_slot(self.keys)] = np.arange(len(self.keys))
         for keys in grams(data):
-            at = self.table[_slot(keys)]
-            row[at[self.keys[at] == keys]] = 1
+            at = self.find(keys)
+            row[at[at >= 0]] = 1
 
     def foreign(self, data: np.ndarray, row: np.ndarray) -> bool:
         """Whether the text, of which ``row`` is the presence, lies outside what was learned."""
@@ -92,15 +119,18 @@ class Model:
         every = grams(data)[TELLING - 1 :]
         keys = np.concatenate(every) if every else np.zeros(0, np.int64)
         keys = keys[telling(keys)]
-        known = self.keys[self.table[_slot(keys)]] == keys
-        if not len(keys) or known.mean() >= self.least_known:
+        if not len(keys):
+            return False
+        at = self.find(keys)
+        known = ((at >= 0) & self.several[at]).mean()
+        if known >= self.least_known:
             return False
         slack = DEVIATIONS * (self.least_known * (1 - self.least_known) / len(np.unique(keys))) ** 0.5
-        return bool(known.mean() < self.least_known - slack)
+        return bool(known < self.least_known - slack)
 
     def score(self, present: np.ndarray) -> np.ndarray:
-        size = present.sum(axis=1, keepdims=True)
-        kernels = present @ self.landmarks / np.sqrt(np.maximum(size, 1))
+        size = present.sum(axis=1, keepdims=True, dtype=np.int64)
+        kernels = present[:, : len(self.landmarks)].astype(np.float32) @ self.landmarks / np.sqrt(np.maximum(size, 1))
         return kernels @ self.weights
 
 
@@ -109,33 +139,34 @@ def fit(texts: list[tuple[str, np.ndarray]]) -> Model | None:
     if not texts:
         return None
     languages = sorted({x for x, _ in texts})
-    every, count = np.unique(np.concatenate([k for _, k in texts]), return_counts=True)
-    order = np.lexsort((every, -count))[:VOCABULARY]
-    keys = every[order]
-    keys = keys[np.sort(np.unique(_slot(keys), return_index=True)[1])]  # one n-gram a slot, the commoner one
-    sort = np.argsort(keys)
-    incidence = np.zeros((len(texts), len(keys)), np.float32)
-    for i, (_, mine) in enumerate(texts):
-        at = np.minimum(np.searchsorted(keys[sort], mine), len(keys) - 1)
-        incidence[i, sort[at[keys[sort][at] == mine]]] = 1
-    unit = incidence / np.sqrt(np.maximum(incidence.sum(axis=1, keepdims=True), 1))
     chosen, seen = [], dict.fromkeys(languages, 0)
     for i, (language, _) in enumerate(texts):
         if seen[language] < LANDMARKS:
             seen[language] += 1
             chosen.append(i)
-    landmarks = unit[chosen].T.copy()
-    k_nm = (unit @ landmarks).astype(float)
-    k_mm = (unit[chosen] @ landmarks).astype(float)
+    every, count = np.unique(np.concatenate([k for _, k in texts]), return_counts=True)
+    first = np.unique(np.concatenate([texts[i][1] for i in chosen]))
+    keys = np.concatenate([first, np.setdiff1d(every, first, assume_unique=True)])
+    several = count[np.searchsorted(every, keys)] > 1
+    landmarks = np.zeros((len(first), len(chosen)), np.float32)
+    for j, i in enumerate(chosen):
+        landmarks[np.searchsorted(first, texts[i][1]), j] = 1 / np.sqrt(len(texts[i][1]))
+    k_nm = np.zeros((len(texts), len(chosen)))
+    for i, (_, mine) in enumerate(texts):
+        at = np.minimum(np.searchsorted(first, mine), len(first) - 1)
+        k_nm[i] = landmarks[at[first[at] == mine]].sum(axis=0, dtype=float) / np.sqrt(len(mine))
+    k_mm = k_nm[chosen]
     target = np.array([[1.0 if x == language else -1.0 for language in languages] for x, _ in texts])
     ridge = RIDGE * len(texts)
     weights = np.linalg.lstsq(k_nm.T @ k_nm + ridge * k_mm + 1e-8 * np.eye(len(k_mm)), k_nm.T @ target, rcond=None)[0]
     # what a training text would find known if it were not in the sample itself
-    others = keys[count[np.searchsorted(every, keys)] > 1]
-    told = [mine[telling(mine)] for _, mine in texts]
-    shares = [np.isin(mine, others).mean() for mine in told if len(mine)]
+    shares = [several_of(mine, every, count) for mine in (m[telling(m)] for _, m in texts) if len(mine)]
     least_known = PART * float(np.quantile(shares, LOW_PART)) if shares else 0.0
-    return Model(languages, keys, landmarks.astype(np.float32), weights.astype(np.float32), least_known)
+    return Model(languages, keys, several, landmarks, weights.astype(np.float32), least_known)
+
+
+def several_of(mine: np.ndarray, every: np.ndarray, count: np.ndarray) -> float:
+    return float((count[np.searchsorted(every, mine)] > 1).mean())
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,14 +182,14 @@ def held_out(doc_id) -> F.Column:
 def train(documents: DataFrame) -> Model | None:
     """Learns from text and lang of labelled documents that are not held out."""
     labelled = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    hashed = labelled.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(11)).alias("h"))
-    picked = hashed.groupBy("lang", F.pmod("h", F.lit(PER_LANGUAGE)).alias("bucket")).agg(F.min(F.struct(F.xxhash64("h").alias("g"), "doc_id", "h")).alias("m"))
-    picked = picked.select(F.col("lang").alias("_lang"), F.col("m.doc_id").alias("_id"), F.col("m.h").alias("h"))
-    picked = common.stored(picked, "picked")
-    if picked.count() <= BROADCAST_ROWS:
-        picked = F.broadcast(picked)
-    rows = labelled.join(picked, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "h", "text")
-    sample = rows.mapInArrow(_distinct, "lang string, h long, keys binary").collect()
+    hashed = labelled.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(11)).alias("h"), F.xxhash64("text").alias("digest"), (F.octet_length("text") > SAMPLE_BYTES).alias("long"))
+    first = F.min(F.struct("long", F.xxhash64("h").alias("g"), "doc_id", "h", "digest")).alias("m")
+    picked = hashed.groupBy("lang", F.pmod("h", F.lit(PER_LANGUAGE)).alias("bucket")).agg(first)
+    picked = picked.select(F.col("lang").alias("_lang"), F.col("m.doc_id").alias("_id"), F.col("m.h").alias("h"), F.col("m.digest").alias("_digest"))
+    picked = F.broadcast(common.stored(picked, "picked"))  # PER_LANGUAGE rows a language
+    rows = labelled.join(picked, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.xxhash64("text") == F.col("_digest"))).select("lang", "h", "text")
+    # rows that repeat count once
+    sample = rows.mapInArrow(_distinct, "lang string, h long, keys binary").groupBy("lang", "h").agg(F.min("keys").alias("keys")).collect()
     sample.sort(key=lambda r: (r.h, r.lang, r.keys))
     return fit([(r.lang, np.frombuffer(r["keys"], np.int64)) for r in sample if r["keys"]])
 
@@ -174,7 +205,7 @@ def _judged(m: Model | None, texts: list, foreign: bool = False) -> tuple[list[s
     good = [i for i, x in enumerate(texts) if m is not None and x is not None and _has_letter(x)]
     for lo in range(0, len(good), TEXTS):
         some = good[lo : lo + TEXTS]
-        present = np.zeros((len(some), len(m.keys)), np.float32)
+        present = np.zeros((len(some), len(m.keys)), np.uint8)
         for row, i in zip(present, some):
             m.present(texts[i], row)
         s = m.score(present)
