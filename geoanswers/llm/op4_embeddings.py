@@ -1,7 +1,8 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-Pivots are spread-out vectors of a bounded sample (``SAMPLE`` rows with the smallest hashes; one too near to a chosen one
-is passed over). Each vector is described by its nearest ``DEPTH`` pivots and stands in their inverted lists, kept by
+Pivots are spread-out vectors of a sample (the rows with the smallest hashes, twice as many as pivots and ``SAMPLE`` at
+least; one too near to a chosen one is passed over). Their number follows the root of the number of vectors without an
+end, so what the driver and a broadcast hold grows with that root: 1.5 vectors for each of its units. Each vector is described by its nearest ``DEPTH`` pivots and stands in their inverted lists, kept by
 label. Vectors that meet in a list and share at least ``SHARED`` pivots are candidates; the dot product of the unit
 vectors in double precision decides. The number of pivots follows the root of the number of vectors, so lists grow with
 the root too; vectors of a length with at most ``DEPTH`` pivots (all near one another) are all compared, without
@@ -26,31 +27,51 @@ from pyspark.sql import functions as F
 from geoanswers.llm import common
 from geoanswers.llm.op1_minhash import _dealt
 
-SAMPLE, MOST_PIVOTS, LEAST_PIVOTS, DEPTH, SHARED = 4096, 2048, 64, 8, 2
+SAMPLE, LEAST_PIVOTS, DEPTH, SHARED = 4096, 64, 8, 2
 #: Cosine of a pivot to one already chosen beyond which it is passed over.
 SPREAD = 0.6
 BLOCK = 1024
+#: Cosines of vectors to pivots held at once.
+COSINES = 4_000_000
 
 
 def pivots_for(n: int) -> int:
-    return int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 1.5 * n**0.5)))
+    return int(max(LEAST_PIVOTS, 1.5 * n**0.5))
 
 
 def choose(vectors: np.ndarray, most: int) -> np.ndarray:
-    """Unit vectors in order, each not near an earlier chosen one."""
+    """Unit vectors in order, each not near an earlier chosen one; blocks of them meet the chosen ones at once."""
     out = np.zeros((0, vectors.shape[1]))
-    for v in vectors:
-        if len(out) == most:
-            break
-        if not len(out) or (out @ v).max() <= SPREAD:
-            out = np.vstack([out, v])
+    for at in range(0, len(vectors), BLOCK):
+        some = vectors[at : at + BLOCK]
+        if len(out):
+            some = some[(some @ out.T).max(axis=1) <= SPREAD]
+        near, mine = some @ some.T > SPREAD, []
+        for i in range(len(some)):
+            if len(out) + len(mine) == most:
+                break
+            if not near[i, mine].any():
+                mine.append(i)
+        out = np.vstack([out, some[mine]])
     return out
 
 
-def unit(data: bytes, dtype: str) -> np.ndarray:
-    v = np.frombuffer(data, dtype).astype(float)
-    v = v / np.abs(v).max()  # keeps squares of very large and very small components in range
-    return v / np.linalg.norm(v)
+def units(data: list[bytes], dtype: str) -> np.ndarray:
+    """Vectors of one length as rows of unit length."""
+    v = np.frombuffer(b"".join(data), dtype).reshape(len(data), -1).astype(float)
+    v /= np.abs(v).max(axis=1, keepdims=True)  # keeps squares of very large and very small components in range
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def nearest(v: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
+    """The nearest ``depth`` pivots of each row, nearest first; the earlier one of equally near ones."""
+    out = np.empty((len(v), depth), np.int32)
+    for at in range(0, len(v), max(1, COSINES // len(pivots))):
+        far = -(v[at : at + max(1, COSINES // len(pivots))] @ pivots.T)
+        some = np.sort(np.argpartition(far, depth - 1, axis=1)[:, :depth], axis=1)
+        order = np.argsort(np.take_along_axis(far, some, axis=1), axis=1, kind="stable")
+        out[at : at + len(far)] = np.take_along_axis(some, order, axis=1)
+    return out
 
 
 def _usable(dtype: str):
@@ -70,12 +91,16 @@ def _described(pivots, dtype: str, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pivots.value
         for batch in batches:
-            lists = []
-            for data in batch.column("v").to_pylist():
-                v = unit(data, dtype)
-                p = known.get(len(v))
-                # a length that the sample lacks has one list; so has one all of whose pivots' lists hold every vector
-                lists.append([-1] if p is None or len(p) <= depth else np.argsort(-(p @ v), kind="stable")[:depth].tolist())
+            data = batch.column("v").to_pylist()
+            size = np.array([len(x) for x in data]) // np.dtype(dtype).itemsize
+            lists: list[list[int]] = [[-1]] * len(data)
+            for length in np.unique(size).tolist():
+                p = known.get(length)
+                if p is None or len(p) <= depth:
+                    continue  # one list for a length that the sample lacks, or all of whose pivots' lists hold every vector
+                at = np.flatnonzero(size == length).tolist()
+                for i, mine in zip(at, nearest(units([data[i] for i in at], dtype), p, depth).tolist()):
+                    lists[i] = mine
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "label", "copies", "v")] + [pa.array(lists, pa.list_(pa.int32()))], names=["id", "label", "copies", "v", "pivots"])
 
     return run
@@ -89,7 +114,7 @@ def _linked(dtype: str, least: float, depth: int):
                 g = group[length == size]
                 if len(g) < 2:
                     continue
-                x = np.stack([unit(v, dtype) for v in g.v])
+                x = units(list(g.v), dtype)
                 near = x @ x.T >= least
                 np.fill_diagonal(near, False)
                 if g.i.iloc[0] != g.j.iloc[0]:
@@ -131,12 +156,12 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.98) -> DataFrame:
     usable = rows.filter("v is not null and label is not null and vec_id is not null")
     nodes = common.stored(usable.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "nodes")
     n = nodes.count()
-    sample = nodes.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()
-    by_length: dict[int, list[np.ndarray]] = {}
+    most = pivots_for(n)
+    sample = nodes.select("v").orderBy(F.xxhash64("v"), "v").limit(max(SAMPLE, 2 * most)).collect()
+    by_length: dict[int, list[bytes]] = {}
     for r in sample:
-        v = unit(bytes(r.v), dtype)
-        by_length.setdefault(len(v), []).append(v)
-    pivots = spark.sparkContext.broadcast({k: choose(np.stack(vs), pivots_for(n)) for k, vs in by_length.items()})
+        by_length.setdefault(len(r.v) // np.dtype(dtype).itemsize, []).append(bytes(r.v))
+    pivots = spark.sparkContext.broadcast({k: choose(units(vs, dtype), most) for k, vs in by_length.items()})
     schema = "id long, label string, copies long, v binary, pivots array<int>"
     described = common.stored(nodes.select("id", "label", "copies", "v").mapInArrow(_described(pivots, dtype, DEPTH), schema), "described")
     entries = described.withColumn("pivot", F.explode("pivots")).withColumn("list", F.xxhash64("label", "pivot"))
