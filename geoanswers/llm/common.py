@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoanswers.operators.ordering import placed  # noqa: F401
 from geoanswers.sources.tables import discard, mark, shared_dir, stored  # noqa: F401
 
 # ---- words and hashes (numpy, inside tasks) -------------------------------------------------------------------

@@ -23,17 +23,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def targets(sizes: DataFrame, weights: list[int], budget: float, repeats: int) -> DataFrame:
-    """source, source_size, place, target of each source of sizes (source, source_size): one row a source."""
-    ordered = sizes.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1)
+    """source, source_size, place, target of each source of sizes (source, source_size): one row a source. There may be
+    very many sources: they are ordered by ranges, and what one row of all is joined to is one row."""
+    ordered = common.placed(sizes, [F.col("source").isNull(), F.col("source")], {}, "sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))
     w = ordered.withColumn("w", weight).withColumn("cap", F.lit(float(repeats)) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("w"))
-    before = Window.orderBy("ratio", "place").rowsBetween(Window.unboundedPreceding, -1)
-    onward = Window.orderBy("ratio", "place").rowsBetween(0, Window.unboundedFollowing)
-    level = (F.lit(budget) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(onward)
-    w = w.withColumn("level", level)
+    w = w.withColumnRenamed("place", "source_place")
+    w = common.placed(w, [F.col("ratio"), F.col("source_place")], {"caps": F.col("cap"), "weights": F.col("w")}, "ratios")
+    w = w.drop("place").withColumnRenamed("source_place", "place")
+    every = w.agg(F.sum("w").alias("every"))
+    # the common level where the sources that are full before this one are full and the others share the rest
+    w = w.crossJoin(F.broadcast(every)).withColumn("level", (F.lit(budget) - F.col("caps")) / (F.col("every") - F.col("weights")))
     # the first source, by how soon it is full, that the common level does not fill
-    w = w.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "place", "level"))).over(Window.partitionBy(F.lit(1)))["level"])
-    return w.select("source", "source_size", "place", F.when(F.col("level") * F.col("w") < F.col("cap"), F.col("level") * F.col("w")).otherwise(F.col("cap")).alias("target"))
+    first = w.agg(F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "place", "level"))).alias("first")).select(F.col("first.level").alias("common"))
+    w = w.crossJoin(F.broadcast(first))
+    share = F.col("common") * F.col("w")
+    return w.select("source", "source_size", "place", F.when(share < F.col("cap"), share).otherwise(F.col("cap")).alias("target"))
 
 
 def mixed(documents: DataFrame, weights: list[int], budget_percent: float = 150, repeats: int = 2, seed: str = "mix") -> DataFrame:

@@ -260,6 +260,27 @@ def test_embeddings_with_few_pivots(spark, monkeypatch, kind):
     assert want.sum() and [got[i] for i in range(len(want))] == want.tolist()
 
 
+def test_embedding_recall_with_hundreds_of_pivots(spark):
+    """Planted pairs at cosines near the limit among many vectors, some of which lie close together."""
+    r = np.random.default_rng(12)
+    n, d = 20_000, 24
+    centres = r.normal(size=(400, d))
+    v = centres[r.integers(0, 400, n)] + r.normal(size=(n, d)) * r.choice([0.3, 1.0, 3.0], size=(n, 1))
+    noise = r.normal(size=(4000, d))
+    noise *= (np.linalg.norm(v[:4000], axis=1) * r.uniform(0.02, 0.2, 4000) / np.linalg.norm(noise, axis=1))[:, None]
+    v = np.concatenate([v, v[:4000] + noise]).astype(np.float32)
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = np.concatenate([(unit[at : at + 2000] @ unit.T >= 0.98).sum(axis=1) - 1 for at in range(0, len(v), 2000)])
+    assert op4_embeddings.pivots_for(len(v)) > 200 and want.sum() > 4000
+    table = pa.table({"vec_id": np.arange(len(v)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), d).cast(pa.list_(pa.float32())), "label": np.zeros(len(v), np.int32)})
+    got = {q.vec_id: q.n_links for q in op4_embeddings.near_duplicates(spark.createDataFrame(table)).select("vec_id", "n_links").collect()}
+    found = np.array([got[i] for i in range(len(v))])
+    assert (found <= want).all() and found.sum() >= 0.9 * want.sum()
+    # the pairs just at the limit are the hardest
+    edge = want[20_000:] > 0
+    assert found[20_000:][edge].sum() >= 0.9 * want[20_000:][edge].sum()
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
@@ -406,6 +427,50 @@ def test_language_never_reads_labels_in_prediction(spark, sf_dir):
     assert {r.doc_id: r.lang_pred for r in op7_language.identified(wrong).collect()} == a
 
 
+def test_language_scores_equal_a_dense_kernel_ridge(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in df.collect()]
+    repeated = df.union(spark.createDataFrame([rows[0], rows[1]] * 200, df.schema))  # rows that repeat an id
+    one, two = ({r.doc_id: r for r in op7_language.identified(x).collect()} for x in (df, repeated))
+    assert all((r.lang_pred, r.held_out) == (two[i].lang_pred, two[i].held_out) and abs(r.score - two[i].score) < 1e-6 for i, r in one.items())
+
+    def spectrum(text):
+        low = text.encode().lower() if text.isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+        return {low[j : j + n] for n in range(1, 5) for j in range(len(low) - n + 1)}
+
+    # the sample, from the operator; the kernel and the regression, anew
+    m = op7_language.train(df)
+    known = set(m.keys.tolist())
+    coded = lambda g: {(len(x) << 32) + int.from_bytes(x, "big") for x in g}
+    labelled = [(t, lang, coded(spectrum(t))) for i, t, lang in rows if t and lang and zlib.crc32(str(i).encode()) % 5]
+    texts = [x for x in labelled if x[2] <= known]
+    assert len(texts) <= 128 * 4 and all(sum(y[1] == lang for y in texts) <= 128 + 40 for lang in m.languages)
+    marks = [set(m.keys[: len(m.landmarks)][m.landmarks[:, j] > 0].tolist()) for j in range(m.landmarks.shape[1])]
+    assert set().union(*marks) == set(m.keys[: len(m.landmarks)].tolist()) and all(y in [x[2] for x in texts] for y in marks)
+    kernel = lambda x, y: len(x & y) / np.sqrt(len(x & known) * len(y)) if x & known else 0.0
+    for i, t, _ in rows[:60]:
+        if not t:
+            continue
+        s = np.array([kernel(coded(spectrum(t)), y) for y in marks]) @ m.weights
+        got = op7_language._judged(m, [np.frombuffer(t.encode(), np.uint8)])
+        assert got[0][0] in ("und", m.languages[int(s.argmax())]) and (got[0][0] == "und" or abs(got[1][0] - np.clip((s.max() + 1) / 2, 0, 1)) < 1e-4)
+
+
+def test_kernel_ridge_solves_its_equations():
+    r = np.random.default_rng(0)
+    texts = [("ab"[i % 2], np.unique(r.integers(0, 300, 60) + 150 * (i % 2))) for i in range(90)]
+    m = op7_language.fit(texts)
+    marks = [k for k in range(90) if k // 2 < 32]
+    kernel = lambda x, y: len(np.intersect1d(x, y)) / np.sqrt(len(x) * len(y))
+    k_nm = np.array([[kernel(x, texts[j][1]) for j in marks] for _, x in texts])
+    k_mm = k_nm[marks]
+    target = np.array([[1.0, -1.0] if x == "a" else [-1.0, 1.0] for x, _ in texts])
+    weights = np.linalg.solve(k_nm.T @ k_nm + 1e-3 * 90 * k_mm + 1e-8 * np.eye(64), k_nm.T @ target)
+    present = np.array([np.isin(m.keys, x) for _, x in texts]).astype(np.uint8)
+    assert np.abs(m.score(present) - k_nm @ weights).max() < 1e-2
+    assert (m.find(np.arange(-5, 600)) == [int(np.flatnonzero(m.keys == k)[0]) if k in m.keys else -1 for k in range(-5, 600)]).all()
+
+
 UNLEARNED = [
     "すべての人間は、生れながらにして自由であり、かつ、尊厳と権利とについて平等である。", "Все люди рождаются свободными и равными в своем достоинстве и правах.",
     "يولد جميع الناس أحراراً متساوين في الكرامة والحقوق", "日本",
