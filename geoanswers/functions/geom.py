@@ -6,12 +6,15 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoanswers.meta import Refused, need_crs
 
 #: WGS84, mean earth radius, UTM scale.
 A, INV_F, MEAN_R, K0 = 6378137.0, 298.257223563, 6371008.8, 0.9996
 TYPE = "struct<kind:string,parts:array<array<array<struct<x:double,y:double>>>>>"
+_VERTEX = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+GEOMETRY = T.StructType([T.StructField("kind", T.StringType()), T.StructField("parts", T.ArrayType(T.ArrayType(T.ArrayType(_VERTEX))))])
 
 
 def vertex(x, y) -> Column:
@@ -97,123 +100,12 @@ def centroid(g: Column) -> Column:
     return F.struct(F.when(big, o["x"] + moment("x") / area(g)).otherwise(mean("x")).alias("x"), F.when(big, o["y"] + moment("y") / area(g)).otherwise(mean("y")).alias("y"))
 
 
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Even-odd, half-open: a point on a lower or left side is inside, on an upper or right one outside."""
-    crossed = F.filter(_ends(ring), lambda s: ((s["p"]["y"] > y) != (s["q"]["y"] > y)) & (x < (s["q"]["x"] - s["p"]["x"]) * (y - s["p"]["y"]) / (s["q"]["y"] - s["p"]["y"]) + s["p"]["x"]))
-    return F.size(crossed) % 2 == 1
-
-
-def contains_point(g: Column, x: Column, y: Column) -> Column:
-    """Even-odd over all rings, so holes are outside."""
-    inside = F.transform(F.flatten(g["parts"]), lambda r: in_ring(x, y, r).cast("int"))
-    return F.aggregate(inside, F.lit(0), lambda a, v: a + v) % 2 == 1
-
-
 def segments(g: Column) -> Column:
     """The sides of every ring; a point is one side of no length."""
     sides = F.flatten(F.transform(F.flatten(g["parts"]), _ends))
     return F.when(F.size(sides) > 0, sides).otherwise(F.transform(vertices(g), lambda p: F.struct(p.alias("p"), p.alias("q"))))
 
 
-def point_segment(px: Column, py: Column, s: Column) -> Column:
-    dx, dy = s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"]
-    l2 = dx * dx + dy * dy
-    t = F.when(l2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - s["p"]["x"]) * dx + (py - s["p"]["y"]) * dy) / l2))).otherwise(0.0)
-    return F.hypot(px - (s["p"]["x"] + t * dx), py - (s["p"]["y"] + t * dy))
-
-
-def _side(a: Column, b: Column, c: Column) -> Column:
-    return F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
-
-
-def _on(a: Column, b: Column, c: Column) -> Column:
-    """c, known to be in line with a and b, lies between them."""
-    between = lambda k: (c[k] >= F.least(a[k], b[k])) & (c[k] <= F.greatest(a[k], b[k]))
-    return between("x") & between("y")
-
-
-def segments_meet(s: Column, t: Column) -> Column:
-    a, b, c, d = s["p"], s["q"], t["p"], t["q"]
-    d1, d2, d3, d4 = _side(a, b, c), _side(a, b, d), _side(c, d, a), _side(c, d, b)
-    return ((d1 * d2 < 0) & (d3 * d4 < 0)) | ((d1 == 0) & _on(a, b, c)) | ((d2 == 0) & _on(a, b, d)) | ((d3 == 0) & _on(c, d, a)) | ((d4 == 0) & _on(c, d, b))
-
-
-def segments_cross(s: Column, t: Column) -> Column:
-    """They meet in one inner point of both."""
-    return (_side(s["p"], s["q"], t["p"]) * _side(s["p"], s["q"], t["q"]) < 0) & (_side(t["p"], t["q"], s["p"]) * _side(t["p"], t["q"], s["q"]) < 0)
-
-
-def _any_pair(a: Column, b: Column, test) -> Column:
-    sides = F.array(F.struct(segments(a).alias("a"), segments(b).alias("b")))  # each list is made once, not once a side
-    return F.exists(sides, lambda z: F.exists(z["a"], lambda s: F.exists(z["b"], lambda t: test(s, t))))
-
-
-def _first(g: Column) -> Column:
-    return F.get(vertices(g), F.lit(0))
-
-
-def intersects(a: Column, b: Column) -> Column:
-    """Sides meet, or one holds the other."""
-    holds = lambda g, h: F.when(g["kind"].isin("polygon", "multipolygon"), contains_point(g, _first(h)["x"], _first(h)["y"])).otherwise(False)
-    return holds(a, b) | holds(b, a) | _any_pair(a, b, segments_meet)
-
-
-def within(a: Column, b: Column) -> Column:
-    """Every vertex of a is in or on polygon b and no sides cross (exact for convex b)."""
-    inside = F.forall(vertices(a), lambda p: contains_point(b, p["x"], p["y"]) | F.exists(segments(b), lambda s: (_side(s["p"], s["q"], p) == 0) & _on(s["p"], s["q"], p)))
-    return b["kind"].isin("polygon", "multipolygon") & inside & ~_any_pair(a, b, segments_cross)
-
-
-def _separated(a: Column, b: Column) -> Column:
-    """A side of a has all of a and all of b on different closed sides of its line's direction (separating axis)."""
-
-    def axis(s: Column) -> Column:
-        nx, ny = s["q"]["y"] - s["p"]["y"], s["p"]["x"] - s["q"]["x"]
-        along = lambda g: F.transform(vertices(g), lambda v: v["x"] * nx + v["y"] * ny)
-        return ((nx != 0) | (ny != 0)) & ((F.array_max(along(a)) <= F.array_min(along(b))) | (F.array_max(along(b)) <= F.array_min(along(a))))
-
-    return F.exists(segments(a), axis)
-
-
-def interiors_meet(a: Column, b: Column) -> Column:
-    """An inner point is shared (exact for points, segments and convex polygons)."""
-
-    def inside(g: Column, p: Column) -> Column:
-        return contains_point(g, p["x"], p["y"]) & ~F.exists(segments(g), lambda s: (_side(s["p"], s["q"], p) == 0) & _on(s["p"], s["q"], p))
-
-    by_point = F.when((dimension(a) == 0) & (dimension(b) == 0), _first(a) == _first(b)).when(dimension(a) == 0, inside(b, _first(a))).otherwise(inside(a, _first(b)))
-    return F.when((dimension(a) == 0) | (dimension(b) == 0), by_point).otherwise(~_separated(a, b) & ~_separated(b, a))
-
-
-def touches(a: Column, b: Column) -> Column:
-    """They meet and no inner point is shared."""
-    return intersects(a, b) & ~interiors_meet(a, b)
-
-
-def overlaps(a: Column, b: Column) -> Column:
-    """Same dimension, inner points shared, neither inside the other."""
-    return (dimension(a) == dimension(b)) & interiors_meet(a, b) & ~within(a, b) & ~within(b, a)
-
-
-def crosses(a: Column, b: Column) -> Column:
-    """Different dimensions (or two lines): inner points shared, not inside."""
-    lines = (dimension(a) == 1) & (dimension(b) == 1)
-    return F.when(lines, _any_pair(a, b, segments_cross)).otherwise((dimension(a) != dimension(b)) & interiors_meet(a, b) & ~within(a, b) & ~within(b, a))
-
-
-def equals(a: Column, b: Column) -> Column:
-    return (dimension(a) == dimension(b)) & within(a, b) & within(b, a)
-
-
-def distance(a: Column, b: Column) -> Column:
-    """Least distance; 0 where they meet."""
-    one = lambda g, h: F.array_min(F.flatten(F.transform(vertices(g), lambda p: F.transform(segments(h), lambda s: point_segment(p["x"], p["y"], s)))))
-    return F.when(intersects(a, b), 0.0).otherwise(F.least(one(a, b), one(b, a)))
-
-
-PREDICATES = {"intersects": intersects, "within": within, "contains": lambda a, b: within(b, a), "overlaps": overlaps, "touches": touches, "crosses": crosses, "equals": equals}
-
-
 # ---- projections -------------------------------------------------------------------------------------------------
 
 
@@ -298,6 +190,18 @@ def reprojected(g: Column, source: str, target: str) -> Column:
     return F.struct(g["kind"].alias("kind"), F.transform(g["parts"], lambda rings: F.transform(rings, lambda r: F.transform(r, move))).alias("parts"))
 
 
+def equal_area(g: Column) -> Column:
+    """Degrees on the WGS84 ellipsoid in the cylindrical frame in which every area is right, in metres."""
+    e = math.sqrt(1 / INV_F * (2 - 1 / INV_F))
+
+    def move(p: Column) -> Column:
+        s = F.sin(F.radians(p["y"]))
+        q = (1 - e * e) * (s / (1 - e * e * s * s) + F.atanh(e * s) / e)
+        return F.struct((F.radians(p["x"]) * A).alias("x"), (q * (A / 2)).alias("y"))
+
+    return F.struct(g["kind"].alias("kind"), F.transform(g["parts"], lambda rings: F.transform(rings, lambda r: F.transform(r, move))).alias("parts"))
+
+
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * MEAN_R * F.asin(F.sqrt(F.least(F.lit(1.0), h)))

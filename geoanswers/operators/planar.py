@@ -36,59 +36,6 @@ def is_convex(ring: Ring) -> bool:
     return n >= 3 and all(cross(ring[i], ring[(i + 1) % n], ring[(i + 2) % n]) >= 0 for i in range(n)) and area(ring) > 0
 
 
-def opened(vertices) -> Ring:
-    """A closed vertex list as an open counter-clockwise ring."""
-    ring = [(v["x"], v["y"]) for v in vertices]
-    ring = ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
-    return ring[::-1] if len(ring) > 2 and area(ring) < 0 else ring
-
-
-def half(ring: Ring, a, b, left: bool = True) -> Ring:
-    """The part of a convex ring on one side of the line a-b."""
-    out: Ring = []
-    sign = 1 if left else -1
-    for p, q in zip(ring, ring[1:] + ring[:1]):
-        dp, dq = sign * cross(a, b, p), sign * cross(a, b, q)
-        if dp >= 0:
-            out.append(p)
-        if dp * dq < 0:
-            t = dp / (dp - dq)
-            out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-    return out if len(out) > 2 and area(out) > 0 else []
-
-
-def clip(ring: Ring, by: Ring) -> Ring:
-    """Convex intersection, side by side of the clipping ring."""
-    for a, b in zip(by, by[1:] + by[:1]):
-        ring = half(ring, a, b)
-        if not ring:
-            break
-    return ring
-
-
-def minus(ring: Ring, by: Ring) -> list[Ring]:
-    """Convex pieces of a convex ring outside another."""
-    out = []
-    for a, b in zip(by, by[1:] + by[:1]):
-        if piece := half(ring, a, b, left=False):
-            out.append(piece)
-        ring = half(ring, a, b)
-        if not ring:
-            break
-    return out
-
-
-def cut(ring: Ring, a, b) -> list[Ring]:
-    """A convex ring cut by the segment a-b, if that crosses all of it."""
-    sides = [s for s in (half(ring, a, b), half(ring, a, b, left=False)) if s]
-    if len(sides) < 2:
-        return [ring]
-    chord = [p for p in sides[0] if abs(cross(a, b, p)) <= 1e-9 * (1 + abs(p[0]) + abs(p[1]))]
-    along = lambda p: (p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1])
-    whole = along(b)
-    return sides if chord and all(0 <= along(p) <= whole for p in chord) else [ring]
-
-
 def circle(x: float, y: float, r: float, segments: int) -> Ring:
     n = 4 * segments
     return [(x + r * math.cos(2 * math.pi * k / n), y + r * math.sin(2 * math.pi * k / n)) for k in range(n)]

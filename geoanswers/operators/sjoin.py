@@ -1,33 +1,121 @@
-"""Spatial joins on a grid of cells.
-
-A feature's own level is the finest of a few grid levels on which its bounding box covers at most 64 cells. A pair meets on
-the coarser of its two own levels, in an equi-join on the cell: there one of both is on its own level and the other one on
-that level or a finer one, and the key says which of both it is, so that features of finer levels never meet each other on
-a coarse one. Levels above those that any feature of either side can own are not written. A pair that meets in several cells is kept
-in the one that holds the lower left corner of the boxes' intersection, so nothing is made distinct by a shuffle. Exact
-predicates run on what is left. No Cartesian product, no cap.
+"""Spatial joins: boxes first, exact tests on what is left.
+
+A side of few features and vertices (both are counted) is broadcast, and the other one is not shuffled at all. Otherwise ids
+and boxes go through a grid of cells: a feature's own level is the finest of a few levels on which its box covers at most 64
+cells. A pair meets on the coarser of its two own levels, in an equi-join on the cell: there one of both is on its own
+level and the other one on that level or a finer one, and the key says which of both it is, so that features of finer levels
+never meet each other on a coarse one. Levels above those that any feature of either side can own are not written. A pair
+that meets in several cells is kept in the one that holds the lower left corner of the boxes' intersection, so nothing is
+made distinct by a shuffle. Geometries are fetched by id for the pairs that are left.
+
+Exact tests are kernels (below) over batches of pairs. No Cartesian product, no cap.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoanswers.functions import geom
 from geoanswers.meta import LayerMeta, Refused, need_columns, need_metric, to_metres
+from geoanswers.operators import shapes
 from geoanswers.sources.tables import stored
 
 LEVELS, FACTOR, MOST_CELLS = 9, 8, 64
-Test = Callable[[Column, Column], Column]
+#: Features and vertices of a side that is broadcast; pairs of boxes compared at once.
+FEW_FEATURES, FEW_VERTICES, AT_ONCE = 4096, 400_000, 4_000_000
+#: The relations of two shapes.
+PREDICATES = ["intersects", "within", "contains", "overlaps", "touches", "crosses", "equals"]
+Shapes = list[shapes.Shape]
+
+
+# ---- kernels: which of the pairs (a[i], b[j]) stay, and a value for each that does -------------------------------
+
+
+class Holds:
+    """Pairs in a relation."""
+
+    value = None
+
+    def __init__(self, predicate: str):
+        if predicate not in PREDICATES:
+            raise Refused(f"unknown predicate: {predicate}")
+        self.predicate = predicate
+
+    def __call__(self, a: Shapes, b: Shapes, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list]:
+        keep = np.zeros(len(i), bool)
+        single = np.array([x.kind == "point" and len(x.points) == 1 for x in a], bool)
+        for k, at in _by(j):
+            shape = b[k]
+            if shape.dim == 2:  # single points against one polygon all at once
+                dots = at[single[i[at]]]
+                if len(dots):
+                    codes = shapes.located(np.concatenate([a[x].points for x in i[dots]]), shape)
+                    keep[dots] = {"intersects": codes >= shapes.ON, "within": codes == shapes.IN, "touches": codes == shapes.ON}.get(self.predicate, False)
+                at = at[~single[i[at]]]
+            for x in at:
+                keep[x] = shapes.Relation(a[i[x]], shape).holds(self.predicate)
+        return keep, []
+
+
+class PointIn:
+    """Points in polygons, half open: a point on a lower or left side is inside, on an upper or right one outside, so that
+    one on a common side counts once."""
+
+    value = None
+
+    def __call__(self, a: Shapes, b: Shapes, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list]:
+        keep = np.zeros(len(i), bool)
+        for k, at in _by(j):
+            x, y = np.concatenate([a[q].points[:1] for q in i[at]]).T[:, :, None]
+            ax, ay, bx, by = b[k].sides.T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                crossed = ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+            keep[at] = crossed.sum(axis=1) % 2 == 1
+        return keep, []
+
 
+class Distance:
+    """Pairs at most ``reach`` apart, and how far."""
 
-def _sides(df: DataFrame) -> tuple[float, float, float]:
-    """Of the bounding boxes: the median longer side, the greatest width and height (one aggregate)."""
-    v = df.select(geom.vertices(F.col("geom")).alias("v")).select(F.transform("v", lambda p: p["x"]).alias("x"), F.transform("v", lambda p: p["y"]).alias("y"))
-    v = v.select((F.array_max("x") - F.array_min("x")).alias("w"), (F.array_max("y") - F.array_min("y")).alias("h"))
-    return tuple(m or 0.0 for m in v.agg(F.percentile_approx(F.greatest("w", "h"), 0.5, 1000), F.max("w"), F.max("h")).first())
+    value = T.DoubleType()
+
+    def __init__(self, reach: float):
+        self.reach = reach
+
+    def __call__(self, a: Shapes, b: Shapes, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list]:
+        far = np.full(len(i), np.nan)
+        dots = [np.array([x.dim == 0 and len(x.points) == 1 for x in side], bool) for side in (a, b)]
+        both = np.flatnonzero(dots[0][i] & dots[1][j])
+        if len(both):
+            p, q = (np.concatenate([side[x].points for x in at[both]]) for side, at in ((a, i), (b, j)))
+            far[both] = np.hypot(*(p - q).T)
+        for x in np.flatnonzero(~(dots[0][i] & dots[1][j])):
+            far[x] = shapes.distance(a[i[x]], b[j[x]])
+        keep = far <= self.reach
+        return keep, far[keep].tolist()
+
+
+def _by(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key and where it stands."""
+    order = np.argsort(keys, kind="stable")
+    found, first = np.unique(keys[order], return_index=True)
+    yield from zip(found.tolist(), np.split(order, first[1:]))
+
+
+def _measure(df: DataFrame) -> tuple[int, int, float, float, float, float]:
+    """features, vertices, and of the boxes: the median longer side, the greatest width and height, the extent's area."""
+    v = df.select(geom.vertices(F.col("geom")).alias("v")).select(F.size("v").alias("n"), F.transform("v", lambda p: p["x"]).alias("x"), F.transform("v", lambda p: p["y"]).alias("y"))
+    v = v.select("n", F.array_min("x").alias("x0"), F.array_min("y").alias("y0"), F.array_max("x").alias("x1"), F.array_max("y").alias("y1"))
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    extent = (F.max("x1") - F.min("x0")) * (F.max("y1") - F.min("y0"))
+    found = v.agg(F.count("*"), F.sum(F.greatest("n", F.lit(0))), F.percentile_approx(F.greatest(w, h), 0.5, 1000), F.max(w), F.max(h), extent).first()
+    return tuple(m or 0 for m in found)
 
 
 def _highest(width: float, height: float, size: float) -> int:
@@ -41,18 +129,16 @@ def _at(v: Column, size: float, level: int) -> Column:
 
 
 def _levelled(df: DataFrame, size: float, grow: float, name: str, highest: int) -> DataFrame:
-    """Columns name (the row), the sides name_x0 ... name_y1 of its grown box (plain columns: a struct's fields would be
+    """Columns name (the row's key), the sides name_x0 ... name_y1 of its grown box (plain columns: a struct's fields would be
     worked out again at every use), name_own (its level)."""
-    rows = df.select(F.struct(*df.columns).alias(name), geom.vertices(F.col("geom")).alias("v"))
-    ends = {"x0": F.array_min(F.transform("v", lambda p: p["x"])) - grow, "y0": F.array_min(F.transform("v", lambda p: p["y"])) - grow}
-    ends |= {"x1": F.array_max(F.transform("v", lambda p: p["x"])) + grow, "y1": F.array_max(F.transform("v", lambda p: p["y"])) + grow}
-    rows = rows.select(name, *[c.alias(f"{name}_{k}") for k, c in ends.items()])
+    rows = df.select(F.col("_k").alias(name), *[(F.col(f"_{k}") + (grow if k[1] == "1" else -grow)).alias(f"{name}_{k}") for k in ("x0", "y0", "x1", "y1")])
     x0, y0, x1, y1 = (F.col(f"{name}_{k}") for k in ("x0", "y0", "x1", "y1"))
 
     def count(level: int) -> Column:
         return (_at(x1, size, level) - _at(x0, size, level) + 1.0) * (_at(y1, size, level) - _at(y0, size, level) + 1.0)
 
-    return rows.withColumn(f"{name}_own", F.coalesce(*[F.when(count(level) <= MOST_CELLS, level) for level in range(min(highest + 1, LEVELS))], F.lit(LEVELS)))
+    own = F.coalesce(*[F.when(count(level) <= MOST_CELLS, level) for level in range(min(highest + 1, LEVELS))], F.lit(LEVELS))
+    return rows.filter(x0.isNotNull()).withColumn(f"{name}_own", own)
 
 
 def _celled(rows: DataFrame, size: float, name: str, highest: int, others: int) -> DataFrame:
@@ -86,13 +172,98 @@ def _celled(rows: DataFrame, size: float, name: str, highest: int, others: int)
     return rows.withColumn("c", F.explode(F.concat(*[F.coalesce(m, none) for m in made])))
 
 
-def pairs(left: DataFrame, right: DataFrame, size: float | None = None, grow: float = 0.0, test: Test | None = None) -> DataFrame:
-    """Columns l and r (rows of both sides) of the pairs whose boxes, the left one grown, meet, and whose geometries pass
-    the test; each once. A test given here runs last; as a filter of its own it could be put before the box test."""
-    need_columns(left, "geom")
-    need_columns(right, "geom")
-    (ml, wl, hl), (mr, wr, hr) = _sides(left), _sides(right)
-    size = max(size or 2 * max(ml, mr) or 1.0, grow)
+def _keyed(df: DataFrame, tag: str) -> DataFrame:
+    """df (stored) with a key _k for each row and its box."""
+    v = geom.vertices(F.col("geom"))
+    at = lambda k: F.transform("_v", lambda p: p[k])
+    boxed = df.withColumn("_v", v).select(*df.columns, F.array_min(at("x")).alias("_x0"), F.array_min(at("y")).alias("_y0"), F.array_max(at("x")).alias("_x1"), F.array_max(at("y")).alias("_y1"))
+    return stored(boxed.withColumn("_k", F.monotonically_increasing_id()), tag)
+
+
+def _plain(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c != "geom"]
+
+
+def _broadcast(side: DataFrame):
+    """A side, whose size the caller has checked, for all tasks."""
+    sink, table = pa.BufferOutputStream(), side.withColumn("geom", F.col("geom").cast(geom.GEOMETRY)).toArrow()
+    with pa.ipc.new_stream(sink, table.schema) as stream:
+        stream.write_table(table)
+    return side.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+def _schema(left: DataFrame, right: DataFrame, kernel) -> T.StructType:
+    sides = [T.StructField(n, T.StructType([df.schema[c] for c in _plain(df)] + [T.StructField("_", T.ByteType())])) for n, df in (("l", left), ("r", right))]
+    return T.StructType(sides + ([T.StructField("value", kernel.value)] if kernel.value else []))
+
+
+def _bounds(side: Shapes) -> np.ndarray:
+    nothing = np.array([np.inf, np.inf, -np.inf, -np.inf])
+    return np.array([nothing if x is None or not len(x.points) else [*x.points.min(axis=0), *x.points.max(axis=0)] for x in side]).reshape(-1, 4)
+
+
+def _rows(side: pa.RecordBatch | pa.Table, at: np.ndarray) -> pa.StructArray:
+    """The rows at these places as structs, without geometries."""
+    names = [c for c in side.schema.names if c != "geom"]
+    columns = [side.column(c).take(pa.array(at)) for c in names]
+    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    return pa.StructArray.from_arrays([*columns, pa.nulls(len(at), pa.int8())], names=[*names, "_"])
+
+
+def _out(left, right, i: np.ndarray, j: np.ndarray, values: list, kernel) -> pa.RecordBatch:
+    columns, names = [_rows(left, i), _rows(right, j)], ["l", "r"]
+    if kernel.value:
+        columns.append(pa.array(values, pa.float64() if kernel.value == T.DoubleType() else shapes.ARROW))
+        names.append("value")
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _against(table, kernel, grow: float, left: bool):
+    """Batches of one side against the other side, which is broadcast; ``left``: the batches are the left side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fixed = pa.ipc.open_stream(table.value).read_all()
+        other = list(shapes.read(fixed.column("geom")))
+        box = _bounds(other)
+        box = box + np.array([-grow, -grow, grow, grow])
+        for whole in batches:
+            step = max(1, AT_ONCE // max(1, len(other)))
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                mine = list(shapes.read(batch.column("geom")))
+                b = _bounds(mine)
+                meet = (b[:, None, 0] <= box[:, 2]) & (box[:, 0] <= b[:, None, 2]) & (b[:, None, 1] <= box[:, 3]) & (box[:, 1] <= b[:, None, 3])
+                i, j = np.nonzero(meet)
+                if not len(i):
+                    continue
+                keep, values = kernel(mine, other, i, j) if left else kernel(other, mine, j, i)
+                i, j = i[keep], j[keep]
+                if len(i):
+                    yield _out(batch, fixed, i, j, values, kernel) if left else _out(fixed, batch, j, i, values, kernel)
+
+    return run
+
+
+def _tested(kernel, names: tuple[list[str], list[str]]):
+    """Pairs of rows (l and r, with geometries) through the kernel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # a struct's own nulls aside, its fields are the rows' columns
+            left, right = (pa.RecordBatch.from_arrays([batch.column(s).field(c) for c in cols], names=cols) for s, cols in zip("lr", names))
+            a, b = list(shapes.read(left.column("geom"))), list(shapes.read(right.column("geom")))
+            at = np.arange(batch.num_rows)
+            keep, values = kernel(a, b, at, at)
+            yield _out(left, right, at[keep], at[keep], values, kernel)
+
+    return run
+
+
+def _met(left: DataFrame, right: DataFrame, size: float, grow: float, sides: tuple) -> DataFrame:
+    """Keys l and r of the pairs whose boxes, the left one grown, meet; each once."""
+    (wl, hl), (wr, hr) = sides
     tl, tr = _highest(wl + 2 * grow, hl + 2 * grow, size), _highest(wr, hr, size)
     a = _celled(_levelled(left, size, grow, "l", tl), size, "l", tl, tr)
     b = _celled(_levelled(right, size, 0.0, "r", tr), size, "r", tr, tl).withColumnRenamed("c", "rc")
@@ -100,14 +271,41 @@ def pairs(left: DataFrame, right: DataFrame, size: float | None = None, grow: fl
     meet = F.expr("l_x0 <= r_x1 and r_x0 <= l_x1 and l_y0 <= r_y1 and r_y0 <= l_y1")
     width = F.lit(size) * F.pow(F.lit(float(FACTOR)), F.col("c.level"))
     corner = (F.floor(F.greatest("l_x0", "r_x0") / width).cast("long") == F.col("c.ix")) & (F.floor(F.greatest("l_y0", "r_y0") / width).cast("long") == F.col("c.iy"))
-    keep = meet & ((F.col("c.level") == LEVELS) | corner)
-    return met.filter(keep & test(F.col("l.geom"), F.col("r.geom")) if test else keep).select("l", "r")
+    return met.filter(meet & ((F.col("c.level") == LEVELS) | corner)).select("l", "r")
+
+
+class Boxes:
+    """All pairs whose boxes meet."""
+
+    value = None
+
+    def __call__(self, a: Shapes, b: Shapes, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list]:
+        return np.ones(len(i), bool), []
+
+
+def pairs(left: DataFrame, right: DataFrame, size: float | None = None, grow: float = 0.0, kernel=None) -> DataFrame:
+    """Columns l and r (rows of both sides, without geometries) and, where the kernel has one, value, of the pairs whose boxes,
+    one of them grown, meet and which the kernel keeps; each once."""
+    need_columns(left, "geom")
+    need_columns(right, "geom")
+    kernel = kernel or Boxes()
+    schema = _schema(left, right, kernel)
+    (nl, vl, ml, wl, hl, _), (nr, vr, mr, wr, hr, extent) = _measure(left), _measure(right)
+    for few, vertices, side, other, is_left in ((nr, vr, right, left, True), (nl, vl, left, right, False)):
+        if size is None and few <= FEW_FEATURES and vertices <= FEW_VERTICES:
+            return other.mapInArrow(_against(_broadcast(side), kernel, grow, is_left), schema)
+    # points have no sides: cells of about one of them
+    size = max(size or 2 * max(ml, mr) or (extent / max(1, nr)) ** 0.5 or 1.0, grow)
+    a, b = _keyed(left, "left"), _keyed(right, "right")
+    met = _met(a, b, size, grow, ((wl, hl), (wr, hr)))
+    rows = lambda df, k, name: df.select(F.col("_k").alias(f"_{k}"), F.struct(*name.columns).alias(k))
+    whole = met.join(rows(a, "l", left).withColumnRenamed("l", "lrow"), F.col("l") == F.col("_l")).join(rows(b, "r", right).withColumnRenamed("r", "rrow"), F.col("r") == F.col("_r"))
+    whole = whole.select(F.col("lrow").alias("l"), F.col("rrow").alias("r"))
+    return whole.mapInArrow(_tested(kernel, (left.columns, right.columns)), schema)
 
 
 def matched_ids(left: DataFrame, right: DataFrame, predicate: str, size: float | None = None) -> DataFrame:
-    if predicate not in geom.PREDICATES:
-        raise Refused(f"unknown predicate: {predicate}")
-    return pairs(left.select("id", "geom"), right.select("geom"), size, test=geom.PREDICATES[predicate]).select(F.col("l.id").alias("_id")).distinct()
+    return pairs(left.select("id", "geom"), right.select("geom"), size, kernel=Holds(predicate)).select(F.col("l.id").alias("_id")).distinct()
 
 
 def relate(left: DataFrame, right: DataFrame, predicate: str, size: float | None = None) -> DataFrame:
@@ -126,7 +324,7 @@ def near(left: DataFrame, right: DataFrame, distance: float, unit: str, meta: La
     """Left features within a real distance of any right one."""
     need_metric(meta, "a distance")
     reach = to_metres(distance, unit) / to_metres(1, meta.unit)
-    hit = pairs(left.select("id", "geom"), right.select("geom"), grow=reach, test=lambda a, b: geom.distance(a, b) <= reach).select(F.col("l.id").alias("_id")).distinct()
+    hit = pairs(left.select("id", "geom"), right.select("geom"), grow=reach, kernel=Distance(reach)).select(F.col("l.id").alias("_id")).distinct()
     return left.join(hit, left.id == hit["_id"], "left_semi")
 
 
@@ -149,21 +347,16 @@ def representative_points(df: DataFrame) -> DataFrame:
     return df.withColumn("geom", F.when(F.col("geom.kind") == "point", F.col("geom")).otherwise(geom.point(c["x"], c["y"])))
 
 
-def _point_in(point: Column, polygon: Column) -> Column:
-    v = F.get(geom.vertices(point), F.lit(0))
-    return geom.contains_point(polygon, v["x"], v["y"])
-
-
 def count_in_polygons(polygons: DataFrame, points: DataFrame, group: str = "label", size: float | None = None) -> DataFrame:
     """label, count: points in the polygons of each label (0 where none)."""
-    inside = pairs(representative_points(points.select("id", "geom")), parts(polygons.select(group, "geom")), size, test=_point_in)
+    inside = pairs(representative_points(points.select("id", "geom")), parts(polygons.select(group, "geom")), size, kernel=PointIn())
     counted = inside.groupBy(F.col(f"r.{group}").alias("_label")).agg(F.count("*").alias("n"))
     labels = polygons.select(F.col(group).alias("label")).distinct()
     return labels.join(counted, F.col("label").eqNullSafe(F.col("_label")), "left").select("label", F.coalesce("n", F.lit(0)).cast("long").alias("count"))
 
 
 def unmatched_points(polygons: DataFrame, points: DataFrame, size: float | None = None) -> DataFrame:
-    hit = pairs(representative_points(points.select("id", "geom")), parts(polygons.select("geom")), size, test=_point_in).select(F.col("l.id").alias("_id")).distinct()
+    hit = pairs(representative_points(points.select("id", "geom")), parts(polygons.select("geom")), size, kernel=PointIn()).select(F.col("l.id").alias("_id")).distinct()
     return points.join(hit, points.id == hit["_id"], "left_anti")
 
 
@@ -178,9 +371,7 @@ def density(polygons: DataFrame, points: DataFrame, meta: LayerMeta, group: str
 
 def spatial_join(left: DataFrame, right: DataFrame, predicate: str = "intersects", how: str = "inner", suffix: str = "_2") -> DataFrame:
     """Left columns and the right ones with a suffix, for every pair in the predicate; how=left keeps the others."""
-    if predicate not in geom.PREDICATES:
-        raise Refused(f"unknown predicate: {predicate}")
-    met = pairs(left.select("id", "geom"), right, test=geom.PREDICATES[predicate])
+    met = pairs(left.select("id", "geom"), right, kernel=Holds(predicate))
     found = met.select(F.col("l.id").alias("_id"), *[F.col(f"r.{c}").alias(f"{c}{suffix}") for c in right.columns if c != "geom"])
     return left.join(found, left.id == found["_id"], how).drop("_id")
 
@@ -189,13 +380,71 @@ def nearest_k(df: DataFrame, x: float, y: float, k: int = 10) -> DataFrame:
     """id, distance of the k features nearest to a stated point, ties by id."""
     if not 1 <= k <= 500:
         raise Refused("k is from 1 to 500")
-    return df.select("id", geom.distance(F.col("geom"), geom.point(F.lit(x), F.lit(y))).alias("distance")).orderBy("distance", "id").limit(k)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spot = shapes.Shape("point", [[np.array([[x, y]], float)]])
+        for batch in batches:
+            far = [None if s is None else shapes.distance(s, spot) for s in shapes.read(batch.column("geom"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(far, pa.float64())], names=["id", "distance"])
+
+    schema = T.StructType([df.schema["id"], T.StructField("distance", T.DoubleType())])
+    far = df.select("id", "geom").mapInArrow(measured, schema).filter("distance is not null and not isnan(distance)")
+    return far.orderBy("distance", "id").limit(k)
+
+
+def _picked(batch: pa.RecordBatch, ids: pa.Array, mine: Shapes, other: Shapes, gap: np.ndarray) -> pa.RecordBatch:
+    """id, neighbor_id, distance for a batch, given how far apart the boxes are; other features stand in the order of their
+    ids, so the first of equally near ones is the right one."""
+    dots = [np.array([x is not None and x.dim == 0 and len(x.points) == 1 for x in side], bool) for side in (mine, other)]
+    found, far = np.full(len(mine), -1), np.full(len(mine), np.nan)
+    if dots[1].all():  # boxes of points are the points
+        for i in np.flatnonzero(dots[0]):
+            found[i] = int(gap[i].argmin())
+            far[i] = gap[i, found[i]]
+    for i in np.flatnonzero(found < 0):
+        if mine[i] is None or not len(mine[i].points):
+            continue
+        best, at = np.inf, -1
+        for j in np.argsort(gap[i], kind="stable").tolist():
+            if gap[i, j] > best or not np.isfinite(gap[i, j]):
+                break
+            d = shapes.distance(mine[i], other[j])
+            if d < best or d == best and j < at:
+                best, at = d, j
+        if at >= 0:
+            found[i], far[i] = at, best
+    neighbours = ids.take(pa.array(found, mask=found < 0))
+    return pa.RecordBatch.from_arrays([batch.column("id"), neighbours, pa.array(far, mask=found < 0)], names=["id", "neighbor_id", "distance"])
+
+
+def _nearest_of(table):
+    """The nearest feature of a broadcast side for each feature: candidates in the order of how near their boxes are, until
+    no box is nearer than what was found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fixed = pa.ipc.open_stream(table.value).read_all()
+        ids = fixed.column("id").combine_chunks()
+        other = list(shapes.read(fixed.column("geom")))
+        box = _bounds(other)
+        for whole in batches:
+            step = max(1, AT_ONCE // max(1, len(other)))
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                mine = list(shapes.read(batch.column("geom")))
+                b = _bounds(mine)
+                with np.errstate(invalid="ignore"):
+                    dx = np.maximum(np.maximum(box[:, 0] - b[:, None, 2], b[:, None, 0] - box[:, 2]), 0)
+                    dy = np.maximum(np.maximum(box[:, 1] - b[:, None, 3], b[:, None, 1] - box[:, 3]), 0)
+                    gap = np.hypot(dx, dy)
+                yield _picked(batch, ids, mine, other, gap)
+
+    return run
 
 
 def nearest_neighbor(left: DataFrame, right: DataFrame, radius: float | None = None) -> DataFrame:
     """id, neighbor_id, distance: the nearest right feature of each left one, ties by id.
 
-    Rings: those with a neighbour within the radius are done (nothing nearer can be outside it); the rest try a radius
+    A right side of few features is broadcast. Otherwise rings: those with a neighbour within the radius are done (nothing nearer can be outside it); the rest try a radius
     four times as large, until the radius covers both layers."""
     box = geom.bbox(F.col("geom"))
     span = lambda df: df.agg(F.min(box["xmin"]), F.min(box["ymin"]), F.max(box["xmax"]), F.max(box["ymax"]), F.count("*")).first()
@@ -203,12 +452,16 @@ def nearest_neighbor(left: DataFrame, right: DataFrame, radius: float | None = N
     slim, target = left.select("id", "geom"), right.select("id", "geom")
     if not a[4] or not b[4]:
         return left.select("id", F.lit(None).cast("long").alias("neighbor_id"), F.lit(None).cast("double").alias("distance"))
+    few, vertices, *_ = _measure(target)
+    if radius is None and few <= FEW_FEATURES and vertices <= FEW_VERTICES:
+        schema = T.StructType([left.schema["id"], T.StructField("neighbor_id", right.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
+        return slim.mapInArrow(_nearest_of(_broadcast(target.orderBy("id"))), schema)
     reach = max(a[2], b[2]) - min(a[0], b[0]) + max(a[3], b[3]) - min(a[1], b[1]) + 1.0
     radius = radius or max(reach / 1e6, ((b[2] - b[0]) * (b[3] - b[1]) / b[4]) ** 0.5)
     out, rest = None, slim
     while True:
-        met = pairs(rest, target, grow=radius).select(F.col("l.id").alias("id"), F.col("r.id").alias("neighbor_id"), geom.distance(F.col("l.geom"), F.col("r.geom")).alias("distance"))
-        done = met.filter(F.col("distance") <= radius).groupBy("id").agg(F.min(F.struct("distance", "neighbor_id")).alias("m")).select("id", "m.neighbor_id", "m.distance")
+        met = pairs(rest, target, grow=radius, kernel=Distance(radius)).select(F.col("l.id").alias("id"), F.col("r.id").alias("neighbor_id"), F.col("value").alias("distance"))
+        done = met.groupBy("id").agg(F.min(F.struct("distance", "neighbor_id")).alias("m")).select("id", "m.neighbor_id", "m.distance")
         done = stored(done, "neighbours")  # each round's plan starts from written rows
         out = done if out is None else out.union(done)
         if radius >= reach:
@@ -221,14 +474,14 @@ def nearest_neighbor(left: DataFrame, right: DataFrame, radius: float | None = N
 
 def zonal_statistics(zones: DataFrame, cells: DataFrame, value: str = "z", size: float | None = None) -> DataFrame:
     """label, count, sum, mean, min, max, std of the cells (rows with geom at the cell's centre) in each zone."""
-    inside = pairs(cells.select(value, "geom"), parts(zones.select("label", "geom")), size, test=_point_in)
+    inside = pairs(cells.select(value, "geom"), parts(zones.select("label", "geom")), size, kernel=PointIn())
     v = F.col(f"l.{value}")
     return inside.groupBy(F.col("r.label").alias("label")).agg(F.count(v).alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"))
 
 
 def relationship_count(left: DataFrame, right: DataFrame, predicate: str) -> DataFrame:
     """One row: pairs in the predicate, and features of the left side in any."""
-    met = pairs(left.select("id", "geom"), right.select("geom"), test=geom.PREDICATES[predicate])
+    met = pairs(left.select("id", "geom"), right.select("geom"), kernel=Holds(predicate))
     return met.agg(F.count("*").alias("pairs"), F.countDistinct("l.id").alias("features"))
 
 

@@ -8,19 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoanswers.functions import geom
+from geoanswers.functions.geodesy import geodesic
 from geoanswers.meta import need_columns
 
 
 def pair_distances(df: DataFrame, geographic: bool = True) -> DataFrame:
-    """Distance, azimuth and back azimuth of each pair; positions out of range have method ``refused`` and NULLs."""
+    """Distance, azimuth and back azimuth of each pair: on the ellipsoid, on the sphere where the ellipsoid's series does not
+    converge; positions out of range have method ``refused`` and NULLs."""
     need_columns(df, "from_lon", "from_lat", "to_lon", "to_lat")
     a, b, c, d = (F.col(n) for n in ("from_lon", "from_lat", "to_lon", "to_lat"))
     if not geographic:
-        return df.withColumn("distance_m", F.hypot(c - a, d - b)).withColumn("azimuth_deg", F.pmod(F.degrees(F.atan2(c - a, d - b)) + 360, F.lit(360.0))).withColumn("method", F.lit("planar"))
+        azimuth = F.pmod(F.degrees(F.atan2(c - a, d - b)) + 360, F.lit(360.0))
+        return df.withColumn("distance_m", F.hypot(c - a, d - b)).withColumn("azimuth_deg", azimuth).withColumn("method", F.lit("planar"))
     good = a.between(-180, 180) & c.between(-180, 180) & b.between(-90, 90) & d.between(-90, 90)
     ok = F.coalesce(good, F.lit(False)) & ~F.isnan(a) & ~F.isnan(b) & ~F.isnan(c) & ~F.isnan(d)
-    out = df.withColumn("distance_m", F.when(ok, geom.haversine(a, b, c, d))).withColumn("azimuth_deg", F.when(ok, geom.spherical_azimuth(a, b, c, d))).withColumn("back_azimuth_deg", F.when(ok, geom.spherical_azimuth(c, d, a, b)))
-    return out.withColumn("method", F.when(ok, "spherical").otherwise("refused"))
+    known = lambda x: F.when(ok, x)
+    out = df.withColumn("_g", geodesic(known(a), known(b), known(c), known(d)))
+    names = ("distance_m", "azimuth_deg", "back_azimuth_deg")
+    method = F.when(~ok, "refused").when(F.col("_g.converged"), "ellipsoidal").otherwise("spherical")
+    return out.select(*df.columns, *[F.when(ok, F.col(f"_g.{n}")).alias(n) for n in names], method.alias("method"))
 
 
 def set_out(df: DataFrame, geographic: bool = False) -> DataFrame:

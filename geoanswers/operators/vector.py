@@ -1,32 +1,90 @@
 """Geometry operators: measures, reprojection, hulls, buffers, overlays, coverages, validity.
 
-Overlays are exact for convex single polygons without holes; other shapes come back as rows with status
-``unsupported`` and no geometry, never approximated."""
+Overlays take any polygons. What cannot be computed (a shape of another kind, a ring that rounding leaves open) comes back
+as a row with status ``unsupported`` and no geometry, never approximated."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoanswers.functions import geom
-from geoanswers.meta import LayerMeta, Refused, metric_plan, need_columns, to_metres
-from geoanswers.operators import planar
-from geoanswers.operators.sjoin import pairs
+from geoanswers.functions.geodesy import inverse
+from geoanswers.meta import LayerMeta, Refused, metric_plan, need_columns, to_metres, utm_zone
+from geoanswers.operators import planar, shapes
+from geoanswers.operators.sjoin import Shapes, pairs
+from geoanswers.sources.tables import stored
 
-_RING = "array<struct<x:double,y:double>>"
+GEOMETRY = geom.GEOMETRY
+_STATISTICS = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}
 
 
-def measured(df: DataFrame, meta: LayerMeta) -> DataFrame:
-    """One row: features, measured, skipped, area, mean_area, perimeter, unit, frame."""
-    if meta.geographic:
-        raise Refused("reproject to a metric CRS first")
-    scale = to_metres(1, meta.unit)
-    a, p = geom.area(F.col("geom")), geom.length(F.col("geom"))
-    out = df.select(a.alias("a"), p.alias("p")).agg(F.count("*").alias("features"), F.count("a").alias("measured"), (F.sum("a") * scale**2).alias("area"), (F.avg("a") * scale**2).alias("mean_area"), (F.sum(F.when(F.col("a").isNotNull(), F.col("p"))) * scale).alias("perimeter"))
-    return out.select("features", "measured", (F.col("features") - F.col("measured")).alias("skipped"), "area", "mean_area", "perimeter", F.lit("m2").alias("unit"), F.lit("map_units").alias("frame"))
+# ---- measures ----------------------------------------------------------------------------------------------------
+
+
+def _extent(df: DataFrame) -> tuple[float, ...] | None:
+    b = geom.bbox(F.col("geom"))
+    found = df.agg(F.min(b["xmin"]), F.min(b["ymin"]), F.max(b["xmax"]), F.max(b["ymax"])).first()
+    return None if found[0] is None else tuple(found)
+
+
+def in_metric_frame(df: DataFrame, meta: LayerMeta) -> tuple[DataFrame, float, str, str]:
+    """df, metres in a unit of its coordinates, frame and the CRS measured in: the layer's own units, the UTM zone of a layer
+    in degrees, or (too wide for one) an equal-area frame of the ellipsoid, where only areas are right."""
+    if not meta.geographic:
+        return df, to_metres(1, meta.unit), "map_units", meta.crs or ""
+    box = _extent(df)
+    zone = utm_zone(*box) if box else None
+    if zone:
+        return reproject(df, meta.crs, zone), 1.0, "project", zone
+    return df.withColumn("geom", geom.equal_area(F.col("geom"))), 1.0, "ellipsoidal", meta.crs or ""
+
+
+def measured(df: DataFrame, meta: LayerMeta, metric: str = "area") -> DataFrame:
+    """One row: features, measured, skipped (shapes that have no such measure), sum, mean, min, max, unit, frame. Nothing
+    measurable makes NULL, never 0. Metrics: area, perimeter (polygons), length (lines)."""
+    dims = {"area": 2, "perimeter": 2, "length": 1}
+    if metric not in dims:
+        raise Refused(f"unknown measure: {metric}")
+    rows, scale, frame, _ = in_metric_frame(df, meta)
+    if frame == "ellipsoidal" and metric != "area":
+        rows, value = _geodesic_lengths(df), F.col("v")
+    else:
+        value = geom.area(F.col("geom")) * scale**2 if metric == "area" else geom.length(F.col("geom")) * scale
+    value = F.when(geom.dimension(F.col("geom")) == dims[metric], value)
+    out = rows.select(value.alias("v")).agg(F.count("*").alias("features"), F.count("v").alias("measured"), *[f("v").alias(n) for n, f in _STATISTICS.items()])
+    skipped = (F.col("features") - F.col("measured")).alias("skipped")
+    return out.select("features", "measured", skipped, *_STATISTICS, F.lit("m2" if metric == "area" else "m").alias("unit"), F.lit(frame).alias("frame"))
+
+
+def _geodesic_lengths(df: DataFrame) -> DataFrame:
+    """geom and v: the length of all its sides on the ellipsoid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = [None if s is None else float(inverse(*s.sides.T)[0].sum()) for s in shapes.read(batch.column("geom"))]
+            yield pa.RecordBatch.from_arrays([batch.column("geom"), pa.array(far, pa.float64())], names=["geom", "v"])
+
+    return df.select("geom").mapInArrow(run, T.StructType([df.schema["geom"], T.StructField("v", T.DoubleType())]))
+
+
+def geometry_rank(df: DataFrame, meta: LayerMeta, n: int = 5, smallest: bool = False, label: str = "label") -> DataFrame:
+    """id, label, area of the n largest (or smallest) shapes that have an area, ties by id."""
+    need_columns(df, "id", label, "geom")
+    rows, scale, _, _ = in_metric_frame(df, meta)
+    sized = rows.select("id", label, (geom.area(F.col("geom")) * scale**2).alias("area")).filter("area is not null")
+    return sized.orderBy(F.asc("area") if smallest else F.desc("area"), "id").limit(n)
+
+
+def of_dimension(df: DataFrame, dimension: int) -> DataFrame:
+    """Features whose geometry has this dimension: 0 points, 1 lines, 2 polygons."""
+    return df.filter(geom.dimension(F.col("geom")) == dimension)
 
 
 def reproject(df: DataFrame, source: str, target: str) -> DataFrame:
@@ -38,192 +96,342 @@ def centroids(df: DataFrame) -> DataFrame:
     return df.withColumn("geom", geom.point(c["x"], c["y"]))
 
 
-def _ring(vertices: planar.Ring) -> list[dict]:
-    return [{"x": float(x), "y": float(y)} for x, y in [*vertices, vertices[0]]]
+# ---- one shape at a time -----------------------------------------------------------------------------------------
 
 
-def outer(g: Column) -> Column:
-    """The outer ring of a single polygon without holes, else NULL."""
-    return F.when((g["kind"] == "polygon") & (F.size(g["parts"]) == 1) & (F.size(F.get(g["parts"], F.lit(0))) == 1), F.get(F.get(g["parts"], F.lit(0)), F.lit(0)))
+def _mapped(df: DataFrame, work: Callable, extra: list[T.StructField] = ()) -> DataFrame:
+    """id, geom, status and what else ``work`` returns (geometry or None, *extra values) for each shape."""
+    fields = [df.schema["id"], T.StructField("geom", GEOMETRY), T.StructField("status", T.StringType()), *extra]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(None,) * (1 + len(extra)) if s is None else work(s) for s in shapes.read(batch.column("geom"))]
+            values = list(zip(*found)) if found else [()] * (1 + len(extra))
+            status = ["unsupported" if g is None else "ok" for g in values[0]]
+            columns = [batch.column("id"), pa.array(values[0], shapes.ARROW), pa.array(status, pa.string()), *[pa.array(v, pa.int64()) for v in values[1:]]]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    return df.select("id", "geom").mapInArrow(run, T.StructType(fields))
 
-def polygon(ring: Column) -> Column:
-    return F.when(ring.isNotNull(), geom.geometry("polygon", F.array(F.array(ring))))
+
+def outer(g: Column) -> Column:
+    """The outer ring of a single polygon without holes, else NULL."""
+    rings = F.get(g["parts"], F.lit(0))
+    return F.when((g["kind"] == "polygon") & (F.size(g["parts"]) == 1) & (F.size(rings) == 1), F.get(rings, F.lit(0)))
 
 
 def buffer(df: DataFrame, metres: float, meta: LayerMeta, segments: int = 8) -> DataFrame:
-    """id, geom, status: points and convex polygons grown by a length; each circle has 4 * segments sides."""
+    """id, geom, status: shapes grown by a length; each circle has 4 * segments sides."""
     strategy, _ = metric_plan(meta, None, metres)
     reach = metres / to_metres(1, meta.unit) if strategy == "map_units" else metres
 
-    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rings = []
-            for v in pdf.v:
-                base = None if v is None else planar.opened(v)
-                ok = base is not None and (len(base) == 1 or planar.is_convex(base))
-                rings.append(_ring(planar.hull([q for x, y in base for q in planar.circle(x, y, reach, segments)])) if ok else None)
-            yield pd.DataFrame({"id": pdf.id, "ring": rings})
+    def grow(s: shapes.Shape) -> tuple:
+        ring = s.parts[0][0] if len(s.parts) == 1 and len(s.parts[0]) == 1 else None
+        if ring is not None and (s.dim == 0 or s.dim == 2 and planar.is_convex(ring[:-1].tolist())):
+            around = planar.hull([q for x, y in ring.tolist() for q in planar.circle(x, y, reach, segments)])
+            return (shapes.written([[np.array([*around, around[0]])]]),)
+        return (shapes.written(shapes.grown(s, reach, segments)),)
 
-    v = F.when(F.col("geom.kind") == "point", geom.vertices(F.col("geom"))).otherwise(outer(F.col("geom")))
-    out = df.select("id", v.alias("v")).mapInPandas(grow, f"id long, ring {_RING}")
-    return _with_status(out, ["id"])
+    return _mapped(df, grow)
 
 
-def _with_status(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(*columns, polygon(F.col("ring")).alias("geom"), F.when(F.col("ring").isNull(), "unsupported").otherwise("ok").alias("status"))
+def _line(s: shapes.Shape, parts: list) -> dict:
+    """A geometry value of the same kind with other vertices."""
+    return {"kind": s.kind, "parts": [[[{"x": x, "y": y} for x, y in r.tolist()] for r in p] for p in parts]}
 
 
 def simplify(df: DataFrame, tolerance: float, meta: LayerMeta) -> DataFrame:
-    """id, before, after, geom: lines and single rings by Douglas-Peucker, the tolerance in metres."""
+    """id, geom, status, before, after: every line and ring by itself by Douglas-Peucker, the tolerance in metres. Holes that
+    collapse go; an outer ring that would collapse stays as it is. before and after count vertices."""
     metric_plan(meta, None, tolerance)
     limit = tolerance / to_metres(1, meta.unit)
 
-    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lines = [planar.simplify([(p["x"], p["y"]) for p in v], limit) for v in pdf.v]
-            yield pd.DataFrame({"id": pdf.id, "before": pdf.v.map(len), "after": [len(x) for x in lines], "kind": pdf.kind, "line": [[{"x": x, "y": y} for x, y in one] for one in lines]})
+    def thin(s: shapes.Shape) -> tuple:
+        if s.dim == 0:
+            return _line(s, s.parts), len(s.points), len(s.points)
+        parts = []
+        for p in s.parts:
+            slim = [np.array(planar.simplify(list(map(tuple, r.tolist())), limit)) for r in p]
+            if s.dim == 2:
+                slim = [r if len(r) > 3 else p[0] if k == 0 else None for k, r in enumerate(slim)]
+            parts.append([r for r in slim if r is not None])
+        return _line(s, parts), len(s.points), sum(len(r) for p in parts for r in p)
+
+    return _mapped(df, thin, [T.StructField("before", T.LongType()), T.StructField("after", T.LongType())])
+
+
+def clip(left: DataFrame, right: DataFrame) -> DataFrame:
+    """id, geom, status: each left polygon, line or point cut to the extent of the right layer; what lies outside goes."""
+    box = _extent(right)
+    if box is None:
+        raise Refused("the layer to clip by has no extent")
+    x0, y0, x1, y1 = box
+    frame = shapes.Shape("polygon", [[np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)], float)]])
+
+    def cut(s: shapes.Shape) -> tuple:
+        if not len(s.points):
+            return ({"kind": s.kind, "parts": []},)
+        lo, hi = s.points.min(axis=0), s.points.max(axis=0)
+        if lo[0] >= x0 and lo[1] >= y0 and hi[0] <= x1 and hi[1] <= y1:
+            return (_line(s, s.parts),)
+        if s.dim == 2:
+            parts = shapes.overlay(s, frame, "intersection")
+            return (None if parts is None else shapes.written(parts) or {"kind": s.kind, "parts": []},)
+        if s.dim == 0:
+            kept = s.points[shapes.located(s.points, frame) != shapes.OUT]
+            return ({"kind": s.kind, "parts": [[[{"x": x, "y": y}]] for x, y in kept.tolist()]},)
+        split = shapes.Split(s, frame)
+        return ({"kind": "multilinestring", "parts": [[[{"x": x, "y": y} for x, y in line]] for line in _joined(split.a[split.codes_a != shapes.OUT].tolist())]},)
+
+    return _mapped(left, cut).filter("geom is null or size(geom.parts) > 0")
+
+
+def _joined(pieces: list) -> list[list[tuple]]:
+    """Pieces of lines in their order, put together where one begins at the end of the one before."""
+    lines: list[list[tuple]] = []
+    for ax, ay, bx, by in pieces:
+        if lines and lines[-1][-1] == (ax, ay):
+            lines[-1].append((bx, by))
+        else:
+            lines.append([(ax, ay), (bx, by)])
+    return lines
+
+
+# ---- overlays of two layers --------------------------------------------------------------------------------------
+
+
+class Shared:
+    """Pairs of polygons that share an area, and what they share; NULL where that can't be told."""
+
+    value = GEOMETRY
+
+    def __call__(self, a: Shapes, b: Shapes, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list]:
+        keep, values = np.zeros(len(i), bool), []
+        for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+            p, q = a[x], b[y]
+            parts = _boxes(p, q) or (shapes.overlay(p, q, "intersection") if p.dim == q.dim == 2 else None)
+            if parts is None and (p.dim != 2 or q.dim != 2) and not shapes.Relation(p, q).meets:
+                continue
+            if parts is None or parts:
+                keep[k] = True
+                values.append(shapes.written(parts))
+        return keep, values
+
+
+def _boxes(p: shapes.Shape, q: shapes.Shape) -> list | None:
+    """What two upright rectangles share, None for other shapes or where they share nothing."""
+    ends = []
+    for s in (p, q):
+        if s.dim != 2 or len(s.points) != 5:
+            return None
+        lo, hi = s.points.min(axis=0), s.points.max(axis=0)
+        if not ((s.points == lo) | (s.points == hi)).all() or not ((s.sides[:, 0] == s.sides[:, 2]) | (s.sides[:, 1] == s.sides[:, 3])).all():
+            return None
+        ends.append((lo, hi))
+    (x0, y0), (x1, y1) = np.maximum(ends[0][0], ends[1][0]), np.minimum(ends[0][1], ends[1][1])
+    return [[np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)])]] if x0 < x1 and y0 < y1 else None
 
-    out = df.select("id", F.col("geom.kind").alias("kind"), geom.vertices(F.col("geom")).alias("v")).filter(F.size("v") > 0).mapInPandas(thin, f"id long, before long, after long, kind string, line {_RING}")
-    return out.select("id", "before", "after", F.struct("kind", F.array(F.array("line")).alias("parts")).alias("geom"))
 
+class Lines:
+    """Pairs that meet, and the right shape."""
 
-def convex_hull(df: DataFrame, group: str) -> DataFrame:
-    """group, vertices, geom: a hull a group. Each batch sends its own hulls on, so a group's rows never gather."""
+    value = GEOMETRY
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for g, rows in pdf.groupby("g", dropna=False):
-                ring = planar.hull(list(zip(rows.x, rows.y)))
-                yield pd.DataFrame({"g": [g] * len(ring), "x": [p[0] for p in ring], "y": [p[1] for p in ring]})
+    def __call__(self, a: Shapes, b: Shapes, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list]:
+        keep = np.array([shapes.Relation(a[x], b[y]).meets for x, y in zip(i, j)], bool)
+        return keep, [_line(b[y], b[y].parts) for y in j[keep]]
 
-    def final(rows: pd.DataFrame) -> pd.DataFrame:
-        ring = planar.hull(list(zip(rows.x, rows.y)))
-        return pd.DataFrame({"group": rows.g.iloc[:1], "vertices": [len(ring)], "ring": [_ring(ring)]})
 
-    flat = df.select(F.col(group).cast("string").alias("g"), F.explode(geom.vertices(F.col("geom"))).alias("v")).select("g", "v.x", "v.y")
-    small = flat.mapInPandas(partial, "g string, x double, y double")
-    hulls = small.groupBy("g").applyInPandas(final, f"group string, vertices long, ring {_RING}")
-    return hulls.select("group", "vertices", polygon(F.col("ring")).alias("geom"))
+def _shared(left: DataFrame, right: DataFrame) -> DataFrame:
+    met = pairs(left.select("id", "geom"), right.select("id", "geom"), kernel=Shared())
+    return met.select(F.col("l.id").alias("id"), F.col("r.id").alias("id_2"), F.col("value").alias("geom"))
 
 
-def dissolve_boundary(df: DataFrame, group: str | None = None) -> DataFrame:
-    """group, x1, y1, x2, y2: the outline of each group of a clean coverage, as directed sides. Sides that two members
-    share cancel in a combinable count; nothing gathers by group."""
-    g = F.col(group) if group else F.lit("all")
-    turned = F.coalesce(geom.ring_area(outer(F.col("geom"))) < 0, F.lit(False))
-    sides = df.select(g.alias("group"), turned.alias("turned"), geom.segments(F.col("geom")).alias("s")).select("group", "turned", F.explode("s").alias("s"))
-    p, q = (F.when(F.col("turned"), F.col(f"s.{a}")).otherwise(F.col(f"s.{b}")) for a, b in ("qp", "pq"))
-    flat = sides.select("group", p["x"].alias("px"), p["y"].alias("py"), q["x"].alias("qx"), q["y"].alias("qy"))
-    ahead = flat.withColumn("forward", F.expr("px < qx or (px = qx and py < qy)"))
-    ends = {"x1": ("px", "qx"), "y1": ("py", "qy"), "x2": ("qx", "px"), "y2": ("qy", "py")}
-    turn = {k: F.when(F.col("forward"), F.col(a)).otherwise(F.col(b)) for k, (a, b) in ends.items()}
-    odd = ahead.select("group", "forward", *[c.alias(k) for k, c in turn.items()]).groupBy("group", *turn).agg(F.count("*").alias("n"), F.max("forward").alias("forward")).filter("n % 2 = 1")
-    back = {"x1": "x2", "y1": "y2", "x2": "x1", "y2": "y1"}
-    return odd.select("group", *[F.when(F.col("forward"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in back.items()])
-
-
-def dissolve(df: DataFrame, group: str | None = None) -> DataFrame:
-    """group, sides, area, perimeter of each merged shape, from its outline."""
-    b = dissolve_boundary(df, group)
-    return b.groupBy("group").agg(F.count("*").alias("sides"), (F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2).alias("area"), F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("perimeter"))
-
-
-def _clipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rings = []
-        for a, b in zip(pdf.a, pdf.b):
-            a, b = (None if v is None else planar.opened(v) for v in (a, b))
-            ok = a is not None and b is not None and planar.is_convex(a) and planar.is_convex(b)
-            rings.append((planar.clip(a, b) or []) if ok else None)
-        keep = [r is None or len(r) > 0 for r in rings]
-        yield pd.DataFrame({"id": pdf.id[keep], "id_2": pdf.id_2[keep], "ring": [None if r is None else _ring(r) for r, k in zip(rings, keep) if k]})
+def _told(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*columns, "geom", F.when(F.col("geom").isNull(), "unsupported").otherwise("ok").alias("status"))
 
 
 def intersection(left: DataFrame, right: DataFrame) -> DataFrame:
     """id, id_2, geom, status: what each pair shares."""
-    met = pairs(left.select("id", "geom"), right.select("id", "geom"), test=geom.intersects)
-    flat = met.select(F.col("l.id").alias("id"), F.col("r.id").alias("id_2"), outer(F.col("l.geom")).alias("a"), outer(F.col("r.geom")).alias("b"))
-    return _with_status(flat.mapInPandas(_clipped, f"id long, id_2 long, ring {_RING}"), ["id", "id_2"])
+    return _told(_shared(left, right), "id", "id_2")
 
 
-clip = intersection
+def _applied(left: DataFrame, others: DataFrame, begin: Callable, step: Callable) -> DataFrame:
+    """id, piece, geom, status of each left shape after ``step`` with each of its others (id, geom), one after the other: a
+    shape and its others follow each other in a partition, and only what is left of the shape is held."""
+    spoken = left.select("id", F.lit(0).alias("turn"), "geom").union(others.select("id", F.lit(1).alias("turn"), "geom"))
+    line = spoken.withColumn("order", F.xxhash64(F.to_json("geom"))).repartition("id").sortWithinPartitions("id", "turn", "order").select("id", "turn", "geom")
+    schema = T.StructType([left.schema["id"], T.StructField("piece", T.IntegerType()), T.StructField("geom", GEOMETRY)])
+    kind = pa.schema([("piece", pa.int32()), ("geom", shapes.ARROW)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, state = None, None
 
-def _pieces(work):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for one, a, others in zip(pdf.id, pdf.a, pdf.others):
-                base = None if a is None else planar.opened(a)
-                by = [None if o is None else [(v["x"], v["y"]) for v in o] for o in others]
-                done = None if base is None or not planar.is_convex(base) else work(base, by)
-                out += [(one, 0, None)] if done is None else [(one, k, _ring(r)) for k, r in enumerate(done)]
-            yield pd.DataFrame(out, columns=["id", "piece", "ring"])
-
-    return run
-
-
-def _outside(base: planar.Ring, others: list) -> list | None:
-    left = [base]
-    for o in others:
-        by = None if o is None else planar.opened([{"x": x, "y": y} for x, y in o])
-        if by is None or not planar.is_convex(by):
-            return None
-        left = [piece for r in left for piece in planar.minus(r, by)]
-    return left
+        def given() -> pa.RecordBatch:
+            rows = [None] if state is None else [shapes.written(p) for p in state]
+            ids = pa.repeat(one, len(rows))
+            return pa.RecordBatch.from_arrays([ids, pa.array(range(len(rows)), kind.field("piece").type), pa.array(rows, shapes.ARROW)], names=["id", "piece", "geom"])
 
+        for batch in batches:
+            for i, (turn, shape) in enumerate(zip(batch.column("turn").to_pylist(), shapes.read(batch.column("geom")))):
+                if turn == 0:
+                    if one is not None:
+                        yield given()
+                    one, state = batch.column("id")[i], None if shape is None or shape.dim != 2 else begin(shape)
+                elif state is not None:
+                    state = None if shape is None else step(state, shape)
+        if one is not None:
+            yield given()
 
-def _cut(base: planar.Ring, lines: list) -> list:
-    left = [base]
-    for line in lines:
-        for a, b in zip(line, line[1:]):
-            left = [piece for r in left for piece in planar.cut(r, a, b)]
-    return left
+    return _told(line.mapInArrow(run, schema), "id", "piece")
 
 
-def _against(left: DataFrame, right: DataFrame, ring: Column, work) -> DataFrame:
-    """Pieces of each left shape after the right ones that meet it (few: those that overlap it) have been applied."""
-    met = pairs(left.select("id", "geom"), right.select("id", "geom"), test=geom.intersects)
-    lists = met.groupBy(F.col("l.id").alias("_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("r.id").alias("k"), ring.alias("v")))), lambda s: s["v"]).alias("others"))
-    flat = left.join(lists, left.id == lists["_id"], "left").select("id", outer(F.col("geom")).alias("a"), F.coalesce("others", F.array().cast(f"array<{_RING}>")).alias("others"))
-    return _with_status(flat.mapInPandas(_pieces(work), f"id long, piece int, ring {_RING}"), ["id", "piece"])
+def _without(pieces: list, b: shapes.Shape) -> list | None:
+    rest = [shapes.overlay(shapes.Shape("multipolygon", p), b, "difference") for p in pieces]
+    return None if any(r is None for r in rest) else [[part] for r in rest for part in r]
+
+
+def _cut(pieces: list, line: shapes.Shape) -> list | None:
+    done = [shapes.cut(shapes.Shape("multipolygon", p), line) for p in pieces]
+    return None if any(d is None for d in done) else [p for d in done for p in d]
 
 
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """id, piece, geom, status: convex pieces of each left shape outside all right ones."""
-    return _against(left, right, outer(F.col("r.geom")), _outside)
+    """id, piece, geom, status: the parts of each left shape outside all right ones."""
+    return _applied(left, _shared(left, right), lambda s: [[p] for p in s.parts], _without)
 
 
 def split(left: DataFrame, lines: DataFrame) -> DataFrame:
-    """id, piece, geom, status: each left shape cut by the segments that cross all of it."""
-    return _against(left, lines, geom.vertices(F.col("r.geom")), _cut)
+    """id, piece, geom, status: each left shape cut by the stretches of lines that go all the way through it."""
+    met = pairs(left.select("id", "geom"), lines.select("geom"), kernel=Lines())
+    return _applied(left, met.select(F.col("l.id").alias("id"), F.col("value").alias("geom")), lambda s: [s.parts], _cut)
 
 
 def union(left: DataFrame, right: DataFrame) -> DataFrame:
-    """id, id_2, piece, geom, status: shared parts with both ids, the rest of each side with one."""
-    none = F.lit(None).cast("long")
-    both = intersection(left, right).select("id", "id_2", F.lit(0).alias("piece"), "geom", "status")
-    a = difference(left, right).select("id", none.alias("id_2"), "piece", "geom", "status")
-    b = difference(right, left).select(none.alias("id"), F.col("id").alias("id_2"), "piece", "geom", "status")
-    return both.unionByName(a).unionByName(b)
+    """id, id_2, piece, geom, status: shared parts with both ids, the rest of each side with one. One join."""
+    both = stored(_shared(left, right), "shared")
+    none = F.lit(None)
+    begin = lambda s: [[p] for p in s.parts]
+    a = _applied(left, both.select("id", "geom"), begin, _without)
+    b = _applied(right, both.select(F.col("id_2").alias("id"), "geom"), begin, _without)
+    shared = _told(both, "id", "id_2").withColumn("piece", F.lit(0))
+    a = a.select("id", none.cast(right.schema["id"].dataType).alias("id_2"), "piece", "geom", "status")
+    b = b.select(none.cast(left.schema["id"].dataType).alias("id"), F.col("id").alias("id_2"), "piece", "geom", "status")
+    return shared.select("id", "id_2", "piece", "geom", "status").union(a).union(b)
+
+
+# ---- groups ------------------------------------------------------------------------------------------------------
+
+
+def convex_hull(df: DataFrame, group: str) -> DataFrame:
+    """group, vertices, geom: a hull a group. Each batch sends its own hulls on, so a group's rows never gather."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for g, rows in pdf.groupby("g", dropna=False):
+                ring = planar.hull(list(zip(rows.x, rows.y)))
+                yield pd.DataFrame({"g": [g] * len(ring), "x": [p[0] for p in ring], "y": [p[1] for p in ring]})
+
+    def final(rows: pd.DataFrame) -> pd.DataFrame:
+        ring = planar.hull(list(zip(rows.x, rows.y)))
+        return pd.DataFrame({"group": rows.g.iloc[:1], "vertices": [len(ring)], "ring": [[{"x": float(x), "y": float(y)} for x, y in [*ring, ring[0]]]]})
+
+    flat = df.select(F.col(group).cast("string").alias("g"), F.explode(geom.vertices(F.col("geom"))).alias("v")).select("g", "v.x", "v.y")
+    small = flat.mapInPandas(partial, "g string, x double, y double")
+    hulls = small.groupBy("g").applyInPandas(final, "group string, vertices long, ring array<struct<x:double,y:double>>")
+    return hulls.select("group", "vertices", geom.geometry("polygon", F.array(F.array("ring"))).alias("geom"))
 
 
-def _crosses_itself(ring: Column) -> Column:
-    sides = geom.segments(geom.geometry("polygon", F.array(F.array(ring))))
-    return F.exists(F.transform(sides, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda a: F.exists(F.transform(sides, lambda t, j: F.struct(t.alias("s"), j.alias("i"))), lambda b: (b["i"] > a["i"] + 1) & geom.segments_cross(a["s"], b["s"])))
+def dissolve_boundary(df: DataFrame, group: str | None = None) -> DataFrame:
+    """group, x1, y1, x2, y2: the outline of each group of a clean coverage, as sides with the inside to the left. Sides that
+    two members share cancel in a combinable count; nothing gathers by group."""
+    rows = df.select((F.col(group) if group else F.lit("all")).alias("group"), "geom")
+    ends = [T.StructField(k, T.DoubleType()) for k in ("x1", "y1", "x2", "y2")]
+    schema = T.StructType([rows.schema["group"], *ends, T.StructField("forward", T.BooleanType())])
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros((0, 4)) if s is None or s.dim != 2 else s.sides for s in shapes.read(batch.column("geom"))]
+            at = np.repeat(np.arange(len(found)), [len(s) for s in found])
+            s = np.concatenate(found) if found else np.zeros((0, 4))
+            forward = (s[:, 0] < s[:, 2]) | ((s[:, 0] == s[:, 2]) & (s[:, 1] < s[:, 3]))
+            turned = np.where(forward[:, None], s, s[:, [2, 3, 0, 1]])
+            columns = [batch.column("group").take(pa.array(at)), *[pa.array(turned[:, k]) for k in range(4)], pa.array(forward)]
+            yield pa.RecordBatch.from_arrays(columns, names=["group", "x1", "y1", "x2", "y2", "forward"])
+
+    counted = rows.mapInArrow(sides, schema).groupBy("group", "x1", "y1", "x2", "y2").agg(F.count("*").alias("n"), F.max("forward").alias("forward"))
+    odd = counted.filter("n % 2 = 1")
+    back = {"x1": "x2", "y1": "y2", "x2": "x1", "y2": "y1"}
+    return odd.select("group", *[F.when(F.col("forward"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in back.items()])
+
+
+def dissolve(df: DataFrame, group: str | None = None) -> DataFrame:
+    """group, sides, area, perimeter, rings, geom of each merged shape. A merged shape is one value, so the outline of a group
+    (not its members) must fit a task; ``dissolve_boundary`` has no such bound."""
+    b = dissolve_boundary(df, group)
+    schema = T.StructType([b.schema["group"], *[T.StructField(n, t) for n, t in (("sides", T.LongType()), ("area", T.DoubleType()), ("perimeter", T.DoubleType()), ("rings", T.LongType()), ("geom", GEOMETRY))]])
+
+    def merge(table: pa.Table) -> pa.Table:
+        s = np.stack([table.column(k).to_numpy() for k in ("x1", "y1", "x2", "y2")], axis=1)
+        s = s[np.lexsort(s.T[::-1])]
+        o = s[0]
+        area = float(((s[:, 0] - o[0]) * (s[:, 3] - o[1]) - (s[:, 2] - o[0]) * (s[:, 1] - o[1])).sum() / 2)
+        found = shapes.rings(s, float(np.abs(s).max()) or 1.0)
+        whole = None if found is None else shapes.written(shapes.nested(found))
+        values = [[len(s)], [area], [float(np.hypot(s[:, 2] - s[:, 0], s[:, 3] - s[:, 1]).sum())], [None if found is None else len(found)], [whole]]
+        types = [pa.int64(), pa.float64(), pa.float64(), pa.int64(), shapes.ARROW]
+        columns = [table.column("group").slice(0, 1), *[pa.array(v, t) for v, t in zip(values, types)]]
+        return pa.Table.from_arrays(columns, names=["group", "sides", "area", "perimeter", "rings", "geom"])
+
+    return b.groupBy("group").applyInArrow(merge, schema)
+
+
+# ---- validity ----------------------------------------------------------------------------------------------------
+
+
+def crosses_itself(ring: np.ndarray) -> bool:
+    """Two sides that are no neighbours cross. Sides are sorted by their left end, and each block of them meets only those
+    that begin before it ends."""
+    s = np.hstack([ring[:-1], ring[1:]])
+    s = s[(s[:, 0] != s[:, 2]) | (s[:, 1] != s[:, 3])]
+    n = len(s)
+    place = np.argsort(np.minimum(s[:, 0], s[:, 2]), kind="stable")
+    left = np.minimum(s[:, 0], s[:, 2])[place]
+    for lo in range(0, n, 256):
+        mine = place[lo : lo + 256]
+        until = int(np.searchsorted(left, np.maximum(s[mine, 0], s[mine, 2]).max(), side="right"))
+        for start in range(lo, until, 4096):
+            other = place[start : min(start + 4096, until)]
+            a, b = s[mine][:, None, :], s[other][None, :, :]
+            side = lambda p, q: (p[..., 2] - p[..., 0]) * (q[1] - p[..., 1]) - (p[..., 3] - p[..., 1]) * (q[0] - p[..., 0])
+            d1, d2 = side(a, (b[..., 0], b[..., 1])), side(a, (b[..., 2], b[..., 3]))
+            d3, d4 = side(b, (a[..., 0], a[..., 1])), side(b, (a[..., 2], a[..., 3]))
+            apart = np.minimum((mine[:, None] - other[None, :]) % n, (other[None, :] - mine[:, None]) % n)
+            if ((np.sign(d1) * np.sign(d2) < 0) & (np.sign(d3) * np.sign(d4) < 0) & (apart > 1)).any():
+                return True
+    return False
 
 
 def validate(df: DataFrame) -> DataFrame:
-    """id, problem: of polygons with an unclosed or short ring, no area, or sides that cross; none if all pass."""
-    rings = F.flatten(F.col("geom.parts"))
-    problem = (
-        F.when(F.exists(rings, lambda r: F.size(r) < 4), "too_few_points")
-        .when(F.exists(rings, lambda r: F.get(r, F.lit(0)) != F.element_at(r, -1)), "unclosed")
-        .when(F.exists(rings, lambda r: geom.ring_area(r) == 0), "zero_area")
-        .when(F.exists(rings, _crosses_itself), "self_crossing")
-    )
-    return df.filter(F.col("geom.kind").isin("polygon", "multipolygon")).select("id", problem.alias("problem")).filter("problem is not null")
+    """id, problem: of polygons with a short or unclosed ring, no area, or sides that cross; none if all pass."""
+    schema = T.StructType([df.schema["id"], T.StructField("problem", T.StringType())])
+
+    def problem(rings: list) -> str | None:
+        r = [np.array([(v["x"], v["y"]) for v in ring]).reshape(-1, 2) for ring in rings]
+        checks = {
+            "too_few_points": lambda x: len(x) < 4, "unclosed": lambda x: (x[0] != x[-1]).any(),
+            "self_crossing": crosses_itself, "zero_area": lambda x: shapes.signed_area(x) == 0,
+        }
+        return next((name for name, bad in checks.items() if any(bad(x) for x in r)), None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [problem([ring for part in parts or [] for ring in part]) for parts in batch.column("geom").field("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.string())], names=["id", "problem"])
+
+    polygons = df.filter(F.col("geom.kind").isin("polygon", "multipolygon")).select("id", "geom")
+    return polygons.mapInArrow(run, schema).filter("problem is not null")
 
 
 def _repaired_ring(ring: Column, hole: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoanswers.functions import geom
-from geoanswers.operators import vector
+from geoanswers.operators import sjoin, vector
 from geoanswers.plans.attributes import rounded
 from geoanswers.plans.spatial import BOXES, LOTS, METRES, POINTS
 from geoanswers.plans.tables import boxes, cells, lots, points, table
@@ -59,32 +59,56 @@ def _buffer(s, d):
     return _sized(vector.buffer(both, 10, METRES), "id")
 
 
-@query("simplify")
-def _simplify(s, d):
-    from geoanswers.operators.survey import traverse
-    from geoanswers.plans.tables import legs
-
-    t = traverse(legs(s, d), ["l_linenumber", "l_partkey", "l_suppkey"]).groupBy("traverse_id").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("v"))
-    lines = t.select(F.col("traverse_id").alias("id"), geom.line(F.transform("v", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))).alias("geom"))
-    return vector.simplify(lines, 10, METRES).select("id", "before", "after", F.round(geom.length(F.col("geom")), 3).alias("length"))
+#: A line an order: a zigzag of (lines + 2) vertices along x, its teeth 1, 5 or 20 m high; beside it a polygon with a hole.
+_TEETH = "(SELECT l_orderkey AS id, count(*) + 2 AS n, CASE l_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 5.0 ELSE 20.0 END AS h FROM lineitem GROUP BY 1)"
 
 
-@query("convex_hull")
+@query("simplify", f"""SELECT id, 'ok' AS status, n + 10 AS before, CASE WHEN h > 10 THEN n + 9 ELSE 11 END AS after, round(CASE WHEN h > 10 THEN (n - 1) * sqrt(10000 + h * h)
+  ELSE sqrt(power(100 * (n - 1), 2) + power(CASE WHEN n % 2 = 0 THEN h ELSE 0 END, 2)) END + 960 + 80 * sqrt(2), 3) AS length FROM {_TEETH}""")
+def _simplify(s, d):
+    """Multi-part lines: the zigzag, an outline of 100 m sides with a vertex in the middle of one, and one of 40 m sides."""
+    k, at = F.col("id"), lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    t = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg((F.count("*") + 2).alias("n"))
+    h = F.when(k % 3 == 0, 1.0).when(k % 3 == 1, 5.0).otherwise(20.0)
+    teeth = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: at(i * 100, (i % 2) * h))
+    corners = [(0, 0), (100, 0), (200, 0), (200, 200), (0, 200), (0, 0)]
+    big = F.array(*[at(F.lit(x + 1000), F.lit(y)) for x, y in corners])
+    small = F.array(*[at(F.lit(x + 2000), F.lit(y)) for x, y in [(0, 0), (80, 0), (80, 80), (0, 0)]])
+    lines = t.select("id", geom.geometry("multilinestring", F.array(F.array(teeth), F.array(big), F.array(small))).alias("geom"))
+    out = vector.simplify(lines, 10, METRES)
+    return out.select("id", "status", "before", "after", F.round(geom.length(F.col("geom")), 3).alias("length"))
+
+
+#: Points on a lattice of 10 by 10: hulls of nations have closed sides.
+@query("convex_hull", f"""SELECT CAST(id AS VARCHAR) AS "group", 4::BIGINT AS vertices, round(w * h, 3) AS area FROM {LOTS}
+UNION ALL SELECT CAST(-id - 1 AS VARCHAR), 5::BIGINT, round(w * h + w * h / 2, 3) FROM {LOTS}""")
 def _hull(s, d):
-    return vector.convex_hull(points(s, d), "label").select("group", "vertices", F.round(geom.area(F.col("geom")), 3).alias("area"))
+    """The corners, centre and middles of each lot; and the same with a gable on top."""
+    l, x, y, w, h = lots(s, d), F.col("x0"), F.col("y0"), F.col("w"), F.col("h")
+    spots = [(i, j) for i in (0.0, 0.5, 1.0) for j in (0.0, 0.5, 1.0)]
+    dots = lambda more: F.explode(F.array(*[F.struct((x + i * w).alias("x"), (y + j * h).alias("y")) for i, j in spots + more])).alias("p")
+    both = l.select(F.col("id"), dots([])).union(l.select((-F.col("id") - 1).alias("id"), dots([(0.5, 2.0)])))
+    hulls = vector.convex_hull(both.select("id", geom.point(F.col("p.x"), F.col("p.y")).alias("geom")), "id")
+    return hulls.select("group", "vertices", F.round(geom.area(F.col("geom")), 3).alias("area"))
 
 
-@query("dissolve", "SELECT o_orderkey // 100 AS \"group\", CAST(2 * count(*) + 2 AS BIGINT) AS sides, count(*) * 100.0::DOUBLE AS area, count(*) * 20.0::DOUBLE + 20 AS perimeter FROM orders GROUP BY 1")
+@query("dissolve", """SELECT o_orderkey // 100 AS "group", CAST(2 * count(*) + 2 AS BIGINT) AS sides, count(*) * 100.0::DOUBLE AS area, count(*) * 20.0::DOUBLE + 20 AS perimeter,
+  1::BIGINT AS rings, count(*) * 100.0::DOUBLE AS merged_area, count(*) * 20.0::DOUBLE + 20 AS merged_perimeter FROM orders GROUP BY 1""")
 def _dissolve(s, d):
     c = cells(s, d)
     x, y = F.col("col") * 10.0, F.col("row") * 10.0
     grid = c.select(F.col("row").cast("long").alias("row"), geom.box(x, y, x + 10, y + 10).alias("geom"))
-    return rounded(vector.dissolve(grid, "row"), 3)
+    merged = vector.dissolve(grid, "row")
+    return rounded(merged.select("*", geom.area(F.col("geom")).alias("merged_area"), geom.length(F.col("geom")).alias("merged_perimeter")).drop("geom"), 3)
+
+
+_CUT = "greatest(least(l.x1, e.x1) - greatest(l.x0, e.x0), 0) * greatest(least(l.y1, e.y1) - greatest(l.y0, e.y0), 0)"
 
 
-@query("clip", f"SELECT l.id, b.id AS id_2, 'ok' AS status, round({_AREA}, 3) AS area FROM {LOTS} l JOIN {BOXES} b ON {_MEET} WHERE b.region = 3")
+@query("clip", f"""WITH e AS (SELECT min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM {BOXES} WHERE region < 3)
+SELECT l.id, 'ok' AS status, round({_CUT}, 3) AS area FROM {LOTS} l, e WHERE {_CUT} > 0""")
 def _clip(s, d):
-    return _sized(vector.clip(lots(s, d), boxes(s, d).filter("region = 3")), "id", "id_2")
+    return _sized(vector.clip(lots(s, d), boxes(s, d).filter("region < 3")), "id")
 
 
 @query("intersection", f"SELECT l.id, b.id AS id_2, 'ok' AS status, round({_AREA}, 3) AS area FROM {LOTS} l JOIN {BOXES} b ON {_MEET}")
@@ -92,6 +116,48 @@ def _intersection(s, d):
     return _sized(vector.intersection(lots(s, d), boxes(s, d)), "id", "id_2")
 
 
+#: U-shaped yards of lots (a notch in the middle third of the top, half as deep) and two-part lots (two thirds of it).
+_NOTCHED = f"(SELECT *, x0 + w / 3 AS a, x0 + 2 * w / 3 AS b, y0 + h / 2 AS m FROM {LOTS})"
+_SHARE = "greatest(least({x1}, b.x1) - greatest({x0}, b.x0), 0) * greatest(least({y1}, b.y1) - greatest({y0}, b.y0), 0)"
+
+
+def _shares(parts):
+    return " + ".join("(" + _SHARE.format(x0=x0, y0=y0, x1=x1, y1=y1) + ")" for x0, y0, x1, y1 in parts)
+
+
+_U = _shares([("l.x0", "l.y0", "l.x1", "l.m"), ("l.x0", "l.m", "l.a", "l.y1"), ("l.b", "l.m", "l.x1", "l.y1")])
+_TWO = _shares([("l.x0", "l.y0", "l.a", "l.y1"), ("l.b", "l.y0", "l.x1", "l.y1")])
+
+
+def _yards(s, d):
+    x0, y0, x1, y1 = F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h")
+    a, b, m = x0 + F.col("w") / 3, x0 + 2 * F.col("w") / 3, y0 + F.col("h") / 2
+    ring = lambda *xy: F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in [*xy, xy[0]]])
+    u = geom.geometry("polygon", F.array(F.array(ring((x0, y0), (x1, y0), (x1, y1), (b, y1), (b, m), (a, m), (a, y1), (x0, y1)))))
+    two = geom.geometry("multipolygon", F.array(F.array(ring((x0, y0), (a, y0), (a, y1), (x0, y1))), F.array(ring((b, y0), (x1, y0), (x1, y1), (b, y1)))))
+    l = lots(s, d)
+    return l.select("id", u.alias("geom")).union(l.select((-F.col("id") - 1).alias("id"), two.alias("geom")))
+
+
+@query("intersection_of_yards", f"""SELECT l.id, b.id AS id_2, round({_U}, 3) AS area FROM {_NOTCHED} l, {BOXES} b WHERE {_U} > 1e-9
+UNION ALL SELECT -l.id - 1, b.id, round({_TWO}, 3) FROM {_NOTCHED} l, {BOXES} b WHERE {_TWO} > 1e-9""")
+def _yard_overlay(s, d):
+    out = vector.intersection(_yards(s, d), boxes(s, d)).withColumn("area", geom.area(F.col("geom")))
+    return out.filter("area > 1e-9").select("id", "id_2", F.round("area", 3).alias("area"))
+
+
+def _relates(name, holds):
+    """Yards related to boxes; holds: the share that is enough, of the yard's area."""
+    whole = {"u": "w * h * 5 / 6", "two": "w * h * 2 / 3"}
+    test = lambda share, of: "EXISTS (SELECT 1 FROM " + BOXES + f" b WHERE {holds.format(share=share, of=whole[of])})"
+    sql = f"SELECT id FROM {_NOTCHED} l WHERE {test(_U, 'u')} UNION ALL SELECT -id - 1 FROM {_NOTCHED} l WHERE {test(_TWO, 'two')}"
+    query(f"relate_{name}_yards", sql)(lambda s, d: sjoin.relate(_yards(s, d), boxes(s, d), name).select("id"))
+
+
+_relates("overlaps", "{share} > 1e-9 AND {share} < {of} - 1e-9")
+_relates("within", "{share} >= {of} - 1e-9")
+
+
 _REST = f"SELECT l.id, w * h - coalesce((SELECT sum({_AREA}) FROM {BOXES} b WHERE {_MEET}), 0) AS rest FROM {LOTS} l"
 
 
@@ -125,7 +191,7 @@ def _broken(s, d):
     return lots(s, d).withColumn("geom", geom.geometry("polygon", F.array(F.array(ring))))
 
 
-@query("validate", "SELECT p_partkey AS id, CASE p_partkey % 10 WHEN 1 THEN 'unclosed' WHEN 2 THEN 'zero_area' WHEN 3 THEN 'zero_area' ELSE 'too_few_points' END AS problem FROM part WHERE p_partkey % 10 IN (1, 2, 3, 5)")
+@query("validate", "SELECT p_partkey AS id, CASE p_partkey % 10 WHEN 1 THEN 'unclosed' WHEN 2 THEN 'self_crossing' WHEN 3 THEN 'zero_area' ELSE 'too_few_points' END AS problem FROM part WHERE p_partkey % 10 IN (1, 2, 3, 5)")
 def _validate(s, d):
     return vector.validate(_broken(s, d))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from geoanswers.functions import geom
 from geoanswers.meta import LayerMeta
-from geoanswers.operators import sjoin
+from geoanswers.operators import sjoin, vector
 from geoanswers.plans.attributes import rounded
 from geoanswers.plans.tables import boxes, cells, lots, points, sites, table
 
@@ -70,9 +70,9 @@ def _selected(s, d):
 _GAP = "sqrt(power(greatest(b.x0 - p.x, p.x - b.x1, 0), 2) + power(greatest(b.y0 - p.y, p.y - b.y1, 0), 2))"
 
 
-@query("near", f"SELECT id FROM {POINTS} p WHERE EXISTS (SELECT 1 FROM {BOXES} b WHERE b.region = 1 AND {_GAP} <= 30)")
+@query("near", f"SELECT id FROM {POINTS} p WHERE EXISTS (SELECT 1 FROM {BOXES} b WHERE {_GAP} <= 10)")
 def _near(s, d):
-    return sjoin.near(points(s, d), boxes(s, d).filter("region = 1"), 0.03, "km", METRES).select("id")
+    return sjoin.near(points(s, d), boxes(s, d), 0.01, "km", METRES).select("id")
 
 
 @query("align_crs", f"SELECT p.id FROM {POINTS} p WHERE EXISTS (SELECT 1 FROM {SITES} t WHERE sqrt(power(p.x - t.x, 2) + power(p.y - t.y, 2)) <= 5)")
@@ -171,21 +171,39 @@ def _extent(s, d):
     return rounded(lots(s, d).agg(F.min(b["xmin"]).alias("xmin"), F.min(b["ymin"]).alias("ymin"), F.max(b["xmax"]).alias("xmax"), F.max(b["ymax"]).alias("ymax")), 6)
 
 
-@query("geometry_measure", f"SELECT count(*) AS features, count(*) AS measured, 0::BIGINT AS skipped, round(sum(w * h), 2) AS area, round(avg(w * h), 4) AS mean_area, round(sum(2 * (w + h)), 2) AS perimeter, 'm2' AS unit, 'map_units' AS frame FROM {LOTS}")
+_OF = "count(*) AS features, {n} AS measured, count(*) - {n} AS skipped, round(sum({v}), 2) AS sum, round(avg({v}), 4) AS mean, round(min({v}), 4) AS min, round(max({v}), 4) AS max"
+
+
+@query("geometry_measure", f"""SELECT 'area' AS metric, {_OF.format(n="count(w)", v="w * h")}, 'm2' AS unit, 'map_units' AS frame FROM (SELECT w, h FROM {LOTS} UNION ALL SELECT NULL, NULL FROM {POINTS})
+UNION ALL SELECT 'perimeter', {_OF.format(n="count(w)", v="2 * (w + h)")}, 'm', 'map_units' FROM {LOTS}""")
 def _measure(s, d):
-    from geoanswers.operators.vector import measured
+    mixed = lots(s, d).select("geom").union(points(s, d).select("geom"))
+    one = vector.measured(mixed, METRES, "area").withColumn("metric", F.lit("area"))
+    two = vector.measured(lots(s, d), METRES, "perimeter").withColumn("metric", F.lit("perimeter"))
+    return one.union(two).withColumn("sum", F.round("sum", 2)).select("metric", "features", "measured", "skipped", "sum", *[F.round(c, 4).alias(c) for c in ("mean", "min", "max")], "unit", "frame")
+
+
+#: Lots in degrees, spread over far more than one zone: an area is measured on the ellipsoid.
+_E = "0.0818191908426215"
+_Q = f"(1 - {_E} * {_E}) * (sin(radians({{y}})) / (1 - {_E} * {_E} * sin(radians({{y}})) * sin(radians({{y}}))) + ln((1 + {_E} * sin(radians({{y}}))) / (1 - {_E} * sin(radians({{y}})))) / (2 * {_E}))"
+
 
-    return rounded(measured(lots(s, d), METRES), 4)
+@query("geometry_measure_wide", f"""SELECT count(*) AS features, round(sum(a) / 1e6, 2) AS km2, 'ellipsoidal' AS frame FROM (SELECT 6378137.0 * radians(w / 10) * 6378137.0 / 2
+  * ({_Q.format(y="(y0 + h) / 20")} - ({_Q.format(y="y0 / 20")})) AS a FROM {LOTS})""")
+def _measure_wide(s, d):
+    x, y = F.col("x0") / 10, F.col("y0") / 20
+    wide = lots(s, d).select(geom.box(x, y, x + F.col("w") / 10, y + F.col("h") / 20).alias("geom"))
+    return vector.measured(wide, LayerMeta("EPSG:4326", "degrees", True)).select("features", F.round(F.col("sum") / 1e6, 2).alias("km2"), "frame")
 
 
 @query("geometry_rank", f"SELECT id, label, round(w * h, 4) AS area FROM {LOTS} ORDER BY w * h DESC, id LIMIT 5")
 def _geometry_rank(s, d):
-    return lots(s, d).select("id", "label", F.round(geom.area(F.col("geom")), 4).alias("area")).orderBy(F.desc("area"), "id").limit(5)
+    return rounded(vector.geometry_rank(lots(s, d).withColumn("geom", geom.box(F.lit(0.0), F.lit(0.0), F.col("w"), F.col("h"))), METRES), 4)
 
 
 @query("kind_filter", "SELECT c_custkey AS id FROM customer")
 def _kind_filter(s, d):
-    return points(s, d).select("id", "geom").union(lots(s, d).select("id", "geom")).filter(geom.dimension(F.col("geom")) == 0).select("id")
+    return vector.of_dimension(points(s, d).select("id", "geom").union(lots(s, d).select("id", "geom")), 0).select("id")
 
 
 @query("geo_range_filter", f"SELECT id FROM {POINTS} WHERE x - 300 BETWEEN -180 AND 180 AND y - 400 BETWEEN -90 AND 90")
