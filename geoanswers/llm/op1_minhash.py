@@ -7,9 +7,10 @@ missed with a chance of 5e-8), and full sets confirm them.
 
 Equal sets are one node. Within a band's bucket the pairs whose sketches agree are candidates (a pair at 0.8 falls short
 with a chance of 1e-6); only a forest over them is kept, and its connected clusters hold every link. A cluster's texts
-are then compared on full sets, all pairs of a block at once by one matrix product, and again only a forest over the
-links leaves the task. Large buckets and clusters are dealt out in pairs of hash blocks, so no group grows in a task and
-no pairs are ever written out.
+are then compared on full sets, all pairs of a hash block and the cluster's first text at once by one matrix product, and
+again only a forest over the links leaves the task. Where a cluster has several blocks, that joins nearly all of one that
+is made of near copies; the texts it leaves apart (rest) are then compared with all of the cluster, block by block. So the
+work on near copies of one text is linear in their number, no group grows in a task, and no pairs are ever written out.
 
 Defined results: null or wordless texts have an empty set and link with nothing; rows that repeat a doc_id count as one
 document with their texts; a null doc_id is a document of its own that links with nothing (component_id null, kept);
@@ -126,10 +127,11 @@ def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return out
 
 
-def _confirmed(k: int, percent: int):
+def _confirmed(k: int, percent: int, keys: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[np.ndarray] = []
-        for group in common.contiguous(batches, ["cluster", "i", "j"]):
+        for group in common.contiguous(batches, keys):
+            group = group.drop_duplicates("id")
             ids = group.id.to_numpy()
             root = common.forest(similar([common.shingle_set(np.frombuffer(t.encode(), np.uint8), k) for t in group.text], percent))
             found.append(np.stack([ids[root], ids], axis=1)[root != np.arange(len(ids))])
@@ -149,6 +151,36 @@ def _dealt(rows: DataFrame, key: str, blocks: F.Column, columns: list[str]) -> D
     return at.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
+def _blocks(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys and how many blocks the rows (id, n_shingles) of each of them make."""
+    return rows.groupBy(*keys).agg(F.ceil(F.greatest(F.count("*") / DOCUMENTS, F.sum("n_shingles") / SHINGLES)).cast("int").alias(name))
+
+
+def _links(clusters: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: links on full sets that connect what is connected, within each cluster (id, cluster)."""
+    shape = common.stored(_blocks(clusters.join(sizes, "id"), ["cluster"], "n"), "shape")
+    whole = clusters.join(shape, "cluster").join(texts, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    first = whole.filter("id = cluster and n > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).filter("to <> block")
+    dealt = whole.select("cluster", "block", "id", "text").union(first.select("cluster", "to", "id", "text"))
+    dealt = dealt.repartition("cluster", "block").sortWithinPartitions("cluster", "block")
+    links = common.stored(dealt.mapInPandas(_confirmed(k, percent, ["cluster", "block"]), "a long, b long"), "links")
+    large = shape.filter("n > 1")
+    if large.isEmpty():
+        return links
+    part = common.components(links)
+    known = clusters.join(large, "cluster").join(part, "id", "left").select("id", "cluster", "n", F.coalesce("component", "id").alias("part"))
+    known = common.stored(known, "parts")
+    main = known.filter("id = cluster").select("cluster", F.col("part").alias("main"))
+    rest = common.stored(known.join(main, "cluster").filter("part <> main").select("id", "cluster"), "rest")
+    rests = common.stored(_blocks(rest.join(sizes, "id"), ["cluster"], "m"), "rests")
+    both = whole.filter("n > 1").join(rests, "cluster")
+    cells = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = both.join(rest.select("id"), "id").select("cluster", F.pmod(F.xxhash64("id"), F.col("m")).cast("int").alias("i"), cells("n").alias("j"), "id", "text")
+    others = both.select("cluster", cells("m").alias("i"), F.col("block").alias("j"), "id", "text")
+    grid = mine.union(others).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return links.union(grid.mapInPandas(_confirmed(k, percent, ["cluster", "i", "j"]), "a long, b long"))
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; links at 100 * intersection >= percent * union."""
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -165,13 +197,8 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     alike = _dealt(placed, "band", F.ceil(F.col("n") / BLOCK), ["id", "short"]).mapInPandas(_alike, "a long, b long")
     clusters = common.stored(common.components(alike).withColumnRenamed("component", "cluster"), "clusters")
 
-    # full sets, block by block of a cluster
-    sized = clusters.join(nodes.select("id", "n_shingles"), "id")
-    shape = sized.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / DOCUMENTS, F.sum("n_shingles") / SHINGLES)).alias("n"))
     texts = base.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text")
-    whole = clusters.join(shape, "cluster").join(texts, "id")
-    links = _dealt(whole, "cluster", F.col("n"), ["id", "text"]).mapInPandas(_confirmed(k, percent), "a long, b long")
-    joined = common.components(links)
+    joined = common.components(_links(clusters, nodes.select("id", "n_shingles"), texts, k, percent))
 
     groups = nodes.filter("copies > 1").select("high", "low", F.col("id").alias("first_id"))
     out = sets.select("doc_id", "n_shingles", "high", "low").join(groups, ["high", "low"], "left").withColumn("node", F.coalesce("first_id", "doc_id"))

@@ -35,9 +35,10 @@ _LETTER[65:91] = _LETTER[97:123] = True
 #: Bytes of letters as far as bytes can tell: beyond ASCII all.
 _WORDLY = _LETTER.copy()
 _WORDLY[128:] = True
-#: Pipeline: n-grams of so many bytes or more, of letters only, tell whether a text is in a learned language. The least
-#: known share of them is this part of what all but LOW_PART of the training texts reach; a text whose number of
-#: distinct n-grams is too small to tell within so many standard deviations stays.
+#: Pipeline: n-grams of so many bytes or more, of letters only, tell whether a text is in a learned language. All but
+#: LOW_PART of the training texts find a certain share of theirs in other training texts. A text is in none of the
+#: languages if it finds less than this PART of that share in several training texts and less than that share in any; one
+#: whose number of distinct n-grams is too small to tell within so many standard deviations stays.
 TELLING, LOW_PART, PART, DEVIATIONS = 3, 0.05, 0.75, 3.0
 
 
@@ -92,11 +93,11 @@ class Keys:
 
 
 class Model:
-    """n-grams (those of landmarks first), which of them several texts hold, landmark incidence (n-grams x landmarks),
-    weights (landmarks x languages) and the least known share."""
+    """n-grams (those of landmarks first), which of them several texts hold, landmark incidence (n-grams x landmarks), weights
+    (landmarks x languages) and the share of its n-grams that a learned language's text finds known at least."""
 
-    def __init__(self, languages: list[str], keys: np.ndarray, several: np.ndarray, landmarks: np.ndarray, weights: np.ndarray, least_known: float):
-        self.languages, self.keys, self.several, self.landmarks, self.weights, self.least_known = languages, keys, several, landmarks, weights, least_known
+    def __init__(self, languages: list[str], keys: np.ndarray, several: np.ndarray, landmarks: np.ndarray, weights: np.ndarray, low: float):
+        self.languages, self.keys, self.several, self.landmarks, self.weights, self.low = languages, keys, several, landmarks, weights, low
         self.places: Keys | None = None
 
     def __getstate__(self):
@@ -122,11 +123,12 @@ class Model:
         if not len(keys):
             return False
         at = self.find(keys)
-        known = ((at >= 0) & self.several[at]).mean()
-        if known >= self.least_known:
-            return False
-        slack = DEVIATIONS * (self.least_known * (1 - self.least_known) / len(np.unique(keys))) ** 0.5
-        return bool(known < self.least_known - slack)
+        n = len(np.unique(keys))
+        # n-grams of one training text alone may be a sign of nothing but themselves, unless nearly all are known
+        for known, least in (((at >= 0) & self.several[at], PART * self.low), (at >= 0, self.low)):
+            if known.mean() >= least - DEVIATIONS * (least * (1 - least) / n) ** 0.5:
+                return False
+        return True
 
     def score(self, present: np.ndarray) -> np.ndarray:
         size = present.sum(axis=1, keepdims=True, dtype=np.int64)
@@ -161,8 +163,8 @@ def fit(texts: list[tuple[str, np.ndarray]]) -> Model | None:
     weights = np.linalg.lstsq(k_nm.T @ k_nm + ridge * k_mm + 1e-8 * np.eye(len(k_mm)), k_nm.T @ target, rcond=None)[0]
     # what a training text would find known if it were not in the sample itself
     shares = [several_of(mine, every, count) for mine in (m[telling(m)] for _, m in texts) if len(mine)]
-    least_known = PART * float(np.quantile(shares, LOW_PART)) if shares else 0.0
-    return Model(languages, keys, several, landmarks, weights.astype(np.float32), least_known)
+    low = float(np.quantile(shares, LOW_PART)) if shares else 0.0
+    return Model(languages, keys, several, landmarks, weights.astype(np.float32), low)
 
 
 def several_of(mine: np.ndarray, every: np.ndarray, count: np.ndarray) -> float:
