@@ -19,8 +19,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each written as Parquet to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in order, each written as Parquet to the shared folder and read again. What a stage has written on its way,
+    and its predecessor's rows, go when its own rows are written."""
+    docs, began = spark.read.parquet(f"{sf_dir}/documents.parquet"), common.mark()
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), name)
+        rows = stage(spark, docs, sf_dir)
+        last = common.mark()
+        docs = common.stored(rows, name)
+        common.discard(spark, began, last)
     return docs
