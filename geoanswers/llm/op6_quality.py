@@ -4,7 +4,8 @@ Suffixes are sorted by prefix doubling (ranks of 1, 2, 4, ... words, kept), neig
 from the kept ranks without a scan of the text. At each position the larger of the two neighbour prefixes is the longest
 passage that starts there and stands elsewhere in the text too; the longest-common-prefix intervals of at least
 ``least`` words are the maximal repeated passages. Their spans are united; the covered fraction and the longest repeat
-have limits. The base counts come from the same arrays. Texts are independent: no shuffle.
+have limits. The base counts come from the same arrays. Texts are independent: no shuffle. A text takes 8 bytes a word for
+each doubling (as many as its longest repeat has binary digits, 25 at most for 30 million words) and is held in one task.
 
 Defined results: a null or wordless text has zeros, fails the base rules and is not kept; rows that repeat and null
 doc_ids are rows like others; an empty table gives no rows; other columns are ignored.
