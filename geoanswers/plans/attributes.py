@@ -153,7 +153,7 @@ def _table_profile(spark, d):
     return summary.layer_profile(table(spark, d, "customer"), "customer", LayerMeta())
 
 
-@query("class_breaks", """WITH q AS (SELECT list_distinct(list_transform([0, 0.2, 0.4, 0.6, 0.8, 1], x -> x)) AS ps), e AS (SELECT quantile_cont(o_totalprice, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS e FROM orders)
+@query("class_breaks", """WITH e AS (SELECT quantile_cont(o_totalprice, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS e FROM orders)
 SELECT CAST(i AS INTEGER) AS class, round(e[i], 4) AS min, round(e[i + 1], 4) AS max FROM e, range(1, 6) r(i)""")
 def _class_breaks(spark, d):
     return rounded(summary.class_breaks(table(spark, d, "orders"), "o_totalprice"))

@@ -94,7 +94,18 @@ def _normalise(s, d):
     return rounded(survey.normalise_coordinates(c, "lat", "lon").select("id", "lat_deg", "lon_deg", "ok"), 9)
 
 
-@query("grid_bins")
+#: The Krueger series to third order in the third flattening, on WGS84, for positions north of the equator.
+_UTM = """WITH p AS (SELECT radians(41 + y / 10000) AS phi, radians(28.9 + x / 10000 - 27) AS lam, 35 AS zone FROM {points}),
+k AS (SELECT *, sqrt(f * (2 - f)) AS e, 6378137.0 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS radius, n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 AS a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 AS a2, 61 * n ** 3 / 240 AS a3
+  FROM (SELECT 1 / 298.257223563 AS f, (1 / 298.257223563) / (2 - 1 / 298.257223563) AS n)),
+t AS (SELECT p.*, k.*, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS t FROM p, k),
+u AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t),
+g AS (SELECT zone, 500000 + 0.9996 * radius * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)) AS east,
+  0.9996 * radius * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) AS north FROM u)
+SELECT zone, false AS south, CAST(floor(east / 1000) AS BIGINT) AS square_e, CAST(floor(north / 1000) AS BIGINT) AS square_n, count(*) AS count FROM g GROUP BY ALL"""
+
+
+@query("grid_bins", _UTM.format(points=POINTS))
 def _bins(s, d):
     return survey.grid_bins(_degrees(s, d))
 
@@ -137,18 +148,37 @@ def _plane(s, d):
     return cells(s, d).withColumn("z", F.col("col") * 3.0 + F.col("row"))
 
 
-@query("contours", """WITH q AS (SELECT a.r, a.c, a.c * 3 + a.r AS z0 FROM (SELECT o_orderkey // 100 AS r, o_orderkey % 100 AS c FROM orders) a JOIN (SELECT o_orderkey // 100 AS r, o_orderkey % 100 AS c FROM orders) b ON b.r = a.r + 1 AND b.c = a.c + 1)
-SELECT 10.0 * v AS level, count(*) AS segments FROM q, range(0, 100000) t(v) WHERE 10 * v > z0 AND 10 * v <= z0 + 4 GROUP BY 1""")
+#: Marching squares in SQL: of each square the crossings in order around it; the plane has two or none.
+_EDGES = [("z0", "z1", "c + {t}", "r"), ("z1", "z3", "c + 1", "r + {t}"), ("z3", "z2", "c + 1 - {t}", "r + 1"), ("z2", "z0", "c", "r + 1 - {t}")]
+_CROSSED = ", ".join(
+    f"CASE WHEN ({p} >= level) <> ({q} >= level) THEN {{'x': {x.format(t=f'(level - {p}) / ({q} - {p})')}, 'y': {y.format(t=f'(level - {p}) / ({q} - {p})')}}} END"
+    for p, q, x, y in _EDGES
+)
+
+
+@query("contours", f"""WITH g AS (SELECT o_orderkey // 100 AS r, o_orderkey % 100 AS c FROM orders),
+q AS (SELECT a.r, a.c, a.c * 3.0::DOUBLE + a.r AS z0, z0 + 3 AS z1, z0 + 1 AS z2, z0 + 4 AS z3 FROM g a JOIN g b ON b.r = a.r + 1 AND b.c = a.c + 1 JOIN g d ON d.r = a.r AND d.c = a.c + 1 JOIN g e ON e.r = a.r + 1 AND e.c = a.c),
+l AS (SELECT q.*, 10.0::DOUBLE * v AS level FROM q, range(0, 100000) t(v) WHERE 10 * v > z0 AND 10 * v <= z0 + 4),
+p AS (SELECT level, list_filter([{_CROSSED}], lambda x: x IS NOT NULL) AS p FROM l)
+SELECT level, round(p[1].x, 6) AS x1, round(p[1].y, 6) AS y1, round(p[2].x, 6) AS x2, round(p[2].y, 6) AS y2 FROM p""")
 def _contours(s, d):
-    return terrain.contours(_plane(s, d), 10.0).groupBy(F.col("level").cast("double").alias("level")).agg(F.count("*").alias("segments"))
+    return rounded(terrain.contours(_plane(s, d), 10.0).drop("raster_id").withColumn("level", F.col("level").cast("double")), 6)
+
+
+#: The steepest lower neighbour, the first of equals in reading order; every cell's way down, step by step.
+_DROPS = {n: f"(e - {n})" + ("" if 0 in _N[n] else " * (1 / sqrt(2.0))") for n in _N if n != "e"}
+_BEST = f"greatest({', '.join(_DROPS.values())})"
+_DOWN = f"""n AS (SELECT r, k, CASE WHEN {_BEST} > 0 THEN CASE {" ".join(f"WHEN {v} = {_BEST} THEN [r + {_N[n][0]}, k + {_N[n][1]}]" for n, v in _DROPS.items())} END END AS way FROM {_HOOD}),
+w AS (SELECT r AS r0, k AS k0, r, k, 0 AS steps FROM n UNION ALL SELECT w.r0, w.k0, n.way[1], n.way[2], steps + 1 FROM w JOIN n ON n.r = w.r AND n.k = w.k WHERE n.way IS NOT NULL)"""
 
 
-@query("watershed", """WITH c AS (SELECT o_orderkey // 100 AS r, o_orderkey % 100 AS c FROM orders) SELECT 0 AS raster_id, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, 0 AS pit_row, 0 AS pit_col FROM c""")
+@query("watershed", f"""WITH RECURSIVE {_DOWN} SELECT 0 AS raster_id, CAST(r0 AS INTEGER) AS row, CAST(k0 AS INTEGER) AS col,
+  CAST(arg_max(r, steps) AS INTEGER) AS pit_row, CAST(arg_max(k, steps) AS INTEGER) AS pit_col FROM w GROUP BY r0, k0""")
 def _watershed(s, d):
-    return terrain.watershed(_plane(s, d)).select("raster_id", "row", "col", F.col("pit_row").cast("int").alias("pit_row"), F.col("pit_col").cast("int").alias("pit_col"))
+    return terrain.watershed(cells(s, d)).select("raster_id", "row", "col", F.col("pit_row").cast("int").alias("pit_row"), F.col("pit_col").cast("int").alias("pit_col"))
 
 
-@query("flow_accumulation")
+@query("flow_accumulation", f"""WITH RECURSIVE {_DOWN} SELECT 0 AS raster_id, CAST(r AS INTEGER) AS row, CAST(k AS INTEGER) AS col, count_if(steps > 0)::BIGINT AS upstream FROM w GROUP BY r, k""")
 def _flow(s, d):
     return terrain.flow_accumulation(cells(s, d))
 
