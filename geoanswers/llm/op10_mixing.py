@@ -47,12 +47,14 @@ def mixed(documents: DataFrame, weights: list[int], budget_percent: float = 150,
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
     )
-    slim = slim.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    # rows without an id are shuffled by their texts
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.col("text_hash").cast("string")), F.lit("null"))
+    slim = slim.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), name)))
     slim = common.stored(slim, "sizes")
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    whole = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.max("size").alias("largest"))
+    whole = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.count("*").alias("sources"), F.coalesce(F.max("largest"), F.lit(0)).alias("largest")).first()
     budget = whole["words"] * budget_percent / 100
-    aims = common.stored(targets(sizes.drop("n"), weights, budget, repeats), "targets")
+    aims = common.stored(targets(sizes.select("source", "source_size"), weights, budget, repeats), "targets")
 
     # 28 bits of the key in the upper part of 31
     order = [F.col("key"), F.col("size"), F.col("text_hash")]
@@ -62,9 +64,11 @@ def mixed(documents: DataFrame, weights: list[int], budget_percent: float = 150,
     start = [(F.col("ahead") + k * F.col("source_size")).cast("double") / F.col("target") for k in range(repeats)]
     finish = [(F.col("ahead") + F.col("size") + k * F.col("source_size")).cast("double") / F.col("target") for k in range(repeats)]
     copies = F.array(*[F.struct(finish[k].alias("finish"), F.col("place").alias("place"), F.lit(k).alias("round"), F.col("key").alias("key"), F.col("size").alias("size"), F.col("text_hash").alias("text_hash"), start[k].alias("start")) for k in range(repeats)])
-    # a copy that starts after its source's target ends is beyond the budget whatever the others do
-    line = queued.filter("size > 0").select(F.explode(F.filter(copies, lambda c: c["start"] <= 1)).alias("c")).select("c.*").drop("start")
-    spread = (F.least(F.col("finish") / 2, F.lit(0.999999)) * F.lit(2147483648)).cast("long")
+    # by a time x each source has finished all but a document of x times its target, so the budget ends the mix by this time;
+    # a copy that starts later is beyond it
+    end = 1 + whole["sources"] * whole["largest"] / max(budget, 1)
+    line = queued.filter("size > 0").select(F.explode(F.filter(copies, lambda c: c["start"] <= end)).alias("c")).select("c.*").drop("start")
+    spread = (F.least(F.col("finish") / (2 * end), F.lit(0.999999)) * F.lit(2147483648)).cast("long")
     rank = ["finish", "place", "round", "key", "size", "text_hash"]
     summed = common.running(line, [], [F.col(c) for c in rank], spread, common.ranges_for(whole["n"] * repeats), F.col("size"), "before")
     last = summed.filter(F.col("before") + F.col("size") <= budget).agg(F.max(F.struct(*rank)).alias("m")).first()["m"]

@@ -460,6 +460,16 @@ def test_language_accuracy_and_edges(spark, sf_dir, empty):
     assert {r.lang_pred for r in op7_language.identified(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_of_very_long_texts_beside_clashing_columns(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    one = df.filter("lang = 'de' and length(text) > 500").first()
+    long = spark.createDataFrame([(10**9, one.text + (" " + one.text) * (2_000_000 // len(one.text)), "en")], df.schema)
+    both = df.union(long).withColumn("keys", F.lit(1)).withColumn("h", F.lit("x")).withColumn("_id", F.lit(2)).withColumn("bucket", F.lit(3))
+    got = {r.doc_id: r for r in op7_language.identified(both).collect()}
+    assert got[10**9].lang_pred == "de" == got[one.doc_id].lang_pred and len(got) == df.count() + 1
+    assert op7_language.stage(spark, both, sf_dir).filter("doc_id = 1000000000").count() == 1
+
+
 def test_language_never_reads_labels_in_prediction(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     a = {r.doc_id: r.lang_pred for r in op7_language.identified(df).collect()}
@@ -596,6 +606,32 @@ def test_entropy_beside_a_pattern_is_reported(spark):
     assert [spans[i].count("entropy") for i in range(5)] == [1, 1, 1, 0, 1]
 
 
+def test_secrets_in_a_very_long_text(spark):
+    r = random.Random(21)
+    random_key = lambda n: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    parts, secrets = [], []
+    for i in range(3000):
+        key = random_key(24)
+        parts += ["é wörd " * r.randint(0, 4), r.choice([f"token={key}", f"AKIA{'Q' * 12}", f"key {key}"]), "\n"]
+        secrets.append(key)
+    text = "".join(parts) + random_key(40_000)
+    df = spark.createDataFrame([(1, text, 5)], "doc_id long, text string, n_chars long")
+    q = op8_secrets.secrets(df).first()
+    want = sorted([(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 8] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]{12,}", text)])
+    base = ",".join(f"{['assign', 'access'][k]}:{a}:{b}" for a, k, b in want)
+    assert q.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    spans = [x.split(":") for x in q.spans.split(",")]
+    clean, at = [], 0
+    for lo, hi in sorted((int(a), int(b)) for _, a, b in spans):
+        if lo >= at:
+            clean += [text[at:lo], "[SECRET]"]
+        at = max(at, hi)
+    out = op8_secrets.redacted(df).first()
+    assert out.text == "".join(clean) + text[at:] and out.n_chars == len(out.text)
+    # some keys have no digit and too few different letters to be told from a word
+    assert sum(key in out.text for key in secrets if key in text) <= 20 and len(out.text) < 150_000
+
+
 def test_window_entropy_matches_a_plain_one(spark):
     r = random.Random(8)
     words = ["".join(r.choices("abcdefgh01234567XYZ", k=r.randint(20, 60))) for _ in range(60)]
@@ -697,6 +733,33 @@ def test_mixing_targets_and_reruns(docs, empty, spark):
     assert op10_mixing.mixed(empty, [3, 1, 2]).count() == 0
 
 
+def test_mixing_many_sources(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(["w"] * r.choice([0, 1, 5, 30])), f"s{r.randrange(300):03d}" if i % 50 else None) for i in range(2000)] + [(None, "a b", "s001")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = op10_mixing.mixed(df, [3, 1, 2]).collect()
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    order = sorted(s for s in sizes if s is not None) + [None]
+    weight = {s: [3, 1, 2][k % 3] for k, s in enumerate(order)}
+    budget, full = 1.5 * sum(sizes.values()), {s for s in order if not sizes[s]}
+    while True:
+        share = (budget - sum(2 * sizes[s] for s in full)) / sum(weight[s] for s in order if s not in full)
+        over = {s for s in order if s not in full and share * weight[s] > 2 * sizes[s]}
+        if not over:
+            break
+        full |= over
+    target = {s: 2.0 * sizes[s] if s in full else share * weight[s] for s in order}
+    taken = collections.Counter()
+    for q in got:
+        assert q.source_size == sizes[q.source] and abs(q.target - target[q.source]) < 1e-6 * (1 + target[q.source]) and q.taken <= 2 * q["size"]
+        taken[q.source] += q.taken
+    assert len(got) == len(rows) and budget - 60 <= sum(taken.values()) <= budget
+    # documents that end beyond the targets leave words, which all sources share
+    assert all(target[s] - 30 <= taken[s] <= target[s] * (1 + 30 * len(order) / budget) + 30 for s in order)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 50)] + [(300, 200), (200, 250)]
     got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
