@@ -457,7 +457,8 @@ def nearest_neighbor(left: DataFrame, right: DataFrame, radius: float | None = N
         schema = T.StructType([left.schema["id"], T.StructField("neighbor_id", right.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
         return slim.mapInArrow(_nearest_of(_broadcast(target.orderBy("id"))), schema)
     reach = max(a[2], b[2]) - min(a[0], b[0]) + max(a[3], b[3]) - min(a[1], b[1]) + 1.0
-    radius = radius or max(reach / 1e6, ((b[2] - b[0]) * (b[3] - b[1]) / b[4]) ** 0.5)
+    # well below the spacing of evenly spread features, for those that stand in clusters
+    radius = radius or max(reach / 1e6, ((b[2] - b[0]) * (b[3] - b[1]) / b[4]) ** 0.5 / 16)
     out, rest = None, slim
     while True:
         met = pairs(rest, target, grow=radius, kernel=Distance(radius)).select(F.col("l.id").alias("id"), F.col("r.id").alias("neighbor_id"), F.col("value").alias("distance"))

@@ -38,7 +38,7 @@ r AS (SELECT *, gap AS turn, 0 AS n FROM u UNION ALL SELECT id, f, a, gap, s1, c
 e AS (SELECT *, cs - 2 * s1 * s2 / (1 - sa * sa) AS cm, atan2(ss, cs) AS arc, (1 - sa * sa) * (1 / power(1 - f, 2) - 1) AS k FROM (SELECT *, c1 * c2 * sin(turn) / ss AS sa FROM (
   SELECT *, sqrt(power(c2 * sin(turn), 2) + power(c1 * s2 - s1 * c2 * cos(turn), 2)) AS ss, s1 * s2 + c1 * c2 * cos(turn) AS cs FROM r WHERE n = 12))),
 t AS (SELECT *, 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k))) AS big, k / 1024 * (256 + k * (-128 + k * (74 - 47 * k))) AS small FROM e)
-SELECT id, round(a * (1 - f) * big * (arc - small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))), 3) AS distance_m, 'ellipsoidal' AS method FROM t
+SELECT id, round(a * (1 - f) * big * (arc - small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))), 2) AS distance_m, 'ellipsoidal' AS method FROM t
 UNION ALL SELECT id, NULL, 'refused' FROM {POINTS} WHERE id % 50 = 0"""
 
 
@@ -46,7 +46,7 @@ UNION ALL SELECT id, NULL, 'refused' FROM {POINTS} WHERE id % 50 = 0"""
 def _pairs(s, d):
     lon = F.when(F.col("id") % 50 == 0, 200.0).otherwise(F.col("lon"))
     p = _degrees(s, d).select("id", lon.alias("from_lon"), F.col("lat").alias("from_lat"), F.lit(29.0).alias("to_lon"), F.lit(41.01).alias("to_lat"))
-    return rounded(survey.pair_distances(p).select("id", "distance_m", "method"), 3)
+    return rounded(survey.pair_distances(p).select("id", "distance_m", "method"), 2)
 
 
 @query("set_out", f"SELECT id, round(x + 100 * sin(radians(id % 360)), 6) AS to_x, round(y + 100 * cos(radians(id % 360)), 6) AS to_y FROM {POINTS}")
