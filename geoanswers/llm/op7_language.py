@@ -122,13 +122,17 @@ class Model:
         keys = keys[telling(keys)]
         if not len(keys):
             return False
+        # most texts are told at a glance; for the others each n-gram counts once, as where the limit comes from
+        if any(known >= least for known, least in self._shares(keys)):
+            return False
+        once = np.unique(keys)
+        return all(known < least - DEVIATIONS * (least * (1 - least) / len(once)) ** 0.5 for known, least in self._shares(once))
+
+    def _shares(self, keys: np.ndarray) -> list[tuple[float, float]]:
+        """Shares of the n-grams and their limits. n-grams of one training text alone may be a sign of nothing but themselves,
+        unless nearly all are known."""
         at = self.find(keys)
-        n = len(np.unique(keys))
-        # n-grams of one training text alone may be a sign of nothing but themselves, unless nearly all are known
-        for known, least in (((at >= 0) & self.several[at], PART * self.low), (at >= 0, self.low)):
-            if known.mean() >= least - DEVIATIONS * (least * (1 - least) / n) ** 0.5:
-                return False
-        return True
+        return [(float(((at >= 0) & self.several[at]).mean()), PART * self.low), (float((at >= 0).mean()), self.low)]
 
     def score(self, present: np.ndarray) -> np.ndarray:
         size = present.sum(axis=1, keepdims=True, dtype=np.int64)
@@ -240,15 +244,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
 
 
-#: Pipeline: texts scored lower are in no learned language; so are those that ``Model.foreign`` tells.
-LEAST_SCORE = 0.3
-
-
 def _kept(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = _judged(model.value, list(common.utf8(batch.column("text"))), foreign=True)
-            yield batch.filter(pa.array([n != UNKNOWN and s >= LEAST_SCORE for n, s in zip(names, scores)], pa.bool_()))
+            names, _ = _judged(model.value, list(common.utf8(batch.column("text"))), foreign=True)
+            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
 
     return run
 
