@@ -1,6 +1,7 @@
 """Spatial joins: boxes first, exact tests on what is left.
 
-A side of few features and vertices (both are counted) is broadcast, and the other one is not shuffled at all. Otherwise ids
+A side of few features and vertices (both are counted) is broadcast, and the other one is not shuffled (but dealt out where
+it has fewer partitions than there are cores). Otherwise ids
 and boxes go through a grid of cells: a feature's own level is the finest of a few levels on which its box covers at most 64
 cells. A pair meets on the coarser of its two own levels, in an equi-join on the cell: there one of both is on its own
 level and the other one on that level or a finer one, and the key says which of both it is, so that features of finer levels
@@ -49,8 +50,13 @@ class Holds:
 
     def __call__(self, a: Shapes, b: Shapes, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list]:
         keep = np.zeros(len(i), bool)
-        single = np.array([x.kind == "point" and len(x.points) == 1 for x in a], bool)
-        for k, at in _by(j):
+        single = np.array([x is not None and x.kind == "point" and len(x.points) == 1 for x in a], bool)
+        p, q = _upright(a), _upright(b)
+        upright = p[i, 4].astype(bool) & q[j, 4].astype(bool)
+        keep[upright] = self._of_boxes(p[i[upright]], q[j[upright]])
+        for k, at in _by(np.where(upright, -1, j)):
+            if k < 0:
+                continue
             shape = b[k]
             if shape.dim == 2:  # single points against one polygon all at once
                 dots = at[single[i[at]]]
@@ -62,6 +68,15 @@ class Holds:
                 keep[x] = shapes.Relation(a[i[x]], shape).holds(self.predicate)
         return keep, []
 
+    def _of_boxes(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The relation of upright rectangles, all at once."""
+        meets = ((p[:, :2] <= q[:, 2:4]) & (q[:, :2] <= p[:, 2:4])).all(axis=1)
+        inner = ((p[:, :2] < q[:, 2:4]) & (q[:, :2] < p[:, 2:4])).all(axis=1)
+        p_in = ((p[:, :2] >= q[:, :2]) & (p[:, 2:4] <= q[:, 2:4])).all(axis=1)
+        q_in = ((q[:, :2] >= p[:, :2]) & (q[:, 2:4] <= p[:, 2:4])).all(axis=1)
+        found = {"intersects": meets, "within": p_in, "contains": q_in, "equals": p_in & q_in, "touches": meets & ~inner, "overlaps": inner & ~p_in & ~q_in}
+        return found.get(self.predicate, np.zeros(len(p), bool))
+
 
 class PointIn:
     """Points in polygons, half open: a point on a lower or left side is inside, on an upper or right one outside, so that
@@ -101,6 +116,18 @@ class Distance:
         return keep, far[keep].tolist()
 
 
+def _upright(side: Shapes) -> np.ndarray:
+    """Bounds of each shape, and whether it is an upright rectangle."""
+    out = np.zeros((len(side), 5))
+    for k, s in enumerate(side):
+        if s is None or s.dim != 2 or len(s.sides) != 4 or len(s.parts) != 1:
+            continue
+        lo, hi = s.points.min(axis=0), s.points.max(axis=0)
+        corners = ((s.points == lo) | (s.points == hi)).all() and ((s.sides[:, :2] == s.sides[:, 2:]).sum(axis=1) == 1).all()
+        out[k] = *lo, *hi, corners and (lo < hi).all() and abs(shapes.signed_area(s.parts[0][0])) > 0.5 * (hi - lo).prod()
+    return out
+
+
 def _by(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each key and where it stands."""
     order = np.argsort(keys, kind="stable")
@@ -192,6 +219,12 @@ def _broadcast(side: DataFrame):
     return side.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: a small file is one partition, and kernels take their time."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _schema(left: DataFrame, right: DataFrame, kernel) -> T.StructType:
     sides = [T.StructField(n, T.StructType([df.schema[c] for c in _plain(df)] + [T.StructField("_", T.ByteType())])) for n, df in (("l", left), ("r", right))]
     return T.StructType(sides + ([T.StructField("value", kernel.value)] if kernel.value else []))
@@ -293,7 +326,7 @@ def pairs(left: DataFrame, right: DataFrame, size: float | None = None, grow: fl
     (nl, vl, ml, wl, hl, _), (nr, vr, mr, wr, hr, extent) = _measure(left), _measure(right)
     for few, vertices, side, other, is_left in ((nr, vr, right, left, True), (nl, vl, left, right, False)):
         if size is None and few <= FEW_FEATURES and vertices <= FEW_VERTICES:
-            return other.mapInArrow(_against(_broadcast(side), kernel, grow, is_left), schema)
+            return _spread(other).mapInArrow(_against(_broadcast(side), kernel, grow, is_left), schema)
     # points have no sides: cells of about one of them
     size = max(size or 2 * max(ml, mr) or (extent / max(1, nr)) ** 0.5 or 1.0, grow)
     a, b = _keyed(left, "left"), _keyed(right, "right")
@@ -455,7 +488,7 @@ def nearest_neighbor(left: DataFrame, right: DataFrame, radius: float | None = N
     few, vertices, *_ = _measure(target)
     if radius is None and few <= FEW_FEATURES and vertices <= FEW_VERTICES:
         schema = T.StructType([left.schema["id"], T.StructField("neighbor_id", right.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
-        return slim.mapInArrow(_nearest_of(_broadcast(target.orderBy("id"))), schema)
+        return _spread(slim).mapInArrow(_nearest_of(_broadcast(target.orderBy("id"))), schema)
     reach = max(a[2], b[2]) - min(a[0], b[0]) + max(a[3], b[3]) - min(a[1], b[1]) + 1.0
     # well below the spacing of evenly spread features, for those that stand in clusters
     radius = radius or max(reach / 1e6, ((b[2] - b[0]) * (b[3] - b[1]) / b[4]) ** 0.5 / 16)

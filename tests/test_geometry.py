@@ -178,6 +178,27 @@ def test_relations_of_parts_and_notches(spark, monkeypatch, few):
         sjoin.relationship_count(a, u, "beside")
 
 
+def test_rectangles_at_once_equal_one_by_one():
+    import numpy as np
+
+    from geoanswers.operators import shapes
+
+    r = random.Random(6)
+    boxes_ = []
+    for _ in range(60):
+        x, y, w, h = (r.randrange(6) for _ in "xywh")
+        ring = [(x, y), (x + w + 1, y), (x + w + 1, y + h + 1), (x, y + h + 1)]
+        k = r.randrange(4)
+        ring = ring[k:] + ring[:k]
+        boxes_.append(shapes.Shape("polygon", [[np.array([*ring, ring[0]], float)[:: r.choice([1, -1])]]]))
+    bow = shapes.Shape("polygon", [[np.array([(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)], float)]])
+    assert sjoin._upright([*boxes_, bow, None])[:, 4].tolist() == [1.0] * 60 + [0.0] * 2
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    for predicate in sjoin.PREDICATES:
+        got, _ = sjoin.Holds(predicate)(boxes_, boxes_, i, j)
+        assert got.tolist() == [shapes.Relation(boxes_[x], boxes_[y]).holds(predicate) for x, y in zip(i, j)]
+
+
 @pytest.mark.parametrize("few", [4096, -1])
 def test_ids_of_any_kind_survive(spark, monkeypatch, few):
     monkeypatch.setattr(sjoin, "FEW_FEATURES", few)
