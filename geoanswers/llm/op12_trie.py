@@ -311,8 +311,8 @@ def _trees(final: bool, of_pieces: bool):
     return run
 
 
-def _ranged(df: DataFrame, ranges: int, *order: str) -> DataFrame:
-    dealt = df.repartitionByRange(ranges, *order) if ranges > 1 else df.coalesce(1)
+def _ranged(df: DataFrame, ranges: int, by: list[str], order: list[str]) -> DataFrame:
+    dealt = df.repartitionByRange(ranges, *by) if ranges > 1 else df.coalesce(1)
     return dealt.sortWithinPartitions(*order)
 
 
@@ -338,17 +338,18 @@ def trie(keys: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
     keys = common.stored(keys.select("key", "conv_id"), "keys")
     n = keys.count()
     least = 2 if n > 100 else 1  # a small table's paths are merged as well
-    pieces = common.stored(_ranged(keys, max(least, -(-n // per_range)), "key", "conv_id").mapInArrow(_copies, "key binary, first long, n long, ids string"), "copies")
-    rows, count, floor, levels = pieces, pieces.count(), least, []
+    pieces = common.stored(_ranged(keys, max(least, -(-n // per_range)), ["key", "conv_id"], ["key", "conv_id"]).mapInArrow(_copies, "key binary, first long, n long, ids string"), "copies")
+    rows, count, levels = pieces, pieces.count(), []
+    ranges = max(least, -(-count // per_range))
     while True:
-        ranges = max(floor, -(-count // per_range))
-        grown = _ranged(rows, ranges, "key", *(["first"] if rows is pieces else [])).mapInArrow(_trees(ranges == 1, rows is pieces), LEVEL)
+        grown = _ranged(rows, ranges, ["key"], ["key", "first"] if rows is pieces else ["key"]).mapInArrow(_trees(ranges == 1, rows is pieces), LEVEL)
         level = common.stored(grown, "trie")
         levels.append(level.filter("key is null").drop("key"))
         if ranges == 1:
             break
         rows = level.filter("key is not null").select("key", "n_convs", "conv_id", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
-        count, floor = rows.count(), 1
+        # at most an eighth of the ranges: rounds end even where open paths are long and part often
+        ranges = max(1, min(-(-rows.count() // per_range), ranges // 8))
     out = levels[-1]
     if levels[:-1]:
         parents = levels[1]
