@@ -13,11 +13,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from geoanswers.operators import planar
+from geoanswers.operators import planar, sweep
 
 IN, ON, OUT = 1, 0, -1
 #: Relative size below which a distance is none.
 TOLERANCE = 1e-12
+#: Pairs of a point or side with a side, and sides of a shape, that are compared without an index.
+FEW_PAIRS, FEW_SIDES = 1 << 14, 32
 
 Rings = list[np.ndarray]
 _DIMENSION = {"point": 0, "multipoint": 0, "linestring": 1, "multilinestring": 1, "polygon": 2, "multipolygon": 2}
@@ -41,6 +43,7 @@ class Shape:
         sides = [np.hstack([r[:-1], r[1:]]) for r in rings] if self.dim else []
         sides = np.concatenate(sides) if sides else np.zeros((0, 4))
         self.sides = sides[(sides[:, 0] != sides[:, 2]) | (sides[:, 1] != sides[:, 3])]
+        self.index: tuple[float, sweep.Heights] | None = None
 
     def ends(self) -> set[tuple[float, float]]:
         """The end points of lines: those at which an odd number of lines ends."""
@@ -72,22 +75,65 @@ def located(points: np.ndarray, shape: Shape) -> np.ndarray:
     if not len(points):
         return np.zeros(0, int)
     if shape.dim == 0 or not len(shape.sides):
-        same = (points[:, None, :] == shape.points[None, :, :]).all(axis=2).any(axis=1)
-        return np.where(same, IN, OUT)
-    x, y = points[:, :1], points[:, 1:]
-    ax, ay, bx, by = shape.sides.T
-    far = _cross(ax, ay, bx, by, x, y)
+        known = set(map(tuple, shape.points.tolist()))
+        return np.array([IN if tuple(p) in known else OUT for p in points.tolist()])
     slack = TOLERANCE * max(shape.size(), float(np.abs(points).max()))
-    length = np.hypot(bx - ax, by - ay)
-    line = np.abs(far) <= slack * length
-    line &= (x >= np.minimum(ax, bx) - slack) & (x <= np.maximum(ax, bx) + slack) & (y >= np.minimum(ay, by) - slack) & (y <= np.maximum(ay, by) + slack)
-    on = line.any(axis=1)
+    on, odd = np.zeros(len(points), bool), np.zeros(len(points), np.int64)
+    for i, j in _beside(points, shape, slack):
+        x, y = points[i].T
+        ax, ay, bx, by = shape.sides[j].T
+        line = np.abs(_cross(ax, ay, bx, by, x, y)) <= slack * np.hypot(bx - ax, by - ay)
+        line &= (x >= np.minimum(ax, bx) - slack) & (x <= np.maximum(ax, bx) + slack) & (y >= np.minimum(ay, by) - slack) & (y <= np.maximum(ay, by) + slack)
+        on[i[line]] = True
+        with np.errstate(divide="ignore", invalid="ignore"):
+            crossed = ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+        odd += np.bincount(i[crossed], minlength=len(points))
     if shape.dim == 1:
         ends = shape.ends()
         return np.where(on, [ON if tuple(p) in ends else IN for p in points], OUT)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        crossed = ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
-    return np.where(on, ON, np.where(crossed.sum(axis=1) % 2 == 1, IN, OUT))
+    return np.where(on, ON, np.where(odd % 2 == 1, IN, OUT))
+
+
+def crossed(points: np.ndarray, shape: Shape) -> np.ndarray:
+    """How many sides a ray from each point to the right crosses, half open."""
+    out = np.zeros(len(points), np.int64)
+    for i, j in _beside(points, shape, 0.0):
+        x, y = points[i].T
+        ax, ay, bx, by = shape.sides[j].T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            hit = ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+        out += np.bincount(i[hit], minlength=len(points))
+    return out
+
+
+def _beside(points: np.ndarray, shape: Shape, slack: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (point, side) at the same height: all of them for few, else by the shape's index, which is kept."""
+    n = len(shape.sides)
+    if n * len(points) <= FEW_PAIRS or n <= FEW_SIDES:
+        step = max(1, sweep.BLOCK // n)
+        for lo in range(0, len(points), step):
+            k = min(step, len(points) - lo)
+            yield np.repeat(np.arange(lo, lo + k), n), np.tile(np.arange(n), k)
+        return
+    if shape.index is None or shape.index[0] < slack:
+        shape.index = (slack, sweep.Heights(shape.sides, slack))
+    yield from shape.index[1].near(points)
+
+
+def _against(sides: np.ndarray, points: np.ndarray, scale: float) -> np.ndarray:
+    """On which side of its line each point lies; 0 if on the line."""
+    ax, ay, bx, by = sides.T
+    far = _cross(ax, ay, bx, by, points[:, 0], points[:, 1])
+    return np.where(np.abs(far) <= TOLERANCE * scale * np.hypot(bx - ax, by - ay), 0.0, far)
+
+
+def _close(s: np.ndarray, t: np.ndarray, slack: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of places (of s, of t) of sides that may meet: all pairs of few sides, else those whose boxes meet."""
+    if len(s) * len(t) <= FEW_PAIRS:
+        if len(s) and len(t):
+            yield np.repeat(np.arange(len(s)), len(t)), np.tile(np.arange(len(t)), len(s))
+        return
+    yield from sweep.meeting(sweep.boxes_of(s) + np.array([-slack, -slack, slack, slack]), sweep.boxes_of(t))
 
 
 class Split:
@@ -97,47 +143,42 @@ class Split:
     def __init__(self, a: Shape, b: Shape):
         s, t = a.sides, b.sides
         scale = max(a.size(), b.size())
-        p, q = s[:, None, :2], s[:, None, 2:]
-        c, d = t[None, :, :2], t[None, :, 2:]
-
-        def against(u, v, w):
-            """On which side of u-v w lies; 0 if on the line."""
-            far = _cross(u[..., 0], u[..., 1], v[..., 0], v[..., 1], w[..., 0], w[..., 1])
-            return np.where(np.abs(far) <= TOLERANCE * scale * np.hypot(v[..., 0] - u[..., 0], v[..., 1] - u[..., 1]), 0.0, far)
-
-        d1, d2, d3, d4 = against(p, q, c), against(p, q, d), against(c, d, p), against(c, d, q)
         self.meets: set[tuple[float, float]] = set()
         cuts_a: dict[int, list] = defaultdict(list)
         cuts_b: dict[int, list] = defaultdict(list)
+        shared_a: dict[int, list] = defaultdict(list)
+        shared_b: dict[int, list] = defaultdict(list)
 
         def along(side, w):
             """Where w lies between the ends of a side: 0 to 1 from the first to the second."""
             dx, dy = side[2] - side[0], side[3] - side[1]
             return ((w[0] - side[0]) * dx + (w[1] - side[1]) * dy) / (dx * dx + dy * dy)
 
-        for i, j in zip(*np.nonzero((d1 * d2 < 0) & (d3 * d4 < 0))):
-            r = d3[i, j] / (d3[i, j] - d4[i, j])
-            at = (s[i, 0] + r * (s[i, 2] - s[i, 0]), s[i, 1] + r * (s[i, 3] - s[i, 1]))
-            self.meets.add(at)
-            cuts_a[i].append(at)
-            cuts_b[j].append(at)
-        shared_a: dict[int, list] = defaultdict(list)
-        shared_b: dict[int, list] = defaultdict(list)
-        touch = (d1 == 0) | (d2 == 0) | (d3 == 0) | (d4 == 0)
-        for i, j in zip(*np.nonzero(touch)):
-            on_a = [w for k, w in ((d1, t[j, :2]), (d2, t[j, 2:])) if k[i, j] == 0 and -1e-12 <= along(s[i], w) <= 1 + 1e-12]
-            on_b = [w for k, w in ((d3, s[i, :2]), (d4, s[i, 2:])) if k[i, j] == 0 and -1e-12 <= along(t[j], w) <= 1 + 1e-12]
-            for w in on_a:
-                cuts_a[i].append(tuple(w))
-            for w in on_b:
-                cuts_b[j].append(tuple(w))
-            self.meets.update(tuple(w) for w in on_a + on_b)
-            if d1[i, j] == 0 and d2[i, j] == 0:
-                same = (s[i, 2:] - s[i, :2]) @ (t[j, 2:] - t[j, :2]) > 0
-                for side, other, into in ((s[i], t[j], shared_a[i]), (t[j], s[i], shared_b[j])):
-                    lo, hi = sorted((along(side, other[:2]), along(side, other[2:])))
-                    if min(hi, 1.0) - max(lo, 0.0) > 1e-12:
-                        into.append((lo, hi, same))
+        for at, to in _close(s, t, TOLERANCE * scale):
+            p, q = s[at], t[to]
+            d1, d2, d3, d4 = (_against(u, w, scale) for u, w in ((p, q[:, :2]), (p, q[:, 2:]), (q, p[:, :2]), (q, p[:, 2:])))
+            crossed = (d1 * d2 < 0) & (d3 * d4 < 0)
+            r = d3[crossed] / (d3[crossed] - d4[crossed])
+            spots = p[crossed, :2] + r[:, None] * (p[crossed, 2:] - p[crossed, :2])
+            for i, j, spot in zip(at[crossed].tolist(), to[crossed].tolist(), map(tuple, spots.tolist())):
+                self.meets.add(spot)
+                cuts_a[i].append(spot)
+                cuts_b[j].append(spot)
+            for k in np.flatnonzero((d1 == 0) | (d2 == 0) | (d3 == 0) | (d4 == 0)).tolist():
+                i, j = int(at[k]), int(to[k])
+                on_a = [w for d, w in ((d1, t[j, :2]), (d2, t[j, 2:])) if d[k] == 0 and -1e-12 <= along(s[i], w) <= 1 + 1e-12]
+                on_b = [w for d, w in ((d3, s[i, :2]), (d4, s[i, 2:])) if d[k] == 0 and -1e-12 <= along(t[j], w) <= 1 + 1e-12]
+                for w in on_a:
+                    cuts_a[i].append(tuple(w))
+                for w in on_b:
+                    cuts_b[j].append(tuple(w))
+                self.meets.update(tuple(w) for w in on_a + on_b)
+                if d1[k] == 0 and d2[k] == 0:
+                    same = (s[i, 2:] - s[i, :2]) @ (t[j, 2:] - t[j, :2]) > 0
+                    for side, other, into in ((s[i], t[j], shared_a[i]), (t[j], s[i], shared_b[j])):
+                        lo, hi = sorted((along(side, other[:2]), along(side, other[2:])))
+                        if min(hi, 1.0) - max(lo, 0.0) > 1e-12:
+                            into.append((lo, hi, same))
         self.a, self.codes_a, self.same_a = self._pieces(s, cuts_a, shared_a, along, b)
         self.b, self.codes_b, self.same_b = self._pieces(t, cuts_b, shared_b, along, a)
 
@@ -167,10 +208,12 @@ class Split:
 
 
 def inner_point(part: Rings) -> np.ndarray:
-    """A point inside a part of a polygon, half way between two neighbouring heights of vertices."""
+    """A point inside a part of a polygon, half way between two neighbouring heights of vertices (of the 32 pairs that are
+    furthest apart, where the part is widest)."""
     heights = np.unique(np.concatenate([r[:, 1] for r in part]))
     best, width = part[0][:1].mean(axis=0), -1.0
-    for y in ((heights[:-1] + heights[1:]) / 2).tolist():
+    wide = np.argsort(heights[:-1] - heights[1:], kind="stable")[:32]
+    for y in ((heights[wide] + heights[wide + 1]) / 2).tolist():
         xs = []
         for r in part:
             (x0, y0), (x1, y1) = r[:-1].T, r[1:].T
@@ -257,15 +300,40 @@ def distance(a: Shape, b: Shape) -> float:
     if Relation(a, b).meets:
         return 0.0
 
-    def least(points: np.ndarray, shape: Shape) -> float:
-        if not len(shape.sides):
-            return float(np.hypot(*(points[:, None, :] - shape.points[None, :, :]).transpose(2, 0, 1)).min())
-        p, step = shape.sides[:, :2], shape.sides[:, 2:] - shape.sides[:, :2]
-        away = points[:, None, :] - p
-        t = np.clip((away * step).sum(axis=2) / (step * step).sum(axis=1), 0, 1)
-        return float(np.hypot(*(away - t[:, :, None] * step).transpose(2, 0, 1)).min())
+    return min(_least(a.points, b), _least(b.points, a))
+
+
+def _least(points: np.ndarray, shape: Shape, group: int = 64) -> float:
+    """The least distance of any point to a shape. Points and sides stand in groups that follow each other on the outline; two
+    groups are compared where their boxes are nearer than what was found so far, the nearest first."""
+    sides = shape.sides if len(shape.sides) else np.hstack([shape.points, shape.points])
+    if len(points) * len(sides) <= FEW_PAIRS:
+        return _apart(np.repeat(points, len(sides), axis=0), np.tile(sides, (len(points), 1)))
+    mine, other = np.arange(0, len(points), group), np.arange(0, len(sides), group)
+    boxes = sweep.boxes_of(sides)
+    p = np.concatenate([np.minimum.reduceat(points, mine), np.maximum.reduceat(points, mine)], axis=1)
+    q = np.concatenate([np.minimum.reduceat(boxes[:, :2], other), np.maximum.reduceat(boxes[:, 2:], other)], axis=1)
+    best, step = _apart(np.repeat(points[:1], len(sides), axis=0), sides), max(1, sweep.BLOCK // len(other))
+    for lo in range(0, len(mine), step):
+        part = p[lo : lo + step]
+        gap = np.maximum(np.maximum(q[:, :2] - part[:, None, 2:], part[:, None, :2] - q[:, 2:]), 0)
+        gap = np.hypot(gap[:, :, 0], gap[:, :, 1])
+        at, of = np.nonzero(gap < best)
+        order = np.argsort(gap[at, of], kind="stable")
+        for some in np.split(order, range(8, len(order), 256)):
+            some = some[gap[at[some], of[some]] < best]
+            for i, j in zip((at[some] + lo).tolist(), of[some].tolist()):
+                x, s = points[mine[i] : mine[i] + group], sides[other[j] : other[j] + group]
+                best = min(best, _apart(np.repeat(x, len(s), axis=0), np.tile(s, (len(x), 1))))
+    return best
+
 
-    return min(least(a.points, b), least(b.points, a))
+def _apart(points: np.ndarray, sides: np.ndarray) -> float:
+    """The least distance of a point to the side beside it."""
+    along = sides[:, 2:] - sides[:, :2]
+    size = (along * along).sum(axis=1)
+    t = np.clip(((points - sides[:, :2]) * along).sum(axis=1) / np.where(size > 0, size, 1), 0, 1)
+    return float(np.hypot(*(points - sides[:, :2] - t[:, None] * along).T).min())
 
 
 # ---- overlays ----------------------------------------------------------------------------------------------------

@@ -87,11 +87,7 @@ class PointIn:
     def __call__(self, a: Shapes, b: Shapes, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list]:
         keep = np.zeros(len(i), bool)
         for k, at in _by(j):
-            x, y = np.concatenate([a[q].points[:1] for q in i[at]]).T[:, :, None]
-            ax, ay, bx, by = b[k].sides.T
-            with np.errstate(divide="ignore", invalid="ignore"):
-                crossed = ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
-            keep[at] = crossed.sum(axis=1) % 2 == 1
+            keep[at] = shapes.crossed(np.concatenate([a[q].points[:1] for q in i[at]]), b[k]) % 2 == 1
         return keep, []
 
 

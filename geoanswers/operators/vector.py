@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from geoanswers.functions import geom
 from geoanswers.functions.geodesy import inverse
 from geoanswers.meta import LayerMeta, Refused, metric_plan, need_columns, to_metres, utm_zone
-from geoanswers.operators import planar, shapes
+from geoanswers.operators import planar, shapes, sweep
 from geoanswers.operators.sjoin import Shapes, pairs
 from geoanswers.sources.tables import stored
 
@@ -391,25 +391,17 @@ def dissolve(df: DataFrame, group: str | None = None) -> DataFrame:
 
 
 def crosses_itself(ring: np.ndarray) -> bool:
-    """Two sides that are no neighbours cross. Sides are sorted by their left end, and each block of them meets only those
-    that begin before it ends."""
+    """Two sides that are no neighbours cross; only sides whose boxes meet are compared."""
     s = np.hstack([ring[:-1], ring[1:]])
     s = s[(s[:, 0] != s[:, 2]) | (s[:, 1] != s[:, 3])]
-    n = len(s)
-    place = np.argsort(np.minimum(s[:, 0], s[:, 2]), kind="stable")
-    left = np.minimum(s[:, 0], s[:, 2])[place]
-    for lo in range(0, n, 256):
-        mine = place[lo : lo + 256]
-        until = int(np.searchsorted(left, np.maximum(s[mine, 0], s[mine, 2]).max(), side="right"))
-        for start in range(lo, until, 4096):
-            other = place[start : min(start + 4096, until)]
-            a, b = s[mine][:, None, :], s[other][None, :, :]
-            side = lambda p, q: (p[..., 2] - p[..., 0]) * (q[1] - p[..., 1]) - (p[..., 3] - p[..., 1]) * (q[0] - p[..., 0])
-            d1, d2 = side(a, (b[..., 0], b[..., 1])), side(a, (b[..., 2], b[..., 3]))
-            d3, d4 = side(b, (a[..., 0], a[..., 1])), side(b, (a[..., 2], a[..., 3]))
-            apart = np.minimum((mine[:, None] - other[None, :]) % n, (other[None, :] - mine[:, None]) % n)
-            if ((np.sign(d1) * np.sign(d2) < 0) & (np.sign(d3) * np.sign(d4) < 0) & (apart > 1)).any():
-                return True
+    box, n = sweep.boxes_of(s), len(s)
+    for i, j in sweep.meeting(box, box):
+        apart = np.abs(i - j)
+        i, j = i[(apart > 1) & (apart < n - 1)], j[(apart > 1) & (apart < n - 1)]
+        side = lambda p, x, y: np.sign((p[:, 2] - p[:, 0]) * (y - p[:, 1]) - (p[:, 3] - p[:, 1]) * (x - p[:, 0]))
+        p, q = s[i], s[j]
+        if ((side(p, q[:, 0], q[:, 1]) * side(p, q[:, 2], q[:, 3]) < 0) & (side(q, p[:, 0], p[:, 1]) * side(q, p[:, 2], p[:, 3]) < 0)).any():
+            return True
     return False
 
 
