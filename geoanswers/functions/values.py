@@ -19,7 +19,15 @@ def is_blank(c: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    return c.try_cast("double")
+    """The finite number that a value or text holds, else NULL: NaN and infinities are no numbers to count with."""
+    v = c.try_cast("double")
+    return F.when(F.abs(v) < F.lit(float("inf")), v)
+
+
+def not_finite(c: Column) -> Column:
+    """NaN or an infinity, as a value or as text."""
+    v = c.try_cast("double")
+    return v.isNotNull() & ~(F.abs(v) < F.lit(float("inf")))
 
 
 def coerced(c: Column, kind: str) -> Column:
@@ -27,8 +35,7 @@ def coerced(c: Column, kind: str) -> Column:
     if kind == "text":
         whole = (c.try_cast("double") == F.floor(c.try_cast("double"))) & (F.abs(c.try_cast("double")) < 1e15)
         return F.when(whole, c.try_cast("double").cast("long").cast("string")).otherwise(c.cast("string"))
-    v = c.try_cast("double")
-    finite = F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
+    finite = number(c)
     if kind == "number":
         return finite
     if kind == "integer":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoanswers.functions.values import is_blank, number
+from geoanswers.functions.values import is_blank, not_finite, number
 from geoanswers.meta import LayerMeta, Refused, need_columns
 from geoanswers.operators.ordering import group_medians, placed, quantiles
 
@@ -13,16 +13,17 @@ _STATISTICS = {"count": F.count, "sum": F.sum, "mean": F.avg, "min": F.min, "max
 
 
 def numeric_summary(df: DataFrame, field: str) -> DataFrame:
-    """One row: count, usable, nulls, sum, mean, median, quartiles, min, max, stddev of the values that parse."""
+    """One row: count, usable, nulls (what is not usable), not_finite (of those, NaN and infinities), sum, mean, median,
+    quartiles, min, max, stddev of the finite values that parse."""
     need_columns(df, field)
     v = number(F.col(field))
     q = quantiles(df, v, [0.25, 0.5, 0.75])
     out = df.agg(
         F.count("*").alias("count"), F.count(v).alias("usable"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.min(v).alias("min"),
-        F.max(v).alias("max"), F.stddev_samp(v).alias("stddev"),
+        F.max(v).alias("max"), F.stddev_samp(v).alias("stddev"), F.count_if(not_finite(F.col(field))).alias("not_finite"),
     )
     quarters = [F.lit(x).cast("double").alias(n) for x, n in zip(q, ("q1", "median", "q3"))]
-    return out.select("count", "usable", (F.col("count") - F.col("usable")).alias("nulls"), "sum", "mean", "min", "max", "stddev", *quarters)
+    return out.select("count", "usable", (F.col("count") - F.col("usable")).alias("nulls"), "not_finite", "sum", "mean", "min", "max", "stddev", *quarters)
 
 
 def categories(df: DataFrame, field: str, limit: int = 25) -> DataFrame:
@@ -93,7 +94,7 @@ def field_profile(df: DataFrame) -> DataFrame:
     some = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0)).alias
     out = counted.groupBy("i").agg(
         some(text.isNull())("nulls"), some(text.isNotNull() & ~filled)("blanks"), F.count_if(filled).alias("distinct"), some(filled)("filled"),
-        some(filled & text.try_cast("double").isNotNull())("parsed"),
+        some(filled & number(text).isNotNull())("parsed"),
     )
     # a field of an empty table has no rows
     names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(name).alias("field"), F.lit(kind).alias("type")) for i, (name, kind) in enumerate(df.dtypes)])

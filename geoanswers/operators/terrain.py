@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoanswers.meta import LayerMeta, Refused
-from geoanswers.sources.tables import discard, mark, stored
+from geoanswers.sources.tables import Scratch, stored
 
 #: Offsets (row, col); rows go down.
 _AROUND = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
@@ -117,42 +117,42 @@ def directions(cells: DataFrame) -> DataFrame:
 def watershed(cells: DataFrame, most_rounds: int = 64) -> DataFrame:
     """raster_id, row, col, pit_row, pit_col: where each cell drains to, by pointer doubling (log rounds over written tables;
     of a pit that drains very many cells, the join splits the skewed side). A round's table goes when the next is written."""
-    spark, began = cells.sparkSession, mark()
     start = directions(cells).select("raster_id", "row", "col", F.coalesce("to_row", "row").alias("pit_row"), F.coalesce("to_col", "col").alias("pit_col"))
-    now = stored(start, "terrain")
-    for _ in range(most_rounds):
-        last = mark()
-        nxt = now.select(F.col("raster_id").alias("r"), F.col("row").alias("y"), F.col("col").alias("x"), F.col("pit_row").alias("py"), F.col("pit_col").alias("px"))
-        step = now.join(nxt, (now.raster_id == nxt.r) & (now.pit_row == nxt.y) & (now.pit_col == nxt.x))
-        changed = (F.col("py") != F.col("pit_row")) | (F.col("px") != F.col("pit_col"))
-        moved = stored(step.select("raster_id", "row", "col", F.col("py").alias("pit_row"), F.col("px").alias("pit_col"), changed.alias("moved")), "terrain")
-        now = moved.drop("moved")
-        settled = moved.filter("moved").isEmpty()
-        discard(spark, began, last)
-        if settled:
-            return now
+    with Scratch(cells.sparkSession) as own:
+        now = stored(start, "terrain")
+        for _ in range(most_rounds):
+            last = own.mark()
+            nxt = now.select(F.col("raster_id").alias("r"), F.col("row").alias("y"), F.col("col").alias("x"), F.col("pit_row").alias("py"), F.col("pit_col").alias("px"))
+            step = now.join(nxt, (now.raster_id == nxt.r) & (now.pit_row == nxt.y) & (now.pit_col == nxt.x))
+            changed = (F.col("py") != F.col("pit_row")) | (F.col("px") != F.col("pit_col"))
+            moved = stored(step.select("raster_id", "row", "col", F.col("py").alias("pit_row"), F.col("px").alias("pit_col"), changed.alias("moved")), "terrain")
+            now = moved.drop("moved")
+            settled = moved.filter("moved").isEmpty()
+            own.discard(last)
+            if settled:
+                return now
     raise RuntimeError("drainage did not settle")
 
 
 def flow_accumulation(cells: DataFrame, most_rounds: int = 64) -> DataFrame:
     """raster_id, row, col, upstream: cells that drain through each cell, itself not counted. Path doubling: a cell's
     count within 2^k steps plus the counts that its senders at 2^k steps hold, log rounds."""
-    spark, began = cells.sparkSession, mark()
     d = directions(cells)
     key = ["raster_id", "row", "col"]
-    # reach: cell -> cell that lies 2^k steps down; within: senders at 1 .. 2^k steps
-    reach = stored(d.filter("to_row is not null").select(*key, F.col("to_row").alias("y"), F.col("to_col").alias("x")), "terrain")
-    first = reach.groupBy("raster_id", F.col("y").alias("row"), F.col("x").alias("col")).agg(F.count("*").alias("n"))
-    within = stored(cells.select(*key).join(first, key, "left").select(*key, F.coalesce("n", F.lit(0)).cast("long").alias("n")), "terrain")
-    for _ in range(most_rounds):
-        if reach.isEmpty():
-            return within.withColumnRenamed("n", "upstream")
-        last = mark()
-        more = reach.join(within, key).groupBy("raster_id", F.col("y").alias("row"), F.col("x").alias("col")).agg(F.sum("n").alias("m"))
-        within = stored(within.join(more, key, "left").select(*key, (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")), "terrain")
-        on = reach.select("raster_id", F.col("row").alias("y"), F.col("col").alias("x"), F.col("y").alias("ny"), F.col("x").alias("nx"))
-        reach = stored(reach.join(on, ["raster_id", "y", "x"]).select("raster_id", "row", "col", F.col("ny").alias("y"), F.col("nx").alias("x")), "terrain")
-        discard(spark, began, last)
+    with Scratch(cells.sparkSession) as own:
+        # reach: cell -> cell that lies 2^k steps down; within: senders at 1 .. 2^k steps
+        reach = stored(d.filter("to_row is not null").select(*key, F.col("to_row").alias("y"), F.col("to_col").alias("x")), "terrain")
+        first = reach.groupBy("raster_id", F.col("y").alias("row"), F.col("x").alias("col")).agg(F.count("*").alias("n"))
+        within = stored(cells.select(*key).join(first, key, "left").select(*key, F.coalesce("n", F.lit(0)).cast("long").alias("n")), "terrain")
+        for _ in range(most_rounds):
+            if reach.isEmpty():
+                return within.withColumnRenamed("n", "upstream")
+            last = own.mark()
+            more = reach.join(within, key).groupBy("raster_id", F.col("y").alias("row"), F.col("x").alias("col")).agg(F.sum("n").alias("m"))
+            within = stored(within.join(more, key, "left").select(*key, (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")), "terrain")
+            on = reach.select("raster_id", F.col("row").alias("y"), F.col("col").alias("x"), F.col("y").alias("ny"), F.col("x").alias("nx"))
+            reach = stored(reach.join(on, ["raster_id", "y", "x"]).select("raster_id", "row", "col", F.col("ny").alias("y"), F.col("nx").alias("x")), "terrain")
+            own.discard(last)
     raise RuntimeError("drainage did not settle")
 
 

@@ -29,13 +29,23 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    """lineitem with holes: a NULL flag for R, a blank one for every 11th part."""
+    """lineitem with holes: a NULL flag for R, a blank one for every 11th part; quantities of 7 are NULL."""
     flag = F.when(F.col("l_partkey") % 11 == 0, "").otherwise(F.expr("nullif(l_returnflag, 'R')"))
     return table(spark, d, "lineitem").withColumn("flag", flag).withColumn("qty", F.expr("nullif(l_quantity, 7.0)"))
 
 
+def _odd(df: DataFrame, field: str, key: str, text: bool = False) -> DataFrame:
+    """Every 17th key's number is NaN, an infinity or its negative; ``text``: the numbers stand as text."""
+    k = F.col(key)
+    odd = F.when(k % 3 == 0, float("nan")).when(k % 3 == 1, float("inf")).otherwise(float("-inf"))
+    v = F.when(k % 17 == 0, odd).otherwise(F.col(field))
+    return df.withColumn(field, v.cast("string") if text else v)
+
+
 _HOLES = "(SELECT *, CASE WHEN l_partkey % 11 = 0 THEN '' ELSE nullif(l_returnflag, 'R') END AS flag, nullif(l_quantity, 7.0) AS qty FROM lineitem)"
-_HALF = "l_extendedprice"
+#: The same with numbers that are none in every 17th row; SQL holds them as NULL, or leaves the rows out.
+_ODD_HOLES = f"(SELECT * REPLACE (CASE WHEN l_partkey % 17 <> 0 THEN qty END AS qty) FROM {_HOLES})"
+_EVENTS, _ORDERS = "(SELECT * FROM events WHERE event_id % 17 <> 0)", "(SELECT * FROM orders WHERE o_orderkey % 17 <> 0)"
 
 
 @query("read_columns", "SELECT o_orderkey AS id, o_totalprice, o_orderstatus FROM orders")
@@ -43,18 +53,18 @@ def _read(spark, d):
     return scope.read_columns(table(spark, d, "orders"), ["o_totalprice", "o_orderstatus"], "o_orderkey")
 
 
-_NUMERIC = """SELECT count(*) AS count, count(v) AS usable, count(*) - count(v) AS nulls, round(sum(v), 4) AS sum, round(avg(v), 4) AS mean, min(v) AS min, max(v) AS max, round(stddev_samp(v), 4) AS stddev,
+_NUMERIC = """SELECT count(*) AS count, count(v) AS usable, count(*) - count(v) AS nulls, count_if(odd) AS not_finite, round(sum(v), 4) AS sum, round(avg(v), 4) AS mean, min(v) AS min, max(v) AS max, round(stddev_samp(v), 4) AS stddev,
 round(quantile_cont(v, 0.25), 4) AS q1, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.75), 4) AS q3 FROM ({})"""
 
 
-@query("numeric_summary", _NUMERIC.format(f"SELECT qty AS v FROM {_HOLES}"))
+@query("numeric_summary", _NUMERIC.format(f"SELECT qty AS v, l_partkey % 17 = 0 AS odd FROM {_ODD_HOLES}"))
 def _numeric(spark, d):
-    return rounded(summary.numeric_summary(_items(spark, d), "qty"))
+    return rounded(summary.numeric_summary(_odd(_items(spark, d), "qty", "l_partkey"), "qty"))
 
 
-@query("table_numeric", _NUMERIC.format("SELECT o_totalprice AS v FROM orders WHERE o_custkey % 3 <> 0"))
+@query("table_numeric", _NUMERIC.format("SELECT CASE WHEN o_orderkey % 17 <> 0 THEN o_totalprice END AS v, o_orderkey % 17 = 0 AS odd FROM orders WHERE o_custkey % 3 <> 0"))
 def _table_numeric(spark, d):
-    return rounded(summary.numeric_summary(table(spark, d, "orders").filter("o_custkey % 3 <> 0"), "o_totalprice"))
+    return rounded(summary.numeric_summary(_odd(table(spark, d, "orders"), "o_totalprice", "o_orderkey", text=True).filter("o_custkey % 3 <> 0"), "o_totalprice"))
 
 
 _CATEGORIES = """WITH t AS (SELECT {c} AS value, count(*) AS count FROM {t} GROUP BY 1),
@@ -72,20 +82,20 @@ def _table_categories(spark, d):
     return rounded(summary.categories(table(spark, d, "part"), "p_brand", 10))
 
 
-@query("histogram", """WITH v AS (SELECT value AS v FROM events), e AS (SELECT min(v) AS lo, max(v) AS hi FROM v),
+@query("histogram", f"""WITH v AS (SELECT value AS v FROM {_EVENTS}), e AS (SELECT min(v) AS lo, max(v) AS hi FROM v),
 c AS (SELECT CAST(least(floor((v - lo) / ((hi - lo) / 12)), 11) AS INTEGER) AS bin, count(*) AS count FROM v, e GROUP BY 1)
 SELECT b.bin, round(lo + b.bin * ((hi - lo) / 12), 4) AS min, round(CASE WHEN b.bin = 11 THEN hi ELSE lo + (b.bin + 1) * ((hi - lo) / 12) END, 4) AS max, coalesce(c.count, 0) AS count
 FROM e, (SELECT CAST(range AS INTEGER) AS bin FROM range(12)) b LEFT JOIN c ON b.bin = c.bin""")
 def _histogram(spark, d):
-    return rounded(summary.histogram(table(spark, d, "events"), "value"))
+    return rounded(summary.histogram(_odd(table(spark, d, "events"), "value", "event_id"), "value"))
 
 
 _GROUP = """SELECT CASE WHEN trim({g}) <> '' THEN {g} END AS "group", count(*) AS features, count({v}) AS usable, count(*) - count({v}) AS skipped, round({s}, 4) AS value FROM {t} GROUP BY 1"""
 
 
-@query("group_aggregate", _GROUP.format(g="flag", v="qty", s="avg(qty)", t=_HOLES))
+@query("group_aggregate", _GROUP.format(g="flag", v="qty", s="avg(qty)", t=_ODD_HOLES))
 def _group(spark, d):
-    return rounded(summary.group_aggregate(_items(spark, d), "flag", "qty", "mean"))
+    return rounded(summary.group_aggregate(_odd(_items(spark, d), "qty", "l_partkey"), "flag", "qty", "mean"))
 
 
 @query("table_group", _GROUP.format(g="o_orderpriority", v="o_totalprice", s="sum(o_totalprice)", t="orders"))
@@ -100,9 +110,9 @@ def _group_median(spark, d):
 
 @query("compare", """SELECT *, round(subset_mean_ - whole_mean_, 4) AS mean_delta, round(100 * (subset_mean_ - whole_mean_) / whole_mean_, 4) AS mean_delta_percent FROM (
 SELECT count(qty) FILTER (l_shipdate >= '2000-01-01') AS subset_usable, avg(qty) FILTER (l_shipdate >= '2000-01-01') AS subset_mean_, min(qty) FILTER (l_shipdate >= '2000-01-01') AS subset_min, max(qty) FILTER (l_shipdate >= '2000-01-01') AS subset_max,
-count(qty) AS whole_usable, avg(qty) AS whole_mean_, min(qty) AS whole_min, max(qty) AS whole_max FROM """ + _HOLES + ")")
+count(qty) AS whole_usable, avg(qty) AS whole_mean_, min(qty) AS whole_min, max(qty) AS whole_max FROM """ + _ODD_HOLES + ")")
 def _compare(spark, d):
-    return rounded(summary.compare(_items(spark, d), "qty", F.col("l_shipdate") >= "2000-01-01"))
+    return rounded(summary.compare(_odd(_items(spark, d), "qty", "l_partkey"), "qty", F.col("l_shipdate") >= "2000-01-01"))
 
 
 ORACLES["compare"] = "SELECT subset_usable, round(subset_mean_, 4) AS subset_mean, subset_min, subset_max, whole_usable, round(whole_mean_, 4) AS whole_mean, whole_min, whole_max, mean_delta, mean_delta_percent FROM (" + ORACLES["compare"] + ")"
@@ -153,17 +163,17 @@ def _table_profile(spark, d):
     return summary.layer_profile(table(spark, d, "customer"), "customer", LayerMeta())
 
 
-@query("class_breaks", """WITH e AS (SELECT quantile_cont(o_totalprice, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS e FROM orders)
+@query("class_breaks", f"""WITH e AS (SELECT quantile_cont(o_totalprice, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS e FROM {_ORDERS})
 SELECT CAST(i AS INTEGER) AS class, round(e[i], 4) AS min, round(e[i + 1], 4) AS max FROM e, range(1, 6) r(i)""")
 def _class_breaks(spark, d):
-    return rounded(summary.class_breaks(table(spark, d, "orders"), "o_totalprice"))
+    return rounded(summary.class_breaks(_odd(table(spark, d, "orders"), "o_totalprice", "o_orderkey", text=True), "o_totalprice"))
 
 
-@query("class_assign", """WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), b AS (SELECT CAST(i AS INTEGER) AS class, lo + (i - 1) * (hi - lo) / 5 AS min, lo + i * (hi - lo) / 5 AS max FROM e, range(1, 6) r(i)),
-c AS (SELECT class, count(*) AS features FROM (SELECT (SELECT max(class) FROM b WHERE b.min <= o.o_totalprice) AS class FROM orders o) GROUP BY 1)
+@query("class_assign", f"""WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM {_ORDERS}), b AS (SELECT CAST(i AS INTEGER) AS class, lo + (i - 1) * (hi - lo) / 5 AS min, lo + i * (hi - lo) / 5 AS max FROM e, range(1, 6) r(i)),
+c AS (SELECT class, count(*) AS features FROM (SELECT (SELECT max(class) FROM b WHERE b.min <= o.o_totalprice) AS class FROM {_ORDERS} o) GROUP BY 1)
 SELECT b.class, round(b.min, 4) AS min, round(b.max, 4) AS max, coalesce(features, 0) AS features FROM b LEFT JOIN c USING (class)""")
 def _class_assign(spark, d):
-    return rounded(summary.class_assign(table(spark, d, "orders"), "o_totalprice", 5, "equal_interval"))
+    return rounded(summary.class_assign(_odd(table(spark, d, "orders"), "o_totalprice", "o_orderkey"), "o_totalprice", 5, "equal_interval"))
 
 
 @query("choropleth", "SELECT CAST(row_number() OVER (ORDER BY value DESC, \"group\") AS INTEGER) AS rank, \"group\", features, value FROM (SELECT c_nationkey AS \"group\", count(*) AS features, round(sum(c_acctbal), 4) AS value FROM customer GROUP BY 1)")
@@ -171,25 +181,25 @@ def _choropleth(spark, d):
     return rounded(summary.choropleth(table(spark, d, "customer"), "c_nationkey", "c_acctbal"))
 
 
-@query("top_n", "SELECT event_id AS id, value, event_type AS label FROM events ORDER BY value DESC, event_id LIMIT 10")
+@query("top_n", f"SELECT event_id AS id, value, event_type AS label FROM {_EVENTS} ORDER BY value DESC, event_id LIMIT 10")
 def _top_n(spark, d):
-    return rank.top_n(table(spark, d, "events"), "value", 10, id_col="event_id", label="event_type")
+    return rank.top_n(_odd(table(spark, d, "events"), "value", "event_id"), "value", 10, id_col="event_id", label="event_type")
 
 
-@query("table_top_n", "SELECT o_orderkey AS id, o_totalprice AS value FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10")
+@query("table_top_n", f"SELECT o_orderkey AS id, o_totalprice AS value FROM {_ORDERS} ORDER BY o_totalprice, o_orderkey LIMIT 10")
 def _table_top_n(spark, d):
-    return rank.top_n(table(spark, d, "orders"), "o_totalprice", 10, ascending=True, id_col="o_orderkey")
+    return rank.top_n(_odd(table(spark, d, "orders"), "o_totalprice", "o_orderkey"), "o_totalprice", 10, ascending=True, id_col="o_orderkey")
 
 
-@query("outliers", """WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b, count(value) AS considered FROM events)
-SELECT event_id AS id, value, round(a - 1.5 * (b - a), 4) AS low, round(b + 1.5 * (b - a), 4) AS high, considered FROM events, q WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)""")
+@query("outliers", f"""WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b, count(value) AS considered FROM {_EVENTS})
+SELECT event_id AS id, value, round(a - 1.5 * (b - a), 4) AS low, round(b + 1.5 * (b - a), 4) AS high, considered FROM {_EVENTS}, q WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)""")
 def _outliers(spark, d):
-    return rounded(rank.outliers(table(spark, d, "events"), "value", id_col="event_id"))
+    return rounded(rank.outliers(_odd(table(spark, d, "events"), "value", "event_id"), "value", id_col="event_id"))
 
 
-@query("outliers_zscore", "WITH q AS (SELECT avg(value) AS m, stddev_pop(value) AS s, count(value) AS considered FROM events) SELECT event_id AS id, value, round(m - 3 * s, 4) AS low, round(m + 3 * s, 4) AS high, considered FROM events, q WHERE abs(value - m) > 3 * s")
+@query("outliers_zscore", f"WITH q AS (SELECT avg(value) AS m, stddev_pop(value) AS s, count(value) AS considered FROM {_EVENTS}) SELECT event_id AS id, value, round(m - 3 * s, 4) AS low, round(m + 3 * s, 4) AS high, considered FROM {_EVENTS}, q WHERE abs(value - m) > 3 * s")
 def _zscore(spark, d):
-    return rounded(rank.outliers(table(spark, d, "events"), "value", "zscore", "event_id"))
+    return rounded(rank.outliers(_odd(table(spark, d, "events"), "value", "event_id"), "value", "zscore", "event_id"))
 
 
 @query("typed_filter", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice >= 250000.5 AND o_orderpriority LIKE '%-H%'")
