@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -39,10 +40,13 @@ from geoanswers.llm.op5_packing import _CLOSING, WordTokenizer, tokenizer_path
 PAGE, PER_BIN, IDS = 32 << 20, 1_000_000, 4 << 20
 #: Bytes of text for each word that is distinct in its page, as a rule; where words differ more, bins are larger, ten times at most.
 DISTINCT = 50
+#: Bytes of text split at once, words of a page that get their ids at once.
+PART, WORDS = 4 << 20, 1 << 19
 _ZSTD = "zstd"
 #: A page's texts, or (bin not null) those of its words that fall into a bin.
 PAGES = "page long, bin int, doc_ids array<long>, sizes binary, body binary, n long"
 CODED = "page long, bin int, sizes binary, ids binary"
+ENCODED = "doc_id long, ids array<int>"
 
 
 # ---- packed numbers --------------------------------------------------------------------------------------------
@@ -111,13 +115,19 @@ def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _coded(page: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The numbers of the words of a page in its order, the distinct words, and how many words each text has."""
+    done = [_split(x.column("text").combine_chunks().fill_null("")) for x in _slices(iter(page.select(["text"]).to_batches()), PART)]
+    coded = pa.chunked_array([w for _, w in done], pa.string()).dictionary_encode().unify_dictionaries()
+    at = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks])
+    return at, coded.chunks[-1].dictionary, np.concatenate([n for n, _ in done])
+
+
 def _pages(bins: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
         for number, part in enumerate(_slices(batches, most)):
-            sizes, words = _split(part.column("text").combine_chunks().fill_null(""))
-            coded = words.dictionary_encode()
-            at, known = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+            at, known, sizes = _coded(part)
             count = np.bincount(at, minlength=len(known))
             if len(known):
                 text = np.frombuffer("\n".join(known.to_pylist()).encode(), np.uint8)
@@ -133,9 +143,12 @@ def _pages(bins: int, most: int):
             edges = np.searchsorted(where[order], np.arange(bins + 1))
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 mine = order[edges[b] : edges[b + 1]]
-                rows.append((base + number, b, None, pack(rank[mine]), _pack_words(known.take(pa.array(mine))), len(mine)))
+                # ranks rise within a bin
+                rows.append((base + number, b, None, pack(np.diff(rank[mine], prepend=0)), _pack_words(known.take(pa.array(mine))), len(mine)))
             types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["page", "bin", "doc_ids", "sizes", "body", "n"])
+            del at, known, sizes, count, rank, rows
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -165,36 +178,45 @@ def _encoded(path: str):
     return run
 
 
-def _joined(pages: pa.Table, coded: pa.Table) -> pa.Table:
-    """The ids of a page's texts: the words' ids joined to the positions of the words."""
-    ranks, sizes, ids = [], [], []
-    for row in pages.filter(pc.is_valid(pages.column("bin"))).sort_by("bin").to_pylist():
-        ranks.append(unpack(row["sizes"]))
-    for row in coded.sort_by("bin").to_pylist():
-        sizes.append(unpack(row["sizes"]).astype(np.int64)), ids.append(unpack(row["ids"]))
+def _joined(pages: pa.Table, coded: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The ids of a page's texts: the words' ids joined to the positions of the words, some texts at a time."""
+    ranks = [np.cumsum(unpack(x), dtype=np.int64) for x in pages.filter(pc.is_valid(pages.column("bin"))).sort_by("bin").column("sizes").to_pylist()]
+    coded = coded.sort_by("bin")
+    sizes = [unpack(x).astype(np.int64) for x in coded.column("sizes").to_pylist()]
+    ids = [unpack(x) for x in coded.column("ids").to_pylist()]
     text = pages.filter(pc.is_null(pages.column("bin"))).to_pylist()[0]
     rank, size, flat = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ranks, sizes, ids))
-    start = np.empty(len(rank), np.int64)
-    start[rank] = np.cumsum(size) - size
-    by_rank = np.empty(len(rank), np.int64)
-    by_rank[rank] = size
-    at, words = unpack(text["body"]), unpack(text["sizes"]).astype(np.int64)
-    n = by_rank[at]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    of_texts = flat[np.arange(ends[-1]) + np.repeat(start[at] - ends[:-1], n)].astype(np.int32)
-    edges = ends[np.concatenate([[0], np.cumsum(words)])]
-    lists = pa.LargeListArray.from_arrays(pa.array(edges), pa.array(of_texts)).cast(pa.list_(pa.int32()))
-    return pa.table([pa.array(text["doc_ids"], pa.int64()), lists], names=["doc_id", "ids"])
-
-
-def encoded(documents: DataFrame, tokenizer: str, page: int = PAGE, per_bin: int = PER_BIN) -> DataFrame:
-    """(doc_id, ids) of every text of documents (doc_id, text), for a vocabulary that drops white space."""
+    start, of_rank = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
+    start[rank], of_rank[rank] = np.cumsum(size) - size, size
+    at, flat = unpack(text["body"]), flat.astype(np.uint32).view(np.int32)
+    words = np.concatenate([[0], np.cumsum(unpack(text["sizes"]), dtype=np.int64)])
+    block = words[:-1] // WORDS
+    edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        some = at[words[lo] : words[hi]]
+        n = of_rank[some]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        place = np.arange(ends[-1]) + np.repeat(start[some] - ends[:-1], n)
+        lists = pa.ListArray.from_arrays(pa.array(ends[words[lo : hi + 1] - words[lo]], pa.int32()), pa.array(flat[place]))
+        yield pa.RecordBatch.from_arrays([pa.array(text["doc_ids"][lo:hi], pa.int64()), lists], names=["doc_id", "ids"])
+
+
+def encoded(documents: DataFrame, tokenizer: str, page: int = PAGE, per_bin: int = PER_BIN, then=None, schema: str = ENCODED) -> DataFrame:
+    """(doc_id, ids) of every text of documents (doc_id, text), for a vocabulary that drops white space. ``then``: what is done
+    with the batches of (doc_id, ids) in the same task, and the schema of what it gives."""
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bins = max(1, -(-size // (DISTINCT * per_bin)))
     pages = common.stored(base.mapInArrow(_pages(bins, page), PAGES), "pages")
-    coded = pages.filter("bin is not null").groupBy("bin").applyInArrow(_encoded(tokenizer), CODED)
-    return pages.groupBy("page").cogroup(coded.groupBy("page")).applyInArrow(_joined, "doc_id long, ids array<int>")
+    coded = pages.filter("bin is not null").select("page", "bin", "body").groupBy("bin").applyInArrow(_encoded(tokenizer), CODED)
+    # a bin's words have done their work there
+    slim = pages.select("page", "bin", "doc_ids", "sizes", F.when(F.col("bin").isNull(), F.col("body")).alias("body"))
+
+    def joined(pages: pa.Table, coded: pa.Table) -> pa.Table:
+        rows = _joined(pages, coded)
+        return pa.Table.from_batches(rows if then is None else then(rows))
+
+    return slim.groupBy("page").cogroup(coded.groupBy("page")).applyInArrow(joined, schema)
 
 
 # ---- decoding --------------------------------------------------------------------------------------------------
@@ -214,9 +236,14 @@ def vocabulary(path: str) -> list[str | None]:
     return out
 
 
+@lru_cache(maxsize=2)
+def _pieces(path: str) -> pa.Array:
+    return pa.array(vocabulary(path), pa.string())
+
+
 def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pa.array(vocabulary(path), pa.string())
+        pieces = _pieces(path)
         for whole in batches:
             sizes = pc.list_value_length(whole.column("ids")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             block = (np.cumsum(sizes) - sizes) // IDS
@@ -263,9 +290,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, path = encoded(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), tokenizer_path()), tokenizer_path()
+    path = tokenizer_path()
     decode = _decoded(path)
-    return rows.mapInArrow(lambda batches: _digests(decode(batches)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return encoded(docs, path, then=lambda batches: _digests(decode(batches)), schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 QUERIES = {"op11_bpe": op11_bpe}
