@@ -829,4 +829,4 @@ def test_numbered_queries_are_registered():
     from geoanswers.llm import registry
 
     names = registry.queries()
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and json.dumps(sorted(registry.oracle_sql())) == '["op10_mixing"]'
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14)) and sorted(registry.oracle_sql()) == ["op10_mixing", "op12_trie"]
