@@ -339,37 +339,49 @@ def _apart(points: np.ndarray, sides: np.ndarray) -> float:
 # ---- overlays ----------------------------------------------------------------------------------------------------
 
 
-def rings(edges: np.ndarray, scale: float) -> list[np.ndarray] | None:
+def rings(edges: np.ndarray, scale: float, cuts: np.ndarray | None = None) -> list[np.ndarray] | None:
     """Rings of directed pieces with the inside to the left; at a point with several ways on, the leftmost, so that rings
-    that touch stay apart. None where a ring does not close."""
+    that touch stay apart. None where a ring does not close. ``cuts``: ends of pieces that are no vertices; where one piece goes
+    on from another at such ends, the point is left out."""
     grid = scale * 1e-10
-    name = [tuple(k) for k in np.round(edges / grid).astype(np.int64).reshape(-1, 2, 2).reshape(-1, 2).tolist()]
-    out: dict[tuple, list[int]] = defaultdict(list)
-    for e in range(len(edges)):
-        if name[2 * e] != name[2 * e + 1]:
-            out[name[2 * e]].append(e)
+    _, name = np.unique(np.round(edges.reshape(-1, 2) / grid).astype(np.int64), axis=0, return_inverse=True)
+    name = name.reshape(-1, 2)
+    live = np.flatnonzero(name[:, 0] != name[:, 1])
+    edges, name, cuts = edges[live], name[live], None if cuts is None else cuts[live]
+    if not len(edges):
+        return []
+    n = int(name.max()) + 1
+    if (np.bincount(name[:, 0], minlength=n) != np.bincount(name[:, 1], minlength=n)).any():
+        return None
     angle = np.arctan2(edges[:, 3] - edges[:, 1], edges[:, 2] - edges[:, 0])
-    found = []
-    while out:
-        first = e = next(iter(out.values()))[0]
+    order = np.argsort(name[:, 0], kind="stable")
+    first = np.searchsorted(name[order, 0], np.arange(n + 1))
+    follow = order[first[name[:, 1]]]
+    many = np.flatnonzero(first[name[:, 1] + 1] - first[name[:, 1]] > 1)
+    left: dict[int, list[int]] = {}
+    for e in many.tolist():  # each way on is taken once
+        at = int(name[e, 1])
+        ways = left.setdefault(at, order[first[at] : first[at + 1]].tolist())
+        back = angle[e] + math.pi
+        best = min(ways, key=lambda k: (back - angle[k]) % (2 * math.pi) or 2 * math.pi)
+        ways.remove(best)
+        follow[e] = best
+    follow, seen, found = follow.tolist(), np.zeros(len(edges), bool), []
+    for e in range(len(edges)):
+        if seen[e]:
+            continue
         line = []
-        while True:
-            line.append(edges[e, :2])
-            at = name[2 * e]
-            out[at].remove(e)
-            if not out[at]:
-                del out[at]
-            here = name[2 * e + 1]
-            if here == name[2 * first]:
-                break
-            ways = out.get(here)
-            if not ways:
-                return None
-            back = angle[e] + math.pi
-            e = min(ways, key=lambda k: (back - angle[k]) % (2 * math.pi) or 2 * math.pi)
+        while not seen[e]:
+            seen[e] = True
+            line.append(e)
+            e = follow[e]
+        line = np.array(line)
+        if cuts is not None:
+            line = line[~(cuts[line, 0] & cuts[np.roll(line, 1), 1])]
         if len(line) > 2:
-            found.append(np.array([*line, line[0]]))
-    return [r for one in found for r in _simple(one, grid)]
+            ring = np.vstack([edges[line, :2], edges[line[:1], :2]])
+            found += [ring] if len(np.unique(name[line, 0])) == len(line) else _simple(ring, grid)
+    return [r for r in found if signed_area(r)]
 
 
 def _simple(ring: np.ndarray, grid: float) -> list[np.ndarray]:

@@ -18,6 +18,7 @@ from geoanswers.functions import geom
 from geoanswers.functions.geodesy import inverse
 from geoanswers.meta import LayerMeta, Refused, metric_plan, need_columns, to_metres, utm_zone
 from geoanswers.operators import planar, shapes, sweep
+from geoanswers.operators.coverage import boundary as dissolve_boundary, dissolve  # noqa: F401
 from geoanswers.operators.sjoin import Shapes, pairs
 from geoanswers.sources.tables import stored
 
@@ -343,50 +344,6 @@ def convex_hull(df: DataFrame, group: str) -> DataFrame:
     return hulls.select("group", "vertices", geom.geometry("polygon", F.array(F.array("ring"))).alias("geom"))
 
 
-def dissolve_boundary(df: DataFrame, group: str | None = None) -> DataFrame:
-    """group, x1, y1, x2, y2: the outline of each group of a clean coverage, as sides with the inside to the left. Sides that
-    two members share cancel in a combinable count; nothing gathers by group."""
-    rows = df.select((F.col(group) if group else F.lit("all")).alias("group"), "geom")
-    ends = [T.StructField(k, T.DoubleType()) for k in ("x1", "y1", "x2", "y2")]
-    schema = T.StructType([rows.schema["group"], *ends, T.StructField("forward", T.BooleanType())])
-
-    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.zeros((0, 4)) if s is None or s.dim != 2 else s.sides for s in shapes.read(batch.column("geom"))]
-            at = np.repeat(np.arange(len(found)), [len(s) for s in found])
-            s = np.concatenate(found) if found else np.zeros((0, 4))
-            forward = (s[:, 0] < s[:, 2]) | ((s[:, 0] == s[:, 2]) & (s[:, 1] < s[:, 3]))
-            turned = np.where(forward[:, None], s, s[:, [2, 3, 0, 1]])
-            columns = [batch.column("group").take(pa.array(at)), *[pa.array(turned[:, k]) for k in range(4)], pa.array(forward)]
-            yield pa.RecordBatch.from_arrays(columns, names=["group", "x1", "y1", "x2", "y2", "forward"])
-
-    counted = rows.mapInArrow(sides, schema).groupBy("group", "x1", "y1", "x2", "y2").agg(F.count("*").alias("n"), F.max("forward").alias("forward"))
-    odd = counted.filter("n % 2 = 1")
-    back = {"x1": "x2", "y1": "y2", "x2": "x1", "y2": "y1"}
-    return odd.select("group", *[F.when(F.col("forward"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in back.items()])
-
-
-def dissolve(df: DataFrame, group: str | None = None) -> DataFrame:
-    """group, sides, area, perimeter, rings, geom of each merged shape. A merged shape is one value, so the outline of a group
-    (not its members) must fit a task; ``dissolve_boundary`` has no such bound."""
-    b = dissolve_boundary(df, group)
-    schema = T.StructType([b.schema["group"], *[T.StructField(n, t) for n, t in (("sides", T.LongType()), ("area", T.DoubleType()), ("perimeter", T.DoubleType()), ("rings", T.LongType()), ("geom", GEOMETRY))]])
-
-    def merge(table: pa.Table) -> pa.Table:
-        s = np.stack([table.column(k).to_numpy() for k in ("x1", "y1", "x2", "y2")], axis=1)
-        s = s[np.lexsort(s.T[::-1])]
-        o = s[0]
-        area = float(((s[:, 0] - o[0]) * (s[:, 3] - o[1]) - (s[:, 2] - o[0]) * (s[:, 1] - o[1])).sum() / 2)
-        found = shapes.rings(s, float(np.abs(s).max()) or 1.0)
-        whole = None if found is None else shapes.written(shapes.nested(found))
-        values = [[len(s)], [area], [float(np.hypot(s[:, 2] - s[:, 0], s[:, 3] - s[:, 1]).sum())], [None if found is None else len(found)], [whole]]
-        types = [pa.int64(), pa.float64(), pa.float64(), pa.int64(), shapes.ARROW]
-        columns = [table.column("group").slice(0, 1), *[pa.array(v, t) for v, t in zip(values, types)]]
-        return pa.Table.from_arrays(columns, names=["group", "sides", "area", "perimeter", "rings", "geom"])
-
-    return b.groupBy("group").applyInArrow(merge, schema)
-
-
 # ---- validity ----------------------------------------------------------------------------------------------------
 
 

@@ -102,13 +102,32 @@ def _dissolve(s, d):
     return rounded(merged.select("*", geom.area(F.col("geom")).alias("merged_area"), geom.length(F.col("geom")).alias("merged_perimeter")).drop("geom"), 3)
 
 
+#: Lots of a brand overlap. A union's area and outline, from slabs between neighbouring sides: how much of each the lots cover,
+#: and in how many stretches.
+def _slabs(a, b):
+    """SQL of covered (area) and open (length of the outline across the slabs) by brand; a is the axis that is cut."""
+    return f"""(WITH cuts AS (SELECT brand, {a}0 AS lo, lead({a}0) OVER (PARTITION BY brand ORDER BY {a}0) AS hi
+    FROM (SELECT brand, {a}0 FROM rects UNION SELECT brand, {a}1 FROM rects)),
+  held AS (SELECT c.brand, lo, hi, {b}0 AS p, {b}1 AS q, max({b}1) OVER (PARTITION BY c.brand, lo ORDER BY {b}0, {b}1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+    FROM cuts c JOIN rects r ON r.brand = c.brand AND r.{a}0 <= c.lo AND r.{a}1 >= c.hi WHERE hi IS NOT NULL)
+  SELECT brand, sum((hi - lo) * greatest(q - greatest(p, coalesce(before, p)), 0)) AS covered, sum(CASE WHEN before IS NULL OR p > before THEN 2 * (hi - lo) ELSE 0 END) AS open FROM held GROUP BY 1)"""
+
+
+@query("dissolve_overlaps", f"""WITH rects AS (SELECT p_brand AS brand, l.id, round(x0, 1) AS x0, round(y0, 1) AS y0, round(x1, 1) AS x1, round(y1, 1) AS y1 FROM {LOTS} l JOIN part ON p_partkey = l.id)
+SELECT brand AS "group", round(v.covered, 2) AS area, round(v.open + h.open, 2) AS perimeter, (SELECT min(id) FROM rects r WHERE r.brand = brand_) AS id
+FROM (SELECT *, brand AS brand_ FROM {_slabs('x', 'y')}) v JOIN {_slabs('y', 'x')} h USING (brand)""")
+def _dissolve_overlaps(s, d):
+    merged = vector.dissolve(lots(s, d), "label", ("id",))
+    return merged.select("group", F.round("area", 2).alias("area"), F.round("perimeter", 2).alias("perimeter"), "id")
+
+
 _CUT = "greatest(least(l.x1, e.x1) - greatest(l.x0, e.x0), 0) * greatest(least(l.y1, e.y1) - greatest(l.y0, e.y0), 0)"
 
 
-@query("clip", f"""WITH e AS (SELECT min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM {BOXES} WHERE region < 3)
+@query("clip", f"""WITH e AS (SELECT min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM {BOXES})
 SELECT l.id, 'ok' AS status, round({_CUT}, 3) AS area FROM {LOTS} l, e WHERE {_CUT} > 0""")
 def _clip(s, d):
-    return _sized(vector.clip(lots(s, d), boxes(s, d).filter("region < 3")), "id")
+    return _sized(vector.clip(lots(s, d), boxes(s, d)), "id")
 
 
 @query("intersection", f"SELECT l.id, b.id AS id_2, 'ok' AS status, round({_AREA}, 3) AS area FROM {LOTS} l JOIN {BOXES} b ON {_MEET}")
