@@ -1,4 +1,4 @@
-"""Distances on the WGS84 ellipsoid, over arrays (Vincenty 1975, inverse)."""
+"""Distances on the WGS84 ellipsoid, over arrays (Vincenty 1975, inverse and direct)."""
 
 from __future__ import annotations
 
@@ -57,6 +57,34 @@ def inverse(lon1, lat1, lon2, lat2) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return np.where(good, metres, sphere), there, back, good
 
 
+def direct(lon1, lat1, azimuth, metres) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lon, lat (degrees) and the azimuth there, this far from a position in this direction."""
+    lon1, lat1, azimuth = (np.radians(np.asarray(x, float)) for x in (lon1, lat1, azimuth))
+    metres, f = np.asarray(metres, float), 1 / INV_F
+    b = MAJOR * (1 - f)
+    u1 = np.arctan((1 - f) * np.tan(lat1))
+    s1, c1, sin, cos = np.sin(u1), np.cos(u1), np.sin(azimuth), np.cos(azimuth)
+    begin, sa = np.arctan2(s1, c1 * cos), c1 * sin
+    ca2 = 1 - sa * sa
+    k = ca2 * (MAJOR**2 - b**2) / b**2
+    big = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
+    small = k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
+    arc = plain = metres / (b * big)
+    for _ in range(ROUNDS):
+        cm, ss, cs = np.cos(2 * begin + arc), np.sin(arc), np.cos(arc)
+        change = small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
+        arc, last = plain + change, arc
+        if not (np.abs(arc - last) > CLOSE).any():
+            break
+    cm, ss, cs = np.cos(2 * begin + arc), np.sin(arc), np.cos(arc)
+    flat = s1 * ss - c1 * cs * cos
+    lat2 = np.arctan2(s1 * cs + c1 * ss * cos, (1 - f) * np.hypot(sa, flat))
+    turn = np.arctan2(ss * sin, c1 * cs - s1 * ss * cos)
+    c = f / 16 * ca2 * (4 + f * (4 - 3 * ca2))
+    lon2 = lon1 + turn - (1 - c) * f * sa * (arc + c * ss * (cm + c * cs * (2 * cm * cm - 1)))
+    return (np.degrees(lon2) + 540) % 360 - 180, np.degrees(lat2), _bearing(sa, -flat)
+
+
 def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """struct(distance_m, azimuth_deg, back_azimuth_deg, converged) of two positions in degrees; NULLs give NULLs."""
 

@@ -72,7 +72,7 @@ def failure_code(code: Column) -> Column:
 
 def failure_guidance(failures: DataFrame, steps: DataFrame) -> DataFrame:
     """failures (run_id, code, message) with the next step of its code, where there is one, in the message's place."""
-    named = failures.join(F.broadcast(steps.select("code", "next_step")), "code", "left")
+    named = failures.join(steps.select("code", "next_step"), "code", "left")
     return named.select("run_id", "code", F.coalesce("next_step", "message").alias("message"))
 
 
@@ -160,7 +160,7 @@ def batch_failures(items: DataFrame, code: str = PLACEMENT, batch: str = "batch_
 
 def price_lookup(items: DataFrame, prices: DataFrame) -> DataFrame:
     """Items with their kind's cents; a kind without a price stays unknown."""
-    return items.join(F.broadcast(prices.select("kind", "cents")), "kind", "left")
+    return items.join(prices.select("kind", "cents"), "kind", "left")
 
 
 def whole_sum(c: Column) -> Column:
@@ -169,10 +169,18 @@ def whole_sum(c: Column) -> Column:
 
 
 def batch_cost(items: DataFrame, prices: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """batch, items, unknown, cents (price times sheets; NULL where a price is missing)."""
-    cents = F.col("cents") * F.col("sheets")
-    priced = price_lookup(items, prices).groupBy(batch)
-    return priced.agg(F.count("*").alias("items"), F.count_if(cents.isNull()).alias("unknown"), whole_sum(cents).alias("cents"))
+    """batch, items, sheets, unknown (items with sheets whose kind has no price), and what the sheets come to: cents, later_cents
+    (charged when a placed sheet leaves, never held at the start), placements and traces. They are NULL where a price is missing
+    or nothing is to be priced; a price of zero is a price. prices: kind, cents, and, each sheet, leave_cents, placements and
+    traces, of which an older list may lack some (then there is none of it)."""
+    sheets = F.greatest(F.coalesce("sheets", F.lit(0)), F.lit(0)).cast("long")
+    extra = {"later_cents": "leave_cents", "placements": "placements", "traces": "traces"}
+    listed = prices.select("kind", F.col("cents").cast("long").alias("_cents"), *[(F.coalesce(F.col(c), F.lit(0)) if c in prices.columns else F.lit(0)).cast("long").alias(f"_{n}") for n, c in extra.items()])
+    priced = items.select(batch, "kind", sheets.alias("_sheets")).join(listed, "kind", "left")
+    unknown = F.col("_cents").isNull() & (F.col("_sheets") > 0)
+    total = priced.groupBy(batch).agg(F.count("*").alias("items"), F.sum("_sheets").alias("sheets"), F.count_if(unknown).alias("unknown"), *[F.coalesce(F.sum(F.col(f"_{n}") * F.col("_sheets")), F.lit(0)).alias(f"_{n}") for n in ("cents", *extra)])
+    known = (F.col("unknown") == 0) & (F.col("sheets") > 0)
+    return total.select(batch, "items", "sheets", "unknown", *[F.when(known, F.col(f"_{n}")).alias(n) for n in ("cents", *extra)])
 
 
 def quote_sum(quotes: DataFrame, batch: str = "batch_id") -> DataFrame:
@@ -267,12 +275,19 @@ def budget_stops(turns: DataFrame) -> DataFrame:
     return turns.filter(F.col("budget.exhausted").eqNullSafe(True)).select("turn_id", F.col("budget.used").alias("used"), F.col("budget.allowed").alias("allowed"))
 
 
-def source_summary(sources: DataFrame, kind: Column, task: str = "task_id") -> DataFrame:
-    """task, files, layers, bytes, wrong, first_wrong: files and layers counted apart, and the sources that the task's
-    workflow (wanted: vector or raster) cannot read, the first named. sources: task, origin (file or layer), label,
-    bytes, wanted; kind: what a source holds."""
-    wrong = F.coalesce(kind != F.col("wanted"), F.lit(True))
-    return sources.groupBy(task).agg(
+def source_summary(sources: DataFrame, kind: Column, task: str = "task_id", most: int = 12) -> DataFrame:
+    """task, files, layers, bytes, wrong, wrong_sources, more_wrong: files and layers counted apart, and the sources that the
+    task's workflow (wanted: vector or raster) cannot read, each by name in order (the first ``most`` of them; more_wrong says
+    how many are not named). sources: task, origin (file or layer), label, bytes, wanted; kind: what a source holds."""
+    known = sources.withColumn("_wrong", F.coalesce(kind != F.col("wanted"), F.lit(True)))
+    counts = known.groupBy(task).agg(
         F.count_if(F.col("origin") == "file").alias("files"), F.count_if(F.col("origin") == "layer").alias("layers"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
-        F.count_if(wrong).alias("wrong"), F.min(F.when(wrong, F.col("label"))).alias("first_wrong"),
+        F.count_if("_wrong").alias("wrong"),
     )
+    # the limit on places is taken over before the shuffle, so a task with very many wrong sources sends few
+    place = F.row_number().over(Window.partitionBy(task).orderBy(F.col("label").asc_nulls_last()))
+    first = known.filter("_wrong").select(task, "label").withColumn("_place", place).filter(F.col("_place") <= most)
+    named = first.groupBy(F.col(task).alias("_task")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "label"))), lambda x: x["label"]).alias("_named"))
+    both = counts.join(named, F.col(task).eqNullSafe(F.col("_task")), "left")
+    more = F.greatest(F.col("wrong") - most, F.lit(0)).alias("more_wrong")
+    return both.select(task, "files", "layers", "bytes", "wrong", F.coalesce("_named", F.array().cast("array<string>")).alias("wrong_sources"), more)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -339,6 +339,7 @@ def matched_ids(left: DataFrame, right: DataFrame, predicate: str, size: float |
 
 def relate(left: DataFrame, right: DataFrame, predicate: str, size: float | None = None) -> DataFrame:
     """Left features that stand in the predicate to any right one; ``disjoint``: that meet none."""
+    need_two(left, right)
     hit = matched_ids(left, right, "intersects" if predicate == "disjoint" else predicate, size)
     return left.join(hit, left.id == hit["_id"], "left_anti" if predicate == "disjoint" else "left_semi")
 
@@ -357,12 +358,53 @@ def near(left: DataFrame, right: DataFrame, distance: float, unit: str, meta: La
     return left.join(hit, left.id == hit["_id"], "left_semi")
 
 
-def aligned(left_meta: LayerMeta, right: DataFrame, right_meta: LayerMeta) -> DataFrame:
-    """The right side in the left's CRS; geometries that don't come out finite are dropped."""
+def _finite(g: Column) -> Column:
+    """Whether a geometry has vertices, and all of them are finite."""
+    v = geom.vertices(g)
+    return F.coalesce((F.size(v) > 0) & F.forall(v, lambda p: ~F.isnan(p["x"]) & ~F.isnan(p["y"]) & (F.abs(p["x"]) < 1e18) & (F.abs(p["y"]) < 1e18)), F.lit(False))
+
+
+def _moved(left_meta: LayerMeta, right: DataFrame, right_meta: LayerMeta) -> DataFrame:
     if left_meta.crs == right_meta.crs:
         return right
-    moved = right.withColumn("geom", geom.reprojected(F.col("geom"), right_meta.crs, left_meta.crs))
-    return moved.filter(F.forall(geom.vertices(F.col("geom")), lambda p: ~F.isnan(p["x"]) & ~F.isnan(p["y"]) & (F.abs(p["x"]) < 1e18) & (F.abs(p["y"]) < 1e18)))
+    g = F.col("geom")
+    if right_meta.geographic:  # series are finite off the earth too
+        g = F.when(F.forall(geom.vertices(g), lambda p: (F.abs(p["x"]) <= 360) & (F.abs(p["y"]) <= 90)), g)
+    return right.withColumn("geom", geom.reprojected(g, right_meta.crs, left_meta.crs))
+
+
+def aligned(left_meta: LayerMeta, right: DataFrame, right_meta: LayerMeta) -> DataFrame:
+    """The right side in the left's CRS; geometries that are empty or don't come out finite are dropped (``alignment`` counts
+    them)."""
+    return _moved(left_meta, right, right_meta).filter(_finite(F.col("geom")))
+
+
+def alignment(left_meta: LayerMeta, right: DataFrame, right_meta: LayerMeta) -> DataFrame:
+    """One row: features, empty (without a geometry), dropped (that can't be had in the left's CRS), compared, compared_in."""
+    some = F.coalesce(F.size(geom.vertices(F.col("geom"))) > 0, F.lit(False))
+    both = _moved(left_meta, right.withColumn("_some", some), right_meta)
+    ok = _finite(F.col("geom"))
+    counts = [F.count("*").alias("features"), F.count_if(~F.col("_some")).alias("empty"), F.count_if(F.col("_some") & ~ok).alias("dropped"), F.count_if(ok).alias("compared")]
+    return both.agg(*counts).withColumn("compared_in", F.lit(left_meta.crs))
+
+
+def need_two(left: DataFrame, right: DataFrame) -> None:
+    """Refuses to relate a layer to itself."""
+    if left is right or left.sameSemantics(right):
+        raise Refused("a spatial relationship needs two different layers")
+
+
+def relate_layers(left: DataFrame, left_meta: LayerMeta, right: DataFrame, right_meta: LayerMeta, predicate: str) -> DataFrame:
+    """One row: tested, matched, reference_features, reference_empty, reference_dropped, compared_in, for layers in any two CRSs.
+    Refused for a layer and itself, and where nothing of the right layer can be had in the left's CRS."""
+    need_two(left, right)
+    said = alignment(left_meta, right, right_meta).first()
+    if not said.compared:
+        raise Refused(f"nothing of the other layer can be compared in {left_meta.crs}")
+    other = aligned(left_meta, right, right_meta)
+    out = left.agg(F.count("*").alias("tested")).join(relate(left, other, predicate).agg(F.count("*").alias("matched")))
+    counts = {"reference_features": said.compared, "reference_empty": said.empty, "reference_dropped": said.dropped}
+    return out.select("*", *[F.lit(v).cast("long").alias(n) for n, v in counts.items()], F.lit(left_meta.crs).alias("compared_in"))
 
 
 def parts(polygons: DataFrame) -> DataFrame:
@@ -406,7 +448,8 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str = "intersects
 
 
 def nearest_k(df: DataFrame, x: float, y: float, k: int = 10) -> DataFrame:
-    """id, distance of the k features nearest to a stated point, ties by id."""
+    """id, distance of the k features nearest to a stated point, ties by id; and on each row how many were considered (have a
+    geometry), and the nearest and farthest distance of those returned."""
     if not 1 <= k <= 500:
         raise Refused("k is from 1 to 500")
 
@@ -418,7 +461,11 @@ def nearest_k(df: DataFrame, x: float, y: float, k: int = 10) -> DataFrame:
 
     schema = T.StructType([df.schema["id"], T.StructField("distance", T.DoubleType())])
     far = df.select("id", "geom").mapInArrow(measured, schema).filter("distance is not null and not isnan(distance)")
-    return far.orderBy("distance", "id").limit(k)
+    some = F.coalesce(F.size(geom.vertices(F.col("geom"))) > 0, F.lit(False))
+    whole = df.agg(F.count_if(some).alias("considered"))
+    ranked = far.orderBy("distance", "id").limit(k).join(F.broadcast(whole))
+    all_ = Window.partitionBy()  # of at most k rows
+    return ranked.select("id", "distance", "considered", F.min("distance").over(all_).alias("nearest"), F.max("distance").over(all_).alias("farthest"))
 
 
 def _picked(batch: pa.RecordBatch, ids: pa.Array, mine: Shapes, other: Shapes, gap: np.ndarray) -> pa.RecordBatch:
@@ -480,7 +527,7 @@ def nearest_neighbor(left: DataFrame, right: DataFrame, radius: float | None = N
     a, b = span(left), span(right)
     slim, target = left.select("id", "geom"), right.select("id", "geom")
     if not a[4] or not b[4]:
-        return left.select("id", F.lit(None).cast("long").alias("neighbor_id"), F.lit(None).cast("double").alias("distance"))
+        return left.select("id", F.lit(None).cast(right.schema["id"].dataType).alias("neighbor_id"), F.lit(None).cast("double").alias("distance"))
     few, vertices, *_ = _measure(target)
     if radius is None and few <= FEW_FEATURES and vertices <= FEW_VERTICES:
         schema = T.StructType([left.schema["id"], T.StructField("neighbor_id", right.schema["id"].dataType), T.StructField("distance", T.DoubleType())])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from geoanswers.functions import geom
 from geoanswers.operators import survey, terrain
 from geoanswers.plans.attributes import rounded
 from geoanswers.plans.spatial import POINTS, SITES
@@ -80,6 +81,47 @@ def _offset(s, d):
     return rounded(survey.station_offset(p, t, "line").select("id", "station", "offset", "side", "position"), 6)
 
 
+#: Every site is a baseline of three legs; each point against the nearest leg of all.
+_BASELINES = f"""(SELECT id AS line, leg, x + [0, 30, 30, 60][leg + 1] AS x1, y + [0, 0, 40, 80][leg + 1] AS y1, x + [30, 30, 60][leg + 1] AS x2, y + [0, 40, 80][leg + 1] AS y2, [0, 30, 70][leg + 1] AS base, [30, 40, 50][leg + 1] AS size
+  FROM {SITES}, (SELECT unnest([0, 1, 2]) AS leg))"""
+
+
+@query("station_offset_nearest", f"""WITH m AS (SELECT p.id, p.x, p.y, t.*, ((p.x - x1) * (x2 - x1) + (p.y - y1) * (y2 - y1)) / size AS along, ((p.x - x1) * (y2 - y1) - (p.y - y1) * (x2 - x1)) / size AS across FROM {POINTS} p, {_BASELINES} t),
+d AS (SELECT *, sqrt(power(x - x1 - greatest(0, least(along, size)) * (x2 - x1) / size, 2) + power(y - y1 - greatest(0, least(along, size)) * (y2 - y1) / size, 2)) AS far FROM m),
+f AS (SELECT *, CASE WHEN along < 0 AND leg = 0 THEN 'before' WHEN along > size AND leg = 2 THEN 'after' ELSE 'along' END AS position FROM d
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(far, 9), line, leg) = 1)
+SELECT id, line, round(base + CASE WHEN position = 'along' THEN greatest(0, least(along, size)) ELSE along END, 5) AS station,
+  round(CASE WHEN position = 'along' AND (along < 0 OR along > size) THEN far * CASE WHEN across < 0 THEN -1 ELSE 1 END ELSE across END, 5) AS "offset", position FROM f""")
+def _offset_nearest(s, d):
+    x, y = F.col("x"), F.col("y")
+    bends = F.array(*[F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in ((0, 0), (30, 0), (30, 40), (60, 80))])
+    lines = sites(s, d).select("id", geom.geometry("linestring", F.array(F.array(bends))).alias("geom"))
+    return rounded(survey.station_offset_nearest(points(s, d), lines).drop("side"), 5)
+
+
+#: Vincenty's direct series along the legs of an order, from a start in degrees; a leg of 7 units is broken, every 50th order has no start.
+_CHAINED = """WITH RECURSIVE c AS (SELECT 1 / 298.257223563 AS f, 6378137.0 AS a),
+l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq, radians(l_partkey % 360) AS az, CASE WHEN l_quantity <> 7 THEN l_quantity * 1000 END AS s FROM lineitem),
+w AS (SELECT DISTINCT k, 0::BIGINT AS seq, radians(k % 300 - 150) AS lon, radians(k % 120 - 60) AS lat FROM l WHERE k % 50 <> 0
+UNION ALL SELECT k, seq, lon + atan2(sin(g) * sin(az), c1 * cos(g) - s1 * sin(g) * cos(az)) - (1 - q) * f * sa * (g + q * sin(g) * (cos(2 * g1 + g) + q * cos(g) * (2 * power(cos(2 * g1 + g), 2) - 1))),
+  atan2(s1 * cos(g) + c1 * sin(g) * cos(az), (1 - f) * sqrt(sa * sa + power(s1 * sin(g) - c1 * cos(g) * cos(az), 2)))
+FROM (SELECT *, f / 16 * ca2 * (4 + f * (4 - 3 * ca2)) AS q, list_reduce([s / (b * big), 0, 0, 0, 0, 0, 0, 0], lambda v, i: s / (b * big) + small * sin(v) * (cos(2 * g1 + v)
+    + small / 4 * (cos(v) * (2 * power(cos(2 * g1 + v), 2) - 1) - small / 6 * cos(2 * g1 + v) * (4 * power(sin(v), 2) - 3) * (4 * power(cos(2 * g1 + v), 2) - 3)))) AS g
+  FROM (SELECT *, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) AS big, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) AS small
+  FROM (SELECT *, 1 - sa * sa AS ca2, (1 - sa * sa) * (power(a, 2) - power(b, 2)) / power(b, 2) AS u, atan2(s1, c1 * cos(az)) AS g1
+  FROM (SELECT *, c1 * sin(az) AS sa FROM (SELECT l.*, w.lon, f, a, a * (1 - f) AS b, sin(atan((1 - f) * tan(w.lat))) AS s1, cos(atan((1 - f) * tan(w.lat))) AS c1 FROM w JOIN l ON l.k = w.k AND l.seq = w.seq + 1, c WHERE l.s IS NOT NULL))))))
+SELECT l.k AS traverse_id, l.seq, round(degrees(lon) - 360 * floor((degrees(lon) + 180) / 360), 8) AS lon, round(degrees(lat), 8) AS lat,
+  CASE WHEN l.k % 50 = 0 THEN 'no_start' WHEN lat IS NULL THEN 'broken' ELSE 'ok' END AS status FROM l LEFT JOIN w ON w.k = l.k AND w.seq = l.seq"""
+
+
+@query("traverse_geodesic", _CHAINED)
+def _traverse_geodesic(s, d):
+    l = legs(s, d).withColumn("distance_m", F.when(F.col("distance_m") != 7, F.col("distance_m") * 1000))
+    k = F.col("traverse_id")
+    starts = l.filter(k % 50 != 0).groupBy("traverse_id").agg(F.count("*").alias("n")).select("traverse_id", (k % 300 - 150).alias("lon"), (k % 120 - 60).alias("lat"))
+    return rounded(survey.traverse_geodesic(l, starts, ORDER).select("traverse_id", "seq", "lon", "lat", "status"), 8)
+
+
 @query("ground_distances", "SELECT l_orderkey AS traverse_id, round(sum(l_quantity), 4) AS grid_m, round(sum(l_quantity / (0.9996 * (6371008.8 / (6371008.8 + l_partkey % 500)))), 4) AS ground_m FROM lineitem GROUP BY 1")
 def _ground(s, d):
     l = legs(s, d)

@@ -163,7 +163,11 @@ def _failures(s, d):
 def _prices(s, d):
     """A price a kind from what it costs on average; purchases have none."""
     p = table(s, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.max("event_type").alias("t"))
-    return p.select("kind", F.when(F.col("t") != "purchase", F.length("t") * 100).cast("long").alias("cents"))
+    size = F.length("t")
+    return p.select(
+        "kind", F.when(F.col("t") != "purchase", size * 100).cast("long").alias("cents"), F.when(size % 2 == 0, size * 25).alias("leave_cents"),
+        F.when(F.col("t") != "click", 1).alias("placements"), (size % 3).alias("traces"),
+    )
 
 
 _PRICED = f"(SELECT *, CASE WHEN kind <> 'purchase' THEN length(kind) * 100 END AS cents FROM {ITEMS})"
@@ -174,8 +178,12 @@ def _price(s, d):
     return runs.price_lookup(_items(s, d), _prices(s, d)).select("batch_id", "index", "cents")
 
 
-@query("batch_cost", f"""SELECT batch_id, count(*) AS items, count_if(cents IS NULL)::BIGINT AS unknown,
-  CASE WHEN count_if(cents IS NULL) = 0 THEN CAST(sum(cents * sheets) AS BIGINT) END AS cents FROM {_PRICED} GROUP BY 1""")
+_TOTAL = "CASE WHEN count_if(cents IS NULL AND sheets > 0) = 0 AND sum(sheets) > 0 THEN CAST(sum({0} * sheets) AS BIGINT) END AS {1}"
+
+
+@query("batch_cost", f"""SELECT batch_id, count(*) AS items, CAST(sum(sheets) AS BIGINT) AS sheets, count_if(cents IS NULL AND sheets > 0)::BIGINT AS unknown, {_TOTAL.format("coalesce(cents, 0)", "cents")},
+  {_TOTAL.format("CASE WHEN length(kind) % 2 = 0 THEN length(kind) * 25 ELSE 0 END", "later_cents")}, {_TOTAL.format("CASE WHEN kind <> 'click' THEN 1 ELSE 0 END", "placements")},
+  {_TOTAL.format("length(kind) % 3", "traces")} FROM {_PRICED} GROUP BY 1""")
 def _cost(s, d):
     return runs.batch_cost(_items(s, d), _prices(s, d))
 
@@ -299,7 +307,7 @@ def _budget(s, d):
 @query("source_summary", """WITH p AS (SELECT page_id // 10 AS task_id, page_id % 4 <> 0 AS file, 'sheet ' || page_id AS label, length(html) AS bytes,
   CASE page_id % 5 WHEN 0 THEN 'vector' WHEN 1 THEN 'raster' WHEN 2 THEN 'vector' ELSE 'unknown' END AS kind, CASE WHEN page_id // 10 % 2 = 0 THEN 'vector' ELSE 'raster' END AS wanted FROM pages)
 SELECT task_id, count_if(file)::BIGINT AS files, count_if(NOT file)::BIGINT AS layers, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes, count_if(kind <> wanted)::BIGINT AS wrong,
-  min(CASE WHEN kind <> wanted THEN label END) AS first_wrong FROM p GROUP BY 1""")
+  array_to_string(list_sort(list(label) FILTER (kind <> wanted))[:3], ';') AS wrong_sources, greatest(count_if(kind <> wanted) - 3, 0)::BIGINT AS more_wrong FROM p GROUP BY 1""")
 def _sources(s, d):
     k, i = F.col("page_id") % 5, F.col("page_id")
     path = F.concat(F.lit("f.d/x"), F.when(k == 0, ".geojson").when(k == 1, ".TIF").when(k == 2, ".shp").when(k == 3, ".html").otherwise(".csv"))
@@ -308,7 +316,8 @@ def _sources(s, d):
         task.alias("task_id"), F.when(i % 4 != 0, "file").otherwise("layer").alias("origin"), F.concat(F.lit("sheet "), i.cast("string")).alias("label"),
         F.length("html").cast("long").alias("bytes"), path.alias("path"), F.when(task % 2 == 0, "vector").otherwise("raster").alias("wanted"),
     )
-    return runs.source_summary(p, values.data_kind(F.col("path")))
+    found = runs.source_summary(p, values.data_kind(F.col("path")), most=3)
+    return found.withColumn("wrong_sources", F.nullif(F.array_join("wrong_sources", ";"), F.lit("")))
 
 
 @query("sheets_missing", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

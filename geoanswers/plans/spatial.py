@@ -83,12 +83,28 @@ def _align(s, d):
     return sjoin.near(ground(points(s, d)), sjoin.aligned(zone, degrees, LayerMeta("EPSG:4326", "degrees", True)), 5, "m", zone).select("id")
 
 
-@query("nearest_k", f"SELECT id, round(sqrt(power(x - 500, 2) + power(y - 500, 2)), 6) AS distance FROM {POINTS} ORDER BY sqrt(power(x - 500, 2) + power(y - 500, 2)), id LIMIT 10")
+_NEAREST = """SELECT *, min(distance) OVER () AS nearest, max(distance) OVER () AS farthest FROM (SELECT id, round(sqrt(power(x - {x}, 2) + power(y - {y}, 2)), 6) AS distance,
+  (SELECT count(*) FROM {t}) AS considered FROM {t} ORDER BY sqrt(power(x - {x}, 2) + power(y - {y}, 2)), id LIMIT {k})"""
+
+
+#: Sites in degrees; every 7th lies beyond the pole, every 11th has no geometry.
+@query("align_report", f"""SELECT (SELECT count(*) FROM {POINTS}) AS tested, (SELECT count(*) FROM {POINTS} p WHERE EXISTS (SELECT 1 FROM {SITES} t WHERE t.id % 7 <> 0 AND t.id % 11 <> 0 AND abs(p.x - t.x) <= 5 AND abs(p.y - t.y) <= 5)) AS matched,
+  count_if(id % 7 <> 0 AND id % 11 <> 0)::BIGINT AS reference_features, count_if(id % 11 = 0)::BIGINT AS reference_empty, count_if(id % 7 = 0 AND id % 11 <> 0)::BIGINT AS reference_dropped, 'EPSG:32635' AS compared_in FROM {SITES}""")
+def _align_report(s, d):
+    zone = LayerMeta("EPSG:32635", "m")
+    x, y = F.col("x") + 500000, F.col("y") + 4540000
+    around = geom.reprojected(geom.box(x - 5, y - 5, x + 5, y + 5), "EPSG:32635", "EPSG:4326")
+    beyond = geom.box(x * 0 + 20, y * 0 + 91, x * 0 + 21, y * 0 + 92)
+    other = sites(s, d).withColumn("geom", F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 7 == 0, beyond).otherwise(around))
+    return sjoin.relate_layers(points(s, d).withColumn("geom", geom.point(x, y)), zone, other, LayerMeta("EPSG:4326", "degrees", True), "intersects")
+
+
+@query("nearest_k", _NEAREST.format(x=500, y=500, t=POINTS, k=10))
 def _nearest_k(s, d):
     return rounded(sjoin.nearest_k(points(s, d), 500, 500), 6)
 
 
-@query("table_nearest", f"SELECT id, round(sqrt(power(x - 100, 2) + power(y - 900, 2)), 6) AS distance FROM {SITES} ORDER BY sqrt(power(x - 100, 2) + power(y - 900, 2)), id LIMIT 5")
+@query("table_nearest", _NEAREST.format(x=100, y=900, t=SITES, k=5))
 def _table_nearest(s, d):
     return rounded(sjoin.nearest_k(sites(s, d), 100, 900, 5), 6)
 
