@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoanswers.operators.ordering import placed  # noqa: F401
-from geoanswers.sources.tables import discard, mark, shared_dir, stored  # noqa: F401
+from geoanswers.sources.tables import Scratch, shared_dir, stored  # noqa: F401
 
 # ---- words and hashes (numpy, inside tasks) -------------------------------------------------------------------
 
@@ -198,24 +198,24 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     neighbours are never gathered: the smallest neighbour is a combinable minimum that is joined back, and as it is
     written first, the join's sides are plain shuffles, of which a hub's side is split. A round's tables go when the
     next one is written."""
-    spark, began = edges.sparkSession, mark()
-    pairs = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
-    seen = None
-    for _ in range(most_rounds):
-        both = pairs.union(pairs.select("b", "a"))  # each id with each neighbour
-        least = stored(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
-        large = both.join(least, both.a == least.u).filter("b > a").select(F.col("m").alias("a"), "b")
-        large = stored(large.filter("a < b").distinct(), "large")
-        least = stored(large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")), "least")
-        small = large.join(least, large.b == least.u).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-        round_ends = mark()
-        pairs = stored(small.filter("a < b").distinct(), "edges")
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        discard(spark, began, round_ends)
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError("components did not settle")
+    with Scratch(edges.sparkSession) as own:
+        pairs = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
+        seen = None
+        for _ in range(most_rounds):
+            both = pairs.union(pairs.select("b", "a"))  # each id with each neighbour
+            least = stored(both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+            large = both.join(least, both.a == least.u).filter("b > a").select(F.col("m").alias("a"), "b")
+            large = stored(large.filter("a < b").distinct(), "large")
+            least = stored(large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")), "least")
+            small = large.join(least, large.b == least.u).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
+            round_ends = own.mark()
+            pairs = stored(small.filter("a < b").distinct(), "edges")
+            state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            own.discard(round_ends)
+            if state == seen:
+                break
+            seen = state
+        else:
+            raise RuntimeError("components did not settle")
     roots = pairs.select(F.col("b").alias("id"), F.col("a").alias("component"))
     return roots.union(pairs.select("a", F.col("a")).distinct())

@@ -87,12 +87,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: each document as often as the mix takes it (wordless ones are taken by no mix and go)."""
-    m = mixed(docs, [3, 1, 2]).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    m = m.groupBy("_id", "_hash").agg(F.max("_copies").alias("_copies"))
+    """Pipeline: each document as often as the mix takes it (wordless ones are taken by no mix and go). Rows of equal id and text
+    come as often together as the mix takes them together, dealt evenly over them."""
+    m = mixed(docs, [3, 1, 2]).filter("size > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.col("taken") / F.col("size")).cast("long").alias("_copies"))
+    m = common.stored(m.groupBy("_id", "_hash").agg(F.sum("_copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0"), "copies")
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
-    rows = rows.join(m, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
-    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))
+    once = rows.join(m.filter("_rows = 1"), same).select("_row", "_copies")
+    again = m.filter("_rows > 1")
+    most = again.agg(F.coalesce(F.max("_rows"), F.lit(0))).first()[0]
+    if most:
+        several = common.stored(rows.join(again, same).drop("_id", "_hash").withColumn("_at", F.monotonically_increasing_id()), "several")
+        spread = F.xxhash64("_at").bitwiseAND(0x7FFFFFFF)
+        placed = common.running(several, ["_doc", "_h"], [F.col("_at")], spread, common.ranges_for(most), F.lit(1), "_place")
+        share = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_place") < F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+        once = once.union(placed.select("_row", share.cast("long").alias("_copies")).filter("_copies > 0"))
+    return once.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
 
 
 ORACLE = r"""

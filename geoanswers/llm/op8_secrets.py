@@ -168,11 +168,34 @@ def scanned(documents: DataFrame) -> DataFrame:
     found = F.transform(F.filter(found, lambda x: x["s"].isNotNull()), lambda x: F.struct((x["from"] + x["s"]["start"]).alias("start"), F.lit(3).alias("rank"), (x["from"] + x["s"]["end"]).alias("end")))
     more = F.when(F.size("_h_entropy") > 0, found).otherwise(F.array().cast(_SPAN))
     both = base.withColumn("_more", more)
-    # _base is in the order of starts: how far its spans cover m without a gap
-    fresh = F.filter("_more", lambda m: F.aggregate("_base", m["start"], lambda to, b: F.when((b["start"] <= to) & (b["end"] > to), b["end"]).otherwise(to)) < m["end"])
+    fresh = F.when((F.size("_base") > 0) & (F.size("_more") > 0), _uncovered(F.col("_base"), F.col("_more"))).otherwise(F.col("_more"))
     return both.withColumn("_all", F.array_sort(F.concat("_base", fresh))).select("_row", "_text", "_base", "_all")
 
 
+def _stretches(base: Column) -> Column:
+    """What spans in the order of their starts cover, as stretches without gaps (spans of rank 0)."""
+
+    def cut(ends: Column) -> Column:
+        heads = F.filter(F.transform(base, lambda b, i: F.when((i == 0) | (b["start"] > F.get(ends, i - 1)), i)), lambda i: i.isNotNull())
+        last = lambda hs, k: F.coalesce(F.get(hs, k + 1), F.size(base)) - 1
+        return _given(heads, lambda hs: F.transform(hs, lambda h, k: F.struct(F.get(base, h)["start"].alias("start"), F.lit(0).alias("rank"), F.get(ends, last(hs, k)).alias("end"))))
+
+    return _given(_scan(F.transform(base, lambda b: b["end"]), F.greatest, "int", 0), cut)
+
+
+def _uncovered(base: Column, more: Column) -> Column:
+    """The spans of ``more`` that ``base`` does not cover completely: both lists in one order, and the end of the last stretch
+    that has begun carried along it."""
+    line = F.array_sort(F.concat(_stretches(base), more))
+
+    def told(xs: Column) -> Column:
+        reach = _scan(F.transform(xs, lambda x: F.when(x["rank"] == 0, x["end"]).otherwise(-1)), F.greatest, "int", -1)
+        kept = F.filter(F.zip_with(xs, reach, lambda x, to: F.struct(x.alias("x"), to.alias("to"))), lambda z: (z["x"]["rank"] > 0) & (z["to"] < z["x"]["end"]))
+        return F.transform(kept, lambda z: z["x"])
+
+    return _given(line, told)
+
+
 def _scored(word: Column) -> Column:
     """skip and word: what stands between the words at both ends of a path, from where; other candidates as they are."""
     segments = F.split(word, "/", -1)
