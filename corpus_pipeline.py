@@ -19,12 +19,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each written as Parquet to the shared folder and read again. What a stage has written on its way,
-    and its predecessor's rows, go when its own rows are written."""
-    docs, began = spark.read.parquet(f"{sf_dir}/documents.parquet"), common.mark()
-    for name, stage in STAGES:
-        rows = stage(spark, docs, sf_dir)
-        last = common.mark()
-        docs = common.stored(rows, name)
-        common.discard(spark, began, last)
+    """The stages in order, each written as Parquet to the shared folder and read again; returns the pieces of packed documents
+    (where each piece stands in which sequence; ids are encoded again where sequences are written). What a stage has written on
+    its way, and its predecessor's rows, go when its own rows are written."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with common.Scratch(spark) as own:
+        for name, stage in STAGES:
+            rows = stage(spark, docs, sf_dir)
+            last = own.mark()
+            docs = common.stored(rows, name)
+            own.discard(last)
     return docs
