@@ -1,17 +1,22 @@
-"""Terrain on a table of cells (raster_id, row, col, z): 3 x 3 neighbourhoods by an equi-join of shifted keys with a
-combinable aggregate, contours by marching squares, drainage by eight directions. Edge cells use their own value for
+"""Terrain on a table of cells (raster_id, row, col, z): 3 x 3 neighbourhoods by tiles with a halo of one cell, contours by marching squares, drainage by eight directions. Edge cells use their own value for
 missing neighbours. Formulas: Horn 1981 (slope, aspect, hillshade), Riley 1999 (ruggedness), max - min (roughness)."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoanswers.meta import LayerMeta, Refused
 from geoanswers.sources.tables import Scratch, stored
 
+#: Cells along a tile's side.
+SIDE = 128
 #: Offsets (row, col); rows go down.
 _AROUND = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
 _NAMES = ["a", "b", "c", "d", "e", "f", "g", "h", "i"]
@@ -24,12 +29,65 @@ def _check(meta: LayerMeta | None, z_factor: float, needs_metres: bool) -> None:
         raise Refused("z_factor is above 0 and at most 1000")
 
 
+def _windows(cells: DataFrame) -> DataFrame:
+    """raster_id, row, col and the nine values a..i around each cell that has a value, NULL where there is none.
+
+    Cells are dealt into tiles of SIDE x SIDE; those at a tile's edge go to the neighbouring tile too (about 1 + 4 / SIDE rows a
+    cell are shuffled). A tile is one array; the values around all its cells are nine cut-outs of it. Of several values of one
+    cell the largest counts."""
+    row, col = F.col("row").cast("long"), F.col("col").cast("long")
+    tiles = lambda c: F.explode(F.sequence(F.floor((c - 1) / SIDE), F.floor((c + 1) / SIDE)))
+    some = cells.filter("z is not null").select("raster_id", row.alias("row"), col.alias("col"), F.col("z").cast("double").alias("z"))
+    dealt = some.withColumn("ty", tiles(F.col("row"))).withColumn("tx", tiles(F.col("col")))
+    line = dealt.repartition("raster_id", "ty", "tx").sortWithinPartitions("raster_id", "ty", "tx")
+    types = [cells.schema["raster_id"], T.StructField("row", cells.schema["row"].dataType), T.StructField("col", cells.schema["col"].dataType)]
+    kinds = [pa.int32() if isinstance(t.dataType, T.IntegerType) else pa.int64() for t in types[1:]]
+    return line.mapInArrow(_around(kinds), T.StructType(types + [T.StructField(n, T.DoubleType()) for n in _NAMES]))
+
+
+def _around(kinds: list[pa.DataType]):
+    def work(rows: pa.Table) -> pa.RecordBatch:
+        """A whole tile."""
+        r, c, z, ty, tx = (rows.column(k).to_numpy() for k in ("row", "col", "z", "ty", "tx"))
+        y0, x0 = ty[0] * SIDE, tx[0] * SIDE
+        grid, known = np.full((SIDE + 2, SIDE + 2), -np.inf), np.zeros((SIDE + 2, SIDE + 2), bool)
+        y, x = r - y0 + 1, c - x0 + 1
+        np.maximum.at(grid, (y, x), z)
+        known[y, x] = True
+        y, x = np.nonzero(known[1:-1, 1:-1])
+        columns = []
+        for dr, dc in _AROUND:
+            at = (y + 1 + dr, x + 1 + dc)
+            columns.append(pa.array(grid[at], mask=~known[at]))
+        raster = pa.concat_arrays([rows.column("raster_id").chunk(0).slice(0, 1)]).take(pa.array(np.zeros(len(y), np.int64)))
+        place = [pa.array(y + y0).cast(kinds[0]), pa.array(x + x0).cast(kinds[1])]
+        return pa.RecordBatch.from_arrays([raster, *place, *columns], names=["raster_id", "row", "col", *_NAMES])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raster = batch.column("raster_id").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            ty, tx = batch.column("ty").to_numpy(), batch.column("tx").to_numpy()
+            edges = np.flatnonzero((raster[1:] != raster[:-1]) | (ty[1:] != ty[:-1]) | (tx[1:] != tx[:-1])) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                this = (batch.column("raster_id")[lo].as_py(), int(ty[lo]), int(tx[lo]))
+                if held and this != key:
+                    yield work(pa.Table.from_batches(held))
+                    held = []
+                key = this
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield work(pa.Table.from_batches(held))
+
+    return run
+
+
 def neighbourhood(cells: DataFrame) -> DataFrame:
-    """raster_id, row, col and the nine values a..i: each cell goes to the nine cells around it, one shuffle."""
-    sent = F.explode(F.array(*[F.struct(F.lit(-dr).alias("dr"), F.lit(-dc).alias("dc"), F.lit(n).alias("n")) for (dr, dc), n in zip(_AROUND, _NAMES)]))
-    spread = cells.select("raster_id", "row", "col", "z", sent.alias("s")).select("raster_id", (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), F.col("s.n").alias("n"), "z")
-    met = spread.groupBy("raster_id", "row", "col").agg(*[F.max(F.when(F.col("n") == n, F.col("z"))).alias(f"_{n}") for n in _NAMES]).filter("_e is not null")
-    return met.select("raster_id", "row", "col", *[F.coalesce(f"_{n}", "_e").alias(n) for n in _NAMES])
+    """raster_id, row, col and the nine values a..i; a missing neighbour has the cell's own value."""
+    return _windows(cells).select("raster_id", "row", "col", *[F.coalesce(n, "e").alias(n) for n in _NAMES])
 
 
 def _gradients(cell: float, z_factor: float) -> tuple[Column, Column]:
@@ -82,9 +140,8 @@ def contours(cells: DataFrame, interval: float) -> DataFrame:
     middle with the higher corners apart)."""
     if interval <= 0:
         raise Refused("the interval is above 0")
-    to = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in (0, -1) for dc in (0, -1)]))
-    spread = cells.select("raster_id", "row", "col", "z", to.alias("s")).select("raster_id", (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), (F.col("s.dr") * -2 - F.col("s.dc")).alias("k"), "z")
-    quad = spread.groupBy("raster_id", "row", "col").agg(F.count("*").alias("n"), *[F.max(F.when(F.col("k") == k, F.col("z"))).alias(f"z{k}") for k in range(4)]).filter("n = 4")
+    corners = [F.col(n).alias(f"z{k}") for k, n in enumerate("efhi")]
+    quad = _windows(cells).select("raster_id", "row", "col", *corners).filter("z1 is not null and z2 is not null and z3 is not null")
     low, high = F.ceil(F.least("z0", "z1", "z2", "z3") / interval), F.floor(F.greatest("z0", "z1", "z2", "z3") / interval)
     steps = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
     levels = quad.withColumn("level", F.explode(F.transform(steps, lambda k: k * F.lit(float(interval)))))

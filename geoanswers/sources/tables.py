@@ -8,8 +8,6 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[str] = []
-
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where the session names none, a temporary folder on a single machine and an error on a
@@ -64,21 +62,4 @@ def stored(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     owner = _OWNER.get()
     if owner is not None:
         owner.paths.append(path)
-    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def mark() -> str:
-    """A place in the list of stored tables, for ``discard``."""
-    return _WRITTEN[-1] if _WRITTEN else ""
-
-
-def discard(spark: SparkSession, since: str, till: str | None = None) -> None:
-    """Delete the tables stored after ``since`` and up to ``till`` (null: all); nothing that is still to be read may
-    depend on them."""
-    first = _WRITTEN.index(since) + 1 if since in _WRITTEN else 0
-    last = len(_WRITTEN) if till is None else _WRITTEN.index(till) + 1 if till in _WRITTEN else 0
-    for path in _WRITTEN[first:last]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    del _WRITTEN[first:last]
