@@ -27,7 +27,7 @@ from geoanswers.sources.tables import stored
 PER_CELL, TOGETHER = 4_000, 50_000
 #: Relative size below which two nodes are one. No round number, so that coordinates don't lie on the edges of rounding.
 SNAP = 1.0947e-10
-_ENDS = ["x1", "y1", "x2", "y2"]
+_ENDS, _GRID = ["x1", "y1", "x2", "y2"], ["ox", "oy", "size"]
 
 
 def _schema(group: T.StructField, *more: tuple[str, T.DataType]) -> T.StructType:
@@ -35,53 +35,54 @@ def _schema(group: T.StructField, *more: tuple[str, T.DataType]) -> T.StructType
 
 
 def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All sides, the lesser end first, with weight 1 where the inside is to the left and -1 where it is to the right."""
+    """All sides, the lesser end first, with weight 1 where the inside is to the left and -1 where it is to the right: w of
+    shapes, v of those that are taken away."""
     for batch in batches:
         found = [np.zeros((0, 4)) if s is None or s.dim != 2 else s.sides for s in shapes.read(batch.column("geom"))]
         at = np.repeat(np.arange(len(found)), [len(s) for s in found])
         s = np.concatenate(found) if found else np.zeros((0, 4))
         forward = (s[:, 0] < s[:, 2]) | ((s[:, 0] == s[:, 2]) & (s[:, 1] < s[:, 3]))
         turned = np.where(forward[:, None], s, s[:, [2, 3, 0, 1]])
-        columns = [batch.column("group").take(pa.array(at)), *[pa.array(turned[:, k]) for k in range(4)], pa.array(np.where(forward, 1, -1))]
-        yield pa.RecordBatch.from_arrays(columns, names=["group", *_ENDS, "w"])
+        weight, away = np.where(forward, 1, -1), batch.column("away").to_numpy(zero_copy_only=False).astype(bool)[at]
+        columns = [batch.column("group").take(pa.array(at)), *[pa.array(turned[:, k]) for k in range(4)], pa.array(np.where(away, 0, weight)), pa.array(np.where(away, weight, 0))]
+        yield pa.RecordBatch.from_arrays(columns, names=["group", *_ENDS, "w", "v"])
 
 
 # ---- the grid --------------------------------------------------------------------------------------------------
 
 
-def _gridded(ox: float, oy: float, size: float):
-    """Sides cut at the lines of a grid: pieces with their cell, and which of their ends are such cuts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = np.stack([batch.column(k).to_numpy() for k in _ENDS], axis=1)
-            n = np.arange(len(s))
-            at, t, x, y = [n, n], [np.zeros(len(s)), np.ones(len(s))], [s[:, 0], s[:, 2]], [s[:, 1], s[:, 3]]
-            for axis, o in ((0, ox), (1, oy)):
-                a, b = s[:, axis], s[:, 2 + axis]
-                first, last = np.floor((np.minimum(a, b) - o) / size).astype(np.int64) + 1, np.ceil((np.maximum(a, b) - o) / size).astype(np.int64)
-                for i, line in sweep.runs(first, last):
-                    where = o + line * size
-                    part = (where - a[i]) / (b[i] - a[i])
-                    inside = (part > 0) & (part < 1)
-                    i, where, part = i[inside], where[inside], part[inside]
-                    other = s[i, 1 - axis] + part * (s[i, 3 - axis] - s[i, 1 - axis])
-                    at.append(i), t.append(part)
-                    x.append(where if axis == 0 else other), y.append(other if axis == 0 else where)
-            whole = np.concatenate([np.zeros(2 * len(s), bool), np.ones(sum(map(len, at)) - 2 * len(s), bool)])
-            at, t, x, y = map(np.concatenate, (at, t, x, y))
-            order = np.lexsort((t, at))
-            at, x, y, whole = at[order], x[order], y[order], whole[order]
-            same = at[:-1] == at[1:]
-            i = np.flatnonzero(same)
-            some = (x[i] != x[i + 1]) | (y[i] != y[i + 1])
-            i = i[some]
-            cell = [np.floor(((v[i] + v[i + 1]) / 2 - o) / size).astype(np.int64) for v, o in ((x, ox), (y, oy))]
-            columns = [batch.column("group").take(pa.array(at[i])), *[pa.array(v) for v in (x[i], y[i], x[i + 1], y[i + 1])], batch.column("w").take(pa.array(at[i]))]
-            columns += [pa.array(cell[0]), pa.array(cell[1]), pa.array(whole[i]), pa.array(whole[i + 1])]
-            yield pa.RecordBatch.from_arrays(columns, names=["group", *_ENDS, "w", "ix", "iy", "cut1", "cut2"])
-
-    return run
+def _gridded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sides cut at the lines of their grid (ox, oy, size): pieces with their cell, and which of their ends are such cuts."""
+    for batch in batches:
+        origin = [batch.column(k).to_numpy() for k in ("ox", "oy")]
+        size = batch.column("size").to_numpy()
+        s = np.stack([batch.column(k).to_numpy() for k in _ENDS], axis=1)
+        n = np.arange(len(s))
+        at, t, x, y = [n, n], [np.zeros(len(s)), np.ones(len(s))], [s[:, 0], s[:, 2]], [s[:, 1], s[:, 3]]
+        for axis, o in enumerate(origin):
+            a, b = s[:, axis], s[:, 2 + axis]
+            first, last = np.floor((np.minimum(a, b) - o) / size).astype(np.int64) + 1, np.ceil((np.maximum(a, b) - o) / size).astype(np.int64)
+            for i, line in sweep.runs(first, last):
+                where = o[i] + line * size[i]
+                part = (where - a[i]) / (b[i] - a[i])
+                inside = (part > 0) & (part < 1)
+                i, where, part = i[inside], where[inside], part[inside]
+                other = s[i, 1 - axis] + part * (s[i, 3 - axis] - s[i, 1 - axis])
+                at.append(i), t.append(part)
+                x.append(where if axis == 0 else other), y.append(other if axis == 0 else where)
+        whole = np.concatenate([np.zeros(2 * len(s), bool), np.ones(sum(map(len, at)) - 2 * len(s), bool)])
+        at, t, x, y = map(np.concatenate, (at, t, x, y))
+        order = np.lexsort((t, at))
+        at, x, y, whole = at[order], x[order], y[order], whole[order]
+        same = at[:-1] == at[1:]
+        i = np.flatnonzero(same)
+        some = (x[i] != x[i + 1]) | (y[i] != y[i + 1])
+        i = i[some]
+        of = pa.array(at[i])
+        cell = [np.floor(((v[i] + v[i + 1]) / 2 - o[at[i]]) / size[at[i]]).astype(np.int64) for v, o in zip((x, y), origin)]
+        columns = [batch.column("group").take(of), *[pa.array(v) for v in (x[i], y[i], x[i + 1], y[i + 1])], batch.column("w").take(of), batch.column("v").take(of)]
+        columns += [pa.array(cell[0]), pa.array(cell[1]), pa.array(whole[i]), pa.array(whole[i + 1]), *[batch.column(k).take(of) for k in _GRID]]
+        yield pa.RecordBatch.from_arrays(columns, names=["group", *_ENDS, "w", "v", "ix", "iy", "cut1", "cut2", *_GRID])
 
 
 # ---- within cells ----------------------------------------------------------------------------------------------
@@ -125,8 +126,9 @@ def noded(s: np.ndarray, key: np.ndarray, scale: float) -> tuple[np.ndarray, np.
 
 
 def outline(s: np.ndarray, w: np.ndarray, key: np.ndarray, corner: np.ndarray, base: np.ndarray, cuts: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pieces by cell (key; its lower left corner; winding numbers there, at base): the outline's pieces with the inside to
-    the left, the cell of each, and whether its ends are cuts of the grid."""
+    """Of pieces by cell (key; its lower left corner; winding numbers there, at base; weights and numbers in two columns): the
+    pieces of the outline of what the first ones cover and the second ones don't, with the inside to the left, the cell of each,
+    and whether its ends are cuts of the grid."""
     pieces, of, is_first, is_last = noded(s, key, scale)
     grid = SNAP * scale
     name = _nodes(pieces.reshape(-1, 2), grid).reshape(-1, 2)
@@ -135,27 +137,28 @@ def outline(s: np.ndarray, w: np.ndarray, key: np.ndarray, corner: np.ndarray, b
     turned = (pieces[:, 0] > pieces[:, 2]) | ((pieces[:, 0] == pieces[:, 2]) & (pieces[:, 1] > pieces[:, 3]))
     pieces = np.where(turned[:, None], pieces[:, [2, 3, 0, 1]], pieces)
     name, ends = np.where(turned[:, None], name[:, ::-1], name), np.where(turned[:, None], ends[:, ::-1], ends)
-    weight = np.where(turned, -w[of], w[of])
+    weight = np.where(turned[:, None], -w[of], w[of])
     flip = name[:, 0] > name[:, 1]  # snapped ends may stand the other way round for pieces that are nearly upright
     low, high = np.where(flip, name[:, 1], name[:, 0]), np.where(flip, name[:, 0], name[:, 1])
     some = low != high
     pieces, of, ends, weight, flip, low, high = (v[some] for v in (pieces, of, ends, weight, flip, low, high))
     _, first, same = np.unique(np.stack([key[of], low, high], axis=1), axis=0, return_index=True, return_inverse=True)
     same = same.reshape(-1)
-    weight = np.bincount(same, np.where(flip == flip[first][same], weight, -weight), minlength=len(first)).round().astype(np.int64)
+    weight = np.where((flip == flip[first][same])[:, None], weight, -weight)
+    weight = np.stack([np.bincount(same, weight[:, k], minlength=len(first)).round().astype(np.int64) for k in (0, 1)], axis=1)
     real = np.stack([np.bincount(same, ~ends[:, k], minlength=len(first)) > 0 for k in (0, 1)], axis=1)
     pieces, cell, ends = pieces[first], key[of[first]], ~real
-    live = weight != 0
+    live = (weight != 0).any(axis=1)
     pieces, cell, ends, weight = pieces[live], cell[live], ends[live], weight[live]
     if not len(pieces):
         return pieces, cell, ends
     beside = _covered(pieces, weight, cell, corner, base)
     flat = pieces[:, 1] == pieces[:, 3]
-    rise = np.where(flat, weight, np.where(pieces[:, 3] > pieces[:, 1], weight, -weight))
-    beyond = beside - rise
-    edge = (beside > 0) != (beyond > 0)
+    beyond = beside - np.where((flat | (pieces[:, 3] > pieces[:, 1]))[:, None], weight, -weight)
+    here, there = ((n[:, 0] > 0) & (n[:, 1] <= 0) for n in (beside, beyond))
+    edge = here != there
     # the inside to the left: upward with it at lesser x, to the right with it above
-    along = np.where(flat | (pieces[:, 3] > pieces[:, 1]), beside > 0, beside <= 0)
+    along = np.where(flat | (pieces[:, 3] > pieces[:, 1]), here, ~here)
     pieces = np.where(along[:, None], pieces, pieces[:, [2, 3, 0, 1]])
     ends = np.where(along[:, None], ends, ends[:, ::-1])
     return pieces[edge], cell[edge], ends[edge]
@@ -170,7 +173,8 @@ def _covered(pieces: np.ndarray, weight: np.ndarray, cell: np.ndarray, corner: n
     x, y = mid.T
     left, bottom = corner[cell].T
     ax, ay, bx, by = pieces.T
-    rise = np.where(by > ay, weight, np.where(by < ay, -weight, 0))
+    rise = np.where((by > ay)[:, None], weight, np.where((by < ay)[:, None], -weight, 0))
+    add = lambda i, what: np.stack([np.bincount(i, what[:, k], minlength=len(x)) for k in (0, 1)], axis=1).astype(np.int64)
     out = base[cell].astype(np.int64)
     # up along the left edge: pieces that begin on it and lead away from it
     start = np.flatnonzero((ax == left[np.arange(len(ax))]) & (bx > left) & ~((ay == bottom) & (by == bottom)))
@@ -181,7 +185,7 @@ def _covered(pieces: np.ndarray, weight: np.ndarray, cell: np.ndarray, corner: n
         for i, j in sweep.meeting(reach, np.stack([np.zeros(len(start)), ay[start], np.zeros(len(start)), ay[start]], axis=1), (cell, cell[start])):
             j = start[j]
             under = (ay[j] < y[i]) | ((ay[j] == y[i]) & (by[j] <= ay[j]))
-            out += np.bincount(i[under], weight[j[under]], minlength=len(x)).astype(np.int64)
+            out += add(i[under], weight[j[under]])
     # to the right
     way = np.stack([np.full(len(x), min(float(left.min()), float(ax.min()))), y, x, y], axis=1)
     upright = np.flatnonzero(ay != by)
@@ -192,7 +196,7 @@ def _covered(pieces: np.ndarray, weight: np.ndarray, cell: np.ndarray, corner: n
             where = ax[j] + (y[i] - ay[j]) / (by[j] - ay[j]) * (bx[j] - ax[j])
         hit = (i != j) & (np.minimum(ay[j], by[j]) <= y[i]) & (y[i] < np.maximum(ay[j], by[j])) & (where < x[i])
         hit &= ~((ax[j] == left[j]) & ((bx[j] == left[j]) | ((ay[j] == y[i]) & (by[j] > ay[j]))))
-        out -= np.bincount(i[hit], rise[j[hit]], minlength=len(x)).astype(np.int64)
+        out -= add(i[hit], rise[j[hit]])
     return out
 
 
@@ -202,7 +206,7 @@ def _cells(rows: pa.Table) -> np.ndarray:
     return np.stack([group.astype(np.int64), rows.column("ix").to_numpy(), rows.column("iy").to_numpy()], axis=1)
 
 
-def _outlines(ox: float, oy: float, size: float, scale: float):
+def _outlines(scale: float):
     """Cells that stand together in a sorted partition, some at a time."""
 
     def work(rows: pa.Table) -> pa.RecordBatch:
@@ -210,9 +214,11 @@ def _outlines(ox: float, oy: float, size: float, scale: float):
         cell = _cells(rows)
         first = np.concatenate([[True], (cell[1:] != cell[:-1]).any(axis=1)])
         key, at = np.cumsum(first) - 1, np.flatnonzero(first)
-        corner = np.array([ox, oy]) + cell[at, 1:] * size
+        ox, oy, size = (rows.column(k).to_numpy()[at] for k in _GRID)
+        corner = np.stack([ox + cell[at, 1] * size, oy + cell[at, 2] * size], axis=1)
+        two = lambda a, b: np.stack([rows.column(a).to_numpy(), rows.column(b).to_numpy()], axis=1)
         cuts = np.stack([rows.column(k).to_numpy() for k in ("cut1", "cut2")], axis=1)
-        pieces, of, ends = outline(s, rows.column("w").to_numpy(), key, corner, rows.column("base").to_numpy()[at], cuts, scale)
+        pieces, of, ends = outline(s, two("w", "v"), key, corner, two("base_w", "base_v")[at], cuts, scale)
         columns = [rows.column("group").combine_chunks().take(pa.array(at[of])), *[pa.array(pieces[:, k]) for k in range(4)], pa.array(ends[:, 0]), pa.array(ends[:, 1])]
         return pa.RecordBatch.from_arrays(columns, names=["group", *_ENDS, "cut1", "cut2"])
 
@@ -236,36 +242,56 @@ def _outlines(ox: float, oy: float, size: float, scale: float):
     return run
 
 
-def boundary(df: DataFrame, group: str | None = None, size: float | None = None) -> DataFrame:
-    """group, x1, y1, x2, y2, cut1, cut2: the outline of the union of each group's polygons, as pieces of sides with the inside
-    to the left; cut1 and cut2: that end is no vertex, only a cut of the grid. ``size``: of the grid's cells."""
-    rows = df.select((F.col(group) if group else F.lit("all")).alias("group"), "geom")
-    field = rows.schema["group"]
-    sides = rows.mapInArrow(_sides, _schema(field, ("w", T.LongType())))
-    net = stored(sides.groupBy("group", *_ENDS).agg(F.sum("w").alias("w")).filter("w <> 0"), "sides")
-    x0, y0, x1, y1, n = net.agg(F.min("x1"), F.min(F.least("y1", "y2")), F.max("x2"), F.max(F.greatest("y1", "y2")), F.count("*")).first()
+def _tasks(df: DataFrame, sides: int) -> int:
+    """Tasks for so many sides: their work is worth more than their bytes, so they are not put together by size."""
+    return max(-(-sides // TOGETHER), min(df.sparkSession.sparkContext.defaultParallelism, -(-sides // 500)))
+
+
+def boundary(df: DataFrame, group: str | None = None, size: float | None = None, away: DataFrame | None = None) -> DataFrame:
+    """group, x1, y1, x2, y2, cut1, cut2: the outline of the union of each group's polygons without the polygons of ``away`` (group,
+    geom), as pieces of sides with the inside to the left; cut1 and cut2: that end is no vertex, only a cut of the grid. A group
+    of many sides has a grid of its own, after how dense it is; ``size``: of all grids' cells."""
+    return _outlined(df, group, size, away)[0]
+
+
+def _outlined(df: DataFrame, group: str | None, size: float | None, away: DataFrame | None) -> tuple[DataFrame, int]:
+    """The outline, and how many tasks its work is dealt into."""
+    rows = df.select((F.col(group) if group else F.lit("all")).alias("group"), "geom", F.lit(False).alias("away"))
+    if away is not None:
+        rows = rows.union(away.select("group", "geom", F.lit(True)))
+    field, whole_number = rows.schema["group"], T.LongType()
+    sides = rows.mapInArrow(_sides, _schema(field, ("w", whole_number), ("v", whole_number)))
+    net = stored(sides.groupBy("group", *_ENDS).agg(F.sum("w").alias("w"), F.sum("v").alias("v")).filter("w <> 0 or v <> 0"), "sides")
+    low, high = F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))
+    groups = net.groupBy("group").agg(F.count("*").alias("n"), F.min("x1").alias("x0"), low.alias("y0"), F.max("x2").alias("x1"), high.alias("y1"))
+    x0, y0, x1, y1, n = groups.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1"), F.sum("n")).first()
     if not n:
-        return net.select("group", *_ENDS, F.lit(False).alias("cut1"), F.lit(False).alias("cut2"))
-    span = max(x1 - x0, y1 - y0) or 1.0
-    size = size or max(((x1 - x0) * (y1 - y0) * PER_CELL / n) ** 0.5, span / 30_000)
-    size = 1.7 * span if size >= span else size
-    # lines that coordinates are not likely to lie on
-    ox, oy, scale = x0 - 0.31830989 * size, y0 - 0.36787944 * size, max(abs(v) for v in (x0, y0, x1, y1)) or 1.0
-    more = [("w", T.LongType()), ("ix", T.LongType()), ("iy", T.LongType()), ("cut1", T.BooleanType()), ("cut2", T.BooleanType())]
-    pieces = net.mapInArrow(_gridded(ox, oy, size), _schema(field, *more))
-    pieces = stored(pieces, "pieces")
+        return net.select("group", *_ENDS, F.lit(False).alias("cut1"), F.lit(False).alias("cut2")), 1
+    span, scale = max(x1 - x0, y1 - y0) or 1.0, max(abs(v) for v in (x0, y0, x1, y1)) or 1.0
+    # grids of groups with many sides; others are one cell. Lines that coordinates are not likely to lie on
+    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(span * 1e-9))
+    own = F.greatest(F.sqrt((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) * PER_CELL / F.col("n")), wide / 30_000) if size is None else F.lit(float(size))
+    large = groups.filter(F.col("n") > PER_CELL if size is None else F.lit(True)).select(F.col("group").alias("_g"), own.alias("_size"), "x0", "y0")
+    cell = F.coalesce("_size", F.lit(1.7 * span))
+    placed = net.join(stored(large, "grids"), F.col("group").eqNullSafe(F.col("_g")), "left").withColumn("size", cell)
+    placed = placed.select("group", *_ENDS, "w", "v", (F.coalesce("x0", F.lit(x0)) - 0.31830989 * F.col("size")).alias("ox"), (F.coalesce("y0", F.lit(y0)) - 0.36787944 * F.col("size")).alias("oy"), "size")
+    more = [("w", whole_number), ("v", whole_number), ("ix", whole_number), ("iy", whole_number), ("cut1", T.BooleanType()), ("cut2", T.BooleanType()), *[(k, T.DoubleType()) for k in _GRID]]
+    pieces = stored(placed.mapInArrow(_gridded, _schema(field, *more)), "pieces")
     # how the pieces of a cell cross its lower line (just above it), and those of them at its corner
-    bottom = F.lit(oy) + F.col("iy") * F.lit(size)
-    up = F.when(F.least("y1", "y2") == bottom, F.when(F.col("y2") > F.col("y1"), F.col("w")).when(F.col("y2") < F.col("y1"), -F.col("w")))
+    bottom, left = F.col("oy") + F.col("iy") * F.col("size"), F.col("ox") + F.col("ix") * F.col("size")
     low_x = F.when(F.col("y1") < F.col("y2"), F.col("x1")).otherwise(F.col("x2"))
-    here = F.when(low_x == F.lit(ox) + F.col("ix") * F.lit(size), up)
-    cells = pieces.groupBy("group", "ix", "iy").agg(F.coalesce(F.sum(up), F.lit(0)).alias("cross"), F.coalesce(F.sum(here), F.lit(0)).alias("here"))
+    sums = []
+    for k in ("w", "v"):
+        up = F.when(F.least("y1", "y2") == bottom, F.when(F.col("y2") > F.col("y1"), F.col(k)).when(F.col("y2") < F.col("y1"), -F.col(k)))
+        sums += [F.coalesce(F.sum(up), F.lit(0)).alias(f"cross_{k}"), F.coalesce(F.sum(F.when(low_x == left, up)), F.lit(0)).alias(f"here_{k}")]
+    cells = pieces.groupBy("group", "ix", "iy").agg(*sums)
     before = Window.partitionBy("group", "iy").orderBy("ix").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("base", -F.coalesce(F.sum("cross").over(before), F.lit(0)) - F.col("here"))
-    cells = stored(cells.select(F.col("group").alias("_group"), F.col("ix").alias("_ix"), F.col("iy").alias("_iy"), "base"), "cells")
+    bases = [(-F.coalesce(F.sum(f"cross_{k}").over(before), F.lit(0)) - F.col(f"here_{k}")).alias(f"base_{k}") for k in ("w", "v")]
+    cells = stored(cells.select(F.col("group").alias("_group"), F.col("ix").alias("_ix"), F.col("iy").alias("_iy"), *bases), "cells")
     both = pieces.join(cells, F.col("group").eqNullSafe(F.col("_group")) & (F.col("ix") == F.col("_ix")) & (F.col("iy") == F.col("_iy")))
-    line = both.select("group", *_ENDS, "w", "ix", "iy", "cut1", "cut2", "base").repartition("group", "ix", "iy").sortWithinPartitions("group", "ix", "iy")
-    return line.mapInArrow(_outlines(ox, oy, size, scale), _schema(field, ("cut1", T.BooleanType()), ("cut2", T.BooleanType())))
+    tasks = _tasks(df, n)
+    line = both.drop("_group", "_ix", "_iy").repartition(tasks, "group", "ix", "iy").sortWithinPartitions("group", "ix", "iy")
+    return line.mapInArrow(_outlines(scale), _schema(field, ("cut1", T.BooleanType()), ("cut2", T.BooleanType()))), tasks
 
 
 def _merged(table: pa.Table) -> pa.Table:
@@ -288,10 +314,28 @@ def dissolve(df: DataFrame, group: str | None = None, attributes: tuple[str, ...
     """group, sides, area, perimeter, rings, geom of each group's union, and the attributes of its member of the lowest id.
     sides counts those between vertices (of members, or where their sides meet) on the outline. A merged shape is one value, so
     the outline of a group (not its members) must fit a task; ``boundary`` has no such bound."""
-    b = boundary(df, group, size)
+    b, tasks = _outlined(df, group, size, None)
     types = [("sides", T.LongType()), ("area", T.DoubleType()), ("perimeter", T.DoubleType()), ("rings", T.LongType()), ("geom", geom.GEOMETRY)]
-    merged = b.groupBy("group").applyInArrow(_merged, T.StructType([b.schema["group"], *[T.StructField(n, t) for n, t in types]]))
+    merged = b.repartition(tasks, "group").groupBy("group").applyInArrow(_merged, T.StructType([b.schema["group"], *[T.StructField(n, t) for n, t in types]]))
     if not attributes:
         return merged
     first = df.groupBy((F.col(group) if group else F.lit("all")).alias("_group")).agg(F.min_by(F.struct(*attributes), "id").alias("_of"))
     return merged.join(first, F.col("group").eqNullSafe(F.col("_group"))).select(*merged.columns, *[F.col(f"_of.{a}").alias(a) for a in attributes])
+
+
+def without(shapes_: DataFrame, away: DataFrame) -> DataFrame:
+    """id, piece, geom: what is left of each polygon (id, geom) without the polygons of ``away`` (id, geom) of the same id. A shape
+    and what is taken from it are spread over cells as sides, so a shape with very many partners is no single task."""
+    b, tasks = _outlined(shapes_, "id", None, away.select(F.col("id").alias("group"), "geom"))
+    schema = T.StructType([T.StructField("id", b.schema["group"].dataType), T.StructField("piece", T.IntegerType()), T.StructField("geom", geom.GEOMETRY)])
+
+    def parts(table: pa.Table) -> pa.Table:
+        s = np.stack([table.column(k).to_numpy() for k in _ENDS], axis=1)
+        cuts = np.stack([table.column(k).to_numpy() for k in ("cut1", "cut2")], axis=1)
+        order = np.lexsort(s.T[::-1])
+        found = shapes.rings(s[order], float(np.abs(s).max()) or 1.0, cuts[order])
+        rows = [None] if found is None else [shapes.written([p]) for p in shapes.nested(found)]
+        ids = table.column("group").combine_chunks().take(pa.array(np.zeros(len(rows), np.int64)))
+        return pa.table([ids, pa.array(range(len(rows)), pa.int32()), pa.array(rows, shapes.ARROW)], names=["id", "piece", "geom"])
+
+    return b.repartition(tasks, "group").groupBy("group").applyInArrow(parts, schema)

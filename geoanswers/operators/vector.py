@@ -18,7 +18,7 @@ from geoanswers.functions import geom
 from geoanswers.functions.geodesy import inverse
 from geoanswers.meta import LayerMeta, Refused, metric_plan, need_columns, to_metres, utm_zone
 from geoanswers.operators import planar, shapes, sweep
-from geoanswers.operators.coverage import boundary as dissolve_boundary, dissolve  # noqa: F401
+from geoanswers.operators.coverage import boundary as dissolve_boundary, dissolve, without  # noqa: F401
 from geoanswers.operators.sjoin import Shapes, pairs
 from geoanswers.sources.tables import stored
 
@@ -288,19 +288,27 @@ def _applied(left: DataFrame, others: DataFrame, begin: Callable, step: Callable
     return _told(line.mapInArrow(run, schema), "id", "piece")
 
 
-def _without(pieces: list, b: shapes.Shape) -> list | None:
-    rest = [shapes.overlay(shapes.Shape("multipolygon", p), b, "difference") for p in pieces]
-    return None if any(r is None for r in rest) else [[part] for r in rest for part in r]
-
-
 def _cut(pieces: list, line: shapes.Shape) -> list | None:
     done = [shapes.cut(shapes.Shape("multipolygon", p), line) for p in pieces]
     return None if any(d is None for d in done) else [p for d in done for p in d]
 
 
+def _rest(left: DataFrame, shared: DataFrame) -> DataFrame:
+    """id, piece, geom, status: the parts of each left shape outside what it shares (id, geom; NULL where that can't be told)."""
+    polygon = F.col("geom.kind").isin("polygon", "multipolygon")
+    said = stored(shared.groupBy(F.col("id").alias("_id")).agg(F.bool_and(F.col("geom").isNotNull()).alias("_known")), "partners")
+    both = stored(left.select("id", "geom").join(said, F.col("id") == F.col("_id"), "left"), "shapes")
+    alone = both.filter(polygon & F.col("_id").isNull()).select("id", F.posexplode("geom.parts").alias("piece", "part"))
+    alone = alone.select("id", "piece", geom.geometry("polygon", F.array("part")).alias("geom"))
+    cut = both.filter(polygon & F.col("_known")).select("id", "geom")
+    cut = without(cut, shared.join(both.filter(polygon & F.col("_known")).select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_semi"))
+    unknown = both.filter(~F.coalesce(polygon, F.lit(False)) | ~F.coalesce("_known", F.lit(True))).select("id", F.lit(0).alias("piece"), F.lit(None).cast(GEOMETRY).alias("geom"))
+    return _told(alone.union(cut).union(unknown), "id", "piece")
+
+
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """id, piece, geom, status: the parts of each left shape outside all right ones."""
-    return _applied(left, _shared(left, right), lambda s: [[p] for p in s.parts], _without)
+    """id, piece, geom, status: the parts of each left shape outside all right ones. Neither is gathered by shape."""
+    return _rest(left, stored(_shared(left, right), "shared"))
 
 
 def split(left: DataFrame, lines: DataFrame) -> DataFrame:
@@ -313,9 +321,8 @@ def union(left: DataFrame, right: DataFrame) -> DataFrame:
     """id, id_2, piece, geom, status: shared parts with both ids, the rest of each side with one. One join."""
     both = stored(_shared(left, right), "shared")
     none = F.lit(None)
-    begin = lambda s: [[p] for p in s.parts]
-    a = _applied(left, both.select("id", "geom"), begin, _without)
-    b = _applied(right, both.select(F.col("id_2").alias("id"), "geom"), begin, _without)
+    a = _rest(left, both.select("id", "geom"))
+    b = _rest(right, both.select(F.col("id_2").alias("id"), "geom"))
     shared = _told(both, "id", "id_2").withColumn("piece", F.lit(0))
     a = a.select("id", none.cast(right.schema["id"].dataType).alias("id_2"), "piece", "geom", "status")
     b = b.select(none.cast(left.schema["id"].dataType).alias("id"), F.col("id").alias("id_2"), "piece", "geom", "status")

@@ -106,3 +106,27 @@ def test_the_grid_is_never_a_whole(spark):
     inside = 2 * sum(20 / 1000 * math.sqrt(100**2 - (-10 + (k + 0.5) * 20 / 1000) ** 2) for k in range(1000))
     assert abs(r.area - (circle + 6000 - inside)) < 0.5 and r.rings == 1
     assert pieces.count() > n * 0.9 and collections.Counter(pieces.filter("cut1 and cut2").select("x1").toPandas().x1 > 1e9)[True] == 0
+
+
+def test_a_shape_with_very_many_partners_is_spread(spark):
+    n = 40
+    partners = [(k, "h", [[box(3 * (k % n) + 1, 3 * (k // n) + 1, 3 * (k % n) + 2, 3 * (k // n) + 2)]]) for k in range(n * n)]
+    left = layer(spark, [(1, "a", [[box(0, 0, 3 * n, 3 * n)]]), (2, "a", [[box(500, 0, 501, 1)]]), (3, "a", [[box(1, 1, 2, 2)]]), (4, "a", [[box(-5, 4, 1, 5)], [box(0, 40, 2, 50)]])])
+    right = layer(spark, partners)
+    got = sorted((r.id, r.piece, round(r.area, 6), r.holes) for r in vector.difference(left, right).select("id", "piece", geom.area(F.col("geom")).alias("area"), (F.size(F.col("geom.parts")[0]) - 1).alias("holes")).collect())
+    assert got[0] == (1, 0, 9 * n * n - n * n, n * n) and got[1] == (2, 0, 1, 0) and [x[0] for x in got[2:]] == [4, 4]
+    assert round(sum(x[2] for x in got[2:]), 6) == 6 + 20 - 4
+    away = right.select(F.lit(1).cast("long").alias("group"), "geom")
+    pieces = coverage.boundary(left.filter("id = 1"), "id", None, away)
+    assert pieces.count() >= 4 * n * n and pieces.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_difference_equals_unit_cells(spark):
+    r = random.Random(11)
+    some = lambda n: [(x, y, x + r.randint(1, 8), y + r.randint(1, 8)) for x, y in ((r.randrange(25), r.randrange(25)) for _ in range(n))]
+    left, right = some(40), some(60)
+    taken = cells_of(right)
+    want = {k: len(cells_of([b]) - taken) for k, b in enumerate(left)}
+    out = vector.difference(layer(spark, [(k, "l", [[box(*b)]]) for k, b in enumerate(left)]), layer(spark, [(k, "r", [[box(*b)]]) for k, b in enumerate(right)]))
+    got = {q.id: q.area for q in out.groupBy("id").agg(F.round(F.sum(geom.area(F.col("geom"))), 6).alias("area")).collect()}
+    assert got == {k: v for k, v in want.items() if v}
