@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from geoanswers.functions import geom
 from geoanswers.meta import LayerMeta, Refused, need_columns, need_metric, to_metres
 from geoanswers.operators import shapes
+from geoanswers.operators.nearest import by_leaves
 from geoanswers.sources.tables import stored
 
 LEVELS, FACTOR, MOST_CELLS = 9, 8, 64
@@ -517,36 +518,16 @@ def _nearest_of(table):
     return run
 
 
-def nearest_neighbor(left: DataFrame, right: DataFrame, radius: float | None = None) -> DataFrame:
-    """id, neighbor_id, distance: the nearest right feature of each left one, ties by id.
-
-    A right side of few features is broadcast. Otherwise rings: those with a neighbour within the radius are done (nothing nearer can be outside it); the rest try a radius
-    four times as large, until the radius covers both layers."""
-    box = geom.bbox(F.col("geom"))
-    span = lambda df: df.agg(F.min(box["xmin"]), F.min(box["ymin"]), F.max(box["xmax"]), F.max(box["ymax"]), F.count("*")).first()
-    a, b = span(left), span(right)
+def nearest_neighbor(left: DataFrame, right: DataFrame, few: int = FEW_FEATURES) -> DataFrame:
+    """id, neighbor_id, distance: the nearest right feature of each left one, ties by id; NULLs where a feature has no geometry or
+    nothing is right. A right side of few features (counted, as its vertices are) is broadcast; otherwise both sides go by the
+    leaves of a partition tree."""
     slim, target = left.select("id", "geom"), right.select("id", "geom")
-    if not a[4] or not b[4]:
-        return left.select("id", F.lit(None).cast(right.schema["id"].dataType).alias("neighbor_id"), F.lit(None).cast("double").alias("distance"))
-    few, vertices, *_ = _measure(target)
-    if radius is None and few <= FEW_FEATURES and vertices <= FEW_VERTICES:
+    features, vertices, *_ = _measure(target)
+    if features and features <= few and vertices <= FEW_VERTICES:
         schema = T.StructType([left.schema["id"], T.StructField("neighbor_id", right.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
         return _spread(slim).mapInArrow(_nearest_of(_broadcast(target.orderBy("id"))), schema)
-    reach = max(a[2], b[2]) - min(a[0], b[0]) + max(a[3], b[3]) - min(a[1], b[1]) + 1.0
-    # well below the spacing of evenly spread features, for those that stand in clusters
-    radius = radius or max(reach / 1e6, ((b[2] - b[0]) * (b[3] - b[1]) / b[4]) ** 0.5 / 16)
-    out, rest = None, slim
-    while True:
-        met = pairs(rest, target, grow=radius, kernel=Distance(radius)).select(F.col("l.id").alias("id"), F.col("r.id").alias("neighbor_id"), F.col("value").alias("distance"))
-        done = met.groupBy("id").agg(F.min(F.struct("distance", "neighbor_id")).alias("m")).select("id", "m.neighbor_id", "m.distance")
-        done = stored(done, "neighbours")  # each round's plan starts from written rows
-        out = done if out is None else out.union(done)
-        if radius >= reach:
-            return out
-        rest = stored(rest.join(done.select("id"), "id", "left_anti"), "rest")
-        if rest.isEmpty():
-            return out
-        radius *= 4
+    return by_leaves(slim, target)
 
 
 def zonal_statistics(zones: DataFrame, cells: DataFrame, value: str = "z", size: float | None = None) -> DataFrame:
