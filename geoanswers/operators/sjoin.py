@@ -14,10 +14,13 @@ Exact tests are kernels (below) over batches of pairs. No Cartesian product, no
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -208,12 +211,30 @@ def _plain(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != "geom"]
 
 
-def _broadcast(side: DataFrame):
+class _Side:
+    """A broadcast side: rows, shapes and boxes, decoded once in a worker process (of the last few sides)."""
+
+    known: ClassVar[dict[str, tuple]] = {}
+
+    def __init__(self, data: Broadcast):
+        self.data, self.name = data, uuid.uuid4().hex
+
+    def read(self) -> tuple[pa.Table, Shapes, np.ndarray]:
+        if self.name not in self.known:
+            rows = pa.ipc.open_stream(self.data.value).read_all()
+            side = list(shapes.read(rows.column("geom")))
+            while len(self.known) >= 4:
+                self.known.pop(next(iter(self.known)))
+            self.known[self.name] = (rows, side, _bounds(side))
+        return self.known[self.name]
+
+
+def _broadcast(side: DataFrame) -> _Side:
     """A side, whose size the caller has checked, for all tasks."""
     sink, table = pa.BufferOutputStream(), side.withColumn("geom", F.col("geom").cast(geom.GEOMETRY)).toArrow()
     with pa.ipc.new_stream(sink, table.schema) as stream:
         stream.write_table(table)
-    return side.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    return _Side(side.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()))
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -252,9 +273,7 @@ def _against(table, kernel, grow: float, left: bool):
     """Batches of one side against the other side, which is broadcast; ``left``: the batches are the left side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fixed = pa.ipc.open_stream(table.value).read_all()
-        other = list(shapes.read(fixed.column("geom")))
-        box = _bounds(other)
+        fixed, other, box = table.read()
         box = box + np.array([-grow, -grow, grow, grow])
         for whole in batches:
             step = max(1, AT_ONCE // max(1, len(other)))
@@ -320,10 +339,12 @@ def pairs(left: DataFrame, right: DataFrame, size: float | None = None, grow: fl
     need_columns(right, "geom")
     kernel = kernel or Boxes()
     schema = _schema(left, right, kernel)
-    (nl, vl, ml, wl, hl, _), (nr, vr, mr, wr, hr, extent) = _measure(left), _measure(right)
-    for few, vertices, side, other, is_left in ((nr, vr, right, left, True), (nl, vl, left, right, False)):
-        if size is None and few <= FEW_FEATURES and vertices <= FEW_VERTICES:
-            return _spread(other).mapInArrow(_against(_broadcast(side), kernel, grow, is_left), schema)
+    nr, vr, mr, wr, hr, extent = _measure(right)
+    if size is None and nr <= FEW_FEATURES and vr <= FEW_VERTICES:
+        return _spread(left).mapInArrow(_against(_broadcast(right), kernel, grow, True), schema)
+    nl, vl, ml, wl, hl, _ = _measure(left)
+    if size is None and nl <= FEW_FEATURES and vl <= FEW_VERTICES:
+        return _spread(right).mapInArrow(_against(_broadcast(left), kernel, grow, False), schema)
     # points have no sides: cells of about one of them
     size = max(size or 2 * max(ml, mr) or (extent / max(1, nr)) ** 0.5 or 1.0, grow)
     a, b = _keyed(left, "left"), _keyed(right, "right")
@@ -499,10 +520,8 @@ def _nearest_of(table):
     no box is nearer than what was found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fixed = pa.ipc.open_stream(table.value).read_all()
+        fixed, other, box = table.read()
         ids = fixed.column("id").combine_chunks()
-        other = list(shapes.read(fixed.column("geom")))
-        box = _bounds(other)
         for whole in batches:
             step = max(1, AT_ONCE // max(1, len(other)))
             for lo in range(0, whole.num_rows, step):

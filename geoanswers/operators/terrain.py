@@ -29,6 +29,31 @@ def _check(meta: LayerMeta | None, z_factor: float, needs_metres: bool) -> None:
         raise Refused("z_factor is above 0 and at most 1000")
 
 
+def _by_tile(work):
+    """``work`` on the rows of each tile, from batches in which a tile's rows stand together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raster = batch.column("raster_id").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            ty, tx = batch.column("ty").to_numpy(), batch.column("tx").to_numpy()
+            edges = np.flatnonzero((raster[1:] != raster[:-1]) | (ty[1:] != ty[:-1]) | (tx[1:] != tx[:-1])) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                this = (batch.column("raster_id")[lo].as_py(), int(ty[lo]), int(tx[lo]))
+                if held and this != key:
+                    yield work(pa.Table.from_batches(held))
+                    held = []
+                key = this
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield work(pa.Table.from_batches(held))
+
+    return run
+
+
 def _windows(cells: DataFrame) -> DataFrame:
     """raster_id, row, col and the nine values a..i around each cell that has a value, NULL where there is none.
 
@@ -63,26 +88,7 @@ def _around(kinds: list[pa.DataType]):
         place = [pa.array(y + y0).cast(kinds[0]), pa.array(x + x0).cast(kinds[1])]
         return pa.RecordBatch.from_arrays([raster, *place, *columns], names=["raster_id", "row", "col", *_NAMES])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            raster = batch.column("raster_id").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            ty, tx = batch.column("ty").to_numpy(), batch.column("tx").to_numpy()
-            edges = np.flatnonzero((raster[1:] != raster[:-1]) | (ty[1:] != ty[:-1]) | (tx[1:] != tx[:-1])) + 1
-            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
-                this = (batch.column("raster_id")[lo].as_py(), int(ty[lo]), int(tx[lo]))
-                if held and this != key:
-                    yield work(pa.Table.from_batches(held))
-                    held = []
-                key = this
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield work(pa.Table.from_batches(held))
-
-    return run
+    return _by_tile(work)
 
 
 def neighbourhood(cells: DataFrame) -> DataFrame:
@@ -171,46 +177,130 @@ def directions(cells: DataFrame) -> DataFrame:
     return out.select("raster_id", "row", "col", F.when(down, F.col("row") + F.col("m.dr")).alias("to_row"), F.when(down, F.col("col") + F.col("m.dc")).alias("to_col"))
 
 
+def _ways(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a tile's cells (row, col, ty, tx, and ``down``, the place in _AROUND of the neighbour it drains to, NULL in a pit): the
+    place of the next cell in the tile (its own where the way ends or leaves), the next cell's row and column, and down."""
+    r, c, ty, tx = (rows.column(k).to_numpy().astype(np.int64) for k in ("row", "col", "ty", "tx"))
+    down = rows.column("down").fill_null(-1).to_numpy().astype(np.int64)
+    step, grid, n = np.array(_AROUND), np.full((SIDE, SIDE), -1), np.arange(len(r))
+    y, x = r - ty[0] * SIDE, c - tx[0] * SIDE
+    grid[y, x] = n
+    to_y, to_x = np.where(down < 0, y, y + step[down, 0]), np.where(down < 0, x, x + step[down, 1])
+    inside = (to_y >= 0) & (to_y < SIDE) & (to_x >= 0) & (to_x < SIDE)
+    follow = np.where(inside, grid[np.clip(to_y, 0, SIDE - 1), np.clip(to_x, 0, SIDE - 1)], n)
+    return follow, to_y + ty[0] * SIDE, to_x + tx[0] * SIDE, down
+
+
+def _through(follow: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each cell ``start`` and, for every cell that drains to it, one and what drains through that one. Senders first: a cell
+    is added to the next one after all of its own have come."""
+    n = np.arange(len(follow))
+    waits, total = np.bincount(follow[follow != n], minlength=len(n)), start.copy()
+    ready = np.flatnonzero(waits == 0)
+    while len(ready):
+        ready = ready[follow[ready] != ready]
+        to = follow[ready]
+        np.add.at(total, to, total[ready] + 1)
+        np.subtract.at(waits, to, 1)
+        to = np.unique(to)
+        ready = to[waits[to] == 0]
+    return total
+
+
+def _drained(kinds: list[pa.DataType]):
+    """Of each cell of a tile of directions where its way ends, and how many of the tile's cells drain through it."""
+
+    def work(rows: pa.Table) -> pa.RecordBatch:
+        follow, to_y, to_x, down = _ways(rows)
+        last = follow
+        while (last[last] != last).any():
+            last = last[last]
+        place = [rows.column(k).combine_chunks() for k in ("raster_id", "row", "col", "down")]
+        ends = [pa.array(to_y[last]).cast(kinds[0]), pa.array(to_x[last]).cast(kinds[1])]
+        flags = [pa.array(down[last] < 0), pa.array(last == np.arange(len(last))), pa.array(_through(follow, np.zeros(len(last), np.int64)))]
+        return pa.RecordBatch.from_arrays([*place, *ends, *flags], names=["raster_id", "row", "col", "down", "end_row", "end_col", "pit", "is_last", "n"])
+
+    return _by_tile(work)
+
+
+def _accumulated(rows: pa.Table) -> pa.RecordBatch:
+    follow = _ways(rows)[0]
+    total = _through(follow, rows.column("inflow").to_numpy())
+    return pa.RecordBatch.from_arrays([*[rows.column(k).combine_chunks() for k in ("raster_id", "row", "col")], pa.array(total)], names=["raster_id", "row", "col", "upstream"])
+
+
+def _tiled(df: DataFrame, *columns: str) -> DataFrame:
+    tile = lambda c: F.floor(F.col(c).cast("long") / SIDE).cast("long")
+    line = df.select("raster_id", "row", "col", *columns, tile("row").alias("ty"), tile("col").alias("tx"))
+    return line.repartition("raster_id", "ty", "tx").sortWithinPartitions("raster_id", "ty", "tx")
+
+
+def _tile_drainage(cells: DataFrame) -> DataFrame:
+    """raster_id, row, col, down; end_row, end_col: where the cell's way through its tile ends, in a pit (``pit``) or in the first
+    cell of the next tile; is_last: the cell is the last one of its way in the tile; n: cells of the tile that drain through it."""
+    drop = [F.struct((F.when(F.lit(dr * dc != 0), 1 / math.sqrt(2)).otherwise(1.0) * (F.col("e") - F.col(n))).alias("drop"), F.lit(-k).alias("k")) for k, ((dr, dc), n) in enumerate(zip(_AROUND, _NAMES)) if n != "e"]
+    out = neighbourhood(cells).withColumn("m", F.array_max(F.array(*drop)))
+    out = out.withColumn("down", F.when(F.col("m.drop") > 0, -F.col("m.k")).cast("int"))
+    place = [T.StructField(k, cells.schema[k].dataType) for k in ("row", "col")]
+    kinds = [pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.int64() for f in place]
+    ends = [T.StructField(f"end_{f.name}", f.dataType) for f in place]
+    more = [T.StructField("pit", T.BooleanType()), T.StructField("is_last", T.BooleanType()), T.StructField("n", T.LongType())]
+    return _tiled(out, "down").mapInArrow(_drained(kinds), T.StructType([cells.schema["raster_id"], *place, T.StructField("down", T.IntegerType()), *ends, *more]))
+
+
+def _entries(every: DataFrame) -> DataFrame:
+    """The cells by which ways come into a tile, with where they end in it."""
+    into = every.filter("not pit").select("raster_id", F.col("end_row").alias("row"), F.col("end_col").alias("col")).distinct()
+    return every.select("raster_id", "row", "col", "end_row", "end_col", "pit").join(into, ["raster_id", "row", "col"])
+
+
 def watershed(cells: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """raster_id, row, col, pit_row, pit_col: where each cell drains to, by pointer doubling (log rounds over written tables;
-    of a pit that drains very many cells, the join splits the skewed side). A round's table goes when the next is written."""
-    start = directions(cells).select("raster_id", "row", "col", F.coalesce("to_row", "row").alias("pit_row"), F.coalesce("to_col", "col").alias("pit_col"))
+    """raster_id, row, col, pit_row, pit_col: where each cell drains to. Ways are followed inside tiles first; pointers are doubled
+    (log rounds over written tables) only over the cells by which ways come into a tile, and every cell looks up the one its way
+    leaves its tile for. A round's table goes when the next is written."""
+    every = stored(_tile_drainage(cells).select("raster_id", "row", "col", "end_row", "end_col", "pit"), "drainage")
+    met = ~F.col("pit") & (F.col("raster_id") == F.col("_r")) & (F.col("end_row") == F.col("_y")) & (F.col("end_col") == F.col("_x"))
+    named = lambda df: df.select(F.col("raster_id").alias("_r"), F.col("row").alias("_y"), F.col("col").alias("_x"), F.col("end_row").alias("_ey"), F.col("end_col").alias("_ex"), F.col("pit").alias("_pit"))
+    ends = [F.coalesce("_ey", "end_row"), F.coalesce("_ex", "end_col")]
     with Scratch(cells.sparkSession) as own:
-        now = stored(start, "terrain")
+        now = stored(_entries(every), "entries")
         for _ in range(most_rounds):
+            if now.filter("not pit").isEmpty():
+                break
             last = own.mark()
-            nxt = now.select(F.col("raster_id").alias("r"), F.col("row").alias("y"), F.col("col").alias("x"), F.col("pit_row").alias("py"), F.col("pit_col").alias("px"))
-            step = now.join(nxt, (now.raster_id == nxt.r) & (now.pit_row == nxt.y) & (now.pit_col == nxt.x))
-            changed = (F.col("py") != F.col("pit_row")) | (F.col("px") != F.col("pit_col"))
-            moved = stored(step.select("raster_id", "row", "col", F.col("py").alias("pit_row"), F.col("px").alias("pit_col"), changed.alias("moved")), "terrain")
-            now = moved.drop("moved")
-            settled = moved.filter("moved").isEmpty()
+            step = now.join(named(now), met, "left")
+            now = stored(step.select("raster_id", "row", "col", ends[0].alias("end_row"), ends[1].alias("end_col"), F.coalesce("_pit", "pit").alias("pit")), "entries")
             own.discard(last)
-            if settled:
-                return now
-    raise RuntimeError("drainage did not settle")
+        else:
+            raise RuntimeError("drainage did not settle")
+    return every.join(named(now), met, "left").select("raster_id", "row", "col", ends[0].alias("pit_row"), ends[1].alias("pit_col"))
 
 
 def flow_accumulation(cells: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """raster_id, row, col, upstream: cells that drain through each cell, itself not counted. Path doubling: a cell's
-    count within 2^k steps plus the counts that its senders at 2^k steps hold, log rounds."""
-    d = directions(cells)
+    """raster_id, row, col, upstream: cells that drain through each cell, itself not counted. Counted inside tiles first; what flows
+    in by the cells at which ways come into a tile is summed over these cells alone, by path doubling (what comes within 2^k tiles
+    and what those hold that lie 2^k tiles up, log rounds); then each tile is counted again with what flows into it."""
     key = ["raster_id", "row", "col"]
+    to = ["raster_id", F.col("end_row").alias("row"), F.col("end_col").alias("col")]
+    every = stored(_tile_drainage(cells), "drainage")
     with Scratch(cells.sparkSession) as own:
-        # reach: cell -> cell that lies 2^k steps down; within: senders at 1 .. 2^k steps
-        reach = stored(d.filter("to_row is not null").select(*key, F.col("to_row").alias("y"), F.col("to_col").alias("x")), "terrain")
-        first = reach.groupBy("raster_id", F.col("y").alias("row"), F.col("x").alias("col")).agg(F.count("*").alias("n"))
-        within = stored(cells.select(*key).join(first, key, "left").select(*key, F.coalesce("n", F.lit(0)).cast("long").alias("n")), "terrain")
+        within = stored(every.filter("is_last and not pit").groupBy(*to).agg(F.sum(F.col("n") + 1).alias("n")), "inflow")
+        entries = _entries(every)
+        reach = stored(entries.filter("not pit").select(*key, F.col("end_row").alias("y"), F.col("end_col").alias("x")), "reach")
         for _ in range(most_rounds):
             if reach.isEmpty():
-                return within.withColumnRenamed("n", "upstream")
+                break
             last = own.mark()
             more = reach.join(within, key).groupBy("raster_id", F.col("y").alias("row"), F.col("x").alias("col")).agg(F.sum("n").alias("m"))
-            within = stored(within.join(more, key, "left").select(*key, (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")), "terrain")
+            within = stored(within.join(more, key, "left").select(*key, (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")), "inflow")
             on = reach.select("raster_id", F.col("row").alias("y"), F.col("col").alias("x"), F.col("y").alias("ny"), F.col("x").alias("nx"))
-            reach = stored(reach.join(on, ["raster_id", "y", "x"]).select("raster_id", "row", "col", F.col("ny").alias("y"), F.col("nx").alias("x")), "terrain")
+            reach = stored(reach.join(on, ["raster_id", "y", "x"]).select(*key, F.col("ny").alias("y"), F.col("nx").alias("x")), "reach")
             own.discard(last)
-    raise RuntimeError("drainage did not settle")
+        else:
+            raise RuntimeError("drainage did not settle")
+    fed = every.select(*key, "down").join(within, key, "left").select(*key, "down", F.coalesce("n", F.lit(0)).alias("inflow"))
+    types = [cells.schema[k] for k in key]
+    return _tiled(fed, "down", "inflow").mapInArrow(_by_tile(_accumulated), T.StructType([*types, T.StructField("upstream", T.LongType())]))
 
 
 def raster_band_range(cells: DataFrame, band: str = "band", stops: int = 5) -> DataFrame:
