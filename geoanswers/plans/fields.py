@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoanswers.functions import geom
+from geoanswers.meta import to_metres
 from geoanswers.operators import survey, terrain
 from geoanswers.plans.attributes import rounded
 from geoanswers.plans.spatial import POINTS, SITES
@@ -50,6 +51,16 @@ def _pairs(s, d):
     return rounded(survey.pair_distances(p).select("id", "distance_m", "method"), 2)
 
 
+@query("unit_lengths", """SELECT l_orderkey % 3 AS unit, count(*) AS legs, round(sum(l_quantity * CASE l_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 0.3048 END), 4) AS metres,
+  round(sum(l_quantity * CASE l_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 0.3048 END) / 0.3048, 3) AS feet FROM lineitem GROUP BY 1""")
+def _unit_lengths(s, d):
+    """Legs in metres, kilometres and feet, in metres and in feet."""
+    k, far = F.col("traverse_id") % 3, F.col("distance_m")
+    metres = F.when(k == 0, to_metres(far, "m")).when(k == 1, to_metres(far, "km")).otherwise(to_metres(far, "ft"))
+    out = legs(s, d).groupBy(k.alias("unit")).agg(F.count("*").alias("legs"), F.sum(metres).alias("m"))
+    return out.select("unit", "legs", F.round("m", 4).alias("metres"), F.round(F.col("m") / to_metres(1, "ft"), 3).alias("feet"))
+
+
 @query("set_out", f"SELECT id, round(x + 100 * sin(radians(id % 360)), 6) AS to_x, round(y + 100 * cos(radians(id % 360)), 6) AS to_y FROM {POINTS}")
 def _set_out(s, d):
     p = points(s, d).select("id", "x", "y", (F.col("id") % 360).cast("double").alias("azimuth_deg"), F.lit(100.0).alias("distance_m"))

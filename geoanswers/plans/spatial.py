@@ -8,7 +8,7 @@ from geoanswers.functions import geom
 from geoanswers.meta import LayerMeta
 from geoanswers.operators import sjoin, vector
 from geoanswers.plans.attributes import rounded
-from geoanswers.plans.tables import boxes, cells, lots, points, sites, table
+from geoanswers.plans.tables import boxes, cells, lots, points, sites
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
