@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,6 +154,20 @@ def forest(linked: np.ndarray) -> np.ndarray:
     return label
 
 
+def tidied(run):
+    """``run`` (batches to batches), and then what the task is done with goes back to the system: a Python worker is used again
+    by later stages, and would hold on to it beside what they need."""
+
+    def whole(batches: Iterable) -> Iterable:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -26,7 +26,6 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -207,7 +206,7 @@ def encoded(documents: DataFrame, tokenizer: str, page: int = PAGE, per_bin: int
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bins = max(1, -(-size // (DISTINCT * per_bin)))
-    pages = common.stored(base.mapInArrow(_pages(bins, page), PAGES), "pages")
+    pages = common.stored(base.mapInArrow(common.tidied(_pages(bins, page)), PAGES), "pages")
     coded = pages.filter("bin is not null").select("page", "bin", "body").groupBy("bin").applyInArrow(_encoded(tokenizer), CODED)
     # a bin's words have done their work there
     slim = pages.select("page", "bin", "doc_ids", "sizes", F.when(F.col("bin").isNull(), F.col("body")).alias("body"))

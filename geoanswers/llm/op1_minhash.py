@@ -163,7 +163,7 @@ def _links(clusters: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, perc
     first = whole.filter("id = cluster and n > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).filter("to <> block")
     dealt = whole.select("cluster", "block", "id", "text").union(first.select("cluster", "to", "id", "text"))
     dealt = dealt.repartition("cluster", "block").sortWithinPartitions("cluster", "block")
-    links = common.stored(dealt.mapInPandas(_confirmed(k, percent, ["cluster", "block"]), "a long, b long"), "links")
+    links = common.stored(dealt.mapInPandas(common.tidied(_confirmed(k, percent, ["cluster", "block"])), "a long, b long"), "links")
     large = shape.filter("n > 1")
     if large.isEmpty():
         return links
@@ -178,13 +178,13 @@ def _links(clusters: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, perc
     mine = both.join(rest.select("id"), "id").select("cluster", F.pmod(F.xxhash64("id"), F.col("m")).cast("int").alias("i"), cells("n").alias("j"), "id", "text")
     others = both.select("cluster", cells("m").alias("i"), F.col("block").alias("j"), "id", "text")
     grid = mine.union(others).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return links.union(grid.mapInPandas(_confirmed(k, percent, ["cluster", "i", "j"]), "a long, b long"))
+    return links.union(grid.mapInPandas(common.tidied(_confirmed(k, percent, ["cluster", "i", "j"])), "a long, b long"))
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; links at 100 * intersection >= percent * union."""
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = common.stored(base.mapInArrow(_sketched(k), "doc_id long, n_shingles long, high long, low long, bands array<long>, short binary"), "sets")
+    sets = common.stored(base.mapInArrow(common.tidied(_sketched(k)), "doc_id long, n_shingles long, high long, low long, bands array<long>, short binary"), "sets")
     usable = sets.filter("n_shingles > 0 and doc_id is not null")
     # equal sets are one node, named by the smallest doc_id
     nodes = usable.groupBy("high", "low").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "short")).alias("first"), F.count("*").alias("copies"))
@@ -194,7 +194,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     members = nodes.select("id", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     placed = members.join(buckets, "band").join(nodes.select("id", "short"), "id")
-    alike = _dealt(placed, "band", F.ceil(F.col("n") / BLOCK), ["id", "short"]).mapInPandas(_alike, "a long, b long")
+    alike = _dealt(placed, "band", F.ceil(F.col("n") / BLOCK), ["id", "short"]).mapInPandas(common.tidied(_alike), "a long, b long")
     clusters = common.stored(common.components(alike).withColumnRenamed("component", "cluster"), "clusters")
 
     texts = base.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text")

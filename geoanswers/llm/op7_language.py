@@ -195,7 +195,7 @@ def train(documents: DataFrame) -> Model | None:
     picked = F.broadcast(common.stored(picked, "picked"))  # PER_LANGUAGE rows a language
     rows = labelled.join(picked, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.xxhash64("text") == F.col("_digest"))).select("lang", "h", "text")
     # rows that repeat count once
-    sample = rows.mapInArrow(_distinct, "lang string, h long, keys binary").groupBy("lang", "h").agg(F.min("keys").alias("keys")).collect()
+    sample = rows.mapInArrow(common.tidied(_distinct), "lang string, h long, keys binary").groupBy("lang", "h").agg(F.min("keys").alias("keys")).collect()
     sample.sort(key=lambda r: (r.h, r.lang, r.keys))
     return fit([(r.lang, np.frombuffer(r["keys"], np.int64)) for r in sample if r["keys"]])
 
@@ -236,7 +236,7 @@ def identified(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = documents.sparkSession.sparkContext.broadcast(train(base))
-    out = base.select("doc_id", "text").mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double")
+    out = base.select("doc_id", "text").mapInArrow(common.tidied(_predicted(model)), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
@@ -256,7 +256,7 @@ def _kept(model):
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents in no learned language go."""
     model = spark.sparkContext.broadcast(train(docs.select("doc_id", "text", "lang")))
-    return docs.mapInArrow(_kept(model), docs.schema)
+    return docs.mapInArrow(common.tidied(_kept(model)), docs.schema)
 
 
 QUERIES = {"op7_language": op7_language}
