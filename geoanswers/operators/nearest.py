@@ -109,14 +109,81 @@ def _home_of(tree, table):
     return run
 
 
-def _others_of(table):
+class Measured:
+    """Distances of single points to points and lines, all pairs at once."""
+
+    def __init__(self, other: list[shapes.Shape]):
+        sides = [s.sides if len(s.sides) else np.hstack([s.points, s.points]) for s in other]
+        self.upto = np.cumsum([len(s) for s in sides])
+        self.first = self.upto - [len(s) for s in sides]
+        self.sides, self.size = np.concatenate(sides), max(s.size() for s in other)
+
+    def __call__(self, points: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How far each point is from the feature beside it."""
+        out = np.empty(len(j))
+        for which, member in sweep.runs(self.first[j], self.upto[j]):
+            s, p = self.sides[member], points[which]
+            along = s[:, 2:] - s[:, :2]
+            size = (along * along).sum(axis=1)
+            t = np.clip(((p - s[:, :2]) * along).sum(axis=1) / np.where(size > 0, size, 1), 0, 1)
+            far = np.hypot(*(p - s[:, :2] - t[:, None] * along).T)
+            begin = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+            out[which[begin]] = np.minimum.reduceat(far, begin)
+        slack = shapes.TOLERANCE * np.maximum(self.size, np.abs(points).max(axis=1, initial=0.0))
+        return np.where(out <= slack, 0.0, out)
+
+
+def measured(other: list[shapes.Shape]) -> Measured | None:
+    """None where a feature is no point and no line."""
+    return Measured(other) if other and all(s is not None and s.dim < 2 and len(s.points) for s in other) else None
+
+
+def _rounded(far: np.ndarray, digits: int | None) -> np.ndarray:
+    return far if digits is None else np.round(far, digits)
+
+
+def slack(far, digits: int | None):
+    """How far boxes may be apart at most so that what they hold is not farther than ``far``, or as far."""
+    return far * (1 + 1e-12) + (0.0 if digits is None else 10.0**-digits)
+
+
+def nearest_of(mine: list[shapes.Shape], other: list[shapes.Shape], gap: np.ndarray, exact: Measured | None, digits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the nearest other feature of each, the first of equally near ones (to so many digits, where given), and its
+    distance; -1 for features without vertices. gap: how far the boxes are apart."""
+    found, far = np.full(len(mine), -1), np.full(len(mine), np.nan)
+    some = np.array([s is not None and len(s.points) > 0 for s in mine], bool)
+    dots = some & np.array([s is not None and s.dim == 0 and len(s.points) == 1 for s in mine], bool) if exact else np.zeros(len(mine), bool)
+    at = np.flatnonzero(dots)
+    if len(at):
+        points, near = np.concatenate([mine[i].points for i in at.tolist()]), gap[at]
+        limit = slack(exact(points, near.argmin(axis=1)), digits)
+        i, j = np.nonzero(near <= limit[:, None])
+        d = exact(points[i], j)
+        key = _rounded(d, digits)
+        begin = np.searchsorted(i, np.arange(len(at)))
+        best = np.flatnonzero(key == np.minimum.reduceat(key, begin)[i])
+        best = best[np.unique(i[best], return_index=True)[1]]
+        found[at], far[at] = j[best], d[best]
+    for i in np.flatnonzero(some & ~dots).tolist():
+        best, near = np.inf, np.inf
+        for j in np.argsort(gap[i], kind="stable").tolist():
+            if gap[i, j] > slack(near, digits) or not np.isfinite(gap[i, j]):
+                break
+            d = shapes.distance(mine[i], other[j])
+            key = float(_rounded(np.float64(d), digits))
+            if key < best or key == best and j < found[i]:
+                best, near, found[i], far[i] = key, min(near, d), j, d
+    return found, far
+
+
+def _others_of(table, digits: int | None):
     """A row for each other leaf whose box is not farther than what was found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, boxes = table.value
         for batch in batches:
             box, reach, home = _boxes(batch), batch.column("distance").to_numpy(zero_copy_only=False), batch.column("leaf").to_numpy()
-            reach = reach * (1 + 1e-12)
+            reach = slack(reach, digits)
             grown = box + reach[:, None] * np.array([-1, -1, 1, 1])
             for i, j in sweep.meeting(grown, boxes):
                 p, q = box[i], boxes[j]
@@ -129,7 +196,7 @@ def _others_of(table):
     return run
 
 
-def _nearest_in(lefts: DataFrame, rights: DataFrame) -> DataFrame:
+def _nearest_in(lefts: DataFrame, rights: DataFrame, digits: int | None) -> DataFrame:
     """The columns of lefts (with leaf) and neighbor_id, distance: the nearest of the rights in that leaf, ties by id."""
     blocks = lefts.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = F.broadcast(stored(blocks, "blocks"))  # a row a leaf at most
@@ -143,25 +210,12 @@ def _nearest_in(lefts: DataFrame, rights: DataFrame) -> DataFrame:
         other = other.sort_by("rank")
         fixed, ids = list(shapes.read(other.column("geom"))), other.column("id").combine_chunks()
         box, out = _boxes(other.combine_chunks().to_batches()[0]), []
-        dots = np.array([x is not None and x.dim == 0 and len(x.points) == 1 for x in fixed], bool)
+        exact = measured(fixed)
         for batch in mine.to_batches():
             step = max(1, sweep.BLOCK // len(fixed))
             for lo in range(0, batch.num_rows, step):
                 part = batch.slice(lo, step)
-                gap, some = _gaps(_boxes(part), box), list(shapes.read(part.column("geom")))
-                found, far = gap.argmin(axis=1), np.empty(len(some))
-                for i, s in enumerate(some):
-                    if dots.all() and s.dim == 0 and len(s.points) == 1:  # boxes of points are the points
-                        far[i] = gap[i, found[i]]
-                        continue
-                    best, at = np.inf, -1
-                    for j in np.argsort(gap[i], kind="stable").tolist():
-                        if gap[i, j] > best:
-                            break
-                        d = shapes.distance(s, fixed[j])
-                        if d < best or d == best and j < at:
-                            best, at = d, j
-                    found[i], far[i] = at, best
+                found, far = nearest_of(list(shapes.read(part.column("geom"))), fixed, _gaps(_boxes(part), box), exact, digits)
                 near = ids.take(pa.array(found))
                 out.append(pa.RecordBatch.from_arrays([*part.columns, near, pa.array(far)], schema=kind))
         return pa.Table.from_batches(out, kind)
@@ -169,8 +223,9 @@ def _nearest_in(lefts: DataFrame, rights: DataFrame) -> DataFrame:
     return a.groupBy("leaf", "block").cogroup(b.groupBy("leaf", "block")).applyInArrow(run, schema)
 
 
-def by_leaves(left: DataFrame, right: DataFrame, per_leaf: int = PER_LEAF) -> DataFrame:
-    """id, neighbor_id, distance of each left feature (id, geom); NULLs for those without a geometry, or where nothing is right."""
+def by_leaves(left: DataFrame, right: DataFrame, per_leaf: int = PER_LEAF, digits: int | None = None) -> DataFrame:
+    """id, neighbor_id, distance of each left feature (id, geom); NULLs for those without a geometry, or where nothing is right.
+    ``digits``: distances that are equal to so many are equally near."""
     spark = left.sparkSession
     a, b = _boxed(left.select("id", "geom"), "left"), _boxed(right.select("id", "geom"), "right").filter("x0 is not null and not isnan(x0) and not isnan(y0)")
     none = [F.lit(None).cast(right.schema["id"].dataType).alias("neighbor_id"), F.lit(None).cast("double").alias("distance")]
@@ -187,9 +242,10 @@ def by_leaves(left: DataFrame, right: DataFrame, per_leaf: int = PER_LEAF) -> Da
     table = spark.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([tuple(r)[1:] for r in held], float)))
     some = a.filter("x0 is not null and not isnan(x0) and not isnan(y0)")
     homed = stored(some.mapInArrow(_home_of(tree, table), _with(some.schema, ("leaf", T.LongType()))), "homes")
-    first = stored(_nearest_in(homed, rights), "first")
-    spread = first.select("id", "geom", *_BOX, "leaf", "distance").mapInArrow(_others_of(table), homed.schema)
-    more = _nearest_in(stored(spread, "spread"), rights)
+    first = stored(_nearest_in(homed, rights, digits), "first")
+    spread = first.select("id", "geom", *_BOX, "leaf", "distance").mapInArrow(_others_of(table, digits), homed.schema)
+    more = _nearest_in(stored(spread, "spread"), rights, digits)
     found = first.select("id", "neighbor_id", "distance").union(more.select("id", "neighbor_id", "distance"))
-    best = found.groupBy("id").agg(F.min(F.struct("distance", "neighbor_id")).alias("m")).select("id", "m.neighbor_id", "m.distance")
+    key = F.col("distance") if digits is None else F.round("distance", digits)
+    best = found.groupBy("id").agg(F.min(F.struct(key.alias("key"), "neighbor_id", "distance")).alias("m")).select("id", "m.neighbor_id", "m.distance")
     return best.union(a.filter("x0 is null or isnan(x0) or isnan(y0)").select("id", *none))

@@ -18,6 +18,9 @@ from geoanswers.operators import shapes
 from geoanswers.operators.sjoin import nearest_neighbor
 from geoanswers.sources.tables import stored
 
+#: Digits of a distance in metres behind which legs are equally near.
+NEAR_DIGITS = 9
+
 
 def pair_distances(df: DataFrame, geographic: bool = True) -> DataFrame:
     """Distance, azimuth and back azimuth of each pair: on the ellipsoid, on the sphere where the ellipsoid's series does not
@@ -165,7 +168,7 @@ def _legs_of(lines: DataFrame) -> DataFrame:
 
 def station_offset_nearest(points: DataFrame, lines: DataFrame) -> DataFrame:
     """id, line, station, offset (right positive), side and position of each point (id, x, y) against the nearest of all
-    baselines (id, geom: lines of any number of legs; equally near ones: the least id, then the first leg). Stations run on over
+    baselines (id, geom: lines of any number of legs; equally near ones, to a nanometre: the least id, then the first leg). Stations run on over
     the legs; a point before the first or behind the last leg is measured along that leg's line, one at an inner corner stands at
     the corner's station, its offset the distance to it. Points stay where no baseline is: their columns are NULL."""
     need_columns(points, "id", "x", "y")
@@ -173,9 +176,12 @@ def station_offset_nearest(points: DataFrame, lines: DataFrame) -> DataFrame:
     legs = stored(_legs_of(lines).withColumn("id", F.struct("line", "leg")), "legs")
     spots = stored(points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "spots")
     side_of = geom.geometry("linestring", F.array(F.array(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))))))
-    near = nearest_neighbor(spots.select("id", geom.point(F.col("x"), F.col("y")).alias("geom")), legs.select("id", side_of.alias("geom")))
-    near = near.select(F.col("id").alias("_p"), F.col("neighbor_id").alias("_leg"), "distance")
-    both = spots.join(near, F.col("id") == F.col("_p"), "left").join(legs.withColumnRenamed("id", "_id"), F.col("_leg") == F.col("_id"), "left")
+    # points and legs in the same place once: they have the same answer, and the least of equal legs
+    places = spots.select("x", "y").filter("x is not null and y is not null and not isnan(x) and not isnan(y)").distinct()
+    alone = legs.groupBy("x1", "y1", "x2", "y2").agg(F.min("id").alias("id"))
+    near = nearest_neighbor(places.select(F.struct("x", "y").alias("id"), geom.point(F.col("x"), F.col("y")).alias("geom")), alone.select("id", side_of.alias("geom")), digits=NEAR_DIGITS)
+    near = near.select(F.col("id.x").alias("_x"), F.col("id.y").alias("_y"), F.col("neighbor_id").alias("_leg"), "distance")
+    both = spots.join(near, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left").join(legs.withColumnRenamed("id", "_id"), F.col("_leg") == F.col("_id"), "left")
     dx, dy, px, py = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("x") - F.col("x1"), F.col("y") - F.col("y1")
     size = F.hypot(dx, dy)
     along, across = (px * dx + py * dy) / size, (px * dy - py * dx) / size

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoanswers.functions import geom
-from geoanswers.operators import nearest, shapes, sjoin
+from geoanswers.operators import nearest, shapes, sjoin, survey
 
 
 def spots(spark, xy, first=0):
@@ -68,3 +68,21 @@ def test_a_leaf_with_very_many_visitors_is_dealt_out(spark, monkeypatch):
     a, b = r.normal((0, 0), 1e-4, (700, 2)), r.random((300, 2)) * 10
     got = {q.id: q.neighbor_id for q in nearest.by_leaves(spots(spark, a), spots(spark, b), 30).collect()}
     assert got == {i: n for i, (n, _) in brute(a, b).items()}
+
+
+def test_many_points_in_few_places_against_many_legs(spark):
+    """Copies of a place and of a leg are looked at once; legs equally near but for rounding: the least line, the first leg."""
+    line = lambda x, y: ("linestring", [[[(x, y), (x + 30, y), (x + 30, y + 40), (x + 60, y + 80)]]])
+    at = [((k % 1000 * 3571 + 37) % 10000 / 10.0, (k % 1000 * 7717 + 11) % 10000 / 10.0) for k in range(1500)]
+    lines = spark.createDataFrame([(k, line(*at[k])) for k in range(1500)], f"id long, geom {geom.TYPE}")
+    places = [((k * 7919) % 10000 / 10.0, (k * 104729) % 10000 / 10.0) for k in (193, 515, 713, 737, 1183, 1193, 1515, 1713)]
+    points = spark.createDataFrame([(k, *places[k % 8]) for k in range(20_000)] + [(20_000, None, 1.0), (20_001, float("nan"), 1.0)], "id long, x double, y double")
+    got = survey.station_offset_nearest(points, lines).collect()
+    assert len(got) == 20_002 and {r.line for r in got if r.id >= 20_000} == {None}
+    a = np.array([(x + p, y + q) for x, y in at for p, q in ((0, 0), (30, 0), (30, 40))])
+    d = np.array([(x + p, y + q) for x, y in at for p, q in ((30, 0), (30, 40), (60, 80))]) - a
+    want = {}
+    for k, p in enumerate(np.array(places)):
+        t = np.clip(((p - a) * d).sum(axis=1) / (d * d).sum(axis=1), 0, 1)
+        want[k] = int(np.round(np.hypot(*(p - a - t[:, None] * d).T), 9).argmin()) // 3
+    assert {(r.id % 8, r.line) for r in got if r.id < 20_000} == set(want.items())
