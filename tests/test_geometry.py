@@ -3,6 +3,7 @@
 import random
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -300,3 +301,18 @@ def test_features_without_geometry_pair_with_nothing(spark):
     some = spark.range(3).select("id", F.when(F.col("id") > 0, geom.point(F.lit(1.0), F.lit(1.0))).alias("geom"))
     assert {(r[0], r[1]) for r in sjoin.pairs(some, some).select("l.id", "r.id").collect()} == {(1, 1), (1, 2), (2, 1), (2, 2)}
     assert sjoin.pairs(some.limit(0), some).count() == 0
+
+
+def test_hulls_of_many_groups_at_once(spark):
+    r = np.random.default_rng(3)
+    arc = [(float(k), k * k / 100.0) for k in range(200)] + [(201.0, -1e4)]  # one corner goes after the other
+    groups = {"arc": arc, "one": [(1.0, 2.0)] * 3, "line": [(float(k), 2.0 * k) for k in range(5)], None: [(0.0, 0.0), (2.0, 0.0), (1.0, 1.0), (1.0, 3.0)]}
+    groups |= {f"g{k}": r.integers(0, 12, (int(r.integers(1, 60)), 2)).astype(float).tolist() for k in range(3000)}
+    rows = [(g, x, y) for g, points in groups.items() for x, y in points]
+    df = spark.createDataFrame(rows, "g string, x double, y double").select("g", geom.point(F.col("x"), F.col("y")).alias("geom"))
+    hulls = vector.convex_hull(df.repartition(6), "g")
+    assert "FlatMapGroups" not in hulls._jdf.queryExecution().toString()  # a call a group took 3 ms each
+    got = {q.group: q for q in hulls.collect()}
+    for g, points in groups.items():
+        want = planar.hull([tuple(p) for p in points])
+        assert got[g].vertices == len(want) and [(p.x, p.y) for p in got[g].geom.parts[0][0]] == [*want, want[0]]
