@@ -106,3 +106,16 @@ def test_stations_run_on_over_legs(spark):
     }
     none = survey.station_offset_nearest(points, lines.limit(0)).collect()
     assert len(none) == 7 and none[0].line is None and none[0].side is None
+
+
+def test_a_point_on_the_edge_of_a_box_in_degrees_meets_it(spark):
+    """Edges come back from degrees within rounding, and boxes that are as near are compared."""
+    at = [((k * 3571 + 37) % 10000 / 10.0 + 500000, (k * 7717 + 11) % 10000 / 10.0 + 4540000) for k in range(60)]
+    points = spark.createDataFrame([(4 * k + q, x + dx, y + dy) for k, (x, y) in enumerate(at) for q, (dx, dy) in enumerate([(5.0, 1.0), (-5.0, 2.0), (3.0, 5.0), (0.0, -5.0)])], "id long, x double, y double")
+    points = points.withColumn("geom", geom.point(F.col("x"), F.col("y")))
+    boxes = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(at)], "id long, x double, y double")
+    boxes = boxes.withColumn("geom", geom.reprojected(geom.box(F.col("x") - 5, F.col("y") - 5, F.col("x") + 5, F.col("y") + 5), "EPSG:32635", "EPSG:4326"))
+    assert sjoin.relate_layers(points, ZONE, boxes, DEGREES, "intersects").first().matched == 240
+    moved = sjoin.aligned(ZONE, boxes, DEGREES)
+    assert sjoin.relate(points, moved, "intersects", size=50.0).count() == 240  # by cells, neither side broadcast
+    assert sjoin.relate(points.withColumn("geom", geom.point(F.col("x") + 11, F.col("y") + 2000)), moved, "intersects").count() == 0
