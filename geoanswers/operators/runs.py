@@ -248,24 +248,40 @@ def item_status(items: DataFrame) -> DataFrame:
     return items.select("index", s.alias("state"), pick(0).alias("mark"), pick(1).alias("label"), said(F.col("message")).alias("detail"), pick(2).alias("action"))
 
 
-def duration_text(ms: Column) -> Column:
-    """Milliseconds below a second, seconds above it; NULL where nothing was measured."""
+def _tenths(s: Column) -> Column:
+    """Tenths of a number, to the nearest; halves by the number as it is stored, exact ones to even, as printf rounds it.
+    format_string rounds the shortest decimal text instead."""
+    down = F.floor(s * 10).cast("long")
+    half = (2 * down + 1).cast("double")
+    over = (s * 16 - half) + s * 4  # the sign of s - half / 20: both steps are exact
+    return down + F.when((over > 0) | ((over == 0) & (down % 2 == 1)), 1).otherwise(0)
+
+
+def duration_text(ms: Column, printf: bool = False) -> Column:
+    """Milliseconds below a second, seconds above it; NULL where nothing was measured. Halves of the decimal text go up;
+    ``printf``: they go as printf rounds the number as it is stored, exact halves to even."""
     s = ms / 1000.0
-    long = F.when(s < 10, F.format_string("%.1f s", s)).otherwise(F.format_string("%.0f s", s))
+    if printf:
+        tenths = _tenths(s)
+        short = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" s"))
+        whole = F.concat(F.bround(s, 0).cast("decimal(38,0)").cast("string"), F.lit(" s"))
+    else:
+        short, whole = F.format_string("%.1f s", s), F.format_string("%.0f s", s)
+    long = F.when(s < 10, short).otherwise(whole)
     return F.when(ms <= 0, F.lit(None)).when(ms < 1000, F.concat(ms.cast("string"), F.lit(" ms"))).otherwise(long)
 
 
-def trace_steps(turns: DataFrame) -> DataFrame:
+def trace_steps(turns: DataFrame, printf: bool = False) -> DataFrame:
     """turn_id, position, title, status, label, duration, detail, code from steps (struct(index, title, capability,
     status, duration_ms, message, error_code, error_message)): no index or 0 is the place, no status is succeeded, no
-    title the capability, no message the error's."""
+    title the capability, no message the error's. ``printf``: how durations are rounded."""
     rows = turns.select("turn_id", F.posexplode("steps").alias("i", "s"))
     status = F.coalesce(F.nullif(F.col("s.status"), F.lit("")), F.lit("succeeded"))
     label = F.coalesce(*[F.when(status == k, v) for k, v in STEPS.items()], status)
     return rows.select(
         "turn_id", F.coalesce(F.nullif("s.index", F.lit(0)), F.col("i") + 1).alias("position"),
         F.coalesce(said(F.col("s.title")), said(F.col("s.capability")), F.lit("Step")).alias("title"), status.alias("status"), label.alias("label"),
-        duration_text(F.col("s.duration_ms")).alias("duration"), F.coalesce(said(F.col("s.message")), said(F.col("s.error_message"))).alias("detail"),
+        duration_text(F.col("s.duration_ms"), printf).alias("duration"), F.coalesce(said(F.col("s.message")), said(F.col("s.error_message"))).alias("detail"),
         said(F.col("s.error_code")).alias("code"),
     )
 

@@ -133,3 +133,10 @@ def test_preview_counts_what_can_not_be_stored(spark):
     r = scope.calc_preview(df, F.col("v"), "integer").first()
     assert (r.rows, r.nulls, r.sample, r.bad) == (7, 5, "4,-2", 4)
     assert r.problems == f"'abc' is not a number; a value was not a finite number; '{'x' * 40}' is not a number"
+
+
+def test_durations_are_rounded_as_printf_rounds_them(spark):
+    ms = [*range(900, 30_000, 7), *range(1_050, 10_000, 100), *range(10_500, 40_000, 1_000), 9_949, 9_950, 9_951, 9_999, 10_000, 3_600_500, None]
+    df = spark.createDataFrame([(m,) for m in ms], "ms long").select("ms", runs.duration_text(F.col("ms"), printf=True).alias("text"))
+    want = lambda m: None if m is None else f"{m} ms" if m < 1000 else f"{m / 1000:.1f} s" if m < 10_000 else f"{m / 1000:.0f} s"
+    assert [(r.ms, r.text) for r in df.collect() if r.text != want(r.ms)] == []
