@@ -86,3 +86,12 @@ def test_many_points_in_few_places_against_many_legs(spark):
         t = np.clip(((p - a) * d).sum(axis=1) / (d * d).sum(axis=1), 0, 1)
         want[k] = int(np.round(np.hypot(*(p - a - t[:, None] * d).T), 9).argmin()) // 3
     assert {(r.id % 8, r.line) for r in got if r.id < 20_000} == set(want.items())
+
+
+def test_single_points_are_told_from_other_shapes(spark):
+    rows = [(1, ("point", [[[(3.0, 4.0)]]])), (2, None), (3, ("multipoint", [[[(0.0, 2.0)]], [[(9.0, 9.0)]]])), (4, ("point", [])), (5, ("linestring", [[[(0.0, 1.0), (5.0, 1.0)]]])), (6, ("point", [[[(0.0, -6.0)]]])), (7, ("point", None))]
+    df = spark.createDataFrame(rows, f"id long, geom {geom.TYPE}")
+    known, at = shapes.dots(df.toArrow().column("geom"))
+    assert known.tolist() == [True, False, False, False, False, True, False] and at.tolist() == [[3.0, 4.0], [0.0, -6.0]]
+    got = [tuple(r) for r in sjoin.nearest_k(df, 0, 0, 9).orderBy("distance").collect()]
+    assert got == [(5, 1.0, 4, 1.0, 6.0), (3, 2.0, 4, 1.0, 6.0), (1, 5.0, 4, 1.0, 6.0), (6, 6.0, 4, 1.0, 6.0)]
