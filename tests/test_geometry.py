@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geoanswers.functions import geom
 from geoanswers.meta import LayerMeta, Refused
-from geoanswers.operators import planar, sjoin, survey, terrain, vector
+from geoanswers.operators import planar, shapes, sjoin, survey, terrain, vector
 
 METRES, DEGREES = LayerMeta("EPSG:32635", "m"), LayerMeta("EPSG:4326", "degrees", True)
 
@@ -316,3 +316,25 @@ def test_hulls_of_many_groups_at_once(spark):
     for g, points in groups.items():
         want = planar.hull([tuple(p) for p in points])
         assert got[g].vertices == len(want) and [(p.x, p.y) for p in got[g].geom.parts[0][0]] == [*want, want[0]]
+
+
+def test_rings_are_validated_together(spark, monkeypatch):
+    """Short rings are looked at all at once, and as one by one."""
+    r = np.random.default_rng(11)
+    rows, want = [], {}
+    for k in range(400):
+        rings = []
+        for _ in range(int(r.integers(1, 3))):
+            p = r.integers(0, 5, (int(r.integers(1, 9)), 2)).astype(float).tolist()
+            rings.append([tuple(v) for v in (p + p[:1] if r.random() < 0.8 else p)])
+        rows.append((k, ("polygon", [rings])))
+        a = [np.array(x) for x in rings]
+        checks = [("too_few_points", lambda x: len(x) < 4), ("unclosed", lambda x: (x[0] != x[-1]).any()), ("self_crossing", vector.crosses_itself), ("zero_area", lambda x: shapes.signed_area(x) == 0)]
+        want[k] = next((name for name, bad in checks if any(bad(x) for x in a)), None)
+    called = []
+    monkeypatch.setattr(vector, "crosses_itself", lambda x: called.append(1))
+    square = np.array([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], float)
+    assert not np.stack(vector._ring_problems(np.tile(square, (1000, 1)), np.arange(0, 5001, 5))).any() and not called
+    monkeypatch.undo()
+    got = {q.id: q.problem for q in vector.validate(spark.createDataFrame(rows, f"id long, geom {geom.TYPE}")).collect()}
+    assert got == {k: v for k, v in want.items() if v} and len(set(want.values())) == 5
