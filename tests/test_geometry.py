@@ -338,3 +338,17 @@ def test_rings_are_validated_together(spark, monkeypatch):
     monkeypatch.undo()
     got = {q.id: q.problem for q in vector.validate(spark.createDataFrame(rows, f"id long, geom {geom.TYPE}")).collect()}
     assert got == {k: v for k, v in want.items() if v} and len(set(want.values())) == 5
+
+
+def test_many_shapes_are_buffered_at_once(spark):
+    r = np.random.default_rng(12)
+    xy, w = r.integers(0, 1000, (500, 2)) / 10.0, r.integers(1, 9, (500, 2)).astype(float)
+    rows = [(k, float(x), float(y), *map(float, wh)) for k, ((x, y), wh) in enumerate(zip(xy, w))]
+    df = spark.createDataFrame(rows, "id long, x double, y double, w double, h double")
+    x, y = F.col("x"), F.col("y")
+    made = df.select("id", F.when(F.col("id") % 2 == 0, geom.point(x, y)).when(F.col("id") % 5 > 0, geom.box(x, y, x + F.col("w"), y + F.col("h"))).alias("geom"))
+    got = {q.id: q for q in vector.buffer(made, 2, METRES).select("id", "status", geom.area(F.col("geom")).alias("area")).collect()}
+    circle = 16 * 4 * math.sin(2 * math.pi / 32)
+    for k, (a, b) in enumerate(w.tolist()):
+        want = circle if k % 2 == 0 else None if k % 5 == 0 else a * b + 4 * (a + b) + circle
+        assert got[k].status == ("unsupported" if want is None else "ok") and (want is None or abs(got[k].area - want) < 1e-9)
