@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from geoanswers.operators import many, shapes, sjoin
+from geoanswers.operators import many, shapes, sjoin, vector
 from geoanswers.operators.shapes import Relation, Shape
 from test_shapes import area, blob, polygon
 
@@ -93,3 +93,22 @@ def test_yards_by_boxes_in_little_time(monkeypatch):
     share, whole = np.array(shares).reshape(-1), np.array([area(s.parts) for s in yards])[i]
     assert (sjoin.Holds("within")(yards, boxes, i, j)[0] == (share >= whole - 1e-9)).all()
     assert (sjoin.Holds("overlaps")(yards, boxes, i, j)[0] == ((share > 1e-9) & (share < whole - 1e-9))).all()
+
+
+def test_overlays_of_yards_and_boxes_in_little_time(monkeypatch):
+    """What the kernel of intersections gives is the overlay of each pair; no pair of few sides is looked at alone."""
+    a, b = some(7, 24), some(8, 24)
+    a, b = ([s for s in side if s is not None and s.dim == 2] for side in (a, b))
+    i, j = every(a, b)
+    want = [shapes.overlay(a[x], b[y], "intersection") for x, y in zip(i, j)]
+    fit, _ = many.together(many.Flat(a), many.Flat(b), i, j)
+    alone, overlay = [], shapes.overlay
+    monkeypatch.setattr(shapes, "overlay", lambda *s: alone.append(s) or overlay(*s))
+    keep, values = vector.Shared()(a, b, i, j)
+    assert len(alone) == (~fit).sum() < 0.2 * len(i)
+    assert keep.tolist() == [w is None or bool(w) for w in want]
+    assert [area(p or []) for p in map(listed_arrays, values.to_pylist())] == pytest.approx([area(w or []) for w in want if w is None or w])
+
+
+def listed_arrays(value):
+    return None if value is None else [[np.array(ring) for ring in part] for part in listed(value)]
