@@ -146,3 +146,25 @@ def test_rectangles_on_tenths_in_any_order():
         for x0, y0, x1, y1 in np.round(q * 10).astype(int):
             covered[x0:x1, y0:y1] = True
         assert abs((p[:, 0] * p[:, 3] - p[:, 2] * p[:, 1]).sum() / 2 - covered.sum() / 100) < 1e-6
+
+
+def test_many_small_groups_are_put_together_in_batches(spark):
+    """No call of Python a group: for dissolve and for what is left of many shapes."""
+    at = lambda v: F.col("id") * 0 + v
+    ids = spark.range(700).withColumn("k", (F.col("id") / 2).cast("long"))
+    pairs = ids.select("id", "k", geom.box((F.col("id") % 2 * 10).cast("double"), at(0.0), (F.col("id") % 2 * 10 + 10).cast("double"), at(5.0) + F.col("k") % 3).alias("geom"))
+    merged = coverage.dissolve(pairs, "k")
+    assert {(r.sides, r.rings, r.area, r.perimeter) for r in merged.collect()} == {(6, 1, 20.0 * (5 + k), 40.0 + 2 * (5 + k)) for k in range(3)}
+    holed = pairs.select("id", geom.box(at(0.0), at(0.0), at(9.0), at(9.0)).alias("geom"))
+    away = ids.select("id", geom.box(at(3.0), at(3.0), at(4.0), F.when(F.col("id") % 2 == 0, 4.0).otherwise(20.0)).alias("geom"))
+    left = coverage.without(holed, away.union(ids.filter("id % 5 = 0").select("id", geom.box(at(6.0), at(-1.0), at(7.0), at(10.0)).alias("geom"))))
+    areas = {}
+    for r in left.select("id", "piece", F.round(geom.area(F.col("geom")), 6).alias("area")).collect():
+        areas.setdefault(r.id, []).append((r.piece, r.area))
+    assert len(areas) == 700
+    for k, found in areas.items():
+        hole = 1.0 if k % 2 == 0 else 6.0
+        assert [p for p, _ in sorted(found)] == list(range(2 if k % 5 == 0 else 1))
+        assert sorted(a for _, a in found) == ([18.0, 54.0 - hole] if k % 5 == 0 else [81.0 - hole])
+    for df in (merged, left):
+        assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from geoanswers.operators import many, shapes, sjoin, vector
+from geoanswers.operators import coverage, many, shapes, sjoin, vector
 from geoanswers.operators.shapes import Relation, Shape
 from test_shapes import area, blob, polygon
 
@@ -112,3 +113,19 @@ def test_overlays_of_yards_and_boxes_in_little_time(monkeypatch):
 
 def listed_arrays(value):
     return None if value is None else [[np.array(ring) for ring in part] for part in listed(value)]
+
+
+def test_sides_of_a_column_equal_those_of_its_shapes(monkeypatch):
+    at = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    rows = [shapes.written(s.parts) for s in some(3) if s is not None and s.dim == 2]
+    rows += [None, {"kind": "polygon", "parts": None}, {"kind": "polygon", "parts": []}, {"kind": "linestring", "parts": [[at((0, 0), (1, 1), (2, 0))]]}, {"kind": None, "parts": [[at((0, 0), (1, 1), (2, 0))]]}]
+    rows += [{"kind": "polygon", "parts": [[at((0, 0), (0, 4), (4, 4), (4, 0)), at((1, 1), (2, 1)), at((1, 1), (2, 1), (2, 1), (2, 2))]]}]  # open, turned, short and repeating rings
+    rows += [{"kind": "polygon", "parts": [[at((1, 1)), at((1, 1), (2, 1), (2, 2), (1, 1))], [], [[], at((5, 5), (6, 5), (6, 6))]]}]
+    column = pa.array([None, *rows], shapes.ARROW)
+    for c in (column, column.slice(7), column.slice(0, 0)):
+        one = [(k, tuple(side)) for k, s in enumerate(shapes.read(c)) if s is not None and s.dim == 2 for side in s.sides.tolist()]
+        sides, row = shapes.outlines(c)
+        assert sorted(zip(row.tolist(), map(tuple, sides.tolist()))) == sorted(one)
+    monkeypatch.setattr(shapes, "read", None)
+    batch = pa.record_batch({"group": pa.array(range(len(column))), "geom": column, "away": pa.array([False] * len(column))})
+    assert sum(b.num_rows for b in coverage._sides(iter([batch]))) > 100
