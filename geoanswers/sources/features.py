@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from geoanswers.functions import geom
 from geoanswers.meta import Refused, need_columns, need_crs
+from geoanswers.sources.tables import stored
 
 _KINDS = {"Point": "point", "LineString": "linestring", "Polygon": "polygon", "MultiPoint": "multipoint", "MultiLineString": "multilinestring", "MultiPolygon": "multipolygon"}
 _DEPTH = {"Point": 0, "LineString": 1, "Polygon": 2, "MultiPoint": 1, "MultiLineString": 2, "MultiPolygon": 3}
@@ -61,14 +62,23 @@ def exploded(collections: DataFrame, column: str = "text") -> DataFrame:
     return rows.select(*rest, "position", properties.alias("properties"), parsed_geometry(F.get_json_object("feature", "$.geometry")).alias("geom"))
 
 
+def write_collections(texts: DataFrame, path: str) -> None:
+    """A file for each text (one column), all in one folder. Opening files is the work, so the texts are dealt out over the cores, and
+    tasks put their own files in place: the driver would do it one by one."""
+    dealt = texts.repartition(4 * texts.sparkSession.sparkContext.defaultParallelism)
+    dealt.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """The features of GeoJSON files: a task a file, features exploded."""
     return exploded(spark.read.option("wholetext", True).text(path).select(F.col("value").alias("text")))
 
 
 def features_by_type(features: DataFrame, most: int | None = None) -> DataFrame:
-    """Features with a known geometry on the earth, by kind; ``names`` is the sorted union of the kind's attributes."""
+    """Features with a known geometry on the earth, by kind; ``names`` is the sorted union of the kind's attributes. They are stored on
+    the way: files are read and taken apart once."""
     good = features.filter(F.col("geom").isNotNull()).filter(on_earth(F.col("geom"))).withColumn("kind", F.col("geom.kind"))
+    good = stored(good, "features")
     names = good.select("kind", F.explode(F.map_keys("properties")).alias("k")).groupBy("kind").agg(F.array_join(F.sort_array(F.collect_set("k")), ",").alias("names"))
     out = good.join(F.broadcast(names), "kind", "left")
     return out.limit(most) if most else out
