@@ -129,3 +129,72 @@ def test_sides_of_a_column_equal_those_of_its_shapes(monkeypatch):
     monkeypatch.setattr(shapes, "read", None)
     batch = pa.record_batch({"group": pa.array(range(len(column))), "geom": column, "away": pa.array([False] * len(column))})
     assert sum(b.num_rows for b in coverage._sides(iter([batch]))) > 100
+
+
+ODD = [None, {"kind": "polygon", "parts": None}, {"kind": "polygon", "parts": []}, {"kind": None, "parts": [[[(0, 0), (1, 1), (2, 0)]]]}, {"kind": "circle", "parts": [[[(0, 0), (1, 1), (2, 0)]]]}]
+ODD += [{"kind": "linestring", "parts": [[[(0, 0), (1, 1), (2, 0)]]]}, {"kind": "point", "parts": [[[(1, 1)]]]}, {"kind": "multipoint", "parts": [[[(1, 1)], [(2, 2)]]]}, {"kind": "point", "parts": [[[]]]}]
+ODD += [{"kind": "polygon", "parts": [[[(0, 0), (0, 4), (4, 4), (4, 0)], [(1, 1), (2, 1)], [(1, 1), (2, 1), (2, 1), (2, 2)]]]}, {"kind": "polygon", "parts": [[[(1, 1)], [(1, 1), (2, 1), (2, 2), (1, 1)]], [], [[], [(5, 5), (6, 5), (6, 6)]]]}]
+ODD += [{"kind": "polygon", "parts": [[ring]]} for ring in ([(1, 1), (2, 1), (1, 1)], [(0, 0), (0.1, 0.1), (0.3, 0.3), (0.7, 0.7)], [(0, 0), (2, 0), (2, 0), (2, 3), (0, 3)], [(0, 0), (2, 0), (0, 3), (2, 3)], [(0, 0), (float("nan"), 0), (2, 3)])]
+
+
+def odd_column(seed):
+    """Polygons, other kinds, and rings that are open, turned, short, flat or repeat points."""
+    at = lambda v: v if not isinstance(v, list) else [{"x": float(p[0]), "y": float(p[1])} if isinstance(p, tuple) else at(p) for p in v]
+    rows = [shapes.written(s.parts) for s in some(seed) if s is not None and s.dim == 2]
+    return pa.array([*rows, *[v and {"kind": v["kind"], "parts": at(v["parts"])} for v in ODD], *rows[:3]], shapes.ARROW)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_column_equals_its_shapes(seed):
+    whole = odd_column(seed)
+    for column in (whole, whole.slice(7, 48), whole.slice(0, 0), pa.chunked_array([whole.slice(0, 9), whole.slice(9)])):
+        one, many_ = list(shapes.read(column)), shapes.Column(column)
+        assert len(one) == len(many_)
+        for k, (x, y) in enumerate(zip(one, many_)):
+            assert (x is None) == (y is None)
+            points = many_.points[many_.first[k] : many_.first[k + 1]]
+            if x is None:
+                assert not len(points) and many_.dim[k] == -1
+            else:
+                assert x.kind == y.kind and x.dim == many_.dim[k] and np.array_equal(x.points, points, equal_nan=True) and np.array_equal(x.sides, y.sides, equal_nan=True)
+        assert np.array_equal(many.bounds(one), many.bounds(many_), equal_nan=True)
+        assert np.array_equal(sjoin._upright(one), sjoin._upright(many_))
+        assert np.array_equal(sjoin._single(one), sjoin._single(many_))
+        f, g = many.Flat(one), many.Flat(many_)
+        for name in ("size", "box", "sides", "part", "part_of", "count", "first", "plain"):
+            assert np.array_equal(getattr(f, name), getattr(g, name), equal_nan=name != "plain"), name
+
+
+def test_relations_of_columns_equal_those_of_one():
+    box = lambda lo, hi: Shape("polygon", [[np.array([(lo, lo), (hi, lo), (hi, hi), (lo, hi)], float)]])
+    sides = [[*(s for s in some(seed, 16) if s is not None and s.dim == 2 and s.parts), box(-1, 4), box(-9, 99), box(0, 6)] for seed in (0, 1)]
+    columns = [pa.array([shapes.written(s.parts) for s in side], shapes.ARROW) for side in sides]
+    i, j = every(*sides)
+    one = [Relation(sides[0][x], sides[1][y]) for x, y in zip(i, j)]
+    assert sum(x.holds("within") for x in one) > 20 < sum(x.holds("contains") for x in one)
+    odd = [list(shapes.read(odd_column(seed))) for seed in (0, 1)]
+    u, v = every(*odd)
+    for predicate in RELATIONS:
+        assert sjoin.Holds(predicate)(*map(shapes.Column, columns), i, j)[0].tolist() == [x.holds(predicate) for x in one]
+    for predicate in ("overlaps", "crosses"):
+        with np.errstate(all="ignore"):
+            assert sjoin.Holds(predicate)(*(shapes.Column(odd_column(seed)) for seed in (0, 1)), u, v)[0].tolist() == sjoin.Holds(predicate)(*odd, u, v)[0].tolist()
+
+
+def test_yards_of_a_column_are_not_taken_one_by_one(monkeypatch):
+    """No shape is made of a yard, and a yard well inside a box is not cut."""
+    ring = lambda x, y, *at: [{"x": x + 30 * u, "y": y + 12 * v} for u, v in at]
+    two = [[[(0, 0), (1 / 3, 0), (1 / 3, 1), (0, 1)]], [[(2 / 3, 0), (1, 0), (1, 1), (2 / 3, 1)]]]
+    spots = [(float(x), float(y)) for x in range(1, 400, 7) for y in range(1, 400, 11)]
+    yards = pa.array([{"kind": "multipolygon", "parts": [[ring(x, y, *r) for r in p] for p in two]} for x, y in spots], shapes.ARROW)
+    corners = [(x, y) for x in (0.0, 200.0) for y in (0.0, 200.0)]
+    boxes = [Shape("polygon", [[np.array([(x, y), (x + 180, y), (x + 180, y + 180), (x, y + 180)])]]) for x, y in corners]
+    inside = [any(a < x and x + 30 < a + 180 and b < y and y + 12 < b + 180 for a, b in corners) for x, y in spots]
+    cut, split = [], many.Split.__init__
+    monkeypatch.setattr(shapes, "Shape", None)
+    monkeypatch.setattr(many.Split, "__init__", lambda self, a, b, i, j: cut.extend(i.tolist()) or split(self, a, b, i, j))
+    table = type("Side", (), {"read": lambda self: (pa.table({"n": range(4)}), boxes, many.bounds(boxes))})()
+    batch = pa.record_batch({"id": pa.array(range(len(spots))), "geom": yards})
+    found = {p: {v["l"]["id"] for out in sjoin._against(table, sjoin.Holds(p), 0.0, True, shapes.TOLERANCE)(iter([batch])) for v in out.to_pylist()} for p in ("within", "overlaps")}
+    assert found["within"] >= set(np.flatnonzero(inside).tolist()) and not found["overlaps"] & set(np.flatnonzero(inside).tolist())
+    assert found["overlaps"] and cut and not np.array(inside)[cut].any()
