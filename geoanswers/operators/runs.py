@@ -147,14 +147,17 @@ def batch_summary(items: DataFrame, batch: str = "batch_id") -> DataFrame:
     return items.groupBy(batch).agg(F.count("*").alias("items"), *[F.count_if(s == state).alias(name) for name, state in counted.items()])
 
 
-def batch_failures(items: DataFrame, code: str = PLACEMENT, batch: str = "batch_id") -> DataFrame:
+def batch_failures(items: DataFrame, code: str = PLACEMENT, batch: str = "batch_id", unknown: bool = False) -> DataFrame:
     """batch, failed, the first typed error by index (first_index, first_code, first_message), and whether every failure
-    carries the code: one without a code differs. An error without code and message is no typed error."""
+    carries the code: one without a code differs. An error without code and message is no typed error. ``unknown``: where the
+    codes of all failures are NULL, it is not known whether they carry it."""
     bad = items.filter(F.lower("state") == "failed").withColumn("_code", failure_code(F.col("code"))).withColumn("_message", said(F.col("message")))
     typed = F.col("_code").isNotNull() | F.col("_message").isNotNull()
     first = F.min(F.when(typed, F.struct("index", "_code", "_message"))).alias("m")
-    every = F.bool_and(F.coalesce(F.col("_code") == code, F.lit(False))).alias("every")
-    found = bad.groupBy(batch).agg(F.count("*").alias("failed"), first, every)
+    every = F.bool_and(F.coalesce(F.col("_code") == code, F.lit(False)))
+    if unknown:
+        every = F.when(F.count("code") > 0, every)
+    found = bad.groupBy(batch).agg(F.count("*").alias("failed"), first, every.alias("every"))
     return found.select(batch, "failed", F.col("m.index").alias("first_index"), F.col("m._code").alias("first_code"), F.col("m._message").alias("first_message"), "every")
 
 

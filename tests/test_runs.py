@@ -1,8 +1,10 @@
 """Rules of run logs, reviews, items and traces: known answers, case by case."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from geoanswers import catalog
 from geoanswers.operators import runs, scope
 from geoanswers.sources import features as src
 
@@ -140,3 +142,15 @@ def test_durations_are_rounded_as_printf_rounds_them(spark):
     df = spark.createDataFrame([(m,) for m in ms], "ms long").select("ms", runs.duration_text(F.col("ms"), printf=True).alias("text"))
     want = lambda m: None if m is None else f"{m} ms" if m < 1000 else f"{m / 1000:.1f} s" if m < 10_000 else f"{m / 1000:.0f} s"
     assert [(r.ms, r.text) for r in df.collect() if r.text != want(r.ms)] == []
+
+
+def test_codes_that_are_all_missing_answer_as_the_query_s_sql_does(spark, tmp_path):
+    """Batch 1: all codes NULL; 2: one has a code; 4: all carry it."""
+    ids = [(1, 3), (1, 6), (2, 9), (2, 10), (4, 1), (4, 2), (5, 12)]
+    spark.createDataFrame([(u, i, "error") for u, i in ids], "user_id long, event_id long, event_type string").withColumn("ts", F.current_timestamp()).withColumn("props", F.lit("{}")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.batch_id: r for r in catalog.queries()["batch_failures"](spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = db.sql(catalog.oracle_sql()["batch_failures"])
+    assert {b: r.every for b, r in got.items()} == {1: None, 2: False, 4: True, 5: None}
+    assert {r[0]: r for r in want.fetchall()} == {b: tuple(r[c] for c in want.columns) for b, r in got.items()}
