@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from geoanswers import catalog
 from geoanswers.functions import geom
 from geoanswers.operators import coverage, shapes, vector
 
@@ -168,3 +169,16 @@ def test_many_small_groups_are_put_together_in_batches(spark):
         assert sorted(a for _, a in found) == ([18.0, 54.0 - hole] if k % 5 == 0 else [81.0 - hole])
     for df in (merged, left):
         assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_union_query_gives_what_is_left_of_boxes_too(spark, sf_dir):
+    """What no lot covers of the boxes, on unit cells of 0.1 m."""
+    covered, bare = np.zeros((11_000, 11_000), bool), 0
+    for k, w in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").collect():
+        x, y = k * 7919 % 10_000, k * 104_729 % 10_000
+        covered[x : x + 10 * w, y : y + 10 * (k % 13 + 1)] = True
+    for (n,) in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey").collect():
+        x, y = n % 5 * 2_000, n // 5 * 2_000
+        bare += int((~covered[x : x + 1_800, y : y + 1_800]).sum())
+    got = {r.side: r.area for r in catalog.queries()["union"](spark, sf_dir).collect()}
+    assert set(got) == {"both", "left", "right"} and got["right"] == round(bare / 100, 2)
