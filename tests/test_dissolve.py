@@ -182,3 +182,48 @@ def test_the_union_query_gives_what_is_left_of_boxes_too(spark, sf_dir):
         bare += int((~covered[x : x + 1_800, y : y + 1_800]).sum())
     got = {r.side: r.area for r in catalog.queries()["union"](spark, sf_dir).collect()}
     assert set(got) == {"both", "left", "right"} and got["right"] == round(bare / 100, 2)
+
+
+def _sides_of(q, away):
+    """Sides of rectangles, as ``outline`` takes them in one cell; the first ``away`` of them are taken away."""
+    s = np.concatenate([q[:, k] for k in ([0, 1, 2, 1], [2, 1, 2, 3], [0, 3, 2, 3], [0, 1, 0, 3])])
+    w, gone = np.repeat([1, 1, -1, -1], len(q)), np.tile(np.arange(len(q)) < away, 4)
+    return s, np.stack([np.where(gone, 0, w), np.where(gone, w, 0)], axis=1), np.zeros(len(s), int), np.array([[-11.3, -12.7]]), np.zeros((1, 2), int), np.zeros((len(s), 2), bool)
+
+
+@pytest.mark.parametrize("away", [0, 300])
+def test_members_that_lie_on_each_other_many_times_are_not_all_cut(away):
+    r = np.random.default_rng(3)
+    a = r.integers(0, 200, (700, 2)) / 10.0
+    q = np.hstack([a, a + r.integers(1, 10, (700, 2))])
+    whole = _sides_of(q, away)
+    *cells, of = coverage.thinned(*whole)
+    p, cell, _ = coverage.outline(*cells, 30.0)
+    grid = np.zeros((2, 320, 320), bool)
+    for k, (x0, y0, x1, y1) in enumerate(np.round(q * 10).astype(int)):
+        grid[int(k < away), x0:x1, y0:y1] = True
+    left = np.pad(grid[0] & ~grid[1], 1)
+    long = sum(int((left != np.roll(left, 1, axis)).sum()) for axis in (0, 1)) / 10
+    assert abs((p[:, 0] * p[:, 3] - p[:, 2] * p[:, 1]).sum() / 2 - left.sum() / 100) < 1e-6
+    assert abs(np.hypot(p[:, 2] - p[:, 0], p[:, 3] - p[:, 1]).sum() - long) < 1e-6 and set(of) == {0}
+    assert len(coverage.noded(*(cells[k] for k in (0, 2)), 30.0)[0]) < len(coverage.noded(whole[0], whole[2], 30.0)[0]) / 10
+
+
+def test_sides_along_a_cell_s_own_lines_stay():
+    """Covered ground on one side of the lower line, none below it."""
+    q = np.array([[0.0, 0.0, 9.0, 9.0]] * 3 + [[k * 0.37, 0.0, k * 0.37 + 4.1, 8.0] for k in range(12)])
+    s, w, key, _, _, cuts = _sides_of(q, 0)
+    *cells, _ = coverage.thinned(s, w, key, np.array([[-0.5, 0.0]]), np.zeros((1, 2), int), cuts)
+    p, _, _ = coverage.outline(*cells, 10.0)
+    assert abs((p[:, 0] * p[:, 3] - p[:, 2] * p[:, 1]).sum() / 2 - 81) < 1e-9
+
+
+def test_holes_find_their_parts_without_a_look_at_every_part(monkeypatch):
+    ring = lambda x, y, a: np.array([(x, y), (x + a, y), (x + a, y + a), (x, y + a), (x, y)], float)
+    outers = [ring(10 * (k % 30), 10 * (k // 30), 9) for k in range(900)]
+    holes = [ring(10 * (k % 30) + 3, 10 * (k // 30) + 3, 2)[::-1] for k in range(0, 900, 2)]
+    looks, located = [], shapes.located
+    monkeypatch.setattr(shapes, "located", lambda points, shape: looks.append(len(points)) or located(points, shape))
+    parts = shapes.nested([*holes, *outers, ring(-5, -5, 400), ring(-4, -4, 396)[::-1]])
+    assert sorted(len(p) for p in parts) == [1] * 450 + [2] * 451 and sum(looks) < 2_000
+    assert all((p[0].min(axis=0) < p[1].min(axis=0)).all() and (p[0].max(axis=0) > p[1].max(axis=0)).all() for p in parts if len(p) == 2)
