@@ -119,3 +119,23 @@ def test_a_point_on_the_edge_of_a_box_in_degrees_meets_it(spark):
     moved = sjoin.aligned(ZONE, boxes, DEGREES)
     assert sjoin.relate(points, moved, "intersects", size=50.0).count() == 240  # by cells, neither side broadcast
     assert sjoin.relate(points.withColumn("geom", geom.point(F.col("x") + 11, F.col("y") + 2000)), moved, "intersects").count() == 0
+
+
+def test_the_other_layer_is_worked_out_once_and_equal_shapes_are_looked_at_once(spark, monkeypatch):
+    monkeypatch.setattr(sjoin, "FEW_FEATURES", 4)
+    seen, asked, pairs = spark.sparkContext.accumulator(0), [], sjoin.pairs
+    touched = F.udf(lambda v: seen.add(1) or v, "double")
+
+    def counted(left, right, *rest, **more):
+        asked.append((left.count(), right.count()))
+        return pairs(left, right, *rest, **more)
+
+    k = F.col("id") % 10
+    left = spark.range(200).select("id", geom.point(k * 10.0 + 2, k * 0.0 + 2).alias("geom")).union(spark.createDataFrame([(200, None)], f"id long, geom {geom.TYPE}"))
+    far = spark.range(60).withColumn("x", touched((F.col("id") % 6 * 10).cast("double")))
+    right = far.select("id", geom.box(F.col("x"), F.lit(0.0), F.col("x") + 5, F.lit(5.0)).alias("geom"))
+    out = sjoin.relate_layers(left, ZONE, right, ZONE, "intersects").first()
+    assert (out.tested, out.matched, out.reference_features) == (201, 120, 60) and seen.value == 60
+    monkeypatch.setattr(sjoin, "pairs", counted)
+    got = sorted(r.id for r in sjoin.relate(left, right, "intersects").collect())
+    assert got == [i for i in range(200) if i % 10 < 6] and asked == [(201, 60), (11, 6)]

@@ -198,3 +198,14 @@ def test_yards_of_a_column_are_not_taken_one_by_one(monkeypatch):
     found = {p: {v["l"]["id"] for out in sjoin._against(table, sjoin.Holds(p), 0.0, True, shapes.TOLERANCE)(iter([batch])) for v in out.to_pylist()} for p in ("within", "overlaps")}
     assert found["within"] >= set(np.flatnonzero(inside).tolist()) and not found["overlaps"] & set(np.flatnonzero(inside).tolist())
     assert found["overlaps"] and cut and not np.array(inside)[cut].any()
+
+
+def test_points_and_polygons_of_few_sides_go_together(monkeypatch):
+    b = some(5)[:40]
+    spots = [Shape("point", [[np.array([[x / 2, y / 2]])]]) for x in range(-1, 10) for y in range(-1, 10)]
+    i, j = every(spots, b)
+    want = {p: [Relation(spots[x], b[y]).holds(p) for x, y in zip(i, j)] for p in RELATIONS}
+    monkeypatch.setattr(many, "TOGETHER", 3000)
+    monkeypatch.setattr(shapes, "located", None)
+    for predicate in RELATIONS:
+        assert sjoin.Holds(predicate)(spots, b, i, j)[0].tolist() == want[predicate]
